@@ -73,7 +73,7 @@ def word_hashes(texts: pa.Array, lut: np.ndarray = PLAIN) -> tuple[np.ndarray, n
     while at < n:
         to = min(n, at + _STEP)
         while to < n:  # end between words, or at the end of a row
-            back = np.flatnonzero(lut[buf[at:to]] == 0)
+            back = np.flatnonzero(lut[buf[max(at, to - 4096) : to]] == 0) + max(0, to - at - 4096)
             i = np.searchsorted(inner, to, "right") - 1
             row_end = int(inner[i]) if i >= 0 and inner[i] > at else 0
             stop = max(at + int(back[-1]) + 1 if len(back) else 0, row_end)
