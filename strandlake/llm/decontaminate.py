@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .words import ALNUM, mix, shingles, word_hashes
+from .words import ALNUM, mix, pieces, shingles, word_hashes
 
 WORDS, SIMILAR = 5, 0.8
 RADIUS = 7
@@ -205,7 +205,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def scan(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items: Items = shared.value
-            for b in batches:
+            for b in pieces(batches, size=16 << 20):
                 ids = b.column("doc_id").to_pylist()
                 rows = [(ids[i], items.ids[k], *v) for (i, k), v in _matches(*word_hashes(b.column("text"), ALNUM), items).items()]
                 cols = list(zip(*rows)) or [()] * 5

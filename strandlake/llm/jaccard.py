@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import literal_rows, materialize
 from .components import components
-from .words import PLAIN, mix, shingles, word_hashes
+from .words import PLAIN, mix, pieces, shingles, word_hashes
 
 WORDS = 4
 PERCENT = 85
@@ -78,7 +78,7 @@ def _count_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = c >= HOT_LEAST
         return pa.RecordBatch.from_arrays([pa.array(u[on].view(np.int64)), pa.array(c[on].astype(np.int64))], ["token", "n"])
 
-    for b in batches:
+    for b in pieces(batches):
         for s in sets_of(b.column("text")):
             held.append(s)
             rows += len(s)
@@ -110,7 +110,7 @@ def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_token, hot_count = shared.value
-        for b in batches:
+        for b in pieces(batches):
             n, d1, d2, prefix, bits = [], [], [], [], []
             for s in sets_of(b.column("text")):
                 n.append(len(s))
@@ -242,7 +242,7 @@ def _digests(s: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches):
         sets = list(sets_of(b.column("text")))
         d = [_digests(s) for s in sets]
         cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([y for _, y in d], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, mixing, quality, sharding
+from . import chat, decontaminate, jaccard, language, mixing, quality, sharding, toxicity
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -36,12 +40,18 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(rows.unionByName(more)))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_language_id": op7_language_id,
     "op8_mixing": op8_mixing,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}

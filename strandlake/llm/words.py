@@ -65,10 +65,15 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
-def word_hashes(texts: pa.Array, lut: np.ndarray = PLAIN) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word of the batch, bounds): row i has the words bounds[i] to bounds[i + 1]."""
+def word_hashes(texts: pa.Array, lut: np.ndarray = PLAIN, heads: tuple[int, ...] = ()) -> tuple:
+    """(hash of every word of the batch, bounds): row i has the words bounds[i] to bounds[i + 1].
+
+    With ``heads``, a third value: for each length in it the hash of every word's first so many bytes, 0 for words that
+    are not longer.
+    """
     buf, offs = text_buffer(texts)
     n, at, hashes, starts = len(buf), 0, [], []
+    begun: list[list[np.ndarray]] = [[] for _ in heads]
     inner = offs[1:-1]
     while at < n:
         to = min(n, at + _STEP)
@@ -99,10 +104,13 @@ def word_hashes(texts: pa.Array, lut: np.ndarray = PLAIN) -> tuple[np.ndarray, n
             h = (c[e] - first) * _power("down", _INV, to - at)[s]
             hashes.append(mix(h ^ ((e - s).astype(np.uint64) << np.uint64(48))))
             starts.append(s + at)
+            for k, held in zip(heads, begun):
+                cut = np.minimum(s + k - 1, e)
+                held.append(np.where(e - s >= k, mix((c[cut] - first) * _power("down", _INV, to - at)[s] + np.uint64(k)), np.uint64(0)))
         at = to
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offs, "left")
+    none = np.zeros(0, np.uint64)
+    whole, bounds = (np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offs, "left")) if hashes else (none, np.zeros(len(offs), np.int64))
+    return (whole, bounds, [np.concatenate(x) if x else none for x in begun]) if heads else (whole, bounds)
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
@@ -113,3 +121,19 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     for j in range(1, k):
         out = mix(out * np.uint64(0xD6E8FEB86659FD93) + h[j : len(h) - k + 1 + j])
     return out
+
+
+def pieces(batches, column: str = "text", size: int = 4 << 20):
+    """Cuts batches into runs of rows of about ``size`` bytes of text, so that working memory doesn't follow batch size."""
+    for b in batches:
+        texts = b.column(column)
+        if b.num_rows <= 1 or texts.nbytes <= size:
+            yield b
+            continue
+        ends = text_buffer(texts)[1][1:]
+        at = 0
+        while at < b.num_rows:
+            start = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, start + size, "right")))
+            yield b.slice(at, to - at)
+            at = to
