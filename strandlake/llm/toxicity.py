@@ -30,7 +30,7 @@ MAX_ROWS = 24_000
 MAX_WEIGHTS = 200_000
 #: Lengths in bytes of word beginnings, and the counts in a text from which a gram is a feature again.
 HEADS, LEVELS = (5, 6, 8), (1, 2, 4)
-ALPHA_RATE, BETA, L1, L2 = 0.15, 1.0, 1.0, 0.5
+ALPHA_RATE, BETA, L1, L2 = 0.3, 1.0, 4.0, 0.5
 PASSES = 3
 
 
