@@ -155,7 +155,8 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> Data
             for level, k in enumerate(LEVELS):
                 on = key[n >= k]
                 np.add.at(total, on // SLOTS, dense[_slot(on % SLOTS, level)])
-            p = 1.0 / (1.0 + np.exp(-np.clip(total, -700, 700)))
+            with np.errstate(over="ignore"):
+                p = 1.0 / (1.0 + np.exp(-total))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
