@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,10 +21,10 @@ def fasta(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
 
     A file is split by Spark at line starts; a record's number keeps file order.
     """
-    reader = spark.read.option("wholetext", "true")
+    reader = spark.read
     if recursive:
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", FASTA_GLOB)
-    rows = reader.text(path).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("v"))
+    rows = reader.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("v"))
     parts = rows.select("path", F.posexplode(F.split("v", "(?m)^>")).alias("row_seq", "part"))
     body = F.when(F.col("row_seq") == 0, F.col("part")).otherwise(F.regexp_replace("part", r"^[^\n]*(\n|$)", ""))
     return parts.select("path", "row_seq", F.replace(body, F.lit("\n"), F.lit("")).alias("raw")).where("raw <> ''")
@@ -56,7 +58,7 @@ def genome_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def samples(spark: SparkSession, path: str) -> DataFrame:
     """(name, seq, source) from a JSON map of name to sequence, or to {seq, source}."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     pairs = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("name", "v"))
     inner = F.from_json("v", "seq string, source string")
     obj = F.regexp_like("v", F.lit(r"^\s*\{"))
@@ -64,12 +66,22 @@ def samples(spark: SparkSession, path: str) -> DataFrame:
     return out.where("seq <> ''")
 
 
+def listing(spark: SparkSession, root: str) -> list[str]:
+    """Paths of all files below a folder, empty ones too, which Spark's readers leave out."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while files.hasNext():
+        out.append(files.next().getPath().toString())
+    return out
+
+
 def fasta_directory(spark: SparkSession, root: str) -> DataFrame:
     """(name, seq, source) of all FASTA files below a folder; files with an unfinished-download marker are left out."""
     found = fasta(spark, root, recursive=True)
-    markers = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.aria2").load(root)
-    busy = markers.select(F.regexp_replace("path", r"\.aria2$", "").alias("path"))
-    kept = found.withColumn("key", F.regexp_replace("path", "^file:/+", "/")).join(busy.select(F.regexp_replace("path", "^file:/+", "/").alias("key")), "key", "left_anti")
+    busy = [re.sub("^file:/+", "/", p[: -len(".aria2")]) for p in listing(spark, root) if p.endswith(".aria2")]
+    kept = found.where(~F.regexp_replace("path", "^file:/+", "/").isin(busy)) if busy else found
     file = F.element_at(F.split("path", "/"), -1)
     return kept.select(F.concat(file, F.lit(":"), F.col("row_seq").cast("string")).alias("name"), clean(F.col("raw")).alias("seq"), F.col("path").alias("source")).where("seq <> ''")
 
