@@ -28,7 +28,7 @@ MIN_WORDS = 50
 SIGNALS = {
     "word_length": ("word_chars", "n_words", 500, True),
     "symbols": ("n_symbols", "n_words", 50, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 100, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 200, False),
     "repeats": ("n_repeat_words", "n_words", 100, False),
 }
 #: A group with fewer rows falls back on the merged sketch above it.
