@@ -322,3 +322,62 @@ def snk06_fasta_wrap(spark, d):
 @query(f"""WITH {DNA} SELECT doc_id, source, length(seq)::INTEGER AS length, sha256(seq) AS sha256 FROM dna""")
 def snk07_design_table(spark, d):
     return dna(spark, d).select("doc_id", "source", F.char_length("seq").alias("length"), F.sha2("seq", 256).alias("sha256"))
+
+
+@query("""SELECT doc_id, list_reduce(list_transform(range(0, 24), lambda i: substr('ACGT', ((doc_id * 24 + i) * 2654435761 % 4294967296 * 69069 % 4294967296 // 1073741824 + 1)::INTEGER, 1)), lambda a, b: a || b) AS seq FROM documents""")
+def src21_synthetic_sequences(spark, d):
+    base = lambda i: (F.col("doc_id") * 24 + i) * 2654435761 % 4294967296 * 69069 % 4294967296
+    chars = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.substring(F.lit("ACGT"), F.floor(base(i) / 1073741824).cast("int") + 1, F.lit(1)))
+    return read(spark, d, "documents").select("doc_id", F.array_join(chars, "").alias("seq"))
+
+
+@query(None)
+def fn11_arrays_crc(spark, d):
+    """Chained checksums of arrays equal the checksum of their concatenation."""
+    e = read(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    return e.select("doc_id", F.lower(F.lpad(F.hex(F.crc32(F.concat("b", "b"))), 8, "0")).alias("crc"))
+
+
+@query(None)
+def fn23_candidate_seeds(spark, d):
+    """Reproducible 63-bit seeds by (design, round, parent, candidate); distinct over the grid."""
+    b = read(spark, d, "benchmark").select(F.col("item_id").alias("design"))
+    g = b.select("design", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("i"))
+    return g.select("design", "i", F.shiftrightunsigned(F.xxhash64("design", F.floor(F.col("i") / 15), F.col("i") % 15), 1).alias("seed"))
+
+
+@query(None)
+def st09_beam_search(spark, d):
+    """Three rounds over all items: four extensions a beam, a toy loss, the best two a round."""
+    from ..operators.designs import beam_search
+
+    start = read(spark, d, "benchmark").select(F.col("item_id").alias("design"), F.lit(0).alias("idx"), F.lit("").alias("state"))
+
+    def expand(beam, r):
+        rows = beam.select("design", F.col("idx").alias("parent"), F.col("state").alias("s"), F.posexplode(F.array(*map(F.lit, "ACGT"))).alias("k", "b"))
+        return rows.select("design", (F.col("parent") * 4 + F.col("k")).alias("idx"), "parent", F.concat("s", "b").alias("state"))
+
+    def score(rows):
+        return rows.withColumn("loss", (F.crc32(F.concat(F.col("design").cast("string"), "state")) % 1000) / 1000.0)
+
+    return beam_search(spark, start, expand, score, 3, 2).select("design", "round", "rank", "state", "loss")
+
+
+@query(None)
+def udf04_multi_candidate_verify(spark, d):
+    """Greedy verification of two drafts an item in Arrow batches."""
+    import numpy as np
+    import pandas as pd
+
+    from ..functions.decode import verify_greedy
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i in b["item_id"]:
+                rng = np.random.default_rng(i)
+                v = verify_greedy(rng.integers(0, 3, (2, 3)), rng.random((2, 4, 3)))
+                rows.append((i, v.accepted, v.winner, v.tokens))
+            yield pd.DataFrame(rows, columns=["item_id", "accepted", "winner", "tokens"])
+
+    return read(spark, d, "benchmark").select("item_id").mapInPandas(run, "item_id long, accepted int, winner int, tokens array<int>")

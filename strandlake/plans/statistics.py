@@ -173,3 +173,35 @@ def sta17_state_diff(spark, d):
     a = embeddings(spark, d).select(F.concat(F.lit("layer"), (F.col("vec_id") % 6).cast("string")).alias("path"), F.explode("e").alias("x")).where("abs(x) > 0.01")
     gap = F.abs(F.col("x") - F.round("x", 2))
     return a.groupBy("path").agg(r6(F.max(gap)).alias("max_abs"), F.round(F.max(gap / F.greatest(F.abs("x"), F.lit(1e-6))), 4).alias("max_rel"))
+
+
+_CAT = "u AS (SELECT doc_id AS id, (doc_id * 2654435761 % 4294967296 * 69069 % 4294967296) / 4294967296.0::DOUBLE AS u FROM documents), p AS (SELECT source, count(*) AS n FROM documents GROUP BY source), c AS (SELECT source, sum(n) OVER (ORDER BY source)::DOUBLE / sum(n) OVER () AS hi, (sum(n) OVER (ORDER BY source) - n)::DOUBLE / sum(n) OVER () AS lo FROM p)"
+
+
+@query(f"WITH {_CAT} SELECT id, source FROM u JOIN c ON u >= lo AND u < hi")
+def smp10_categorical_draws(spark, d):
+    docs = read(spark, d, "documents")
+    p = docs.groupBy("source").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(F.lit(0))
+    run = F.sum("n").over(w.orderBy("source").rowsBetween(Window.unboundedPreceding, 0))
+    c = p.select("source", (run / F.sum("n").over(w)).alias("hi"), ((run - F.col("n")) / F.sum("n").over(w)).alias("lo"))
+    u = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") * 2654435761 % 4294967296 * 69069 % 4294967296 / 4294967296.0).alias("u"))
+    return u.join(F.broadcast(c), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("id", "source")
+
+
+@query(None)
+def udf07_bootstrap_statistic(spark, d):
+    """A statistic of the user's as an aggregate over resampled rows: the median's interval by source."""
+    import numpy as np
+    import pandas as pd
+
+    def lohi(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.sort(pdf["n_chars"].to_numpy(float))
+        rng = np.random.default_rng(len(v))
+        m = np.median(rng.choice(v, (200, len(v))), axis=1)
+        return pd.DataFrame({"source": [pdf["source"].iloc[0]], "lo": [np.quantile(m, 0.025)], "hi": [np.quantile(m, 0.975)]})
+
+    # lengths are counted into at most 1,000 representatives a source first, which bounds a group
+    docs = read(spark, d, "documents").select("source", "n_chars")
+    reps = docs.groupBy("source").agg(F.percentile_approx("n_chars", [i / 999 for i in range(1000)], 10_000).alias("q")).select("source", F.explode("q").alias("n_chars"))
+    return reps.groupBy("source").applyInPandas(lohi, "source string, lo double, hi double")

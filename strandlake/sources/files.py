@@ -144,3 +144,20 @@ def intact(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Files of the manifest (path, sha256) that are missing or differ."""
     j = manifest.alias("m").join(files.alias("f"), "path", "left")
     return j.where(~F.coalesce(F.col("m.sha256") == F.col("f.sha256"), F.lit(False))).select("path", F.when(F.col("f.sha256").isNull(), "missing").otherwise("changed").alias("problem"))
+
+
+def inventory(spark: SparkSession, root: str, pattern: str = "*.jsonl.gz") -> DataFrame:
+    """(path, length, modified, train, intact) of chunk files; intact tells whether a gzip file has its marker and trailer."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    head, tail = F.hex(F.substring("content", F.lit(1), F.lit(2))), F.octet_length("content") >= 18
+    name = F.element_at(F.split("path", "/"), -1)
+    return rows.select("path", "length", F.col("modificationTime").alias("modified"), F.contains(name, F.lit("train")).alias("train"), ((head == "1F8B") & tail).alias("intact"))
+
+
+def select_chunks(available: DataFrame, only: list[str]) -> DataFrame:
+    """The files of an allow-list by name; a name that isn't there is an error."""
+    name = F.element_at(F.split("path", "/"), -1)
+    kept = available.withColumn("file", name).where(F.col("file").isin(only))
+    if missing := sorted(set(only) - {r[0] for r in kept.select("file").distinct().collect()}):
+        raise ValueError(f"files not found: {missing}")
+    return kept
