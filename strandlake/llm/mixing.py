@@ -32,12 +32,13 @@ _ROW = ("__src", "__h", "__id", "__size")
 
 
 def sized(docs: DataFrame, seed: int = 8) -> DataFrame:
-    """Adds what mixing needs: __size (words), __src (source, never null), __h (shuffle hash), __id, __block."""
+    """Adds what mixing needs: __size (words), __src (source, never null), __h (shuffle hash), __id, __tie, __block."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(text)), 1)
+    # 60 bits of MD5: any SQL engine can recompute the shuffle
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
     src = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
-    out = docs.withColumns({"__size": F.regexp_count(text, F.lit(WORD)).cast("long"), "__src": src, "__h": h, "__id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
-    return out.withColumn("__block", F.shiftright("__h", 63 - BLOCK_BITS))
+    out = docs.withColumns({"__size": F.regexp_count(text, F.lit(WORD)).cast("long"), "__src": src, "__h": h, "__tie": F.crc32(text), "__id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
+    return out.withColumn("__block", F.shiftright("__h", 60 - BLOCK_BITS))
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_PASSES, share: float = 1.0) -> DataFrame:
@@ -63,7 +64,7 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = M
 
 def queued(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Adds __cum (words of the source up to and including the row), __total and __target."""
-    order = [F.col("__h"), F.col("__id"), F.col("__size")]
+    order = [F.col("__h"), F.col("__id"), F.col("__size"), F.col("__tie")]
     return prefix_sums(rows, ["__src"], "__block", order, "__size", "__cum").join(small(plan), "__src")
 
 

@@ -64,4 +64,58 @@ QUERIES = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+_WORDS = r"w AS (SELECT doc_id, lang, source, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)"
+
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": f"""
+WITH {_WORDS},
+tri AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM w, unnest(range(1, len(ws) - 1)) t(i)),
+rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(0, 3) t(k) GROUP BY doc_id),
+lin AS (SELECT doc_id, count(*) AS n, count(DISTINCT l) AS u FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+b AS (SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(lin.n - lin.u, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, coalesce(lin.n, 0)::BIGINT AS n_lines
+  FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN lin USING (doc_id)),
+s AS (SELECT doc_id, lang, source, n_words, g.signal, CASE WHEN g.den > 0 THEN g.num * 1000 // g.den ELSE 0 END AS v, g.floor, g.two FROM b,
+  unnest([{{'signal': 'word_length', 'num': word_chars, 'den': n_words, 'floor': 500, 'two': true}}, {{'signal': 'symbols', 'num': n_symbols, 'den': n_words, 'floor': 50, 'two': false}},
+  {{'signal': 'dup_lines', 'num': n_dup_lines, 'den': n_lines, 'floor': 200, 'two': false}}, {{'signal': 'repeats', 'num': n_repeat_words, 'den': n_words, 'floor': 100, 'two': false}}]) t(g)),
+k AS (SELECT *, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS bucket FROM s WHERE n_words > 0),
+sk AS (SELECT lang, source, signal, bucket, count(*) AS n FROM k GROUP BY ALL),
+f AS (SELECT lang, source, signal, max(t) AS t, min(bucket) FILTER (WHERE c * 4 >= t) AS q1, min(bucket) FILTER (WHERE c * 4 >= t * 3) AS q3 FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, signal ORDER BY bucket) AS c, sum(n) OVER (PARTITION BY lang, source, signal) AS t FROM sk) GROUP BY ALL),
+l AS (SELECT lang, signal, max(t) AS t, min(bucket) FILTER (WHERE c * 4 >= t) AS q1, min(bucket) FILTER (WHERE c * 4 >= t * 3) AS q3 FROM (SELECT *, sum(n) OVER (PARTITION BY lang, signal ORDER BY bucket) AS c, sum(n) OVER (PARTITION BY lang, signal) AS t FROM (SELECT lang, signal, bucket, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY ALL),
+e AS (SELECT signal, max(t) AS t, min(bucket) FILTER (WHERE c * 4 >= t) AS q1, min(bucket) FILTER (WHERE c * 4 >= t * 3) AS q3 FROM (SELECT *, sum(n) OVER (PARTITION BY signal ORDER BY bucket) AS c, sum(n) OVER (PARTITION BY signal) AS t FROM (SELECT signal, bucket, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY ALL),
+q AS (SELECT f.lang, f.source, f.signal, CASE WHEN f.t >= 200 THEN f.q1 WHEN l.t >= 200 THEN l.q1 ELSE e.q1 END AS q1, CASE WHEN f.t >= 200 THEN f.q3 WHEN l.t >= 200 THEN l.q3 ELSE e.q3 END AS q3 FROM f LEFT JOIN l ON l.lang IS NOT DISTINCT FROM f.lang AND l.signal = f.signal LEFT JOIN e ON e.signal = f.signal),
+v AS (SELECT s.doc_id, bool_and(coalesce(s.v <= q3 + 3 * greatest(q3 - q1, s.floor) AND (NOT s.two OR s.v >= q1 - 3 * greatest(q3 - q1, s.floor)), true)) AS inside FROM s LEFT JOIN q ON q.lang IS NOT DISTINCT FROM s.lang AND q.source IS NOT DISTINCT FROM s.source AND q.signal = s.signal GROUP BY s.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND inside AS kept FROM b JOIN v USING (doc_id)""",
+    "op6_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] AS g FROM w, unnest(range(1, len(ws) - 2)) t(i) UNION SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 3),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS MATERIALIZED (SELECT x.a, x.b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS o FROM s p JOIN s q ON p.g = q.g AND p.doc_id < q.doc_id GROUP BY ALL) x JOIN n m ON m.doc_id = a JOIN n k ON k.doc_id = b WHERE 100 * o >= 85 * (m.n + k.n - o)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(id, other) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT id, min(other) AS c FROM r GROUP BY id) c ON c.id = d.doc_id""",
+    "op8_mixing": f"""
+WITH {_WORDS},
+z AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src, len(ws)::BIGINT AS size, ('0x' || substr(md5('8|' || doc_id), 1, 15))::BIGINT AS h FROM w),
+p AS (SELECT src, sum(size)::BIGINT AS total, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY src) - 1) % 3 + 1]::DOUBLE AS w FROM z GROUP BY src),
+c AS (SELECT *, total * 3.0::DOUBLE AS cap, sum(total) OVER ()::DOUBLE AS budget FROM p),
+o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps, sum(w) OVER (ORDER BY cap / w, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM c),
+lv AS (SELECT arg_min((budget - caps) / rest, (cap / w, src)) AS level FROM o WHERE (budget - caps) / rest <= cap / w),
+t AS (SELECT src, total, budget, coalesce(least(cap, level * w), cap) AS target FROM o, lv),
+q AS (SELECT z.*, total, target, budget, sum(size) OVER (PARTITION BY src ORDER BY h, doc_id::VARCHAR, size) AS cum FROM z JOIN t USING (src)),
+f AS (SELECT doc_id, size, src, h, budget, ((k - 1) * total + cum)::DOUBLE / target AS f FROM q, range(1, 4) x(k) WHERE size > 0 AND target > 0),
+g AS (SELECT doc_id, size, budget, sum(size) OVER (ORDER BY f, src, h, doc_id::VARCHAR ROWS UNBOUNDED PRECEDING) AS run FROM f),
+m AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM g WHERE run <= budget GROUP BY doc_id)
+SELECT q.doc_id, q.size, q.total AS source_size, q.target, coalesce(m.taken, 0)::BIGINT AS taken FROM q LEFT JOIN m USING (doc_id)""",
+    "op9_chat_formatting": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+z AS (SELECT *, ceil(length(text) / 4.0)::BIGINT + 4 AS cost, length(text) + length(role) + 13 + length(regexp_replace(text, '[^\\#<]', '', 'g')) + length(regexp_replace(role, '[^\\#<\n]', '', 'g')) AS chars FROM c),
+s AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) - cost AS start FROM z),
+k AS (SELECT *, start // 1024 AS span FROM s),
+sp AS (SELECT conv_id, span, min(start) AS at FROM k GROUP BY ALL),
+ctx AS (SELECT k.conv_id, sum(chars) AS n FROM k JOIN sp ON sp.conv_id = k.conv_id AND sp.span > k.span AND k.start >= sp.at - 256 AND (k.start > 0 OR k.role <> 'system') GROUP BY 1),
+sys AS (SELECT k.conv_id, sum(chars) AS n FROM k JOIN sp ON sp.conv_id = k.conv_id AND sp.span > 0 WHERE k.start = 0 AND k.role = 'system' GROUP BY 1),
+t AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY start, turn)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY start, turn) FILTER (WHERE role = 'assistant'), '') AS loss, sum(chars) AS own FROM k GROUP BY conv_id)
+SELECT t.conv_id, n_turns::BIGINT AS n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, (own + coalesce(ctx.n, 0) + coalesce(sys.n, 0))::BIGINT AS formatted_chars FROM t LEFT JOIN ctx USING (conv_id) LEFT JOIN sys USING (conv_id)""",
+}
