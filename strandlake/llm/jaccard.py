@@ -8,14 +8,15 @@ at least 85/100; the result is each document's connected component.
    1`` of each.  Only those go into the inverted index.  The order needs no exact counts: shingles that are frequent in
    some task's rows, at most ``HOT`` of them, come last by count, the rest lie before them by hash.
 3. First pass over the inverted lists: in each list the members are put in an order of its own and neighbours are tried.
-   A family of copies is in many lists, so nearly all of it falls together with as many trials as postings.
-4. Second pass, exact: in every list that still holds several components, members outside the list's largest component
+   A family of copies is in many lists, so most of it falls together with as many trials as postings; in long lists, rounds
+   of trials with a few members drawn at random take in most of the rest.
+4. Last pass, exact: in every list that still holds several components, members outside the list's largest component
    are tried with all members of other components.
 5. Trials are first cut by an exact bound (parity bitmaps: the sets differ in at least as many shingles as bits differ),
    then searched: a query's candidates form inverted lists over the query's shingles; DivideSkip heap-merges the short
    lists with skips and binary-probes the long ones, and keeps candidates whose overlap reaches the required T.
 
-No list is gathered in one task and no list is expanded into its pairs: both passes are joins and windows that spill, and
+No list is gathered in one task and no list is expanded into its pairs: all passes are joins and windows that spill, and
 a query's candidates are searched in bounded groups.
 
 Defined cases: null or wordless text has the empty set and is its own component; fewer than four words make one shingle;
@@ -44,12 +45,15 @@ PERCENT = 85
 #: Frequent shingles that the order knows by count: 1.6 MB broadcast at most.  A smaller table only makes lists longer.
 HOT = 200_000
 #: Documents of one task's counting window, and the count in it from which a shingle is reported as frequent.
-HOT_ROWS, HOT_LEAST = 20_000, 4
-BITMAP_WORDS = 16
+HOT_ROWS, HOT_LEAST = 20_000, 3
+#: Least and most 64-bit words of a parity bitmap; between, a power of two with two to four bits a shingle.
+BITMAP_WORDS = (16, 4096)
 #: Candidates searched together for one query.
 GROUP = 256
 #: Members of an inverted list that are put in order together.
 CHUNK = 4096
+#: Lists longer than this get rounds of trials with about HUBS members drawn anew, at most ROUNDS of them.
+LONG, HUBS, ROUNDS = 64, 16, 2
 #: Stands for a null doc_id inside.
 _LAST = (1 << 63) - 1
 
@@ -91,16 +95,21 @@ def _count_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def hot_shingles(docs: DataFrame, limit: int = HOT) -> tuple[np.ndarray, np.ndarray]:
     """(hashes in order, counts) of frequent shingles, at most ``limit``; only a help for ordering."""
-    seen = docs.select("text").mapInArrow(_count_hot, "token long, n long")
+    texts = docs.select("text")
+    # a task should see enough rows to tell what is frequent, however small the input's partitions are
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // 32)
+    seen = texts.coalesce(tasks).mapInArrow(_count_hot, "token long, n long")
     top = seen.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(limit).toArrow()
     token, n = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(token)
     return token[order], n[order]
 
 
-def _bitmap(s: np.ndarray) -> bytes:
-    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) % (BITMAP_WORDS * 64), minlength=BITMAP_WORDS * 64) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles at each bit. Half the words of a bitmap, xored, are the bitmap of half the size."""
+    words = min(max(BITMAP_WORDS[0], 1 << max(0, (len(s) // 32).bit_length())), BITMAP_WORDS[1])
+    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & (words * 64 - 1), minlength=words * 64) & 1
+    return np.packbits(bits.astype(np.uint8)).view(">i8").astype(np.int64)
 
 
 def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -124,9 +133,9 @@ def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame
                     prefix.append(s[np.argsort(rank, kind="stable")[:keep]].view(np.int64))
                 else:
                     prefix.append(s[:keep].view(np.int64))
-                bits.append(np.frombuffer(_bitmap(s), ">i8").astype(np.int64))
+                bits.append(_bitmap(s))
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
-            maps = pa.ListArray.from_arrays(np.arange(len(bits) + 1, dtype=np.int32) * BITMAP_WORDS, pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)))
+            maps = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(p) for p in bits])]).astype(np.int32), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)))
             cols = [b.column("doc_id"), b.column("key"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists, maps]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "n", "d1", "d2", "prefix", "bitmap"])
 
@@ -146,10 +155,21 @@ def required(n_a, n_b):
 
 
 def _possible():
-    """Exact necessary condition on (na, ma) and (nb, mb): sizes, then bits that differ."""
-    differ = sum((F.bit_count(F.col("ma")[i].bitwiseXOR(F.col("mb")[i])) for i in range(BITMAP_WORDS)), F.lit(0))
-    sizes = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-    return sizes & (F.col("na") + F.col("nb") - differ >= 2 * required(F.col("na"), F.col("nb")))
+    """Exact necessary condition on (na, ma) and (nb, mb): sizes, then bits that differ.
+
+    Sizes that may link are in one size class of bitmaps or in neighbouring ones, so at most one has to be folded once.
+    """
+    def xor(x, y):
+        return F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+
+    def halved(m, half):
+        return xor(F.slice(m, F.lit(1), half), F.slice(m, half + 1, half))
+
+    la, lb = F.size("ma"), F.size("mb")
+    a = F.when(la > lb, halved(F.col("ma"), lb)).otherwise(F.col("ma"))
+    b = F.when(lb > la, halved(F.col("mb"), la)).otherwise(F.col("mb"))
+    differ = F.aggregate(xor(a, b), F.lit(0), lambda s, x: s + F.bit_count(x))
+    return _similar_sizes() & (F.col("na") + F.col("nb") - differ >= 2 * required(F.col("na"), F.col("nb")))
 
 
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], need: list[int]) -> list[tuple[int, int]]:
@@ -255,7 +275,7 @@ _SAME = ["n", "d1", "d2"]
 def linked(trials: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """The (a, b) of ``trials`` (a, b) that link, by T-occurrence search over the shingles of their documents."""
     ends = trials.select(F.col("a").alias("id")).union(trials.select(F.col("b").alias("id"))).distinct()
-    ends = reps.select("id", "least", *_SAME).join(ends, "id")
+    ends = reps.join(ends, "id")
     texts = docs.join(ends.select(F.col("least").alias("key")), "key", "left_semi").select("text")
     sets = texts.mapInArrow(_sets, "n long, d1 long, d2 long, set binary")
     sets = materialize(ends.join(sets, _SAME).select("id", "n", "set").dropDuplicates(["id"]), "sets")
@@ -272,53 +292,84 @@ def _ends(rows: DataFrame, bits: DataFrame, side: str) -> DataFrame:
     return rows.join(bits.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("bitmap").alias(f"m{side}")), side)
 
 
+def _similar_sizes():
+    return 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
+
+
+def _may_start():
+    """Sizes that may link, and enough shingles from this list's positions pa and pb on.
+
+    A pair's overlap lies at or after its first shared shingle, so a pair that links passes in that list at least.
+    """
+    return _similar_sizes() & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= required(F.col("na"), F.col("nb")))
+
+
 def _neighbours(postings: DataFrame) -> DataFrame:
     """(a, b): every list in an order of its own, each member with the one before; chunks of long lists by their first."""
     h = F.xxhash64("token", "id")
-    by = Window.partitionBy("token", "chunk").orderBy(h, "id")
-    near = postings.select("id", F.lag("id").over(by).alias("last"))
-    first = postings.where("chunks > 1").groupBy("token", "chunk").agg(F.min_by("id", h).alias("id"))
-    first = first.select("id", F.lag("id").over(Window.partitionBy("token").orderBy("chunk")).alias("last"))
-    near = near.union(first).where("last IS NOT NULL AND last <> id")
-    return near.select(F.least("id", "last").alias("a"), F.greatest("id", "last").alias("b")).distinct()
+    me = F.struct("id", "n", "pos")
+    near = postings.select("id", "n", "pos", F.lag(me).over(Window.partitionBy("token", "chunk").orderBy(h, "id")).alias("last"))
+    first = postings.where("chunks > 1").groupBy("token", "chunk").agg(F.min_by(me, h).alias("m")).select("token", "chunk", "m.*")
+    first = first.select("id", "n", "pos", F.lag(me).over(Window.partitionBy("token").orderBy("chunk")).alias("last"))
+    near = near.union(first).where("last IS NOT NULL").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("last.id").alias("b"), F.col("last.n").alias("nb"), F.col("pos").alias("pa"), F.col("last.pos").alias("pb"))
+    return near.where(_may_start() & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _across(postings: DataFrame, roots: DataFrame, bits: DataFrame) -> DataFrame:
-    """(a, b) possible links between different components, from the lists that hold several."""
-    rows = postings.select("token", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+def _mixed(postings: DataFrame, roots: DataFrame) -> DataFrame:
+    """(token, id, n, pos, root, major, size) of the lists that hold several components; major is the largest one's root."""
+    rows = postings.select("token", "id", "n", "pos").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     sizes = rows.groupBy("token", "root").agg(F.count("*").alias("k"))
-    lists = sizes.groupBy("token").agg(F.count("*").alias("several"), F.max_by("root", F.struct("k", "root")).alias("major")).where("several > 1")
-    rows = materialize(rows.join(lists.select("token", "major"), "token"), "mixed")
-    q = _ends(rows.where("root <> major").select("token", F.col("id").alias("a"), F.col("root").alias("ra")), bits, "a")
-    p = _ends(rows.select("token", F.col("id").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("major")).alias("main")), bits, "b")
-    pairs = q.join(p, "token").where((F.col("ra") != F.col("rb")) & (F.col("main") | (F.col("a") < F.col("b"))) & _possible())
+    lists = sizes.groupBy("token").agg(F.count("*").alias("several"), F.sum("k").alias("size"), F.max_by("root", F.struct("k", "root")).alias("major")).where("several > 1")
+    return materialize(rows.join(lists.select("token", "major", "size"), "token"), "mixed")
+
+
+def _crossed(mixed: DataFrame, partners: DataFrame) -> DataFrame:
+    """(a, b): members outside their list's largest component with partners of other components, of similar size."""
+    q = mixed.where("root <> major").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
+    p = partners.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
+    pairs = q.join(p, "token").where((F.col("ra") != F.col("rb")) & _may_start())
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _possible_trials(pairs: DataFrame, sig: DataFrame) -> DataFrame:
+    """The (a, b) that the bitmaps leave possible."""
+    bits = sig.select("id", "n", "bitmap")
+    return materialize(_ends(_ends(pairs, bits, "a"), bits, "b").where(_possible()).select("a", "b"), "trials")
+
+
 def join_components(docs: DataFrame) -> DataFrame:
     """One row a row of ``docs``: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), "text")
     hot = hot_shingles(docs)
-    sig = materialize(signatures(docs, hot), "signatures")
-    reps = sig.where("n > 0").groupBy(*_SAME).agg(F.min("key").alias("least"), F.first(F.struct("prefix", "bitmap")).alias("s"))
-    reps = materialize(reps.select(*_SAME, "least", "s.*", F.monotonically_increasing_id().alias("id")), "reps")
+    sig = materialize(signatures(docs, hot).withColumn("id", F.monotonically_increasing_id()), "signatures")
+    reps = materialize(sig.where("n > 0").groupBy(*_SAME).agg(F.min("key").alias("least"), F.min("id").alias("id")), "reps")
     long = literal_rows(docs.sparkSession, _long_lists(hot), "token:bigint,chunks:bigint")
-    postings = reps.select("id", F.explode("prefix").alias("token")).join(F.broadcast(long), "token", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    postings = sig.select("id", "n", "prefix").join(reps.select("id"), "id").select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    postings = postings.join(F.broadcast(long), "token", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     postings = postings.withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks"))
     alone = (F.count("*").over(Window.partitionBy("token", "chunk")) == 1) & (F.col("chunks") == 1)
     postings = materialize(postings.withColumn("alone", alone).where("NOT alone").drop("alone"), "postings")
-    bits = reps.select("id", "n", "bitmap")
-    near = _ends(_ends(_neighbours(postings), bits, "a"), bits, "b").where(_possible()).select("a", "b")
-    links = materialize(linked(materialize(near, "near"), reps, docs), "links")
+    links = materialize(linked(_possible_trials(_neighbours(postings), sig), reps, docs), "links")
     roots = components(links)
-    across = materialize(_across(postings, roots, bits), "across")
+    mixed = _mixed(postings, roots)
+    for k in range(ROUNDS):
+        long = mixed.where(F.col("size") > LONG)
+        left = long.agg(F.sum(F.when(F.col("root") != F.col("major"), F.col("size"))).alias("s"), F.count("*").alias("n")).first()
+        if (left["s"] or 0) <= LONG * left["n"] // 8:
+            break
+        draw = F.pmod(F.xxhash64(F.lit(k), "token", "id"), F.ceil(F.col("size") / HUBS)) == 0
+        more = linked(_possible_trials(_crossed(long, long.where(draw)), sig), reps, docs)
+        links = materialize(links.union(more), "links")
+        roots = components(links)
+        mixed = _mixed(postings, roots)
+    across = _possible_trials(_crossed(mixed, mixed), sig)
     if not across.isEmpty():
         links = links.union(materialize(linked(across, reps, docs), "links"))
         roots = components(links)
-    named = reps.select(*_SAME, "id", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = reps.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select(*_SAME, "component_id")
-    out = sig.join(named, _SAME, "left")
+    out = sig.select("doc_id", *_SAME).join(named, _SAME, "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.nullif(F.col("component_id"), F.lit(_LAST)))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
