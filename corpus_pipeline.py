@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from strandlake.llm import decontaminate, jaccard, mixing, quality, sharding
 from strandlake.llm.common import materialize, table
 
+#: Near duplicates of the stage: shingles of five words, Jaccard similarity of 0.8 or more.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: No stage sequence with hashing, near-duplicate search and fingerprints is SQL; tests compare run() with brute force.
 ORACLE_SQL = None
 
@@ -20,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

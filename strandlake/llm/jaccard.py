@@ -1,11 +1,12 @@
 """Operator 6: n-gram Jaccard join by T-occurrence search.
 
-A document is the set of its distinct 4-word shingles.  Two documents link when the Jaccard similarity of their sets is
-at least 85/100; the result is each document's connected component.
+A document is the set of its distinct shingles of ``words`` words.  Two documents link when the Jaccard similarity of their
+sets is at least ``percent``/100; the result is each document's connected component.  Operator 6 has 4 words and 85, the
+pipeline's near-duplicate stage 5 and 80.
 
 1. Equal sets collapse onto one representative (a digest of the set is the key).
-2. In one order of all shingles, rare before frequent, linked sets share a shingle among the first ``n - ceil(0.85 n) +
-   1`` of each.  Only those go into the inverted index.  The order needs no exact counts: shingles that are frequent in
+2. In one order of all shingles, rare before frequent, linked sets share a shingle among the first ``n - ceil(percent
+   n / 100) + 1`` of each.  Only those go into the inverted index.  The order needs no exact counts: shingles that are frequent in
    some task's rows, at most ``HOT`` of them, come last by count, the rest lie before them by hash.
 3. First pass over the inverted lists: in each list the members are put in an order of its own and neighbours are tried.
    A family of copies is in many lists, so most of it falls together with as many trials as postings; in long lists, rounds
@@ -19,7 +20,7 @@ at least 85/100; the result is each document's connected component.
 No list is gathered in one task and no list is expanded into its pairs: all passes are joins and windows that spill, and
 a query's candidates are searched in bounded groups.
 
-Defined cases: null or wordless text has the empty set and is its own component; fewer than four words make one shingle;
+Defined cases: null or wordless text has the empty set and is its own component; fewer than ``words`` words make one shingle;
 repeated rows are equal sets; a null doc_id links like any other but never names a component unless all ids are null;
 an empty table gives an empty table.
 """
@@ -58,14 +59,14 @@ LONG, HUBS, ROUNDS = 64, 16, 2
 _LAST = (1 << 63) - 1
 
 
-def sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
+def sets_of(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     h, bounds = word_hashes(texts, PLAIN)
-    all4 = shingles(h, WORDS)
+    every = shingles(h, words)
     for i in range(len(bounds) - 1):
         lo, hi = bounds[i], bounds[i + 1]
-        if hi - lo >= WORDS:
-            yield np.unique(all4[lo : hi - WORDS + 1])
+        if hi - lo >= words:
+            yield np.unique(every[lo : hi - words + 1])
         elif hi > lo:
             short = h[lo:hi]
             yield np.array([(int(short.sum(dtype=np.uint64)) * 31 + sum(int(x) * (7 + 2 * i) for i, x in enumerate(short)) + len(short)) % (1 << 64)], np.uint64)
@@ -73,7 +74,7 @@ def sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def _count_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_hot(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
     rows = 0
 
@@ -83,7 +84,7 @@ def _count_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(u[on].view(np.int64)), pa.array(c[on].astype(np.int64))], ["token", "n"])
 
     for b in pieces(batches):
-        for s in sets_of(b.column("text")):
+        for s in sets_of(b.column("text"), words):
             held.append(s)
             rows += len(s)
             if rows >= HOT_ROWS * 200:
@@ -93,12 +94,12 @@ def _count_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def hot_shingles(docs: DataFrame, limit: int = HOT) -> tuple[np.ndarray, np.ndarray]:
+def hot_shingles(docs: DataFrame, words: int = WORDS, limit: int = HOT) -> tuple[np.ndarray, np.ndarray]:
     """(hashes in order, counts) of frequent shingles, at most ``limit``; only a help for ordering."""
     texts = docs.select("text")
     # a task should see enough rows to tell what is frequent, however small the input's partitions are
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // 32)
-    seen = texts.coalesce(tasks).mapInArrow(_count_hot, "token long, n long")
+    seen = texts.coalesce(tasks).mapInArrow(lambda batches: _count_hot(batches, words), "token long, n long")
     top = seen.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(limit).toArrow()
     token, n = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(token)
@@ -112,7 +113,7 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(">i8").astype(np.int64)
 
 
-def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n, digest, prefix (index shingles), bitmap: one row a document."""
     token, count = hot
     shared = docs.sparkSession.sparkContext.broadcast((token, count))
@@ -121,12 +122,12 @@ def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame
         hot_token, hot_count = shared.value
         for b in pieces(batches):
             n, d1, d2, prefix, bits = [], [], [], [], []
-            for s in sets_of(b.column("text")):
+            for s in sets_of(b.column("text"), words):
                 n.append(len(s))
                 x, y = _digests(s)
                 d1.append(x)
                 d2.append(y)
-                keep = len(s) - (PERCENT * len(s) + 99) // 100 + 1 if len(s) else 0
+                keep = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
                 if len(hot_token) and len(s):
                     at = np.minimum(np.searchsorted(hot_token, s), len(hot_token) - 1)
                     rank = np.where(hot_token[at] == s, hot_count[at], 0)
@@ -149,12 +150,12 @@ def _long_lists(hot: tuple[np.ndarray, np.ndarray]) -> str:
     return json.dumps([{"token": t, "chunks": n // CHUNK + 1} for t, n in zip(hot[0][on].view(np.int64).tolist(), hot[1][on].tolist())])
 
 
-def required(n_a, n_b):
+def required(n_a, n_b, percent: int = PERCENT):
     """Least overlap of linked sets of these sizes."""
-    return F.floor((PERCENT * (n_a + n_b) + (99 + PERCENT)) / (100 + PERCENT)).cast("long")
+    return F.floor((percent * (n_a + n_b) + (99 + percent)) / (100 + percent)).cast("long")
 
 
-def _possible():
+def _possible(percent: int):
     """Exact necessary condition on (na, ma) and (nb, mb): sizes, then bits that differ.
 
     Sizes that may link are in one size class of bitmaps or in neighbouring ones, so at most one has to be folded once.
@@ -169,7 +170,7 @@ def _possible():
     a = F.when(la > lb, halved(F.col("ma"), lb)).otherwise(F.col("ma"))
     b = F.when(lb > la, halved(F.col("mb"), la)).otherwise(F.col("mb"))
     differ = F.aggregate(xor(a, b), F.lit(0), lambda s, x: s + F.bit_count(x))
-    return _similar_sizes() & (F.col("na") + F.col("nb") - differ >= 2 * required(F.col("na"), F.col("nb")))
+    return _similar_sizes(percent) & (F.col("na") + F.col("nb") - differ >= 2 * required(F.col("na"), F.col("nb"), percent))
 
 
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], need: list[int]) -> list[tuple[int, int]]:
@@ -222,7 +223,7 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], need: list[int]) -> l
     return out
 
 
-def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _searched(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (a, g, n, b, set) by (a, g, b), the query itself first (b null) -> the (a, b) that link."""
     a_out: list[int] = []
     b_out: list[int] = []
@@ -245,7 +246,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 ids.append(b)
                 sets.append(np.frombuffer(held, np.uint64))
-                need.append((PERCENT * (size + n) + 99 + PERCENT) // (100 + PERCENT))
+                need.append((percent * (size + n) + 99 + percent) // (100 + percent))
         if len(a_out) > 10_000:
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
             a_out, b_out = [], []
@@ -261,9 +262,9 @@ def _digests(s: np.ndarray) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches):
-        sets = list(sets_of(b.column("text")))
+        sets = list(sets_of(b.column("text"), words))
         d = [_digests(s) for s in sets]
         cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([y for _, y in d], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, ["n", "d1", "d2", "set"])
@@ -272,19 +273,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SAME = ["n", "d1", "d2"]
 
 
-def linked(trials: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def linked(trials: DataFrame, reps: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The (a, b) of ``trials`` (a, b) that link, by T-occurrence search over the shingles of their documents."""
     ends = trials.select(F.col("a").alias("id")).union(trials.select(F.col("b").alias("id"))).distinct()
     ends = reps.join(ends, "id")
     texts = docs.join(ends.select(F.col("least").alias("key")), "key", "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "n long, d1 long, d2 long, set binary")
+    sets = texts.mapInArrow(lambda batches: _sets(batches, words), "n long, d1 long, d2 long, set binary")
     sets = materialize(ends.join(sets, _SAME).select("id", "n", "set").dropDuplicates(["id"]), "sets")
     many = F.floor(F.count("*").over(Window.partitionBy("a")) / GROUP) + 1
     rows = trials.withColumn("g", F.pmod(F.xxhash64("b"), many))
     found = rows.join(sets.withColumnRenamed("id", "b"), "b").select("a", "g", "n", "b", "set")
     asked = rows.select("a", "g").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "g", "n", F.lit(None).cast("long").alias("b"), "set")
     rows = asked.union(found).repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(_searched, "a long, b long")
+    return rows.mapInArrow(lambda batches: _searched(batches, percent), "a long, b long")
 
 
 def _ends(rows: DataFrame, bits: DataFrame, side: str) -> DataFrame:
@@ -292,19 +293,19 @@ def _ends(rows: DataFrame, bits: DataFrame, side: str) -> DataFrame:
     return rows.join(bits.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("bitmap").alias(f"m{side}")), side)
 
 
-def _similar_sizes():
-    return 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
+def _similar_sizes(percent: int):
+    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def _may_start():
+def _may_start(percent: int):
     """Sizes that may link, and enough shingles from this list's positions pa and pb on.
 
     A pair's overlap lies at or after its first shared shingle, so a pair that links passes in that list at least.
     """
-    return _similar_sizes() & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= required(F.col("na"), F.col("nb")))
+    return _similar_sizes(percent) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= required(F.col("na"), F.col("nb"), percent))
 
 
-def _neighbours(postings: DataFrame) -> DataFrame:
+def _neighbours(postings: DataFrame, percent: int) -> DataFrame:
     """(a, b): every list in an order of its own, each member with the one before; chunks of long lists by their first."""
     h = F.xxhash64("token", "id")
     me = F.struct("id", "n", "pos")
@@ -312,7 +313,7 @@ def _neighbours(postings: DataFrame) -> DataFrame:
     first = postings.where("chunks > 1").groupBy("token", "chunk").agg(F.min_by(me, h).alias("m")).select("token", "chunk", "m.*")
     first = first.select("id", "n", "pos", F.lag(me).over(Window.partitionBy("token").orderBy("chunk")).alias("last"))
     near = near.union(first).where("last IS NOT NULL").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("last.id").alias("b"), F.col("last.n").alias("nb"), F.col("pos").alias("pa"), F.col("last.pos").alias("pb"))
-    return near.where(_may_start() & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return near.where(_may_start(percent) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _mixed(postings: DataFrame, roots: DataFrame) -> DataFrame:
@@ -323,25 +324,25 @@ def _mixed(postings: DataFrame, roots: DataFrame) -> DataFrame:
     return materialize(rows.join(lists.select("token", "major", "size"), "token"), "mixed")
 
 
-def _crossed(mixed: DataFrame, partners: DataFrame) -> DataFrame:
+def _crossed(mixed: DataFrame, partners: DataFrame, percent: int) -> DataFrame:
     """(a, b): members outside their list's largest component with partners of other components, of similar size."""
     q = mixed.where("root <> major").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
     p = partners.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
-    pairs = q.join(p, "token").where((F.col("ra") != F.col("rb")) & _may_start())
+    pairs = q.join(p, "token").where((F.col("ra") != F.col("rb")) & _may_start(percent))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _possible_trials(pairs: DataFrame, sig: DataFrame) -> DataFrame:
+def _possible_trials(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
     """The (a, b) that the bitmaps leave possible."""
     bits = sig.select("id", "n", "bitmap")
-    return materialize(_ends(_ends(pairs, bits, "a"), bits, "b").where(_possible()).select("a", "b"), "trials")
+    return materialize(_ends(_ends(pairs, bits, "a"), bits, "b").where(_possible(percent)).select("a", "b"), "trials")
 
 
-def join_components(docs: DataFrame) -> DataFrame:
+def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row a row of ``docs``: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), "text")
-    hot = hot_shingles(docs)
-    sig = materialize(signatures(docs, hot).withColumn("id", F.monotonically_increasing_id()), "signatures")
+    hot = hot_shingles(docs, words)
+    sig = materialize(signatures(docs, hot, words, percent).withColumn("id", F.monotonically_increasing_id()), "signatures")
     reps = materialize(sig.where("n > 0").groupBy(*_SAME).agg(F.min("key").alias("least"), F.min("id").alias("id")), "reps")
     long = literal_rows(docs.sparkSession, _long_lists(hot), "token:bigint,chunks:bigint")
     postings = sig.select("id", "n", "prefix").join(reps.select("id"), "id").select("id", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -349,7 +350,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     postings = postings.withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks"))
     alone = (F.count("*").over(Window.partitionBy("token", "chunk")) == 1) & (F.col("chunks") == 1)
     postings = materialize(postings.withColumn("alone", alone).where("NOT alone").drop("alone"), "postings")
-    links = materialize(linked(_possible_trials(_neighbours(postings), sig), reps, docs), "links")
+    links = materialize(linked(_possible_trials(_neighbours(postings, percent), sig, percent), reps, docs, words, percent), "links")
     roots = components(links)
     mixed = _mixed(postings, roots)
     for k in range(ROUNDS):
@@ -358,13 +359,13 @@ def join_components(docs: DataFrame) -> DataFrame:
         if (left["s"] or 0) <= LONG * left["n"] // 8:
             break
         draw = F.pmod(F.xxhash64(F.lit(k), "token", "id"), F.ceil(F.col("size") / HUBS)) == 0
-        more = linked(_possible_trials(_crossed(long, long.where(draw)), sig), reps, docs)
+        more = linked(_possible_trials(_crossed(long, long.where(draw), percent), sig, percent), reps, docs, words, percent)
         links = materialize(links.union(more), "links")
         roots = components(links)
         mixed = _mixed(postings, roots)
-    across = _possible_trials(_crossed(mixed, mixed), sig)
+    across = _possible_trials(_crossed(mixed, mixed, percent), sig, percent)
     if not across.isEmpty():
-        links = links.union(materialize(linked(across, reps, docs), "links"))
+        links = links.union(materialize(linked(across, reps, docs, words, percent), "links"))
         roots = components(links)
     named = reps.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -374,10 +375,10 @@ def join_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents that name their component (its least doc_id), with their own columns; equal rows stay once."""
     cols = docs.columns
-    keep = join_components(docs).where("component_id IS NULL OR component_id = doc_id").select(F.coalesce("doc_id", F.lit(_LAST)).alias("__key")).distinct()
+    keep = join_components(docs, words, percent).where("component_id IS NULL OR component_id = doc_id").select(F.coalesce("doc_id", F.lit(_LAST)).alias("__key")).distinct()
     rows = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).join(keep, "__key", "left_semi")
     again = F.row_number().over(Window.partitionBy("__key", F.xxhash64("text")).orderBy(F.lit(0)))
     return rows.withColumn("__again", again).where("__again = 1").select(*[F.col(f"`{c}`") for c in cols])

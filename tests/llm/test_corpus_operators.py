@@ -274,6 +274,37 @@ def test_jaccard_components(spark, docs_of, monkeypatch):
         assert got == brute_components(rows)
 
 
+def test_near_duplicate_stage_links_at_five_words_and_80(spark, docs_of):
+    pipe = importlib.import_module("corpus_pipeline")
+    rng = random.Random(13)
+    w = lambda n: ["".join(rng.choices("abcdefgh", k=6)) for _ in range(n)]
+    rows, want = [], set()
+    for i in range(30):
+        base = w(80)
+        copy, far = base + w(18), base + w(30)  # 5-word Jaccard 76/94 and 76/106, 4-word 77/95
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(copy)), (3 * i + 2, " ".join(w(40) + far[40:]))]
+        want |= {3 * i, 3 * i + 2}
+    got = pipe.near_duplicates(spark, docs_of(rows), TINY).collect()
+    assert {r["doc_id"] for r in got} == want
+    assert jaccard.one_of_each(docs_of(rows)).count() == len(rows)
+
+
+def test_jaccard_components_at_other_words_and_percent(spark, docs_of):
+    rng = random.Random(14)
+    w = lambda n: ["".join(rng.choices("abcdefgh", k=5)) for _ in range(n)]
+    rows = list(enumerate(family(rng, 80, w(80), 4) + family(rng, 30, w(45), 2) + [" ".join(w(rng.randint(0, 9))) for _ in range(20)]))
+    sets = {i: {tuple(x[k : k + 5]) for k in range(len(x) - 4)} if len(x) >= 5 else ({tuple(x)} if x else set()) for i, t in rows for x in [t.split()]}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in range(a):
+            o = len(sets[a] & sets[b])
+            if o and 100 * o >= 80 * (len(sets[a]) + len(sets[b]) - o) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(docs_of(rows), 5, 80).collect()}
+    assert got == {i: (len(sets[i]), root[i]) for i in sets}
+
+
 def test_divide_skip_by_brute_force():
     rng = np.random.default_rng(9)
     for _ in range(60):
