@@ -213,6 +213,29 @@ def test_near_passages_and_edges(spark, docs_of):
     assert {r["doc_id"] for r in decontaminate.clean_documents(docs, bench).collect()} == {3, 4, 5, 7}
 
 
+def test_trimmed_inserted_and_changed_copies_by_brute_force():
+    rng = np.random.default_rng(15)
+    w = lambda n: rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    lengths = [5, 6, 9, *rng.integers(15, 60, 60).tolist(), 96, 250]
+    hashes = [w(n) for n in lengths]
+    hashes[4][:8] = hashes[3][:8]  # a passage that two items share
+    items = decontaminate.Items(list(range(len(hashes))), hashes)
+    docs, want = [], {}
+    for i, x in enumerate(hashes):
+        k = max(1, (len(x) - 4) // 9)
+        at = len(x) // 2
+        for y in (x[k:], x[:-k], x[k // 2 : len(x) - k + k // 2], np.concatenate([x[:at], w(1), x[at:]]), np.concatenate([x[:at], w(1), x[at + 1 :]])):
+            docs += [np.concatenate([w(30), y, w(30)]), y]
+    for d, h in enumerate(docs):
+        for i, x in enumerate(hashes):
+            starts = range(5 - len(x), len(h) - 4) if len(np.intersect1d(x, h)) else ()
+            best = max((items.similarity(i, h[max(0, s) : s + len(x)]) for s in starts if s + len(x) > 0), default=0)
+            if best >= decontaminate.SIMILAR:
+                want[d, i] = best
+    got = decontaminate._matches(np.concatenate(docs), np.cumsum([0, *map(len, docs)]), items)
+    assert len(want) > 300 and {k: v[0] for k, v in got.items()} == pytest.approx(want)
+
+
 def test_multi_index_misses_nothing_within_the_radius():
     rng = np.random.default_rng(6)
     hashes = [rng.integers(0, 1 << 64, 12, dtype=np.uint64) for _ in range(50)]
