@@ -281,29 +281,37 @@ def _items(ids: list[int | None], texts: list[str | None]) -> Items:
     return Items(ids, [h[bounds[i] : bounds[i + 1]] for i in range(len(ids))])
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, similarity, first_word, distance): one row for each document and item found in it."""
+def _found(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, item_id, similarity, first_word, distance) of ``docs`` (keys, text; keys are long)."""
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, similarity double, first_word long, distance int"
+    schema = f"{', '.join(f'{k} long' for k in keys)}, item_id long, similarity double, first_word long, distance int"
 
     def scan(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items: Items = shared.value
             for b in pieces(batches, size=16 << 20):
-                ids = b.column("doc_id").to_pylist()
-                rows = [(ids[i], items.ids[k], *v) for (i, k), v in _matches(*word_hashes(b.column("text"), ALNUM), items).items()]
-                cols = list(zip(*rows)) or [()] * 5
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "item_id", "similarity", "first_word", "distance"])
+                ids = list(zip(*(b.column(k).to_pylist() for k in keys)))
+                rows = [(*ids[i], items.ids[k], *v) for (i, k), v in _matches(*word_hashes(b.column("text"), ALNUM), items).items()]
+                cols = list(zip(*rows)) or [()] * (len(keys) + 4)
+                types = (*[pa.int64()] * len(keys), pa.int64(), pa.float64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [*keys, "item_id", "similarity", "first_word", "distance"])
 
         return run
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = [source.mapInArrow(scan(spark.sparkContext.broadcast(items)), schema) for items in _blocks(benchmark)]
+    found = [docs.mapInArrow(scan(spark.sparkContext.broadcast(items)), schema) for items in _blocks(benchmark)]
     return reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
 
 
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, similarity, first_word, distance): one row for each document and item found in it."""
+    return _found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, ["doc_id"])
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no item was found, with their own columns."""
-    bad = materialize(matches(docs, benchmark).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti")
+    """The rows in whose own text no item was found, with their own columns; null and repeated ids make no difference."""
+    me = {"__id": F.col("doc_id").cast("long"), "__digest": F.xxhash64("text")}
+    cols, rows = docs.columns, docs.withColumns(me)
+    found = _found(rows.select(*me, "text"), benchmark, [*me])
+    bad = materialize(found.select(*[F.col(k).alias(f"{k}_bad") for k in me]).distinct(), "contaminated")
+    same = F.col("__id").eqNullSafe(F.col("__id_bad")) & (F.col("__digest") == F.col("__digest_bad"))
+    return rows.join(bad, same, "left_anti").select(*[F.col(f"`{c}`") for c in cols])

@@ -137,11 +137,11 @@ def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], words: int =
                 bits.append(_bitmap(s))
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
             maps = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(p) for p in bits])]).astype(np.int32), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)))
-            cols = [b.column("doc_id"), b.column("key"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists, maps]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "n", "d1", "d2", "prefix", "bitmap"])
+            cols = [b.column("doc_id"), b.column("key"), b.column("digest"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists, maps]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "digest", "n", "d1", "d2", "prefix", "bitmap"])
 
-    schema = "doc_id long, key long, n long, d1 long, d2 long, prefix array<long>, bitmap array<long>"
-    return docs.select("doc_id", "key", "text").mapInArrow(run, schema)
+    schema = "doc_id long, key long, digest long, n long, d1 long, d2 long, prefix array<long>, bitmap array<long>"
+    return docs.select("doc_id", "key", "digest", "text").mapInArrow(run, schema)
 
 
 def _long_lists(hot: tuple[np.ndarray, np.ndarray]) -> str:
@@ -338,9 +338,9 @@ def _possible_trials(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFram
     return materialize(_ends(_ends(pairs, bits, "a"), bits, "b").where(_possible(percent)).select("a", "b"), "trials")
 
 
-def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row a row of ``docs``: doc_id, n_shingles, component_id."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), "text")
+def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """One row a row of ``docs``: doc_id, key, digest (of its text), n, root (null: empty set), component_id (may be _LAST)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), "text", F.xxhash64("text").alias("digest"))
     hot = hot_shingles(docs, words)
     sig = materialize(signatures(docs, hot, words, percent).withColumn("id", F.monotonically_increasing_id()), "signatures")
     reps = materialize(sig.where("n > 0").groupBy(*_SAME).agg(F.min("key").alias("least"), F.min("id").alias("id")), "reps")
@@ -369,16 +369,27 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         roots = components(links)
     named = reps.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select(*_SAME, "component_id")
-    out = sig.select("doc_id", *_SAME).join(named, _SAME, "left")
+    named = named.join(least, "root").select(*_SAME, "root", "component_id")
+    return sig.select("doc_id", "key", "digest", *_SAME).join(named, _SAME, "left")
+
+
+def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row a row of ``docs``: doc_id, n_shingles, component_id."""
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.nullif(F.col("component_id"), F.lit(_LAST)))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return _members(docs, words, percent).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents that name their component (its least doc_id), with their own columns; equal rows stay once."""
+    """One row of each component, with its own columns: that of the least doc_id (null last), then of the least text digest.
+
+    Rows are told apart by doc_id and text, so rows that share an id, or have none, are decided on each for itself; rows
+    equal in both stay once.
+    """
     cols = docs.columns
-    keep = join_components(docs, words, percent).where("component_id IS NULL OR component_id = doc_id").select(F.coalesce("doc_id", F.lit(_LAST)).alias("__key")).distinct()
-    rows = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).join(keep, "__key", "left_semi")
-    again = F.row_number().over(Window.partitionBy("__key", F.xxhash64("text")).orderBy(F.lit(0)))
+    rows = _members(docs, words, percent)
+    me = F.struct("key", "digest")
+    keep = rows.where("n > 0").groupBy("root").agg(F.min(me).alias("k")).select("k.*").union(rows.where("n = 0").select("key", "digest")).distinct()
+    keep = keep.select(F.col("key").alias("__key"), F.col("digest").alias("__digest"))
+    rows = docs.withColumns({"__key": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__digest": F.xxhash64("text")}).join(keep, ["__key", "__digest"], "left_semi")
+    again = F.row_number().over(Window.partitionBy("__key", "__digest").orderBy(F.lit(0)))
     return rows.withColumn("__again", again).where("__again = 1").select(*[F.col(f"`{c}`") for c in cols])

@@ -328,6 +328,23 @@ def test_jaccard_components_at_other_words_and_percent(spark, docs_of):
     assert got == {i: (len(sets[i]), root[i]) for i in sets}
 
 
+def test_rows_without_id_are_decided_each_for_itself(spark, docs_of):
+    rng = random.Random(16)
+    w = lambda n: ["".join(rng.choices("abcdefgh", k=6)) for _ in range(n)]
+    x, y, item = w(60), w(60), w(40)
+    near = lambda t: " ".join([*t[:-1], "changed"])
+    alone = " ".join(w(30))
+    docs = docs_of([(1, " ".join(x)), (None, near(x)), (None, " ".join(y)), (None, near(y)), (None, alone), (2, " ".join(w(60))), (2, near(x))])
+    for n in ((), (5, 80)):
+        got = [(r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs, *n).collect()]
+        assert collections.Counter(i for i, _ in got) == {1: 1, 2: 1, None: 2}
+        assert {t for i, t in got if i is None} & {" ".join(y), near(y)} and (None, alone) in got and (2, near(x)) not in got
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    docs = docs_of([(None, " ".join(w(20) + item)), (None, alone), (3, " ".join(item)), (3, alone)])
+    got = [(r["doc_id"], r["text"]) for r in decontaminate.clean_documents(docs, bench).collect()]
+    assert sorted(got, key=str) == [(3, alone), (None, alone)]
+
+
 def test_divide_skip_by_brute_force():
     rng = np.random.default_rng(9)
     for _ in range(60):
