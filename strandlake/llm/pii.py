@@ -51,8 +51,8 @@ PATTERNS = {
     "person": rf"(?<!\p{{L}})(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What a text without any entity lacks: an @, a digit group or a title.
-HINT = rf"@|\d\d|(?:{_TITLES})\.? \p{{Lu}}"
+#: What a text without any entity lacks: an @, two digits side by side or with one separator between, 32 hexadecimal digits or a title.
+HINT = rf"@|\d[ .-]?\d|[0-9A-Fa-f]{{32}}|(?:{_TITLES})\.? \p{{Lu}}"
 _PART = "array<struct<kind:string,canon:string>>"
 
 

@@ -176,6 +176,14 @@ def test_surrogates(spark, docs_of):
     assert m[1] in pii.GIVEN["m", "latin"] and m[2] == m[3]
 
 
+def test_hint_lets_shortest_entities_through(spark, docs_of):
+    short = ["a@b.cc", "8.8.8.8", "DE12ABCDEFGH", "123-45-6789", "555 123 4567", "(12)345 678", "a1b2c3d4" * 4, "abcdefab" * 4, "4 1 1 1 1 1 1 1 1 1 1 1 1", "4-1-1-1-1-1-1-1-1-1-1-1-1", "Mr Li"]
+    texts = [f"x {t} y" for t in short]
+    got = {r["doc_id"]: r for r in pii.replace_private(docs_of(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(short):
+        assert got[i]["n_entities"] == 1 and t not in got[i]["text"], t
+
+
 def test_surrogates_stay_distinct(spark):
     parts = spark.createDataFrame([("ssn", f"{i:04d}") for i in range(3000)], ["kind", "canon"])
     rows = pii.surrogates(parts, "k").collect()
