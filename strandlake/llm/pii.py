@@ -61,9 +61,11 @@ def _digits(c: Column) -> Column:
 
 
 def _kind(e: Column) -> Column:
-    out = F.lit("person")
-    for k in reversed([k for k in PATTERNS if k != "person"]):
-        out = F.when(F.regexp_like(e, F.lit(rf"^(?:{PATTERNS[k]})$")), F.lit(k)).otherwise(out)
+    """The kind of a mention that stands alone: what a pattern wants before it may also be the start of the string."""
+    out = F.lit("other")
+    for k, p in reversed(PATTERNS.items()):
+        alone = p.replace("(?<=[ .-])", "(?<![^ .-])")
+        out = F.when(F.regexp_like(e, F.lit(rf"^(?:{alone})$")), F.lit(k)).otherwise(out)
     return out
 
 

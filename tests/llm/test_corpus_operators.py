@@ -184,6 +184,14 @@ def test_hint_lets_shortest_entities_through(spark, docs_of):
         assert got[i]["n_entities"] == 1 and t not in got[i]["text"], t
 
 
+def test_phones_of_all_first_groups_stay_phones(spark, docs_of):
+    phones = ["0203 946 0958", "0203 946 0959", "20 7946 0958", "20 7946 0959", "5551 234 5678", "555 234 5678", "(02) 946 0958"]
+    got = {r["doc_id"]: r for r in pii.replace_private(docs_of([(i, f"call {t} now") for i, t in enumerate(phones)])).collect()}
+    new = [got[i]["text"].removeprefix("call ").removesuffix(" now") for i in range(len(phones))]
+    assert len(set(new)) == len(phones) and not set(new) & set(phones)
+    assert [re.sub(r"\d", "0", x) for x in new] == [re.sub(r"\d", "0", x) for x in phones]
+
+
 def test_surrogates_stay_distinct(spark):
     parts = spark.createDataFrame([("ssn", f"{i:04d}") for i in range(3000)], ["kind", "canon"])
     rows = pii.surrogates(parts, "k").collect()
