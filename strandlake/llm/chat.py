@@ -5,7 +5,7 @@ Template: ``### role\n`` + text + ``</turn>\n``.  Inside roles and texts ``\\``,
 
 A turn costs ceil(code points / 4) + 4 tokens.  Prefix sums of the cost put each turn into the span its start falls into,
 so spans are turn-aligned and hold at most the budget and one turn.  A window is the conversation's leading system turn,
-up to ``history`` tokens of the turns before the span, and the span.  The loss mask covers the texts of the span's
+up to ``history`` tokens of the turns before the span, and the span; the first two are not counted against the budget.  The loss mask covers the texts of the span's
 assistant turns only: repeated turns are context, so each target is trained on once.
 
 A window's rows are bounded by the budget, so a conversation that holds a third of all rows is still built in many
@@ -14,7 +14,7 @@ conversation, puts one conversation's windows side by side.
 
 Defined cases: null text is empty, null role is an empty role, null turns come first; rows that share a turn number are
 ordered by role and text, repeated rows are repeated turns; null conv_id is a conversation; an empty table gives an empty
-table; a turn longer than the budget has a window of its own and is kept whole.
+table; a turn longer than the budget is kept whole, in the window in which it starts.
 """
 
 from __future__ import annotations
