@@ -6,19 +6,22 @@ pipeline's near-duplicate stage 5 and 80.
 
 1. Equal sets collapse onto one representative (a digest of the set is the key).
 2. In one order of all shingles, rare before frequent, linked sets share a shingle among the first ``n - ceil(percent
-   n / 100) + 1`` of each.  Only those go into the inverted index.  The order needs no exact counts: shingles that are frequent in
-   some task's rows, at most ``HOT`` of them, come last by count, the rest lie before them by hash.
-3. First pass over the inverted lists: in each list the members are put in an order of its own and neighbours are tried.
-   A family of copies is in many lists, so most of it falls together with as many trials as postings; in long lists, rounds
-   of trials with a few members drawn at random take in most of the rest.
-4. Last pass, exact: in every list that still holds several components, members outside the list's largest component
-   are tried with all members of other components.
-5. Trials are first cut by an exact bound (parity bitmaps: the sets differ in at least as many shingles as bits differ),
-   then searched: a query's candidates form inverted lists over the query's shingles; DivideSkip heap-merges the short
-   lists with skips and binary-probes the long ones, and keeps candidates whose overlap reaches the required T.
-
-No list is gathered in one task and no list is expanded into its pairs: all passes are joins and windows that spill, and
-a query's candidates are searched in bounded groups.
+   n / 100) + 1`` of each, the prefix.  Prefixes make the inverted lists; lists of one member go.  The order needs no exact
+   counts: frequent shingles, at most ``HOT`` of them, come last by count, the rest lie before them by hash.
+3. Families first: the members of every list stand in one order, the same in all lists, and neighbours that are so in
+   several lists are tried.  A family of copies thus falls together with about as many trials as members.
+4. The search, exact: representatives in lists that hold several components are dealt to index blocks of bounded size,
+   with about twice their prefix (the head).  A representative visits the blocks in which one of its lists has a member of
+   another component and similar size; there, lists of the block over its head are searched by DivideSkip: short ones
+   heap-merged with skips, long ones binary-probed, and members whose overlap reaches the required T kept.  Heads have
+   their own exact T: two linked sets share at least ``min(k_a - (n_a - t), k_b - (n_b - t))`` of their first k_a and k_b
+   shingles, where t is the overlap that links them.
+5. What is kept is verified on the whole sets, again by DivideSkip over the lists of a query's candidates.  Each visit gives
+   its best ``BEST`` candidates of other components; as long as one had more, it is made again after the components were
+   joined, with eight times as many, so no candidate stays untried unless it is in the query's component by then.
+
+No list is gathered in one task, no list is joined with itself and no pair is made but those that a search keeps: a task
+holds one index block (``BLOCK`` shingles or one document) and at most about ``VISITS`` visits.
 
 Defined cases: null or wordless text has the empty set and is its own component; fewer than ``words`` words make one shingle;
 repeated rows are equal sets; a null doc_id links like any other but never names a component unless all ids are null;
@@ -27,17 +30,19 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
+import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import literal_rows, materialize
+from .common import literal_rows, marked, marks, materialize, scratch, without
 from .components import components
 from .words import PLAIN, mix, pieces, shingles, word_hashes
 
@@ -45,16 +50,16 @@ WORDS = 4
 PERCENT = 85
 #: Frequent shingles that the order knows by count: 1.6 MB broadcast at most.  A smaller table only makes lists longer.
 HOT = 200_000
-#: Documents of one task's counting window, and the count in it from which a shingle is reported as frequent.
-HOT_ROWS, HOT_LEAST = 20_000, 3
-#: Least and most 64-bit words of a parity bitmap; between, a power of two with two to four bits a shingle.
-BITMAP_WORDS = (16, 4096)
-#: Candidates searched together for one query.
+#: Shingles that are counted at once, and the most counts that a task keeps between (lossy counting: the least go first).
+HOT_PIECE, HOT_KEPT = 1 << 19, 1 << 18
+#: Candidates verified together for one query.
 GROUP = 256
 #: Members of an inverted list that are put in order together.
 CHUNK = 4096
-#: Lists longer than this get rounds of trials with about HUBS members drawn anew, at most ROUNDS of them.
-LONG, HUBS, ROUNDS = 64, 16, 2
+#: Head shingles of an index block, visits of one task, and candidates that a visit gives in the first round.
+BLOCK, VISITS, BEST = 1 << 21, 1 << 14, 16
+#: Postings up to which short lists are merged by a heap; above, by one stable sort.
+HEAPED = 2048
 #: Stands for a null doc_id inside.
 _LAST = (1 << 63) - 1
 
@@ -75,23 +80,38 @@ def sets_of(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
 
 
 def _count_hot(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(token, n) of the shingles that are frequent in this task's rows, by lossy counting; counts may be too low."""
+    token, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     held: list[np.ndarray] = []
-    rows = 0
+    size = least = 0
 
-    def flush() -> pa.RecordBatch:
+    def merged() -> None:
+        nonlocal token, count, least
         u, c = np.unique(np.concatenate(held), return_counts=True)
-        on = c >= HOT_LEAST
-        return pa.RecordBatch.from_arrays([pa.array(u[on].view(np.int64)), pa.array(c[on].astype(np.int64))], ["token", "n"])
+        at = np.minimum(np.searchsorted(u, token), len(u) - 1)
+        known = u[at] == token
+        c[at[known]] += count[known]
+        keep = (c > least) & (c > 1)
+        u, c, rest = u[keep], c[keep], ~known & (count > least)
+        token, count = np.concatenate([u, token[rest]]), np.concatenate([c, count[rest]])
+        if len(token) > HOT_KEPT:
+            least = int(np.partition(count, len(count) - HOT_KEPT)[len(count) - HOT_KEPT])
+            token, count = token[count > least], count[count > least]
+        order = np.argsort(token)
+        token, count = token[order], count[order]
 
     for b in pieces(batches):
         for s in sets_of(b.column("text"), words):
-            held.append(s)
-            rows += len(s)
-            if rows >= HOT_ROWS * 200:
-                yield flush()
-                held, rows = [], 0
+            if len(s):
+                held.append(s)
+                size += len(s)
+            if size >= HOT_PIECE:
+                merged()
+                held, size = [], 0
     if held:
-        yield flush()
+        merged()
+    on = count > 2
+    yield pa.RecordBatch.from_arrays([pa.array(token[on].view(np.int64)), pa.array(count[on])], ["token", "n"])
 
 
 def hot_shingles(docs: DataFrame, words: int = WORDS, limit: int = HOT) -> tuple[np.ndarray, np.ndarray]:
@@ -106,41 +126,50 @@ def hot_shingles(docs: DataFrame, words: int = WORDS, limit: int = HOT) -> tuple
     return token[order], n[order]
 
 
-def _bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles at each bit. Half the words of a bitmap, xored, are the bitmap of half the size."""
-    words = min(max(BITMAP_WORDS[0], 1 << max(0, (len(s) // 32).bit_length())), BITMAP_WORDS[1])
-    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & (words * 64 - 1), minlength=words * 64) & 1
-    return np.packbits(bits.astype(np.uint8)).view(">i8").astype(np.int64)
+def lengths(n, percent: int = PERCENT):
+    """Shingles of the prefix and of the head of a set of ``n`` > 0."""
+    prefix = n - (percent * n + 99) // 100 + 1
+    return prefix, np.minimum(n, 2 * prefix - 1)
+
+
+def shared_heads(n_a, n_b, percent: int = PERCENT):
+    """Shingles that the heads of linked sets of these sizes share at least."""
+    t = required(n_a, n_b, percent)
+    return np.maximum(1, np.minimum(lengths(n_a, percent)[1] - n_a + t, lengths(n_b, percent)[1] - n_b + t))
+
+
+@functools.lru_cache(1 << 14)
+def _partners(n: int, percent: int) -> tuple[int, int, int]:
+    """Least and greatest size that links with a set of ``n``, and the least T of heads over all of them."""
+    low, high = -(-percent * n // 100), 100 * n // percent
+    return low, high, int(shared_heads(n, np.arange(low, high + 1), percent).min())
 
 
 def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, digest, prefix (index shingles), bitmap: one row a document."""
-    token, count = hot
-    shared = docs.sparkSession.sparkContext.broadcast((token, count))
+    """doc_id, key, digest, n, d1, d2 (of the set), prefix, head (32 bits a shingle): one row a document."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_token, hot_count = shared.value
         for b in pieces(batches):
-            n, d1, d2, prefix, bits = [], [], [], [], []
+            n, d1, d2, prefix, head = [], [], [], [], []
             for s in sets_of(b.column("text"), words):
                 n.append(len(s))
                 x, y = _digests(s)
                 d1.append(x)
                 d2.append(y)
-                keep = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
+                p, k = lengths(len(s), percent) if len(s) else (0, 0)
                 if len(hot_token) and len(s):
                     at = np.minimum(np.searchsorted(hot_token, s), len(hot_token) - 1)
                     rank = np.where(hot_token[at] == s, hot_count[at], 0)
-                    prefix.append(s[np.argsort(rank, kind="stable")[:keep]].view(np.int64))
-                else:
-                    prefix.append(s[:keep].view(np.int64))
-                bits.append(_bitmap(s))
+                    s = s[np.argsort(rank, kind="stable")[:k]]
+                prefix.append(s[:p].view(np.int64))
+                head.append(s[:k].astype(np.uint32).tobytes())
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
-            maps = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(p) for p in bits])]).astype(np.int32), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)))
-            cols = [b.column("doc_id"), b.column("key"), b.column("digest"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists, maps]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "digest", "n", "d1", "d2", "prefix", "bitmap"])
+            cols = [b.column("doc_id"), b.column("key"), b.column("digest"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists, pa.array(head, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "digest", "n", "d1", "d2", "prefix", "head"])
 
-    schema = "doc_id long, key long, digest long, n long, d1 long, d2 long, prefix array<long>, bitmap array<long>"
+    schema = "doc_id long, key long, digest long, n long, d1 long, d2 long, prefix array<long>, head binary"
     return docs.select("doc_id", "key", "digest", "text").mapInArrow(run, schema)
 
 
@@ -152,65 +181,36 @@ def _long_lists(hot: tuple[np.ndarray, np.ndarray]) -> str:
 
 def required(n_a, n_b, percent: int = PERCENT):
     """Least overlap of linked sets of these sizes."""
-    return F.floor((percent * (n_a + n_b) + (99 + percent)) / (100 + percent)).cast("long")
+    return (percent * (n_a + n_b) + 99 + percent) // (100 + percent)
 
 
-def _possible(percent: int):
-    """Exact necessary condition on (na, ma) and (nb, mb): sizes, then bits that differ.
+def merge_skip(lists: list[np.ndarray], floor: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, counts) of the ids in at least ``floor`` of the sorted ``lists``.
 
-    Sizes that may link are in one size class of bitmaps or in neighbouring ones, so at most one has to be folded once.
+    A heap holds each list's next id.  Where fewer than ``floor`` lists stand at the least id, the ``floor - 1`` least ones
+    are popped and skip to the id that is then on top: nothing before it can be in ``floor`` lists.  Many postings are merged
+    by one stable sort of all lists side by side instead (a merge of its sorted runs), and counted as runs.
     """
-    def xor(x, y):
-        return F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
-
-    def halved(m, half):
-        return xor(F.slice(m, F.lit(1), half), F.slice(m, half + 1, half))
-
-    la, lb = F.size("ma"), F.size("mb")
-    a = F.when(la > lb, halved(F.col("ma"), lb)).otherwise(F.col("ma"))
-    b = F.when(lb > la, halved(F.col("mb"), la)).otherwise(F.col("mb"))
-    differ = F.aggregate(xor(a, b), F.lit(0), lambda s, x: s + F.bit_count(x))
-    return _similar_sizes(percent) & (F.col("na") + F.col("nb") - differ >= 2 * required(F.col("na"), F.col("nb"), percent))
-
-
-def divide_skip(query: np.ndarray, sets: list[np.ndarray], need: list[int]) -> list[tuple[int, int]]:
-    """(candidate, overlap) for the candidates whose overlap with ``query`` reaches their ``need``.
-
-    Inverted lists of candidates over the query's shingles; the longest ``skip`` lists are only probed.
-    """
-    least = max(1, min(need))
-    found = []
-    for s in sets:
-        at = np.minimum(np.searchsorted(query, s), len(query) - 1)
-        found.append(at[query[at] == s])
-    posted, owner = np.concatenate(found), np.repeat(np.arange(len(sets)), [len(x) for x in found])
-    order = np.lexsort((owner, posted))
-    posted, owner = posted[order], owner[order]
-    cuts = np.flatnonzero(np.diff(posted)) + 1
-    lists = sorted((x.tolist() for x in np.split(owner, cuts)), key=len) if len(posted) else []
-    if len(lists) < least:
-        return []
-    longest = len(lists[-1])
-    skip = min(least - 1, int(least / (0.0085 * max(1.0, np.log2(max(2, longest))) + 1)))
-    short, long = lists[: len(lists) - skip], lists[len(lists) - skip :]
-    floor = least - skip
+    if len(lists) < floor:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if sum(map(len, lists)) > HEAPED:
+        run = np.sort(np.concatenate(lists), kind="stable")
+        ids, counts = np.unique(run, return_counts=True)
+        return ids[counts >= floor], counts[counts >= floor]
+    short = [x.tolist() for x in lists]
     heap = [(x[0], i, 0) for i, x in enumerate(short)]
     heapq.heapify(heap)
-    out = []
+    ids, counts = [], []
     while len(heap) >= floor:
         top = heap[0][0]
         popped = []
         while heap and heap[0][0] == top:
             popped.append(heapq.heappop(heap))
         if len(popped) >= floor:
-            seen = len(popped)
-            for x in long:
-                j = bisect_left(x, top)
-                seen += j < len(x) and x[j] == top
-            if seen >= need[top]:
-                out.append((top, seen))
+            ids.append(top)
+            counts.append(len(popped))
             after = top + 1
-        else:  # nothing below the floor-th list's head can reach the floor: jump there
+        else:
             while heap and len(popped) < floor - 1:
                 popped.append(heapq.heappop(heap))
             if not heap:
@@ -220,10 +220,112 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], need: list[int]) -> l
             j = bisect_left(short[i], after, j)
             if j < len(short[i]):
                 heapq.heappush(heap, (short[i][j], i, j))
-    return out
+    return np.array(ids, np.int64), np.array(counts, np.int64)
+
+
+def divide_skip(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, counts) of the ids in at least ``least`` (> 0) of the sorted ``lists``: short ones merged, long ones probed."""
+    if len(lists) < least:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lists = sorted(lists, key=len)
+    skip = min(least - 1, int(least / (0.0085 * math.log2(max(2, len(lists[-1]))) + 1)))
+    ids, counts = merge_skip(lists[: len(lists) - skip], least - skip)
+    for left, x in zip(range(skip - 1, -1, -1), lists[len(lists) - skip :]):
+        if not len(ids):
+            break
+        counts = counts + (x[np.minimum(np.searchsorted(x, ids), len(x) - 1)] == ids)
+        on = counts + left >= least
+        ids, counts = ids[on], counts[on]
+    return ids, counts
+
+
+class Lists:
+    """Inverted lists over a few sets of hashes: the sets' positions in order, by hash."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        size = np.array([len(x) for x in sets], np.int64)
+        token = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(token, kind="stable")
+        token = token[order]
+        first = np.ones(len(token), bool)
+        first[1:] = token[1:] != token[:-1]
+        self.owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)[order]
+        self.token, self.start = token[first], np.append(np.flatnonzero(first), len(token))
+
+    def of(self, query: np.ndarray) -> list[np.ndarray]:
+        """The lists of the query's hashes that have one."""
+        if not len(self.token):
+            return []
+        at = np.minimum(np.searchsorted(self.token, query), len(self.token) - 1)
+        at = at[self.token[at] == query]
+        return [self.owner[a:b] for a, b in zip(self.start[at].tolist(), self.start[at + 1].tolist())]
+
+
+def _binary(column: pa.Array, kind: type) -> list[np.ndarray]:
+    """Views of a binary column's values; not to be kept beyond its batch."""
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return []
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1].tolist()
+    return [np.frombuffer(data, kind, (b - a) // kind().itemsize, a) if b > a else np.zeros(0, kind) for a, b in zip(at, at[1:])]
+
+
+def _pairs(a: list[int], b: list[int], more: list[bool] | None = None) -> pa.RecordBatch:
+    cols = [pa.array(a, pa.int64()), pa.array(b, pa.int64())] + ([] if more is None else [pa.array(more, pa.bool_())])
+    return pa.RecordBatch.from_arrays(cols, ["a", "b"] + ([] if more is None else ["more"]))
+
+
+class Block:
+    """An index block: heads of representatives, searched for the candidates of one query at a time."""
 
+    def __init__(self, ids: list[int], sizes: list[int], roots: list[int], heads: list[np.ndarray], percent: int) -> None:
+        self.ids, self.n, self.root = np.array(ids, np.int64), np.array(sizes, np.int64), np.array(roots, np.int64)
+        self.percent, self.lists = percent, Lists(heads)
 
-def _searched(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    def search(self, query: np.ndarray, me: int, n: int, root: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, shared) of members of other components that may link, most shared first."""
+        low, high, least = _partners(n, self.percent)
+        at, shared = divide_skip(self.lists.of(query), least)
+        on = (self.n[at] >= low) & (self.n[at] <= high) & (self.ids[at] != me) & (self.root[at] != root)
+        at, shared = at[on], shared[on]
+        on = shared >= shared_heads(n, self.n[at], self.percent)
+        at, shared = at[on], shared[on]
+        order = np.lexsort((self.ids[at], -shared))
+        return self.ids[at[order]], shared[order]
+
+
+def _visited(batches: Iterator[pa.RecordBatch], percent: int, best: int) -> Iterator[pa.RecordBatch]:
+    """Rows (block, part, kind, id, n, root, head), members (kind 0) of a block before its visits -> (a, b, more)."""
+    key = block = None
+    rows: tuple[list, list, list, list] = ([], [], [], [])
+    a_out: list[int] = []
+    b_out: list[int] = []
+    more: list[bool] = []
+    for batch in batches:
+        heads = _binary(batch.column("head"), np.uint32)
+        names = ("block", "part", "kind", "id", "n", "root")
+        for (x, y, kind, me, n, root), head in zip(zip(*(batch.column(c).to_pylist() for c in names)), heads):
+            if (x, y) != key:
+                key, block, rows = (x, y), None, ([], [], [], [])
+            if kind == 0:
+                for held, v in zip(rows, (me, n, root, head.copy())):
+                    held.append(v)
+                continue
+            if block is None:
+                block = Block(*rows, percent)
+                rows = ([], [], [], [])
+            found, _ = block.search(head, me, n, root)
+            a_out += [me] * min(best, len(found))
+            b_out += found[:best].tolist()
+            more += [len(found) > best] * min(best, len(found))
+        if len(a_out) > 10_000:
+            yield _pairs(a_out, b_out, more)
+            a_out, b_out, more = [], [], []
+    yield _pairs(a_out, b_out, more)
+
+
+def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (a, g, n, b, set) by (a, g, b), the query itself first (b null) -> the (a, b) that link."""
     a_out: list[int] = []
     b_out: list[int] = []
@@ -232,26 +334,27 @@ def _searched(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 
     def finish() -> None:
         if ids:
-            for i, _ in divide_skip(query, sets, need):
-                a_out.append(key[0])
-                b_out.append(ids[i])
+            at, shared = divide_skip(Lists(sets).of(query), min(need))
+            on = at[shared >= np.array(need, np.int64)[at]].tolist()
+            a_out.extend([key[0]] * len(on))
+            b_out.extend(ids[i] for i in on)
 
     for batch in batches:
-        for a, g, n, b, held in zip(*(batch.column(c).to_pylist() for c in ("a", "g", "n", "b", "set"))):
+        for (a, g, n, b), held in zip(zip(*(batch.column(c).to_pylist() for c in ("a", "g", "n", "b"))), _binary(batch.column("set"), np.uint64)):
             if (a, g) != key or len(ids) >= GROUP:
                 finish()
                 key, ids, sets, need = (a, g), [], [], []
             if b is None:
-                query, size = np.frombuffer(held, np.uint64), n
+                query, size = held.copy(), n
             else:
                 ids.append(b)
-                sets.append(np.frombuffer(held, np.uint64))
-                need.append((percent * (size + n) + 99 + percent) // (100 + percent))
+                sets.append(held.copy())
+                need.append(required(size, n, percent))
         if len(a_out) > 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+            yield _pairs(a_out, b_out)
             a_out, b_out = [], []
     finish()
-    yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+    yield _pairs(a_out, b_out)
 
 
 def _digests(s: np.ndarray) -> tuple[int, int]:
@@ -276,8 +379,8 @@ _SAME = ["n", "d1", "d2"]
 def linked(trials: DataFrame, reps: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The (a, b) of ``trials`` (a, b) that link, by T-occurrence search over the shingles of their documents."""
     ends = trials.select(F.col("a").alias("id")).union(trials.select(F.col("b").alias("id"))).distinct()
-    ends = reps.join(ends, "id")
-    texts = docs.join(ends.select(F.col("least").alias("key")), "key", "left_semi").select("text")
+    ends = materialize(reps.join(ends, "id").select("id", *_SAME, F.col("least").alias("key")), "ends")
+    texts = marked(docs.select("key", "text"), ["key"], materialize(marks(ends, ["key"]), "marks"), "__on").where("__on").select("text")
     sets = texts.mapInArrow(lambda batches: _sets(batches, words), "n long, d1 long, d2 long, set binary")
     sets = materialize(ends.join(sets, _SAME).select("id", "n", "set").dropDuplicates(["id"]), "sets")
     many = F.floor(F.count("*").over(Window.partitionBy("a")) / GROUP) + 1
@@ -285,92 +388,110 @@ def linked(trials: DataFrame, reps: DataFrame, docs: DataFrame, words: int = WOR
     found = rows.join(sets.withColumnRenamed("id", "b"), "b").select("a", "g", "n", "b", "set")
     asked = rows.select("a", "g").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "g", "n", F.lit(None).cast("long").alias("b"), "set")
     rows = asked.union(found).repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(lambda batches: _searched(batches, percent), "a long, b long")
-
-
-def _ends(rows: DataFrame, bits: DataFrame, side: str) -> DataFrame:
-    """Joins n and bitmap of column ``side``."""
-    return rows.join(bits.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("bitmap").alias(f"m{side}")), side)
-
+    return rows.mapInArrow(lambda batches: _verified(batches, percent), "a long, b long")
 
-def _similar_sizes(percent: int):
-    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
+def _postings(sig: DataFrame, reps: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(token, id, n, chunk, chunks, last): the inverted lists of two and more members, each with the one before it.
 
-def _may_start(percent: int):
-    """Sizes that may link, and enough shingles from this list's positions pa and pb on.
-
-    A pair's overlap lies at or after its first shared shingle, so a pair that links passes in that list at least.
+    Long lists are dealt over chunks; the first of a chunk follows no one here.
     """
-    return _similar_sizes(percent) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= required(F.col("na"), F.col("nb"), percent))
+    long = literal_rows(sig.sparkSession, _long_lists(hot), "token:bigint,chunks:bigint")
+    rows = sig.select("id", "n", "prefix").join(reps.select("id"), "id").select("id", "n", F.explode("prefix").alias("token"))
+    rows = rows.join(F.broadcast(long), "token", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks"))
+    over = Window.partitionBy("token", "chunk").orderBy(F.xxhash64("id"), "id")
+    rows = rows.withColumns({"last": F.lag("id").over(over), "next": F.lead("id").over(over)})
+    return materialize(rows.where("last IS NOT NULL OR next IS NOT NULL OR chunks > 1").drop("next"), "postings")
 
 
 def _neighbours(postings: DataFrame, percent: int) -> DataFrame:
-    """(a, b): every list in an order of its own, each member with the one before; chunks of long lists by their first."""
-    h = F.xxhash64("token", "id")
-    me = F.struct("id", "n", "pos")
-    near = postings.select("id", "n", "pos", F.lag(me).over(Window.partitionBy("token", "chunk").orderBy(h, "id")).alias("last"))
-    first = postings.where("chunks > 1").groupBy("token", "chunk").agg(F.min_by(me, h).alias("m")).select("token", "chunk", "m.*")
-    first = first.select("id", "n", "pos", F.lag(me).over(Window.partitionBy("token").orderBy("chunk")).alias("last"))
-    near = near.union(first).where("last IS NOT NULL").select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("last.id").alias("b"), F.col("last.n").alias("nb"), F.col("pos").alias("pa"), F.col("last.pos").alias("pb"))
-    return near.where(_may_start(percent) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """(a, b): members that follow one another in half of their lists or more; chunks of long lists by their first."""
+    near = postings.where("last IS NOT NULL").select(F.least("id", "last").alias("a"), F.greatest("id", "last").alias("b"), "n")
+    first = postings.where("chunks > 1 AND last IS NULL").select("token", "chunk", "id", "n")
+    first = first.select("id", "n", F.lag("id").over(Window.partitionBy("token").orderBy("chunk")).alias("last")).where("last IS NOT NULL")
+    near = near.union(first.select(F.least("id", "last").alias("a"), F.greatest("id", "last").alias("b"), "n"))
+    near = near.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("n").alias("n"))
+    return near.where(200 * F.col("k") >= (100 - percent) * F.col("n")).select("a", "b")
 
 
 def _mixed(postings: DataFrame, roots: DataFrame) -> DataFrame:
-    """(token, id, n, pos, root, major, size) of the lists that hold several components; major is the largest one's root."""
-    rows = postings.select("token", "id", "n", "pos").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    """(token, id, n, root, asks) of the lists that hold several components; all but the largest one's members ask."""
+    rows = postings.select("token", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     sizes = rows.groupBy("token", "root").agg(F.count("*").alias("k"))
-    lists = sizes.groupBy("token").agg(F.count("*").alias("several"), F.sum("k").alias("size"), F.max_by("root", F.struct("k", "root")).alias("major")).where("several > 1")
-    return materialize(rows.join(lists.select("token", "major", "size"), "token"), "mixed")
-
-
-def _crossed(mixed: DataFrame, partners: DataFrame, percent: int) -> DataFrame:
-    """(a, b): members outside their list's largest component with partners of other components, of similar size."""
-    q = mixed.where("root <> major").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
-    p = partners.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
-    pairs = q.join(p, "token").where((F.col("ra") != F.col("rb")) & _may_start(percent))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _possible_trials(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) that the bitmaps leave possible."""
-    bits = sig.select("id", "n", "bitmap")
-    return materialize(_ends(_ends(pairs, bits, "a"), bits, "b").where(_possible(percent)).select("a", "b"), "trials")
+    lists = sizes.groupBy("token").agg(F.count("*").alias("several"), F.max_by("root", F.struct("k", "root")).alias("major")).where("several > 1")
+    rows = rows.join(lists.select("token", "major"), "token")
+    return materialize(rows.select("token", "id", "n", "root", (F.col("root") != F.col("major")).alias("asks")), "mixed")
+
+
+def _band(percent: int) -> Callable:
+    """Size class: sizes that may link are in one class or in neighbouring ones."""
+    step = math.log(100 / (percent - 1))
+    return lambda n: F.floor(F.log(n) / step).cast("int")
+
+
+def _index(mixed: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
+    """(id, n, band, block, head) of all members of ``mixed``: blocks of about BLOCK head shingles and one size class."""
+    members = sig.select("id", "n", "head").join(mixed.select("id").distinct(), "id")
+    members = members.withColumn("band", _band(percent)("n"))
+    bands = members.groupBy("band").agg((F.floor(F.sum(F.length("head")) / (4 * BLOCK)) + 1).alias("many"))  # a row an octave or less
+    members = members.join(F.broadcast(bands), "band").withColumn("block", F.pmod(F.xxhash64("id"), "many"))
+    return materialize(members.select("id", "n", "band", "block", "head"), "index")
+
+
+def _candidates(mixed: DataFrame, index: DataFrame, roots: DataFrame, percent: int, best: int, again: DataFrame | None) -> DataFrame:
+    """(a, b, more): what the visits of all asking members (of those in ``again``, if given) keep."""
+    where = index.select("id", "band", "block")
+    lists = mixed.join(where, "id").groupBy("token", "band", "block").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
+    asks = mixed.where("asks").select("token", "id", "root", F.explode(F.array(*[_band(percent)(F.col("n")) + d for d in (-1, 0, 1)])).alias("band"))
+    if again is not None:
+        asks = asks.join(again, "id", "left_semi")
+    visits = asks.join(lists, ["token", "band"]).where("r1 <> root OR r2 <> root").select("band", "block", "id").distinct()
+    per = visits.groupBy("band", "block").agg((F.floor(F.count("*") / VISITS) + 1).alias("parts"))
+    held = index.join(roots, "id", "left").select("id", "n", "band", "block", F.coalesce("root", "id").alias("root"), "head")
+    members = held.join(per, ["band", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
+    asked = visits.join(per, ["band", "block"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).join(held.select("id", "n", "root", "head"), "id")
+    name = F.col("band").cast("long") * (1 << 32) + F.col("block")
+    cols = [name.alias("block"), "part", "kind", "id", "n", "root", "head"]
+    rows = members.withColumn("kind", F.lit(0)).select(*cols).union(asked.withColumn("kind", F.lit(1)).select(*cols))
+    rows = rows.repartition("block", "part").sortWithinPartitions("block", "part", "kind", "id")
+    found = rows.mapInArrow(lambda batches: _visited(batches, percent, best), "a long, b long, more boolean")
+    return materialize(found, "candidates")
 
 
 def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """One row a row of ``docs``: doc_id, key, digest (of its text), n, root (null: empty set), component_id (may be _LAST)."""
+    """One row a row of ``docs``: doc_id, key, digest (of its text), n, root (null: empty set), component_id (may be _LAST).
+
+    A table of the shared folder that outlives the scope around by one; all others go before this returns.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), "text", F.xxhash64("text").alias("digest"))
-    hot = hot_shingles(docs, words)
-    sig = materialize(signatures(docs, hot, words, percent).withColumn("id", F.monotonically_increasing_id()), "signatures")
-    reps = materialize(sig.where("n > 0").groupBy(*_SAME).agg(F.min("key").alias("least"), F.min("id").alias("id")), "reps")
-    long = literal_rows(docs.sparkSession, _long_lists(hot), "token:bigint,chunks:bigint")
-    postings = sig.select("id", "n", "prefix").join(reps.select("id"), "id").select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    postings = postings.join(F.broadcast(long), "token", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    postings = postings.withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks"))
-    alone = (F.count("*").over(Window.partitionBy("token", "chunk")) == 1) & (F.col("chunks") == 1)
-    postings = materialize(postings.withColumn("alone", alone).where("NOT alone").drop("alone"), "postings")
-    links = materialize(linked(_possible_trials(_neighbours(postings, percent), sig, percent), reps, docs, words, percent), "links")
-    roots = components(links)
-    mixed = _mixed(postings, roots)
-    for k in range(ROUNDS):
-        long = mixed.where(F.col("size") > LONG)
-        left = long.agg(F.sum(F.when(F.col("root") != F.col("major"), F.col("size"))).alias("s"), F.count("*").alias("n")).first()
-        if (left["s"] or 0) <= LONG * left["n"] // 8:
-            break
-        draw = F.pmod(F.xxhash64(F.lit(k), "token", "id"), F.ceil(F.col("size") / HUBS)) == 0
-        more = linked(_possible_trials(_crossed(long, long.where(draw), percent), sig, percent), reps, docs, words, percent)
-        links = materialize(links.union(more), "links")
+    with scratch(docs.sparkSession):
+        hot = hot_shingles(docs, words)
+        sig = materialize(signatures(docs, hot, words, percent).withColumn("id", F.monotonically_increasing_id()), "signatures")
+        reps = materialize(sig.where("n > 0").groupBy(*_SAME).agg(F.min("key").alias("least"), F.min("id").alias("id")), "reps")
+        postings = _postings(sig, reps, hot)
+        trials = materialize(_neighbours(postings, percent), "trials")
+        links = materialize(linked(trials, reps, docs, words, percent), "links")
         roots = components(links)
         mixed = _mixed(postings, roots)
-    across = _possible_trials(_crossed(mixed, mixed, percent), sig, percent)
-    if not across.isEmpty():
-        links = links.union(materialize(linked(across, reps, docs, words, percent), "links"))
-        roots = components(links)
-    named = reps.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select(*_SAME, "root", "component_id")
-    return sig.select("doc_id", "key", "digest", *_SAME).join(named, _SAME, "left")
+        index = _index(mixed, sig, percent)
+        best, again = BEST, None
+        while True:
+            found = _candidates(mixed, index, roots, percent, best, again)
+            pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            new = materialize(pairs.join(trials, ["a", "b"], "left_anti"), "trials")
+            if not new.isEmpty():
+                links = materialize(links.union(linked(new, reps, docs, words, percent)), "links")
+                roots = components(links)
+                trials = materialize(trials.union(new), "trials")
+            again = materialize(found.where("more").select(F.col("a").alias("id")).distinct(), "again")
+            if again.isEmpty():
+                break
+            best *= 8
+        named = reps.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+        named = named.join(least, "root").select(*_SAME, "root", "component_id")
+        return materialize(sig.select("doc_id", "key", "digest", *_SAME).join(named, _SAME, "left").drop("d1", "d2"), "members", keep=True)
 
 
 def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -382,14 +503,25 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row of each component, with its own columns: that of the least doc_id (null last), then of the least text digest.
 
-    Rows are told apart by doc_id and text, so rows that share an id, or have none, are decided on each for itself; rows
-    equal in both stay once.
+    Rows are told apart by doc_id and text, so rows that share an id, or have none, are decided on each for itself; of rows
+    equal in both the one stays whose columns have the least hash.  Rows that nothing speaks against aren't shuffled.
     """
     cols = docs.columns
-    rows = _members(docs, words, percent)
-    me = F.struct("key", "digest")
-    keep = rows.where("n > 0").groupBy("root").agg(F.min(me).alias("k")).select("k.*").union(rows.where("n = 0").select("key", "digest")).distinct()
-    keep = keep.select(F.col("key").alias("__key"), F.col("digest").alias("__digest"))
-    rows = docs.withColumns({"__key": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__digest": F.xxhash64("text")}).join(keep, ["__key", "__digest"], "left_semi")
-    again = F.row_number().over(Window.partitionBy("__key", "__digest").orderBy(F.lit(0)))
-    return rows.withColumn("__again", again).where("__again = 1").select(*[F.col(f"`{c}`") for c in cols])
+    mine = ["__key", "__digest"]
+    with scratch(docs.sparkSession):
+        rows = _members(docs, words, percent).withColumnsRenamed({"key": "__key", "digest": "__digest"})
+        best = F.min(F.struct(*mine))
+        keep = rows.where("n > 0").groupBy("root").agg(best.alias("k")).select("k.*").union(rows.where("n = 0").select(*mine)).distinct()
+        keep = keep.withColumn("__keep", F.lit(True))
+        doubt = rows.groupBy(*mine).agg(F.count("*").alias("k")).join(keep, mine, "left").where("k > 1 OR __keep IS NULL")
+        doubt = materialize(doubt.select(*mine, F.coalesce("__keep", F.lit(False)).alias("__keep")), "doubtful", keep=True)
+        table = materialize(marks(doubt, mine), "marks", keep=True)
+    hashed = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    every = without(docs, *mine, "__some").withColumns({"__key": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__digest": F.xxhash64("text")})
+    every = marked(every, mine, table, "__some")
+    some = every.where("__some").join(doubt, mine, "left").where(F.coalesce("__keep", F.lit(True)))
+    order = [F.xxhash64(*[F.col(f"`{c}`") for c in hashed])]
+    # the filter on the row number becomes a limit by group ahead of the shuffle: a task sends one row of an id and text
+    some = some.withColumn("__again", F.row_number().over(Window.partitionBy(*mine).orderBy(*order))).where("__again = 1")
+    names = [F.col(f"`{c}`") for c in cols]
+    return every.where("NOT __some").select(*names).unionAll(some.select(*names))

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.llm import chat, decontaminate, jaccard, language, mixing, pii, quality, queries, sharding, tokens, toxicity, words
+from strandlake.llm import chat, common, decontaminate, jaccard, language, mixing, pii, quality, queries, sharding, tokens, toxicity, words
 from strandlake.llm.components import components
 
 TINY = "/root/testdata/sf0.001"
@@ -306,7 +306,7 @@ def test_jaccard_components(spark, docs_of, monkeypatch):
     texts += [" ".join(w(rng.randint(0, 9))) for _ in range(40)] + ["a b", "A  B", "a b", "", None, "same text here now", "SAME text here now"]
     rows = list(enumerate(texts))
     rng.shuffle(rows)
-    monkeypatch.setattr(jaccard, "HOT_LEAST", 20)
+    monkeypatch.setattr(jaccard, "HOT_PIECE", 2000)
     for hot in (jaccard.HOT, 3):
         monkeypatch.setattr(jaccard, "HOT", hot)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(docs_of(rows)).collect()}
@@ -361,14 +361,64 @@ def test_rows_without_id_are_decided_each_for_itself(spark, docs_of):
     assert sorted(got, key=str) == [(3, alone), (None, alone)]
 
 
-def test_divide_skip_by_brute_force():
+@pytest.mark.parametrize("heaped", [0, 40, 10_000])
+def test_divide_skip_by_brute_force(heaped, monkeypatch):
+    monkeypatch.setattr(jaccard, "HEAPED", heaped)
     rng = np.random.default_rng(9)
     for _ in range(60):
         query = np.unique(rng.integers(0, 60, 40).astype(np.uint64))
         sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(12)]
-        need = [int(rng.integers(1, 30)) for _ in sets]
-        want = {(i, len(np.intersect1d(query, s))) for i, s in enumerate(sets) if len(np.intersect1d(query, s)) >= need[i]}
-        assert set(jaccard.divide_skip(query, sets, need)) == want
+        least = int(rng.integers(1, 30))
+        want = {(i, len(np.intersect1d(query, s))) for i, s in enumerate(sets) if len(np.intersect1d(query, s)) >= least}
+        assert set(zip(*map(np.ndarray.tolist, jaccard.divide_skip(jaccard.Lists(sets).of(query), least)))) == want
+
+
+def test_heads_of_linked_sets_share_what_they_must():
+    rng = np.random.default_rng(11)
+    for percent in (80, 85):
+        for _ in range(3000):
+            n = int(rng.integers(1, 120))
+            a = rng.permutation(400)[:n]
+            keep = int(rng.integers(n * 7 // 10, n + 1))
+            b = np.concatenate([a[:keep], 400 + np.arange(int(rng.integers(0, 1 + n // 4)))])
+            if not len(b) or 100 * keep < percent * (len(a) + len(b) - keep):
+                continue
+            order = rng.permutation(1000)  # any order of all shingles
+            heads = [set(sorted(x.tolist(), key=lambda t: order[t])[: int(jaccard.lengths(len(x), percent)[1])]) for x in (a, b)]
+            assert len(heads[0] & heads[1]) >= jaccard.shared_heads(len(a), len(b), percent)
+            low, high, least = jaccard._partners(len(a), percent)
+            assert low <= len(b) <= high and 1 <= least <= jaccard.shared_heads(len(a), len(b), percent)
+
+
+def test_templated_documents_make_no_pairs(docs_of, monkeypatch):
+    """Documents of 40 slots with three variants each: every list is long, no two documents are similar."""
+    kept = []
+    monkeypatch.setattr(jaccard, "materialize", lambda df, tag, keep=False: kept.append((tag, out := common.materialize(df, tag, keep))) or out)
+    monkeypatch.setattr(common, "delete", lambda *a: None)
+    for n in (150, 300):
+        rng = random.Random(3)
+        kept.clear()
+        rows = [(i, " ".join(f"slot{j} variant{rng.randrange(3)} of{j} the{j} form{j}" for j in range(40))) for i in range(n)]
+        got = jaccard.join_components(docs_of(rows)).collect()
+        assert all(r["component_id"] == r["doc_id"] for r in got) and len(got) == n
+        assert sum(df.count() for tag, df in kept if tag in ("trials", "candidates")) < n
+
+
+@pytest.mark.parametrize("best", [1, 2])
+def test_visits_with_more_candidates_are_made_again(docs_of, monkeypatch, best):
+    monkeypatch.setattr(jaccard, "BEST", best)
+    monkeypatch.setattr(jaccard, "VISITS", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(500)}" for _ in range(60)]
+    rows = []
+    for i in range(60):  # a star: copies of one text, most too far from one another
+        words = list(base)
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(60)] = f"x{i}_{rng.randrange(99)}"
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(docs_of(rows)).collect()}
+    assert got == brute_components(rows)
 
 
 def test_components(spark):
