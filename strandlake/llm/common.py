@@ -72,10 +72,23 @@ def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     scopes = _OPEN.get()[: -1 if keep else None]
     if scopes:
         scopes[-1].append(path)
-    df.write.parquet(path)
+    with _shuffles_go(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside delete their shuffle files at their end: what they made is in the shared folder then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def literal_rows(spark: SparkSession, rows: str, schema: str) -> DataFrame:
     """A small driver-made table from a JSON array; stays inside the JVM."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(rows), f"array<struct<{schema}>>")))
