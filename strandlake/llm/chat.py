@@ -3,18 +3,22 @@ r"""Operator 9: chat formatting in budgeted windows.
 Template: ``### role\n`` + text + ``</turn>\n``.  Inside roles and texts ``\\``, ``#`` and ``<`` become ``\b``, ``\h`` and
 ``\l`` (in roles a line feed becomes ``\n``), so no control string can occur there, and three replacements undo it.
 
-A turn costs ceil(code points / 4) + 4 tokens.  Prefix sums of the cost put each turn into the span its start falls into,
-so spans are turn-aligned and hold at most the budget and one turn.  A window is the conversation's leading system turn,
-up to ``history`` tokens of the turns before the span, and the span; the first two are not counted against the budget.  The loss mask covers the texts of the span's
-assistant turns only: repeated turns are context, so each target is trained on once.
-
-A window's rows are bounded by the budget, so a conversation that holds a third of all rows is still built in many
-groups; its running sums are taken block by block.  Only the read-back of the query, whose digest is defined over a whole
-conversation, puts one conversation's windows side by side.
+A turn costs ceil(code points / 4) + 4 tokens, or what a column of counts says.  Prefix sums of the cost put each turn at a
+place in its conversation and into a block of ``BLOCK_TOKENS``; inside a block turns are taken in order as long as they fit
+beside the system turn and the room kept for history, and a new span begins with the first that doesn't (and with each
+block).  A window is the conversation's leading system turn, the whole turns right before the span that fit into ``history``
+tokens and into what the budget leaves, and the span.  So no window is over the budget, but for those of a single turn that
+doesn't fit beside the system turn: it stands alone with it.  The loss mask covers the texts of the span's assistant turns
+only: repeated turns are context, so each target is trained on once.
+
+A window's and a block's rows are bounded by their tokens, so a conversation that holds a third of all rows is still built
+in many groups; its running sums are taken block by block of turn numbers.  Only the read-back of the query, whose digest is
+defined over a whole conversation, puts one conversation's windows side by side.
 
 Defined cases: null text is empty, null role is an empty role, null turns come first; rows that share a turn number are
 ordered by role and text, repeated rows are repeated turns; null conv_id is a conversation; an empty table gives an empty
-table; a turn longer than the budget is kept whole, in the window in which it starts.
+table; a turn longer than the budget is kept whole, in a window of its own; null or negative counts cost nothing; other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ from .common import prefix_sums
 BUDGET, HISTORY = 1024, 256
 OPEN, CLOSE = "### ", "</turn>\n"
 TARGET = "assistant"
-#: Turn numbers of one block of a conversation's running sum.
-BLOCK = 1024
+#: Turn numbers of one block of a conversation's running sum, and tokens of one block of turns that are cut into spans together.
+BLOCK, BLOCK_TOKENS = 1024, 1 << 14
 
 
 def _replace(c: Column, a: str, b: str) -> Column:
@@ -51,44 +55,72 @@ def _unescape_role(c: Column) -> Column:
     return unescape(_replace(c, "\\n", "\n"))
 
 
-def turns(conversations: DataFrame) -> DataFrame:
-    """Rows with their cost and rendering: __conv (never null), conv_id, turn, role, text, cost, end (running cost)."""
+def turns(conversations: DataFrame, tokens: str | None = None) -> DataFrame:
+    """Rows with their cost and rendering: __conv (never null), conv_id, turn, role, text, cost, end (running cost), start."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    cost = F.ceil(F.char_length(text) / 4) + 4 if tokens is None else F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0))
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
-        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"), cost.cast("long").alias("cost"),
     )
-    rows = rows.withColumns({
-        "__conv": F.coalesce(F.col("conv_id").cast("string"), F.lit("")),
-        "__block": F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))),
-        "cost": F.ceil(F.char_length("text") / 4) + 4,
-    })
+    rows = rows.withColumns({"__conv": F.coalesce(F.col("conv_id").cast("string"), F.lit("")), "__block": F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62)))})
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
-    return prefix_sums(rows, ["__conv"], "__block", order, "cost", "end").withColumn("start", F.col("end") - F.col("cost"))
+    rows = rows.withColumn("__one", F.lit(1))
+    rows = prefix_sums(rows, ["__conv"], "__block", order, "__one", "place")
+    return prefix_sums(rows, ["__conv"], "__block", [F.col("place")], "cost", "end").withColumn("start", F.col("end") - F.col("cost")).drop("__one")
+
+
+def spans(rows: DataFrame, budget: int, history: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` of ``turns`` with span (the place of its first turn) and leads (is the system turn); and the spans themselves.
+
+    ``begin`` is the running cost at which a span starts, ``low`` the one from which turns before it are its history.
+    """
+    leads = (F.col("place") == 1) & (F.col("role") == "system")
+    system = rows.where(leads).select("__conv", F.col("cost").alias("system"))
+    rows = rows.join(system, "__conv", "left").withColumn("system", F.coalesce("system", F.lit(0)))
+    rows = rows.withColumns({"leads": leads, "block": F.floor(F.col("start") / BLOCK_TOKENS)})
+    cost = F.when(F.col("leads"), 0).otherwise(F.col("cost"))  # the system turn has its own share of the budget
+    rows = rows.withColumn("__own", cost)
+    turn = F.struct("place", F.col("__own").alias("cost"))
+    groups = rows.groupBy("__conv", "block").agg(F.array_sort(F.collect_list(turn)).alias("t"), F.first("system").alias("system"))
+    room = F.lit(budget - history) - F.col("system")
+    zero = F.expr("named_struct('span', cast(0 AS bigint), 'used', cast(0 AS bigint), 'out', cast(array() AS array<struct<place:bigint,span:bigint>>))")
+
+    def add(acc: Column, x: Column) -> Column:
+        new = (acc["used"] > 0) & (acc["used"] + x["cost"] > room)
+        span = F.when(acc["span"] == 0, x["place"]).when(new, x["place"]).otherwise(acc["span"])
+        used = F.when(new, x["cost"]).otherwise(acc["used"] + x["cost"])
+        return F.struct(span.alias("span"), used.alias("used"), F.concat(acc["out"], F.array(F.struct(x["place"].alias("place"), span.alias("span")))).alias("out"))
+
+    cut = groups.select("__conv", F.explode(F.aggregate("t", zero, add, lambda acc: acc["out"])).alias("c")).select("__conv", "c.*")
+    rows = rows.join(cut, ["__conv", "place"])
+    per = rows.groupBy("__conv", "span").agg(F.min("start").alias("begin"), F.sum("__own").alias("__sum"), F.first("system").alias("__system"))
+    left = F.greatest(F.lit(0), F.least(F.lit(history), F.lit(budget) - F.col("__system") - F.col("__sum")))
+    return rows.drop("__own", "block"), per.select("__conv", "span", "begin", (F.col("begin") - left).alias("low"))
 
 
-def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """One row a window: conv_id, window, n_context (turns repeated as context), n_turns, formatted, loss.
+def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens: str | None = None) -> DataFrame:
+    """One row a window: conv_id, window (place of its first turn), n_context (turns repeated as context), n_turns, formatted, loss.
 
-    ``loss`` is an array of (start, length) code-point spans of ``formatted``, start counted from 0.
+    ``loss`` is an array of (start, length) code-point spans of ``formatted``, start counted from 0.  ``tokens`` names a column
+    with each turn's count of tokens, template included.
     """
     if not 0 <= history <= budget:
         raise ValueError("history must lie between 0 and the budget")
-    rows = turns(conversations)
-    rows = rows.withColumn("span", F.floor(F.col("start") / budget))
-    spans = rows.groupBy("__conv", "span").agg(F.min("start").alias("span_start"))
-    # a span starts at most one budget after its first point, so its history lies in the two spans before it or in the last that has a turn
-    own = rows.withColumn("kind", F.lit(2))
-    spans = spans.withColumn("low", F.col("span_start") - history)
-    near = rows.select("*", F.explode(F.sequence(F.col("span") + 1, F.floor((F.col("start") + history) / budget))).alias("to")).where(F.col("to") > F.col("span")) if history else None
-    if near is not None:
-        near = near.drop("span").withColumnRenamed("to", "span").join(spans, ["__conv", "span"])
-        near = near.where((F.col("start") >= F.col("low")) & (F.col("start") > 0) | (F.col("start") >= F.col("low")) & (F.col("role") != "system")).drop("span_start", "low").withColumn("kind", F.lit(1))
-        own = own.unionByName(near.select(own.columns))
-    system = rows.where("start = 0 AND role = 'system'").drop("span").join(spans.select("__conv", "span").where("span > 0"), "__conv").withColumn("kind", F.lit(0))
-    every = own.unionByName(system.select(own.columns))
+    rows, cut = spans(turns(conversations, tokens), budget, history)
+    names = ["__conv", "conv_id", "span", "kind", "place", "role", "text"]
+    every = rows.withColumn("kind", F.lit(2)).select(*names)
+    if history:  # a history lies in two stretches of that length, turns without cost at its end in the second
+        stretch = F.sequence(F.floor(F.col("low") / history), F.floor(F.col("begin") / history))
+        asked = cut.where("begin > low AND span > 1").withColumn("stretch", F.explode(stretch))
+        before = rows.where(~F.col("leads")).withColumn("stretch", F.floor(F.col("start") / history)).drop("span")
+        before = before.join(asked, ["__conv", "stretch"]).where("start >= low AND place < span")
+        every = every.union(before.withColumn("kind", F.lit(1)).select(*names))
+    system = rows.where("leads").drop("span").join(cut.where("span > 1").select("__conv", "span"), "__conv")
+    every = every.union(system.withColumn("kind", F.lit(0)).select(*names))
     head = F.concat(F.lit(OPEN), _escape_role(F.col("role")), F.lit("\n"))
     body = escape(F.col("text"))
-    item = F.struct("kind", "start", head.alias("head"), body.alias("body"), ((F.col("kind") == 2) & (F.col("role") == TARGET)).alias("target"))
+    item = F.struct("kind", "place", head.alias("head"), body.alias("body"), ((F.col("kind") == 2) & (F.col("role") == TARGET)).alias("target"))
     made = every.groupBy("__conv", "span").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(item)).alias("t"))
     made = made.withColumn("formatted", F.array_join(F.transform("t", lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE))), ""))
     size = len(CLOSE)

@@ -109,13 +109,17 @@ g AS (SELECT doc_id, size, budget, sum(size) OVER (ORDER BY f, src, h, doc_id::V
 m AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM g WHERE run <= budget GROUP BY doc_id)
 SELECT q.doc_id, q.size, q.total AS source_size, q.target, coalesce(m.taken, 0)::BIGINT AS taken FROM q LEFT JOIN m USING (doc_id)""",
     "op9_chat_formatting": r"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 z AS (SELECT *, ceil(length(text) / 4.0)::BIGINT + 4 AS cost, length(text) + length(role) + 13 + length(regexp_replace(text, '[^\\#<]', '', 'g')) + length(regexp_replace(role, '[^\\#<\n]', '', 'g')) AS chars FROM c),
-s AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) - cost AS start FROM z),
-k AS (SELECT *, start // 1024 AS span FROM s),
-sp AS (SELECT conv_id, span, min(start) AS at FROM k GROUP BY ALL),
-ctx AS (SELECT k.conv_id, sum(chars) AS n FROM k JOIN sp ON sp.conv_id = k.conv_id AND sp.span > k.span AND k.start >= sp.at - 256 AND (k.start > 0 OR k.role <> 'system') GROUP BY 1),
-sys AS (SELECT k.conv_id, sum(chars) AS n FROM k JOIN sp ON sp.conv_id = k.conv_id AND sp.span > 0 WHERE k.start = 0 AND k.role = 'system' GROUP BY 1),
-t AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY start, turn)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY start, turn) FILTER (WHERE role = 'assistant'), '') AS loss, sum(chars) AS own FROM k GROUP BY conv_id)
+s AS (SELECT *, row_number() OVER o AS i, sum(cost) OVER o - cost AS start FROM z WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+y AS (SELECT conv_id, cost, chars FROM s WHERE i = 1 AND role = 'system'),
+k AS MATERIALIZED (SELECT s.*, s.i = 1 AND role = 'system' AS lead, coalesce(y.cost, 0) AS sys, CASE WHEN s.i = 1 AND role = 'system' THEN 0 ELSE s.cost END AS own, s.start // 16384 AS block FROM s LEFT JOIN y USING (conv_id)),
+g(conv_id, i, block, used, span) AS (SELECT conv_id, i, block, own, i FROM k WHERE i = 1
+  UNION ALL SELECT k.conv_id, k.i, k.block, CASE WHEN n THEN own ELSE used + own END, CASE WHEN n THEN k.i ELSE span END
+  FROM (SELECT k.*, g.span, g.used, k.block <> g.block OR g.used > 0 AND g.used + k.own > 768 - k.sys AS n FROM g JOIN k ON k.conv_id = g.conv_id AND k.i = g.i + 1) k),
+sp AS MATERIALIZED (SELECT k.conv_id, g.span, min(k.start) AS at, greatest(0, least(256, 1024 - min(k.sys) - sum(k.own))) AS room FROM k JOIN g ON g.conv_id = k.conv_id AND g.i = k.i GROUP BY ALL),
+ctx AS (SELECT k.conv_id, sum(chars) AS n FROM k JOIN sp ON sp.conv_id = k.conv_id AND k.i < sp.span AND k.start >= sp.at - sp.room AND NOT k.lead GROUP BY 1),
+sys AS (SELECT y.conv_id, sum(chars) AS n FROM y JOIN sp ON sp.conv_id = y.conv_id AND sp.span > 1 GROUP BY 1),
+t AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '') AS loss, sum(chars) AS own FROM k GROUP BY conv_id)
 SELECT t.conv_id, n_turns::BIGINT AS n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, (own + coalesce(ctx.n, 0) + coalesce(sys.n, 0))::BIGINT AS formatted_chars FROM t LEFT JOIN ctx USING (conv_id) LEFT JOIN sys USING (conv_id)""",
 }
