@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import marked, marks, materialize, scratch, small
 from .words import ALNUM, mix, pieces, shingles, word_hashes
 
 WORDS, SIMILAR = 5, 0.8
@@ -310,8 +310,12 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows in whose own text no item was found, with their own columns; null and repeated ids make no difference."""
     me = {"__id": F.col("doc_id").cast("long"), "__digest": F.xxhash64("text")}
-    cols, rows = docs.columns, docs.withColumns(me)
-    found = _found(rows.select(*me, "text"), benchmark, [*me])
-    bad = materialize(found.select(*[F.col(k).alias(f"{k}_bad") for k in me]).distinct(), "contaminated")
+    cols, rows = [F.col(f"`{c}`") for c in docs.columns], docs.withColumns(me)
+    with scratch(docs.sparkSession):
+        found = _found(rows.select(*me, "text"), benchmark, [*me])
+        bad = materialize(found.select(*[F.col(k).alias(f"{k}_bad") for k in me]).distinct(), "contaminated", keep=True)
+        table = materialize(marks(bad.select(F.col("__digest_bad").alias("__digest")), ["__digest"]), "marks", keep=True)
     same = F.col("__id").eqNullSafe(F.col("__id_bad")) & (F.col("__digest") == F.col("__digest_bad"))
-    return rows.join(bad, same, "left_anti").select(*[F.col(f"`{c}`") for c in cols])
+    every = marked(rows, ["__digest"], table, "__some")  # rows with another text than any bad one are not joined
+    some = every.where("__some").join(small(bad), same, "left_anti")
+    return every.where("NOT __some").select(*cols).unionAll(some.select(*cols))

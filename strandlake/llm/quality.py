@@ -7,8 +7,8 @@ off the finest sketch with enough rows: (language, source), else language, else
 and filter the documents.
 
 Defined cases: null text has no words and fails the base rules; null language or source form groups of their own;
-repeated rows count as often as they occur; an empty table gives an empty table; input columns named like an output are
-replaced.
+repeated rows count as often as they occur; an empty table gives an empty table; ``quality`` reads doc_id, text, lang and source
+only, ``quality_filter`` returns all columns as they came, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small, without
+from .common import marked, marks, materialize, scratch, small, without
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MIN_WORDS = 50
@@ -146,18 +146,27 @@ def judge(rows: DataFrame, limits: DataFrame) -> DataFrame:
 
 def quality(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, the base signals, base_failed, kept. The texts are read once."""
-    docs = without(docs, "base_failed", "kept")
     rows = materialize(with_signals(docs.select("doc_id", "text", "lang", "source")).drop("text"), "signals")
     return judge(rows, thresholds(sketches(rows)))
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    cols = docs.columns
-    narrow = materialize(with_signals(docs.select("text", "lang", "source")).drop("text"), "signals")
-    limits = thresholds(sketches(narrow))
-    full = with_signals(docs.select(*[F.col(f"`{c}`") for c in cols if c not in (*BASE, "n_lines")]))
-    held = judge(full, limits).where("kept")
-    if clash := [c for c in cols if c in (*BASE, "n_lines")]:
-        raise ValueError(f"rename the input columns {clash}")
-    return held.select(*cols)
+    """The documents that pass, with their own columns.
+
+    Signals are taken once.  What is rejected is known by the text's digests, language and source, so documents with equal
+    ones share their verdict, and only rows whose digests were marked are joined (and shuffled, if many are rejected).
+    """
+    mine = ["__digest", "__crc"]
+    ids = {"__digest": F.xxhash64("text"), "__crc": F.crc32(F.coalesce(F.col("text"), F.lit("")))}
+    with scratch(docs.sparkSession):
+        narrow = docs.select("text", "lang", "source").withColumns(ids)
+        narrow = materialize(with_signals(narrow).drop("text"), "signals")
+        gone = judge(narrow, thresholds(sketches(narrow))).where("NOT kept")
+        gone = materialize(gone.select(*mine, F.col("lang").alias("__l"), F.col("source").alias("__s")).distinct(), "rejected", keep=True)
+        table = materialize(marks(gone, mine), "marks", keep=True)
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    every = marked(docs.withColumns(ids), mine, table, "__some")
+    g = gone.withColumnsRenamed({k: f"{k}_gone" for k in mine})
+    same = F.expr("__digest = __digest_gone AND __crc = __crc_gone AND lang <=> __l AND source <=> __s")
+    some = every.where("__some").join(small(g), same, "left_anti")
+    return every.where("NOT __some").select(*cols).unionAll(some.select(*cols))
