@@ -20,9 +20,11 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import literal_rows, materialize, without
+from .common import literal_rows, materialize, small, without
 
 SHARDS, VNODES, CELLS = 24, 64, 1 << 14
+#: Blocks that a cell's rows are numbered in.
+BLOCKS = 64
 
 
 def ring(shards: int, vnodes: int, cells: int) -> list[tuple[int, int]]:
@@ -80,25 +82,33 @@ def place(counts: dict[int, int], shards: int, vnodes: int, cells: int, slack: f
     return out
 
 
-def assign(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, vnodes: int = VNODES, cells: int = CELLS, slack: float = 0.0, counted: DataFrame | None = None) -> DataFrame:
+def assign(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, vnodes: int = VNODES, cells: int = CELLS, slack: float = 0.0, blocks: int = BLOCKS, row: str | None = None) -> DataFrame:
     """``docs`` with shard and slot (gapless from 0 in each shard).
 
-    ``counted``: the same rows in a cheaper form, for the first pass, which needs the key only.
+    ``row``: a column that tells repeated rows apart, so that they needn't be numbered in one block.
     """
     spark = docs.sparkSession
     docs = without(docs, "shard", "slot")
-    cell = F.pmod(F.xxhash64(F.col(key)), F.lit(cells)).cast("int")
-    counts = (counted if counted is not None else docs).select(cell.alias("c")).groupBy("c").count().collect()  # at most `cells` rows
-    plan = place({r["c"]: r["count"] for r in counts}, shards, vnodes, cells, slack)
+    sums = [F.col(x) for x in ("text_crc32", "size") if x in docs.columns]
+    name = F.xxhash64(F.col(key)) if not sums else F.when(F.col(key).isNull(), F.xxhash64(*sums)).otherwise(F.xxhash64(F.col(key)))
+    cell = F.pmod(name, F.lit(cells)).cast("int")
+    more = [F.col(row)] if row else [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    dealt = docs.withColumns({"__c": cell, "__b": F.pmod(F.xxhash64(F.lit(2), *more), F.lit(blocks)).cast("int")})
+    counts = dealt.groupBy("__c", "__b").agg(F.count("*").alias("n"))
+    counts = materialize(counts, "counts")
+    held = {r["__c"]: r["n"] for r in counts.groupBy("__c").agg(F.sum("n").alias("n")).collect()}  # at most `cells` rows
+    plan = place(held, shards, vnodes, cells, slack)
     rows = json.dumps([dict(zip(("__cell", "__lo", "__hi", "__shard", "__slot"), p)) for p in plan])
     ranges = literal_rows(spark, rows, "__cell:int,__lo:bigint,__hi:bigint,__shard:int,__slot:bigint")
-    order = [F.xxhash64(F.col(key)), F.col(key)] + [F.col(x) for x in ("text_crc32", "size") if x in docs.columns]
-    ranked = docs.withColumn("__c", cell)
-    ranked = ranked.withColumn("__rank", F.row_number().over(Window.partitionBy("__c").orderBy(*order)).cast("long") - 1)
+    before = Window.partitionBy("__c").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # at most `blocks` rows
+    offsets = counts.select(F.col("__c").alias("__oc"), F.col("__b").alias("__ob"), F.coalesce(F.sum("n").over(before.partitionBy("__c")), F.lit(0)).alias("__off"))
+    inner = Window.partitionBy("__c", "__b").orderBy(name, *([F.col(row)] if row else [F.col(key), *sums]))
+    ranked = dealt.withColumn("__rank", F.row_number().over(inner).cast("long") - 1)
+    ranked = ranked.join(small(offsets, cells * blocks), F.expr("__c = __oc AND __b = __ob")).withColumn("__rank", F.col("__rank") + F.col("__off"))
     hit = F.expr("__c = __cell AND __rank >= __lo AND __rank < __hi")
     out = ranked.join(F.broadcast(ranges), hit)
     slot = F.col("__slot") + F.col("__rank") - F.col("__lo")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__shard").alias("shard"), slot.alias("slot"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c != row], F.col("__shard").alias("shard"), slot.alias("slot"))
 
 
 def with_size(docs: DataFrame) -> DataFrame:
@@ -110,11 +120,11 @@ def with_size(docs: DataFrame) -> DataFrame:
 
 def shard(docs: DataFrame, **options) -> DataFrame:
     """One row a document without its text: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
-    keys = materialize(with_size(docs.select("doc_id", "text")).drop("text"), "keys")
-    out = assign(keys, **options).withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
+    keys = materialize(with_size(docs.select("doc_id", "text")).drop("text").withColumn("__row", F.monotonically_increasing_id()), "keys")
+    out = assign(keys, row="__row", **options).withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def shard_documents(docs: DataFrame, **options) -> DataFrame:
-    """Whole documents with size, text_crc32, shard and slot."""
-    return assign(with_size(docs), counted=docs, **options)
+    """Whole documents with size, text_crc32, shard and slot; only rows that are equal in all columns are numbered together."""
+    return assign(with_size(docs), **options)
