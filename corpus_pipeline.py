@@ -6,10 +6,12 @@ as Parquet into the shared folder and reads back.  All stages but the last retur
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.llm import decontaminate, jaccard, mixing, quality, sharding
-from strandlake.llm.common import materialize, table
+from strandlake.llm.common import delete, scratch, shared_dir, table
 
 #: Near duplicates of the stage: shingles of five words, Jaccard similarity of 0.8 or more.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -47,7 +49,18 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what a stage wrote beside its result goes with its end, its result with the next one's."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = f"{shared_dir(spark)}/corpus-{name}-{uuid.uuid4().hex}"
+        try:
+            with scratch(spark):
+                stage(spark, docs, sf_dir).write.parquet(path)
+        except BaseException:
+            delete(spark, path)
+            raise
+        finally:
+            if last:
+                delete(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
