@@ -57,9 +57,9 @@ GROUP = 256
 #: Members of an inverted list that are put in order together.
 CHUNK = 4096
 #: Head shingles of an index block, visits of one task, and candidates that a visit gives in the first round.
-BLOCK, VISITS, BEST = 1 << 21, 1 << 14, 16
-#: Postings up to which short lists are merged by a heap; above, by one stable sort.
-HEAPED = 2048
+BLOCK, VISITS, BEST = 1 << 20, 1 << 12, 16
+#: Postings up to which short lists are merged by a heap, above by one stable sort; and long lists that are probed at once.
+HEAPED, PROBED = 256, 32
 #: Stands for a null doc_id inside.
 _LAST = (1 << 63) - 1
 
@@ -223,22 +223,6 @@ def merge_skip(lists: list[np.ndarray], floor: int) -> tuple[np.ndarray, np.ndar
     return np.array(ids, np.int64), np.array(counts, np.int64)
 
 
-def divide_skip(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, counts) of the ids in at least ``least`` (> 0) of the sorted ``lists``: short ones merged, long ones probed."""
-    if len(lists) < least:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    lists = sorted(lists, key=len)
-    skip = min(least - 1, int(least / (0.0085 * math.log2(max(2, len(lists[-1]))) + 1)))
-    ids, counts = merge_skip(lists[: len(lists) - skip], least - skip)
-    for left, x in zip(range(skip - 1, -1, -1), lists[len(lists) - skip :]):
-        if not len(ids):
-            break
-        counts = counts + (x[np.minimum(np.searchsorted(x, ids), len(x) - 1)] == ids)
-        on = counts + left >= least
-        ids, counts = ids[on], counts[on]
-    return ids, counts
-
-
 class Lists:
     """Inverted lists over a few sets of hashes: the sets' positions in order, by hash."""
 
@@ -249,16 +233,42 @@ class Lists:
         token = token[order]
         first = np.ones(len(token), bool)
         first[1:] = token[1:] != token[:-1]
-        self.owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)[order]
+        self.sets, self.owner = max(1, len(sets)), np.repeat(np.arange(len(sets), dtype=np.int64), size)[order]
         self.token, self.start = token[first], np.append(np.flatnonzero(first), len(token))
+        #: number of the list and position in one, in order: a probe of many lists is one search
+        self.posting = (np.cumsum(first) - 1) * self.sets + self.owner
 
-    def of(self, query: np.ndarray) -> list[np.ndarray]:
-        """The lists of the query's hashes that have one."""
+    def of(self, query: np.ndarray) -> np.ndarray:
+        """Numbers of the lists of the query's hashes that have one."""
         if not len(self.token):
-            return []
+            return np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.token, query), len(self.token) - 1)
-        at = at[self.token[at] == query]
-        return [self.owner[a:b] for a, b in zip(self.start[at].tolist(), self.start[at + 1].tolist())]
+        return at[self.token[at] == query]
+
+    def holds(self, lists: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """How many of ``lists`` have each of ``ids``, by binary search."""
+        want = (lists[:, None] * self.sets + ids[None, :]).ravel()
+        at = np.minimum(np.searchsorted(self.posting, want), len(self.posting) - 1)
+        return (self.posting[at] == want).reshape(len(lists), len(ids)).sum(axis=0)
+
+
+def divide_skip(index: Lists, query: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, counts) of the sets that share at least ``least`` (> 0) hashes with ``query``: short lists merged, long ones probed."""
+    lists = index.of(query)
+    if len(lists) < least:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lists = lists[np.argsort(index.start[lists + 1] - index.start[lists], kind="stable")]
+    longest = int(index.start[lists[-1] + 1] - index.start[lists[-1]])
+    skip = min(least - 1, int(least / (0.0085 * math.log2(max(2, longest)) + 1)))
+    short, long = lists[: len(lists) - skip], lists[len(lists) - skip :]
+    ids, counts = merge_skip([index.owner[a:b] for a, b in zip(index.start[short].tolist(), index.start[short + 1].tolist())], least - skip)
+    for at in range(0, skip, PROBED):
+        if not len(ids):
+            break
+        counts = counts + index.holds(long[at : at + PROBED], ids)
+        on = counts + max(0, skip - at - PROBED) >= least
+        ids, counts = ids[on], counts[on]
+    return ids, counts
 
 
 def _binary(column: pa.Array, kind: type) -> list[np.ndarray]:
@@ -286,7 +296,7 @@ class Block:
     def search(self, query: np.ndarray, me: int, n: int, root: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, shared) of members of other components that may link, most shared first."""
         low, high, least = _partners(n, self.percent)
-        at, shared = divide_skip(self.lists.of(query), least)
+        at, shared = divide_skip(self.lists, query, least)
         on = (self.n[at] >= low) & (self.n[at] <= high) & (self.ids[at] != me) & (self.root[at] != root)
         at, shared = at[on], shared[on]
         on = shared >= shared_heads(n, self.n[at], self.percent)
@@ -334,7 +344,7 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 
     def finish() -> None:
         if ids:
-            at, shared = divide_skip(Lists(sets).of(query), min(need))
+            at, shared = divide_skip(Lists(sets), query, min(need))
             on = at[shared >= np.array(need, np.int64)[at]].tolist()
             a_out.extend([key[0]] * len(on))
             b_out.extend(ids[i] for i in on)

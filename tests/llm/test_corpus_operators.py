@@ -425,7 +425,7 @@ def test_divide_skip_by_brute_force(heaped, monkeypatch):
         sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(12)]
         least = int(rng.integers(1, 30))
         want = {(i, len(np.intersect1d(query, s))) for i, s in enumerate(sets) if len(np.intersect1d(query, s)) >= least}
-        assert set(zip(*map(np.ndarray.tolist, jaccard.divide_skip(jaccard.Lists(sets).of(query), least)))) == want
+        assert set(zip(*map(np.ndarray.tolist, jaccard.divide_skip(jaccard.Lists(sets), query, least)))) == want
 
 
 def test_heads_of_linked_sets_share_what_they_must():
