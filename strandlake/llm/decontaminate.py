@@ -10,11 +10,12 @@ bit, so looking each block up in a table of the items' blocks and their one-bit
 found is verified exactly: the item's 5-word shingles against those of the document's words at the same place, as a
 weighted Jaccard similarity (a shingle weighs ``ln(1 + items / items with it)``), 0.8 or more.
 
-Many windows of that similarity lie further than the radius away (trimmed, inserted or substituted words), so items of five
-words or more also have anchors: their heaviest shingles, as many as weigh more than a fifth of the item together.  A window
-without any of them shares less than 0.8 of the item's weight, so looking up every shingle of a document misses no window;
-all windows of the item's size that hold an anchor are bounded by running sums of weights and, where the bound reaches 0.8,
-verified.  Items under five words are one shingle, which only equal words (distance 0) have.  Recall at 0.8 is thus whole.
+Many passages of that similarity lie further than the radius away or aren't of the item's size (trimmed, inserted, deleted or
+substituted words), so items of five words or more also have anchors: their heaviest shingles, as many as weigh more than a
+fifth of the item together.  A run of words without any of them shares less than 0.8 of the item's weight, so looking up every
+shingle of a document misses none.  Around the anchors, runs of any length that start and end with a shingle of the item are
+bounded by running sums of weights and, where the bound reaches 0.8, verified: words that were left out or put in shift nothing.
+Items under five words are one shingle, which only equal words (distance 0) have.  Recall at 0.8 is thus whole.
 
 The benchmark is a query set: it is broadcast in blocks of at most ``BLOCK_ITEMS`` items, all documents against each.
 
@@ -37,6 +38,8 @@ from .common import marked, marks, materialize, scratch, small
 from .words import ALNUM, mix, pieces, shingles, word_hashes
 
 WORDS, SIMILAR = 5, 0.8
+#: What counts as that similar: sums of weights are not exact.
+ENOUGH = SIMILAR - 1e-9
 RADIUS = 7
 LONGEST = 192
 BLOCK_ITEMS = 20_000
@@ -101,6 +104,9 @@ class Items:
         self.own = [self.weights(b[0]) for b in self.bags]
         self.total = [float((w * b[1]).sum()) for w, b in zip(self.own, self.bags)]
         self.anchors = self._anchors()
+        #: per item the shingles that a similar run may reach over on either side of an anchor
+        least = float(self.weight.min()) if len(self.weight) else 1.0
+        self.reach = np.array([n + int((1 / SIMILAR - 1) * t / least) + 1 for n, t in zip(self.words, self.total)], np.int64)
 
     def _anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(flags, anchors in order, item of each): shingles of which a window that is similar to the item has one at least."""
@@ -217,14 +223,14 @@ def _matches(h: np.ndarray, bounds: np.ndarray, items: Items) -> dict[tuple[int,
             lo = max(start, int(bounds[doc]))
             sim = items.similarity(i, h[lo : max(lo, min(start + items.words[i], int(bounds[doc + 1])))])
             first = lo - int(bounds[doc])
-            if sim >= SIMILAR and ((doc, i) not in best or (sim, -first) > (best[doc, i][0], -best[doc, i][1])):
+            if sim >= ENOUGH and ((doc, i) not in best or (sim, -first) > (best[doc, i][0], -best[doc, i][1])):
                 best[doc, i] = (sim, first, dist)
     _anchored_matches(h, bounds, items, best)
     return best
 
 
 def _anchored_matches(h: np.ndarray, bounds: np.ndarray, items: Items, best: dict[tuple[int, int], tuple[float, int, int]]) -> None:
-    """Adds to ``best`` what all windows with an anchor give."""
+    """Adds to ``best`` what all runs of words with an anchor give, whatever their length."""
     every = shingles(h, WORDS)
     at, item = items.anchored(every)
     row = np.searchsorted(bounds, at, "right") - 1
@@ -232,34 +238,48 @@ def _anchored_matches(h: np.ndarray, bounds: np.ndarray, items: Items, best: dic
     at, item, row = at[whole], item[whole], row[whole]
     order = np.lexsort((at, item, row))
     at, item, row = at[order], item[order], row[order]
-    size = np.array(items.words, np.int64)
-    cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(at) > size[item[1:]])) + 1 if len(at) else []
+    reach = items.reach[item]
+    cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(at) > reach[1:])) + 1 if len(at) else []
     for a, b in zip([0, *cut], [*cut, len(at)]) if len(at) else ():
         doc, i = int(row[a]), int(item[a])
         if best.get((doc, i), (0.0,))[0] > 1 - 1e-12:
             continue
-        begin, end, n = int(bounds[doc]), int(bounds[doc + 1]), items.words[i]
-        reach = n - WORDS + 1  # shingles of a window
-        low, high = int(at[a]) - reach + 1, int(at[b - 1])  # first words of the windows
-        s = every[max(low, begin) : min(high + reach, end - WORDS + 1)]
-        bag, lead = items.bags[i][0], max(low, begin) - low
-        near = np.minimum(np.searchsorted(bag, s), len(bag) - 1)
-        weight = np.zeros((2, high - low + reach + 1))
-        weight[0, lead + 1 : lead + 1 + len(s)] = np.where(bag[near] == s, items.own[i][near], 0.0)
-        weight[1, lead + 1 : lead + 1 + len(s)] = items.weights(s)
-        run = np.cumsum(weight, axis=1)
-        shared, held = run[:, reach:] - run[:, :-reach]
-        shared = np.minimum(shared, items.total[i])
-        bound = shared / (items.total[i] + held - shared) + 1e-9
-        for k in np.argsort(-bound, kind="stable").tolist():
-            have = best.get((doc, i), (SIMILAR, 0, 0))[0]
-            if bound[k] < have:
+        begin, end = int(bounds[doc]), int(bounds[doc + 1])
+        first = max(int(at[a]) - int(reach[a]), begin)
+        s = every[first : min(int(at[b - 1]) + int(reach[a]), end - WORDS) + 1]
+        for lo, hi, bound in _aligned(s, items, i):
+            if bound < best.get((doc, i), (ENOUGH, 0, 0))[0]:
                 break
-            lo = max(low + k, begin)
-            run_of = h[lo : min(low + k + n, end)]
-            sim, first = items.similarity(i, run_of), lo - begin
-            if sim >= SIMILAR and ((doc, i) not in best or (sim, -first) > (best[doc, i][0], -best[doc, i][1])):
-                best[doc, i] = (sim, first, items.distance(i, run_of))
+            run_of, start = h[first + lo : first + hi + WORDS], first + lo - begin
+            sim = items.similarity(i, run_of)
+            if sim >= ENOUGH and ((doc, i) not in best or (sim, -start) > (best[doc, i][0], -best[doc, i][1])):
+                best[doc, i] = (sim, start, items.distance(i, run_of))
+
+
+def _aligned(s: np.ndarray, items: Items, i: int) -> Iterator[tuple[int, int, float]]:
+    """(first, last shingle, bound) of the runs of ``s`` that may be similar to item ``i``, the best bound first.
+
+    A run that starts or ends with a foreign shingle is less similar than without it, so only runs between shared shingles
+    are looked at: running sums of weights say which of them share enough and hold no more than they may.
+    """
+    bag, total = items.bags[i][0], items.total[i]
+    near = np.minimum(np.searchsorted(bag, s), len(bag) - 1)
+    on = bag[near] == s
+    place = np.flatnonzero(on)
+    shared, held = (np.append(0.0, np.cumsum(w)) for w in (np.where(on, items.own[i][near], 0.0), items.weights(s)))
+    eps = 1e-8 * max(1.0, total)
+    low = np.searchsorted(shared[place + 1], shared[place] + SIMILAR * total - eps, "left")
+    high = np.searchsorted(held[place + 1], held[place] + total / SIMILAR + eps, "right")
+    k = np.maximum(0, high - np.maximum(low, np.arange(len(place))))
+    if not k.sum():
+        return
+    start = np.repeat(np.arange(len(place)), k)
+    last = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(np.maximum(low, np.arange(len(place))), k)
+    both = np.minimum(shared[place[last] + 1] - shared[place[start]], total)
+    bound = both / (total + held[place[last] + 1] - held[place[start]] - both) + 1e-9
+    keep = np.flatnonzero(bound >= ENOUGH)
+    for x in keep[np.argsort(-bound[keep], kind="stable")].tolist():
+        yield int(place[start[x]]), int(place[last[x]]), float(bound[x])
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Items]:

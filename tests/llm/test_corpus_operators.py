@@ -284,27 +284,67 @@ def test_near_passages_and_edges(spark, docs_of):
     assert {r["doc_id"] for r in decontaminate.clean_documents(docs, bench).collect()} == {3, 4, 5, 7}
 
 
-def test_trimmed_inserted_and_changed_copies_by_brute_force():
-    rng = np.random.default_rng(15)
-    w = lambda n: rng.integers(0, 1 << 64, n, dtype=np.uint64)
-    lengths = [5, 6, 9, *rng.integers(15, 60, 60).tolist(), 96, 250]
-    hashes = [w(n) for n in lengths]
-    hashes[4][:8] = hashes[3][:8]  # a passage that two items share
-    items = decontaminate.Items(list(range(len(hashes))), hashes)
+def brute_similarity(item, run, items):
+    """Weighted Jaccard similarity of two lists of words as bags of five-word shingles, with the weights of ``items``."""
+    bag = lambda x: collections.Counter(tuple(x[k : k + 5]) for k in range(len(x) - 4))
+    df = collections.Counter(g for x in items for g in bag(x))
+    weight = lambda g: np.log(1 + len(items) / df.get(g, 1))
+    p, q = bag(item), bag(run)
+    both = sum(weight(g) * n for g, n in (p & q).items())
+    return both / sum(weight(g) * n for g, n in (p | q).items()) if p or q else 0.0
+
+
+def edits(x, w, rng):
+    """Copies of x with words cut off, put in, left out and changed."""
+    k, at = max(1, (len(x) - 4) // 9), len(x) // 2
+    out = [x[k:], x[:-k], x[k // 2 : len(x) - k + k // 2], x[:at] + w(1) + x[at:], x[:at] + x[at + 1 :], x[:at] + w(1) + x[at + 1 :]]
+    for n in range(1, 1 + len(x) // 40):  # several words in one place or in several
+        out += [x[:at] + w(n) + x[at:], x[:at] + x[at + n :]]
+        y = list(x)
+        for _ in range(n):
+            j = rng.randrange(len(y))
+            y[j : j + 1] = rng.choice([[], w(2), w(1)])
+        out.append(y)
+    return out
+
+
+def test_edited_copies_by_brute_force_over_all_runs():
+    rng = random.Random(15)
+    w = lambda n: [rng.getrandbits(64) for _ in range(n)]
+    items = [w(n) for n in (5, 6, 9, 15, 20, 24, 31, 45, 45, 52)]
+    items[4][:8] = items[3][:8]  # a passage that two items share
+    index = decontaminate.Items(list(range(len(items))), [np.array(x, np.uint64) for x in items])
     docs, want = [], {}
-    for i, x in enumerate(hashes):
-        k = max(1, (len(x) - 4) // 9)
-        at = len(x) // 2
-        for y in (x[k:], x[:-k], x[k // 2 : len(x) - k + k // 2], np.concatenate([x[:at], w(1), x[at:]]), np.concatenate([x[:at], w(1), x[at + 1 :]])):
-            docs += [np.concatenate([w(30), y, w(30)]), y]
+    for x in items:
+        for y in edits(x, w, rng):
+            docs += [w(12) + y + w(12), y]
     for d, h in enumerate(docs):
-        for i, x in enumerate(hashes):
-            starts = range(5 - len(x), len(h) - 4) if len(np.intersect1d(x, h)) else ()
-            best = max((items.similarity(i, h[max(0, s) : s + len(x)]) for s in starts if s + len(x) > 0), default=0)
-            if best >= decontaminate.SIMILAR:
+        for i, x in enumerate(items):
+            if len(set(x) & set(h)) < 5:
+                continue
+            runs = (h[a:b] for a in range(len(h)) for b in range(a + max(5, len(x) * 6 // 10), min(len(h), a + len(x) * 3 // 2 + 2) + 1))
+            best = max((brute_similarity(x, r, items) for r in runs), default=0)
+            if best >= decontaminate.SIMILAR - 1e-9:
                 want[d, i] = best
-    got = decontaminate._matches(np.concatenate(docs), np.cumsum([0, *map(len, docs)]), items)
-    assert len(want) > 300 and {k: v[0] for k, v in got.items()} == pytest.approx(want)
+    got = decontaminate._matches(np.concatenate([np.array(h, np.uint64) for h in docs]), np.cumsum([0, *map(len, docs)]), index)
+    assert len(want) > 50 and {k: v[0] for k, v in got.items()} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("n", [8, 12, 20, 32, 45, 60, 90, 130, 190, 250])
+def test_recall_of_edited_copies(n):
+    """Of copies whose own run of words is similar enough, none is missed, whatever was edited."""
+    rng = random.Random(n)
+    w = lambda k: [rng.getrandbits(64) for _ in range(k)]
+    items = [w(n) for _ in range(12)]
+    index = decontaminate.Items(list(range(12)), [np.array(x, np.uint64) for x in items])
+    docs, want = [], set()
+    for i, x in enumerate(items):
+        for y in edits(x, w, rng):
+            if brute_similarity(x, y, items) >= decontaminate.SIMILAR:
+                want.add((len(docs), i))
+            docs.append(w(30) + y + w(30))
+    got = decontaminate._matches(np.concatenate([np.array(h, np.uint64) for h in docs]), np.cumsum([0, *map(len, docs)]), index)
+    assert want <= set(got) and all(i == j // (len(docs) // 12) for j, i in got)
 
 
 def test_multi_index_misses_nothing_within_the_radius():
