@@ -8,21 +8,23 @@ one entity are one part everywhere (coreference).
 The distinct parts of the corpus form a table.  Each gets a replacement from a keyed SHA-512 stream: digits for digits,
 letters for letters, valid check digits for valid card numbers, given names of the gender the title states, surnames in the
 script of the original.  Collision checks: of parts with one replacement all but the first, and parts whose replacement
-is a real entity of the corpus, draw again, until none is left; distinct parts thus stay distinct.  Names grow by a
-syllable with each draw, so draws cannot run out.  Replacements then go back into each mention in its own format: separators,
-country code, title and case stay.
-
-Only documents with an entity are shuffled; a part that a third of all documents mention is joined by key after its mentions
-are made distinct per document.  Defined cases: null text stays null; texts without entities stay as they are; repeated rows get equal texts; a null doc_id
+is a real entity of the corpus, draw again, up to ``DRAWS`` times; names grow by a syllable with each draw.  Where a shape
+(digits and letters of one length) is so full of real entities that some parts still collide, all parts of that shape take one
+another's place in a keyed order instead.  Either way distinct parts have distinct replacements, none its own.  Replacements
+then go back into each mention in its own format: separators, country code, title and case stay.
+
+The entity patterns run once over each text that has a hint of one; each distinct text with an entity is cut into gaps and
+mentions, written, and rewritten from there.  Only documents with such a text are joined; a part that a third of all documents
+mention is joined by key after its mentions are made distinct per text.  Defined cases: null text stays null; texts without entities stay as they are; repeated rows get equal texts; a null doc_id
 is a document like others; an empty table gives an empty table; an input column n_entities is replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, without
+from .common import marked, marks, materialize, scratch, small, without
 
 # Titles that state a gender, and given names of either gender by script.
 MALE_TITLES = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Господин")
@@ -54,6 +56,10 @@ ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text without any entity lacks: an @, two digits side by side or with one separator between, 32 hexadecimal digits or a title.
 HINT = rf"@|\d[ .-]?\d|[0-9A-Fa-f]{{32}}|(?:{_TITLES})\.? \p{{Lu}}"
 _PART = "array<struct<kind:string,canon:string>>"
+#: Draws of a replacement before a shape counts as full; parts of one shape that take one another's place together.
+DRAWS, TOGETHER = 12, 100_000
+#: Stands around mentions while a text is cut; texts that hold it themselves are cut in two passes.
+_MARK = "\uffff"
 
 
 def _digits(c: Column) -> Column:
@@ -140,19 +146,44 @@ def _syllables(digest: Column, names: Column, n: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.element_at(names, 1 + _byte(digest, i) % 16)), "")
 
 
+def _shape(kind: Column, canon: Column) -> Column:
+    """What a replacement keeps: kind, length, places of digits and letters, and whether check digits are valid."""
+    plain = F.regexp_replace(F.regexp_replace(canon, "[0-9]", "0"), r"\p{L}", "a")
+    return F.concat_ws("|", kind, plain, F.when(kind == "card", (_luhn(canon) == 0).cast("string")))
+
+
+def _permuted(parts: DataFrame, key: str) -> DataFrame:
+    """(kind, canon, new): within each shape every part takes the place of the next one in a keyed order, the last of the first."""
+    rows = parts.select("kind", "canon", _shape(F.col("kind"), F.col("canon")).alias("shape"))
+    rows = rows.withColumn("h", F.sha2(F.concat_ws("\u0001", F.lit(key), "kind", "canon"), 256))
+    many = rows.groupBy("shape").agg((F.floor(F.count("*") / TOGETHER) + 1).alias("many"))
+    rows = rows.join(many, "shape").withColumn("block", F.pmod(F.xxhash64("h"), "many"))
+    ring = Window.partitionBy("shape", "block")
+    new = F.coalesce(F.lead("canon").over(ring.orderBy("h")), F.first("canon").over(ring.orderBy("h").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return rows.select("kind", "canon", new.alias("new"))
+
+
 def surrogates(parts: DataFrame, key: str) -> DataFrame:
-    """(kind, canon, new): distinct replacements of distinct parts, none of them a part itself."""
-    real = parts.select("kind", "canon")
-    table = materialize(real.withColumn("draw", F.lit(0)).withColumn("new", _draw(key)), "surrogates")
-    while True:
-        first = table.groupBy("kind", "new").agg(F.min("canon").alias("first"), F.count("*").alias("n"))
-        taken = first.join(real.select("kind", F.col("canon").alias("new"), F.lit(True).alias("real")), ["kind", "new"], "left")
-        bad = materialize(taken.where("n > 1 OR real").select("kind", "new", "first", F.coalesce("real", F.lit(False)).alias("real")), "collisions")
-        if bad.isEmpty():
-            return table.select("kind", "canon", "new")
-        again = F.coalesce(F.col("real") | (F.col("canon") != F.col("first")), F.lit(False))
-        table = table.join(bad, ["kind", "new"], "left").withColumn("draw", F.col("draw") + again.cast("int"))
-        table = materialize(table.withColumn("new", F.when(again, _draw(key)).otherwise(F.col("new"))).select("kind", "canon", "draw", "new"), "surrogates")
+    """(kind, canon, new): distinct replacements of distinct parts, none of them a part itself unless its shape is full."""
+    with scratch(parts.sparkSession):
+        real = parts.select("kind", "canon")
+        table = materialize(real.withColumn("draw", F.lit(0)).withColumn("new", _draw(key)), "surrogates")
+        for draw in range(DRAWS + 1):
+            first = table.groupBy("kind", "new").agg(F.min("canon").alias("first"), F.count("*").alias("n"))
+            taken = first.join(real.select("kind", F.col("canon").alias("new"), F.lit(True).alias("real")), ["kind", "new"], "left")
+            bad = materialize(taken.where("n > 1 OR real").select("kind", "new", "first", F.coalesce("real", F.lit(False)).alias("real")), "collisions")
+            if draw == DRAWS or bad.isEmpty():
+                break
+            again = F.coalesce(F.col("real") | (F.col("canon") != F.col("first")), F.lit(False))
+            table = table.join(bad, ["kind", "new"], "left").withColumn("draw", F.col("draw") + again.cast("int"))
+            table = materialize(table.withColumn("new", F.when(again, _draw(key)).otherwise(F.col("new"))).select("kind", "canon", "draw", "new"), "surrogates")
+        if not bad.isEmpty():
+            shape = _shape(F.col("kind"), F.col("canon"))
+            full = table.join(bad.select("kind", "new"), ["kind", "new"], "left_semi").select(shape.alias("shape")).distinct()
+            full = materialize(full, "full")
+            marked_ = table.withColumn("shape", shape)
+            table = marked_.join(full, "shape", "left_anti").select("kind", "canon", "new").union(_permuted(marked_.join(full, "shape", "left_semi"), key))
+        return materialize(table.select("kind", "canon", "new"), "replacements", keep=True)
 
 
 def _render(surface: Column, kind: Column, new: Column) -> Column:
@@ -174,29 +205,39 @@ def _render(surface: Column, kind: Column, new: Column) -> Column:
     return F.when(kind == "person", person).when(kind == "email", mail).when(kind == "ip", one).otherwise(filled)
 
 
+def _cut(text: Column) -> Column:
+    """A text as gap, mention, gap, ..., gap."""
+    found, gaps = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), F.split(text, F.lit(ENTITY), F.lit(-1))
+    both = F.flatten(F.transform(gaps, lambda g, i: F.when(i < F.size(found), F.array(g, F.get(found, i))).otherwise(F.array(g))))
+    once = F.split(F.regexp_replace(text, F.lit(f"({ENTITY})"), F.lit(f"{_MARK}$1{_MARK}")), F.lit(_MARK), F.lit(-1))
+    return F.when(F.contains(text, F.lit(_MARK)), both).otherwise(once)
+
+
 def replace_private(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
     """``docs`` with replaced texts and n_entities (mentions)."""
-    cols = without(docs, "n_entities").columns
-    hint = F.coalesce(F.regexp_like("text", F.lit(HINT)), F.lit(False))
-    found = F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))
-    ids = {"__h": F.xxhash64("text"), "__g": F.crc32("text")}
-    mentions = docs.where(hint).select(F.col("text")).withColumns(ids).select("__h", "__g", F.explode(F.array_distinct(found)).alias("surface")).distinct()
-    mentions = mentions.withColumn("kind", _kind(F.col("surface")))
-    mentions = materialize(mentions.withColumn("parts", _parts(F.col("surface"), F.col("kind"))), "mentions")
-    exploded = mentions.select("__h", "__g", "surface", F.col("kind").alias("whole"), F.posexplode("parts").alias("i", "p")).select("*", "p.*")
-    table = surrogates(materialize(exploded.select("kind", "canon").distinct(), "parts"), key)
-    # mentions of one surface are one row here, however many documents hold it
-    surfaces = exploded.select("surface", "whole", "i", "kind", "canon").distinct().join(table, ["kind", "canon"])
-    surfaces = surfaces.groupBy("surface", "whole").agg(F.array_sort(F.collect_list(F.struct("i", "new"))).alias("new"))
-    surfaces = surfaces.select("surface", _render(F.col("surface"), F.col("whole"), F.transform("new", lambda x: x["new"])).alias("new"))
-    maps = mentions.select("__h", "__g", "surface").join(surfaces, "surface")
-    maps = maps.groupBy("__h", "__g").agg(F.map_from_entries(F.collect_list(F.struct("surface", "new"))).alias("__map"))
-    hit = without(docs, "n_entities").where(hint).withColumns(ids).join(maps, ["__h", "__g"], "left")
-    every = F.when(F.col("__map").isNull(), F.array().cast("array<string>")).otherwise(found)
-    hit = hit.withColumn("__e", every)
-    gaps = F.split("text", F.lit(ENTITY), F.lit(-1))
-    text = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.element_at("__map", F.get("__e", i)), F.lit("")))), "")
-    hit = hit.withColumn("n_entities", F.size("__e").cast("long")).withColumn("text", F.when(F.col("n_entities") > 0, text).otherwise(F.col("text")))
-    rest = without(docs, "n_entities").where(~hint).withColumn("n_entities", F.lit(0).cast("long"))
-    names = [F.col(f"`{c}`") for c in [*cols, "n_entities"]]
-    return hit.select(*names).unionAll(rest.select(*names))
+    mine = ["__h", "__g"]
+    ids = {"__h": F.xxhash64("text"), "__g": F.crc32(F.coalesce(F.col("text"), F.lit("")))}
+    with scratch(docs.sparkSession):
+        hint = F.coalesce(F.regexp_like("text", F.lit(HINT)), F.lit(False))
+        cut = docs.select("text").where(hint).withColumns(ids).withColumn("cut", _cut(F.col("text")))
+        cut = materialize(cut.where(F.size("cut") > 1).select(*mine, "cut").dropDuplicates(mine), "cut")
+        mention = F.filter("cut", lambda x, i: i % 2 == 1)
+        mentions = cut.select(*mine, F.explode(F.array_distinct(mention)).alias("surface"))
+        surfaces = mentions.select("surface").distinct().withColumn("kind", _kind(F.col("surface")))
+        surfaces = materialize(surfaces.withColumn("parts", _parts(F.col("surface"), F.col("kind"))), "surfaces")
+        exploded = surfaces.select("surface", F.col("kind").alias("whole"), F.posexplode("parts").alias("i", "p")).select("*", "p.*")
+        table = surrogates(materialize(exploded.select("kind", "canon").distinct(), "parts"), key)
+        # mentions of one surface are one row here, however many documents hold it
+        named = exploded.join(table, ["kind", "canon"]).groupBy("surface", "whole").agg(F.array_sort(F.collect_list(F.struct("i", "new"))).alias("new"))
+        named = materialize(named.select("surface", _render(F.col("surface"), F.col("whole"), F.transform("new", lambda x: x["new"])).alias("new")), "named")
+        maps = mentions.join(named, "surface").groupBy(*mine).agg(F.map_from_entries(F.collect_list(F.struct("surface", "new"))).alias("map"))
+        text = F.array_join(F.transform("cut", lambda x, i: F.when(i % 2 == 1, F.element_at("map", x)).otherwise(x)), "")
+        new = cut.join(maps, mine).select(*mine, text.alias("__new"), F.size(mention).cast("long").alias("__n"))
+        new = materialize(new, "rewritten", keep=True)
+        table = materialize(marks(new, mine), "marks", keep=True)
+    names = without(docs, "n_entities").columns
+    every = marked(docs.withColumns(ids), mine, table, "__some")
+    some = every.where("__some").join(small(new), mine, "left")
+    cols = [F.coalesce("__new", "text").alias(c) if c == "text" else F.col(f"`{c}`") for c in names]
+    rest = every.where("NOT __some").select(*[F.col(f"`{c}`") for c in names], F.lit(0).cast("long").alias("n_entities"))
+    return some.select(*cols, F.coalesce("__n", F.lit(0).cast("long")).alias("n_entities")).unionAll(rest)

@@ -247,11 +247,54 @@ def test_phones_of_all_first_groups_stay_phones(spark, docs_of):
     assert [re.sub(r"\d", "0", x) for x in new] == [re.sub(r"\d", "0", x) for x in phones]
 
 
-def test_surrogates_stay_distinct(spark):
-    parts = spark.createDataFrame([("ssn", f"{i:04d}") for i in range(3000)], ["kind", "canon"])
-    rows = pii.surrogates(parts, "k").collect()
-    new = [r["new"] for r in rows]
-    assert len(set(new)) == 3000 and all(len(x) == 4 for x in new) if not set(new) & {r["canon"] for r in rows} else True
+@pytest.mark.parametrize("n", [300, 3000, 10_000])
+def test_surrogates_stay_distinct(spark, n):
+    """Also where all values of a shape are real entities: then they take one another's place."""
+    parts = spark.createDataFrame([("ssn", f"{i:04d}") for i in range(n)] + [("iban", "de00aaaa")], ["kind", "canon"])
+    new = {r["canon"]: r["new"] for r in pii.surrogates(parts, "k").collect()}
+    assert len(new) == n + 1 == len(set(new.values())) and all(len(x) == len(k) and x != k for k, x in new.items())
+    assert re.fullmatch("[a-z]{2}[0-9]{2}[a-z]{4}", new["de00aaaa"])
+    if n == 300:
+        assert not set(new) & set(new.values())
+    assert new == {r["canon"]: r["new"] for r in pii.surrogates(parts, "k").collect()}
+
+
+def test_shapes_are_permuted_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pii, "TOGETHER", 100)
+    parts = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(1000)], ["kind", "canon"])
+    new = {r["canon"]: r["new"] for r in pii.surrogates(parts, "k").collect()}
+    assert set(new) == set(new.values()) and all(k != v for k, v in new.items())
+
+
+def test_replacements_by_brute_force(tiny):
+    """Entities found by another regular expression engine: gaps stay, mentions change alike, kinds and forms stay."""
+    rx = importlib.import_module("regex")
+    entity = rx.compile("|".join(f"(?P<{k}>{p})" for k, p in pii.PATTERNS.items()))
+    got = {r["doc_id"]: r for r in pii.replace_private(tiny).collect()}
+    became = collections.defaultdict(set)
+    for r in tiny.collect():
+        found = list(entity.finditer(r["text"]))
+        assert got[r["doc_id"]]["n_entities"] == len(found)
+        text, at, end = got[r["doc_id"]]["text"], 0, 0
+        for i, m in enumerate(found):
+            gap = r["text"][end : m.start()]
+            assert text[at : at + len(gap)] == gap
+            at += len(gap)
+            end = m.end()
+            after = r["text"][end : found[i + 1].start() if i + 1 < len(found) else None]
+            stop = text.index(after, at) if after else len(text) if i + 1 == len(found) else at + len(m[0])
+            new, old = text[at:stop], m[0]
+            assert new != old
+            if m.lastgroup in ("card", "ssn", "phone", "iban", "secret"):
+                assert re.sub("[0-9A-Za-z]", "x", new) == re.sub("[0-9A-Za-z]", "x", old)
+            became[m.lastgroup, re.sub("[^0-9a-z@.]", "", old.lower()) if m.lastgroup != "person" else old].add(new.lower())
+            at = stop
+        assert text[at:] == r["text"][end:]
+    assert len(became) > 10
+    for (kind, _), new in became.items():  # one entity, one replacement; spelling may differ
+        assert len({re.sub("[^0-9a-z@.]", "", x) for x in new} if kind != "person" else new) == 1
+    per = collections.Counter((k, re.sub("[^0-9a-z@.]", "", next(iter(v))) if k != "person" else next(iter(v))) for (k, _), v in became.items())
+    assert all(n == 1 for (k, _), n in per.items() if k not in ("person", "phone"))
 
 
 # 5
