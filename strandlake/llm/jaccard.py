@@ -57,7 +57,7 @@ GROUP = 256
 #: Members of an inverted list that are put in order together.
 CHUNK = 4096
 #: Head shingles of an index block, visits of one task, and candidates that a visit gives in the first round.
-BLOCK, VISITS, BEST = 1 << 20, 1 << 12, 16
+BLOCK, VISITS, BEST = 1 << 21, 1 << 14, 16
 #: Postings up to which short lists are merged by a heap, above by one stable sort; and long lists that are probed at once.
 HEAPED, PROBED = 256, 32
 #: Stands for a null doc_id inside.
@@ -233,7 +233,7 @@ class Lists:
         token = token[order]
         first = np.ones(len(token), bool)
         first[1:] = token[1:] != token[:-1]
-        self.sets, self.owner = max(1, len(sets)), np.repeat(np.arange(len(sets), dtype=np.int64), size)[order]
+        self.sets, self.owner = max(1, len(sets)), np.repeat(np.arange(len(sets), dtype=np.int32), size)[order]
         self.token, self.start = token[first], np.append(np.flatnonzero(first), len(token))
         #: number of the list and position in one, in order: a probe of many lists is one search
         self.posting = (np.cumsum(first) - 1) * self.sets + self.owner
@@ -391,8 +391,8 @@ def linked(trials: DataFrame, reps: DataFrame, docs: DataFrame, words: int = WOR
     ends = trials.select(F.col("a").alias("id")).union(trials.select(F.col("b").alias("id"))).distinct()
     ends = materialize(reps.join(ends, "id").select("id", *_SAME, F.col("least").alias("key")), "ends")
     texts = marked(docs.select("key", "text"), ["key"], materialize(marks(ends, ["key"]), "marks"), "__on").where("__on").select("text")
-    sets = texts.mapInArrow(lambda batches: _sets(batches, words), "n long, d1 long, d2 long, set binary")
-    sets = materialize(ends.join(sets, _SAME).select("id", "n", "set").dropDuplicates(["id"]), "sets")
+    sets = texts.mapInArrow(lambda batches: _sets(batches, words), "n long, d1 long, d2 long, set binary").dropDuplicates(_SAME)
+    sets = materialize(sets.join(ends, _SAME).select("id", "n", "set"), "sets")
     many = F.floor(F.count("*").over(Window.partitionBy("a")) / GROUP) + 1
     rows = trials.withColumn("g", F.pmod(F.xxhash64("b"), many))
     found = rows.join(sets.withColumnRenamed("id", "b"), "b").select("a", "g", "n", "b", "set")
@@ -407,7 +407,11 @@ def _postings(sig: DataFrame, reps: DataFrame, hot: tuple[np.ndarray, np.ndarray
     Long lists are dealt over chunks; the first of a chunk follows no one here.
     """
     long = literal_rows(sig.sparkSession, _long_lists(hot), "token:bigint,chunks:bigint")
-    rows = sig.select("id", "n", "prefix").join(reps.select("id"), "id").select("id", "n", F.explode("prefix").alias("token"))
+    rows = sig.where("n > 0").select("id", "n", "prefix")
+    copies = materialize(marks(rows.select("id").join(reps.select("id"), "id", "left_anti"), ["id"]), "marks")
+    rows = marked(rows, ["id"], copies, "__some")  # most rows are sure to be representatives and aren't joined
+    rows = rows.where("NOT __some").unionByName(rows.where("__some").join(reps.select("id"), "id", "left_semi"))
+    rows = rows.select("id", "n", F.explode("prefix").alias("token"))
     rows = rows.join(F.broadcast(long), "token", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks"))
     over = Window.partitionBy("token", "chunk").orderBy(F.xxhash64("id"), "id")
@@ -416,13 +420,13 @@ def _postings(sig: DataFrame, reps: DataFrame, hot: tuple[np.ndarray, np.ndarray
 
 
 def _neighbours(postings: DataFrame, percent: int) -> DataFrame:
-    """(a, b): members that follow one another in half of their lists or more; chunks of long lists by their first."""
+    """(a, b): members that follow one another in two thirds of their lists or more; chunks of long lists by their first."""
     near = postings.where("last IS NOT NULL").select(F.least("id", "last").alias("a"), F.greatest("id", "last").alias("b"), "n")
     first = postings.where("chunks > 1 AND last IS NULL").select("token", "chunk", "id", "n")
     first = first.select("id", "n", F.lag("id").over(Window.partitionBy("token").orderBy("chunk")).alias("last")).where("last IS NOT NULL")
     near = near.union(first.select(F.least("id", "last").alias("a"), F.greatest("id", "last").alias("b"), "n"))
     near = near.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("n").alias("n"))
-    return near.where(200 * F.col("k") >= (100 - percent) * F.col("n")).select("a", "b")
+    return near.where(300 * F.col("k") >= 2 * (100 - percent) * F.col("n")).select("a", "b")
 
 
 def _mixed(postings: DataFrame, roots: DataFrame) -> DataFrame:
@@ -441,26 +445,28 @@ def _band(percent: int) -> Callable:
 
 
 def _index(mixed: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
-    """(id, n, band, block, head) of all members of ``mixed``: blocks of about BLOCK head shingles and one size class."""
-    members = sig.select("id", "n", "head").join(mixed.select("id").distinct(), "id")
-    members = members.withColumn("band", _band(percent)("n"))
-    bands = members.groupBy("band").agg((F.floor(F.sum(F.length("head")) / (4 * BLOCK)) + 1).alias("many"))  # a row an octave or less
+    """(id, n, root, band, block, head) of all members of ``mixed``: blocks of about BLOCK head shingles and one size class."""
+    ids = mixed.groupBy("id").agg(F.first("n").alias("n"), F.first("root").alias("root"))
+    members = sig.select("id", "head").join(ids, "id").withColumn("band", _band(percent)("n"))
+    sizes = ids.groupBy(_band(percent)(F.col("n")).alias("band")).agg(F.sum(F.least("n", F.ceil(F.col("n") * (200 - 2 * percent) / 100) + 1)).alias("s"))
+    bands = sizes.select("band", (F.floor(F.col("s") / BLOCK) + 1).alias("many"))  # one row a size class: few hundred at most
     members = members.join(F.broadcast(bands), "band").withColumn("block", F.pmod(F.xxhash64("id"), "many"))
-    return materialize(members.select("id", "n", "band", "block", "head"), "index")
+    return materialize(members.select("id", "n", "root", "band", "block", "head"), "index")
 
 
 def _candidates(mixed: DataFrame, index: DataFrame, roots: DataFrame, percent: int, best: int, again: DataFrame | None) -> DataFrame:
-    """(a, b, more): what the visits of all asking members (of those in ``again``, if given) keep."""
+    """(a, b, more): what the visits of all asking members keep; of those in ``again`` with their new ``roots``, if given."""
     where = index.select("id", "band", "block")
     lists = mixed.join(where, "id").groupBy("token", "band", "block").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
-    asks = mixed.where("asks").select("token", "id", "root", F.explode(F.array(*[_band(percent)(F.col("n")) + d for d in (-1, 0, 1)])).alias("band"))
+    asks = mixed.where("asks").select("token", "id", "root", _band(percent)(F.col("n")).alias("own"))
     if again is not None:
         asks = asks.join(again, "id", "left_semi")
-    visits = asks.join(lists, ["token", "band"]).where("r1 <> root OR r2 <> root").select("band", "block", "id").distinct()
+        index = index.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    visits = asks.join(lists, "token").where("abs(own - band) <= 1 AND (r1 <> root OR r2 <> root)").select("band", "block", "id").distinct()
+    visits = materialize(visits, "visits")
     per = visits.groupBy("band", "block").agg((F.floor(F.count("*") / VISITS) + 1).alias("parts"))
-    held = index.join(roots, "id", "left").select("id", "n", "band", "block", F.coalesce("root", "id").alias("root"), "head")
-    members = held.join(per, ["band", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
-    asked = visits.join(per, ["band", "block"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).join(held.select("id", "n", "root", "head"), "id")
+    members = index.join(per, ["band", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
+    asked = visits.join(per, ["band", "block"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).join(index.select("id", "n", "root", "head"), "id")
     name = F.col("band").cast("long") * (1 << 32) + F.col("block")
     cols = [name.alias("block"), "part", "kind", "id", "n", "root", "head"]
     rows = members.withColumn("kind", F.lit(0)).select(*cols).union(asked.withColumn("kind", F.lit(1)).select(*cols))
