@@ -5,7 +5,7 @@ ends marked, 2**16 slots), learnt from at most ``MAX_ROWS`` labelled documents a
 doc_id).  A document is a mixture: each trigram is drawn from one of its languages.  Expectation-maximisation estimates the
 proportions from the trigrams' likelihoods; the language set is the one with the best likelihood less ``log(trigrams) / 2``
 a free proportion (BIC), grown greedily from the best single language.  The prediction is the language with the largest
-proportion, the score its proportion times the posterior of the best single language among single ones.
+proportion; the score is that proportion, for a set of one language its posterior among single languages.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; ties go to the language first in code-point
 order; labels that are null teach nothing; with no labels at all every text is ``und``; repeated rows get equal results;
@@ -111,6 +111,22 @@ def _em(p: np.ndarray, at: np.ndarray, share: np.ndarray, steps: int = STEPS) ->
     return share, np.add.reduceat(np.log((p * share[row]).sum(1)), at[:-1])
 
 
+def _second(slot: np.ndarray, at: np.ndarray, like: np.ndarray, full: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of ``full`` for which a second language is worth a trial, that language for all rows).
+
+    The gain of a tenth of each other language, for the whole batch at once: most texts are settled here.
+    """
+    n = np.diff(at)[full]
+    own = like[np.repeat(first, n), slot]
+    best, second = np.full(len(full), -np.inf), np.zeros(len(full), np.int64)
+    for j, lang in enumerate(like):
+        gain = np.add.reduceat(np.log(np.exp(lang[slot] - own) * np.float32(0.1) + np.float32(0.9)), at[:-1][full], dtype=np.float64)
+        gain[first == j] = -np.inf
+        on = gain > best
+        best[on], second[on] = gain[on], j
+    return np.flatnonzero(best > 0.5 * np.log(n)), second
+
+
 def infer(slot: np.ndarray, at: np.ndarray, like: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
     """(best language or -1, score, language set) of each row of a batch."""
     rows, k = len(at) - 1, len(like)
@@ -126,29 +142,27 @@ def infer(slot: np.ndarray, at: np.ndarray, like: np.ndarray) -> tuple[np.ndarra
     best[full], score[full] = first, post
     chosen = [[int(i)] for i in first]
     value = single.max(1)
-    live = np.arange(len(full)) if k > 1 else np.zeros(0, np.int64)
     shares: dict[int, np.ndarray] = {}
-    while len(live) and len(chosen[live[0]]) < k:
+    live, second = _second(slot, at, like, full, first) if k > 1 else (np.zeros(0, np.int64), first)
+    while len(live):
         size = len(chosen[live[0]])
-        nxt, grown = [], []
-        for i in live:
-            a, b = at[full[i]], at[full[i] + 1]
-            own = like[:, slot[a:b]]
-            have = np.exp(own[chosen[i]] - own.max(0))
-            base = np.log((shares[i][:, None] * have).sum(0)) if size > 1 else np.log(have[0])
-            # a language can help only where it beats the mixture; the gain of a tenth of it says which to try
-            rest = [j for j in range(k) if j not in chosen[i]]
-            gain = [np.logaddexp(base + np.log(0.9), own[j] - own.max(0) + np.log(0.1)).sum() - base.sum() for j in rest]
-            j = int(np.argmax(gain))
-            if gain[j] > 0.5 * np.log(b - a):
-                nxt.append(i)
-                grown.append([*chosen[i], rest[j]])
-        if not nxt:
-            break
         live_next = []
-        for i, s in zip(nxt, grown):
+        for i in live:
             a, b = at[full[i]], at[full[i] + 1]
-            own = like[np.ix_(s, slot[a:b])]
+            if size == 1:
+                j = int(second[i])
+            else:
+                own = like[:, slot[a:b]].astype(np.float64)
+                own -= own.max(0)
+                base = np.log((shares[i][:, None] * np.exp(own[chosen[i]])).sum(0))
+                # a language can help only where it beats the mixture; the gain of a tenth of it says which to try
+                rest = [j for j in range(k) if j not in chosen[i]]
+                gain = [np.logaddexp(base + np.log(0.9), own[j] + np.log(0.1)).sum() - base.sum() for j in rest]
+                if not rest or max(gain) <= 0.5 * np.log(b - a):
+                    continue
+                j = rest[int(np.argmax(gain))]
+            s = [*chosen[i], j]
+            own = like[np.ix_(s, slot[a:b])].astype(np.float64)
             top = own.max(0)
             share, ll = _em(np.exp(own - top).T, np.array([0, b - a]), np.full((1, len(s)), 1.0 / len(s)))
             total = float(ll[0] + top.sum())
