@@ -2,9 +2,9 @@
 
 Words are runs of letters and non-ASCII characters, A-Z lowered.  A text's features are hashes (2**22 slots) of its
 words, word pairs, pairs around one word, and beginnings of words, each again when it occurs twice and four times.  FTRL-proximal with per-coordinate rates passes over at most
-``MAX_ROWS`` labelled rows (the ones with the least hash of doc_id; toxic and clean rows each take up to half), in an order
-fixed by that hash; the L1 term leaves few weights, which are broadcast (at most ``MAX_WEIGHTS``, the largest).  Scoring
-covers every whole text: only slots with a weight are gathered.
+``MAX_ROWS`` labelled rows and ``MAX_BYTES`` of their features (the rows with the least hash of doc_id; toxic and clean rows
+each take up to half), in an order fixed by that hash; the L1 term leaves few weights, which are broadcast (a slot has one at
+most, so never over 48 MB).  Scoring covers every whole text: only slots with a weight are gathered.
 
 The clean-to-toxic ratio of what is trained on differs from that of all labelled rows, so the bias is corrected by the two
 classes' sampling rates.
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .words import ALPHA, mix, pieces, word_hashes
 
 SLOTS = 1 << 22
-MAX_ROWS = 24_000
-MAX_WEIGHTS = 200_000
+#: The sample that is learnt from: labelled rows, and bytes of their features (4 a feature) that the learning task holds.
+MAX_ROWS, MAX_BYTES = 24_000, 256 << 20
 #: Lengths in bytes of word beginnings, and the counts in a text from which a gram is a feature again.
 HEADS, LEVELS = (5, 6, 8), (1, 2, 4)
 ALPHA_RATE, BETA, L1, L2 = 0.3, 1.0, 4.0, 0.5
@@ -74,7 +74,7 @@ def ftrl(rows: list[tuple[np.ndarray, int]], passes: int = PASSES) -> tuple[np.n
 
     for _ in range(passes):
         for x, y in rows:
-            i = np.append(x, SLOTS)  # the last slot is the bias
+            i = np.append(x.astype(np.int64), SLOTS)  # the last slot is the bias
             w = weight(i)
             p = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35)))
             g = p - y
@@ -82,9 +82,7 @@ def ftrl(rows: list[tuple[np.ndarray, int]], passes: int = PASSES) -> tuple[np.n
             z[i] += g - s * w
             n[i] += g * g
     live = np.flatnonzero(np.abs(z[:SLOTS]) > L1)
-    w = weight(live)
-    keep = np.sort(np.argsort(-np.abs(w), kind="stable")[:MAX_WEIGHTS])
-    return live[keep], w[keep], float(weight(np.array([SLOTS]))[0])
+    return live, weight(live), float(weight(np.array([SLOTS]))[0])
 
 
 def _bucket() -> Column:
@@ -115,14 +113,19 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("toxic"), pa.array(x, pa.binary())], ["h", "toxic", "x"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(h, y, np.frombuffer(x, np.int32).astype(np.int64)) for b in batches for h, y, x in zip(*(b.column(c).to_pylist() for c in ("h", "toxic", "x")))]
-        held.sort(key=lambda r: r[0])
-        slots, weights, bias = ftrl([(x, y) for _, y, x in held])
-        seen = sum(y for _, y, _ in held)
+        held: list[tuple[np.ndarray, int]] = []
+        size = 0
+        for b in batches:  # by hash: what is beyond the bound are the last rows
+            for y, x in zip(b.column("toxic").to_pylist(), b.column("x")):
+                size += len(x.as_buffer())
+                if size <= MAX_BYTES:
+                    held.append((np.frombuffer(x.as_buffer(), np.int32).copy(), y))
+        slots, weights, bias = ftrl(held)
+        seen = sum(y for _, y in held)
         slots, weights = np.append(slots, [-1, -2, -3]), np.append(weights, [bias, seen, len(held) - seen])
         yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(weights, pa.float64())], ["slot", "weight"])
 
-    model = sample.mapInArrow(hashed, "h long, toxic int, x binary").repartition(1).mapInArrow(learn, "slot long, weight double").toArrow()
+    model = sample.mapInArrow(hashed, "h long, toxic int, x binary").repartition(1).sortWithinPartitions("h").mapInArrow(learn, "slot long, weight double").toArrow()
     slots, weights = model.column("slot").to_numpy(), model.column("weight").to_numpy()
     bias, seen1, seen0 = (float(weights[slots == k][0]) for k in (-1, -2, -3))
     if not seen1 or not seen0:

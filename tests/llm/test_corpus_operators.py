@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import importlib
+import math
 import os
 import random
 import re
@@ -597,6 +598,69 @@ def test_language_mixtures(spark, docs_of):
     assert [got[i]["lang_pred"] for i in (3, 4, 5)] == ["und"] * 3 and got[6]["lang_pred"] != "und"
 
 
+def brute_languages(slots, like):
+    """(best, score, set) of one text in plain Python: EM and BIC, one language after the other."""
+    n, k = len(slots), len(like)
+    p = [[math.exp(like[j][s] - max(like[q][s] for q in range(k))) for j in range(k)] for s in slots]
+    top = sum(max(like[q][s] for q in range(k)) for s in slots)
+
+    def em(chosen):
+        share = [1 / len(chosen)] * len(chosen)
+        for _ in range(language.STEPS):
+            new = [0.0] * len(chosen)
+            for row in p:
+                mass = [share[x] * row[j] for x, j in enumerate(chosen)]
+                for x, m in enumerate(mass):
+                    new[x] += m / sum(mass) / n
+            done = max(abs(a - b) for a, b in zip(new, share)) < 1e-3
+            share = new
+            if done:
+                break
+        return share, top + sum(math.log(sum(share[x] * row[j] for x, j in enumerate(chosen))) for row in p)
+
+    single = [sum(like[j][s] for s in slots) for j in range(k)]
+    chosen, share, value = [max(range(k), key=lambda j: (single[j], -j))], [1.0], max(single)
+    while True:
+        base = [math.log(sum(share[x] * row[j] for x, j in enumerate(chosen))) for row in p]
+        gain = {j: sum(math.log(0.9 * math.exp(b) + 0.1 * row[j]) - b for b, row in zip(base, p)) for j in range(k) if j not in chosen}
+        if not gain or max(gain.values()) <= 0.5 * math.log(n):
+            break
+        more = [*chosen, max(gain, key=lambda j: (gain[j], -j))]
+        got, ll = em(more)
+        if ll - 0.5 * math.log(n) <= value or min(got) < language.MIN_SHARE:
+            break
+        chosen, share, value = more, got, ll
+    if len(chosen) == 1:
+        return chosen[0], 1 / sum(math.exp(max(-700, x - max(single))) for x in single), chosen
+    best = max(range(len(chosen)), key=lambda x: (share[x], -chosen[x]))
+    return chosen[best], share[best], sorted(chosen)
+
+
+def test_mixtures_by_brute_force(tiny):
+    model = language.train(tiny.select("doc_id", "text", "lang"), F.lit(True))
+    like = model[1].astype(np.float32)
+    texts = collections.defaultdict(str)
+    for r in tiny.orderBy("doc_id").collect():
+        texts[r["lang"]] += " " + (r["text"] or "")
+    names = sorted(k for k in texts if k)
+    rng = random.Random(3)
+    docs = [texts[k][:300] for k in names] + ["a", "zzz qqq", ""]
+    for _ in range(12):
+        docs.append(" ".join(texts[k][a : a + rng.randint(60, 500)] for k in rng.sample(names, rng.randint(1, 3)) for a in [rng.randrange(1000)]))
+    slot, at = language.trigrams(pa.array(docs))
+    best, score, sets = language.infer(slot, at, like)
+    many = 0
+    for i in range(len(docs)):
+        own = slot[at[i] : at[i + 1]].tolist()
+        if not own:
+            assert best[i] == -1
+            continue
+        want = brute_languages(own, like.astype(float).tolist())
+        assert (best[i], sets[i]) == (want[0], want[2]) and score[i] == pytest.approx(want[1], abs=1e-4)
+        many += len(want[2]) > 1
+    assert many >= 4
+
+
 # 8
 
 
@@ -792,6 +856,31 @@ def test_toxicity_scores_by_brute_force(tiny):
         assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-(0.3 + dense[f].sum()))))
 
 
+def test_ftrl_by_dictionaries():
+    rng = random.Random(5)
+    rows = [(np.array(sorted(rng.sample(range(40), rng.randint(1, 12))), np.int32), rng.randint(0, 1)) for _ in range(300)]
+    rows = [(x, int(3 in x or y and 5 in x)) for x, y in rows]
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        l1 = 0.0 if i == "bias" else toxicity.L1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA_RATE + toxicity.L2)
+
+    for _ in range(toxicity.PASSES):
+        for x, y in rows:
+            at = [*x.tolist(), "bias"]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in at:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA_RATE * w[i]
+                n[i] += g * g
+    slots, weights, bias = toxicity.ftrl(rows)
+    want = {i: weight(i) for i in range(40) if weight(i)}
+    assert 0 < len(want) < 40 and dict(zip(slots.tolist(), weights.tolist())) == pytest.approx(want) and bias == pytest.approx(weight("bias"))
+
+
 def test_one_class_of_labels(spark, docs_of):
     docs = docs_of([(1, "a b"), (2, None)])
     for y, want in ((1, 1.0), (0, 0.0)):
