@@ -95,50 +95,107 @@ class Verdict:
     mask: list[bool] = field(default_factory=list)
 
 
+def _rows(p: np.ndarray) -> np.ndarray:
+    """``row`` for the last axis of an array of any shape."""
+    up = np.clip(np.asarray(p, float), 0.0, None)
+    mass = up.sum(-1, keepdims=True)
+    good = (mass > 0) & np.isfinite(mass)
+    return np.where(good, up / np.where(good, mass, 1.0), 1.0 / up.shape[-1])
+
+
+def _inverse(p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The symbol of each row of ``p`` at which its distribution function passes ``u``."""
+    run = np.cumsum(_rows(p), axis=-1)
+    return np.minimum((run <= (u * run[..., -1])[..., None]).sum(-1), p.shape[-1] - 1)
+
+
 def draw(p: np.ndarray, rng: np.random.Generator) -> int:
-    c = np.cumsum(row(p))
-    return int(min(np.searchsorted(c, rng.random() * c[-1], "right"), len(c) - 1))
+    return int(_inverse(np.asarray(p, float)[None], np.array([rng.random()]))[0])
+
+
+@dataclass
+class Rounds:
+    """Verdicts of a batch of rounds: accepted counts, winning drafts, tokens (beyond accepted + 1: -1), empty residuals."""
+
+    accepted: np.ndarray
+    winner: np.ndarray
+    tokens: np.ndarray
+    fallback: np.ndarray
+
+    def one(self, i: int, gamma: int) -> Verdict:
+        k = int(self.accepted[i])
+        return Verdict(self.tokens[i, : k + 1].tolist(), k, k < gamma, bool(self.fallback[i]), int(self.winner[i]), [j < k for j in range(gamma)])
+
+
+def greedy_rounds(drafts: np.ndarray, p: np.ndarray) -> Rounds:
+    """Drafts (rounds, B, gamma), targets (rounds, B, gamma + 1, V): how far does each draft follow its own rows' argmax?
+
+    A draft that agrees up to a place has the target's own rows up to there, so the longest agreement (the first of those)
+    is the walk down the tree of all drafts, and the next token is the argmax of its row there.
+    """
+    best = p.argmax(-1)
+    gamma = drafts.shape[2]
+    agreed = np.logical_and.accumulate(drafts == best[:, :, :gamma], axis=2).sum(2)
+    winner = agreed.argmax(1)
+    r = np.arange(len(drafts))
+    k = agreed[r, winner]
+    return Rounds(k, winner, np.where(np.arange(gamma + 1) <= k[:, None], best[r, winner], -1), np.zeros(len(drafts), bool))
+
+
+def sampled_rounds(drafts: np.ndarray, q: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> Rounds:
+    """Rejection sampling for a batch of rounds, shapes as above with draft rows q (rounds, B, gamma, V).
+
+    Place by place over all rounds at once: the drafts that agree with what was accepted are offered in turn against the
+    target's row, each rejection leaving max(0, rest - q) of it; the token after the last accepted one comes from what is left
+    of the row there.  Every token then follows the target's law.  An empty residual ends a round with the target's row.
+    """
+    count, many, gamma = drafts.shape
+    r, p, q = np.arange(count), _rows(p), _rows(q)
+    tries, last = rng.random((count, gamma, many)), rng.random(count)
+    agree, going = np.ones((count, many), bool), np.ones(count, bool)
+    tokens, accepted, fell = np.full((count, gamma + 1), -1), np.zeros(count, np.int64), np.zeros(count, bool)
+    rest = p[:, 0, 0].copy()
+    for i in range(gamma):
+        lead = agree.argmax(1)
+        own = q[r, lead, i]
+        rest[going] = p[r, lead, i][going]
+        taken, open_ = np.full(count, -1), going.copy()
+        for b in range(many):
+            x = drafts[:, b, i]
+            ask = open_ & agree[:, b]
+            pass_ = ask & (tries[:, i, b] * own[r, x] < rest[r, x])
+            taken[pass_] = x[pass_]
+            over = np.clip(rest - own, 0.0, None)
+            mass = over.sum(1)
+            fail = ask & ~pass_
+            empty = fail & ~(mass > 0)
+            shrunk = fail & (mass > 0)
+            rest[shrunk] = over[shrunk] / mass[shrunk, None]
+            rest[empty] = p[r, lead, i][empty]
+            fell |= empty
+            open_ &= ~pass_ & ~empty
+        hit = taken >= 0
+        tokens[hit, i] = taken[hit]
+        accepted += hit
+        agree[hit] &= drafts[hit, :, i] == taken[hit, None]
+        going &= hit
+    lead = agree.argmax(1)
+    rest[going] = p[r, lead, gamma][going]
+    tokens[r, accepted] = _inverse(rest, last)
+    return Rounds(accepted, lead, tokens, fell)
 
 
 def verify_greedy(drafts: np.ndarray, p: np.ndarray) -> Verdict:
-    """Drafts (B, gamma), targets (B, gamma + 1, V): follow the argmax down the tree that the drafts form."""
+    """One round: drafts (B, gamma) or (gamma), targets (B, gamma + 1, V) or without B."""
     drafts, p = np.atleast_2d(drafts), p if p.ndim == 3 else p[None]
-    live, out = np.arange(len(drafts)), []
-    for i in range(drafts.shape[1]):
-        want = int(p[live[0], i].argmax())
-        out.append(want)
-        on = live[drafts[live, i] == want]
-        if not len(on):
-            return Verdict(out, i, True, False, int(live[0]), [j < i for j in range(drafts.shape[1])])
-        live = on
-    n = drafts.shape[1]
-    return Verdict([*out, int(p[live[0], n].argmax())], n, False, False, int(live[0]), [True] * n)
+    return greedy_rounds(drafts[None], p[None]).one(0, drafts.shape[1])
 
 
 def verify_sample(drafts: np.ndarray, q: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> Verdict:
-    """Rejection sampling that leaves the target's law unchanged; several drafts of a position share one residual."""
+    """One round of ``sampled_rounds``."""
     drafts = np.atleast_2d(drafts)
     q, p = (q, p) if p.ndim == 3 else (q[None], p[None])
-    live, out, fell, gamma = np.arange(len(drafts)), [], False, drafts.shape[1]
-    for i in range(gamma):
-        goal, own = p[live[0], i], q[live[0], i]
-        left, taken = row(goal), -1
-        for b in live:
-            x = int(drafts[b, i])
-            odds = left[x] / own[x] if own[x] > 0 else float(left[x] > 0)
-            if rng.random() < (min(1.0, odds) if np.isfinite(odds) else 0.0):
-                taken = x
-                break
-            over = np.clip(left - own, 0.0, None)
-            if not 0 < over.sum() < np.inf:
-                left, fell = row(goal), True
-                break
-            left = over / over.sum()
-        if taken < 0:
-            return Verdict([*out, draw(left, rng)], i, True, fell, int(live[0]), [j < i for j in range(gamma)])
-        out.append(taken)
-        live = live[drafts[live, i] == taken]
-    return Verdict([*out, draw(p[live[0], gamma], rng)], gamma, False, fell, int(live[0]), [True] * gamma)
+    return sampled_rounds(drafts[None], q[None], p[None], rng).one(0, drafts.shape[1])
 
 
 def native(model: NextToken, prompt: list[int], n: int, rng: np.random.Generator | None) -> list[int]:

@@ -36,6 +36,46 @@ def admissible(stats: DataFrame, low: int, high: int, need: int, name: str = "fa
     return both.drop("__in", "__n")
 
 
+def running(df: DataFrame, keys: list[str], order: str, value: str, out: str, more: list[str] | None = None, blocks: int = 256) -> DataFrame:
+    """Adds ``out``, the sum of ``value`` over the rows before in ``keys``, by the numeric ``order`` (then ``more``).
+
+    Two levels: rows are dealt over blocks at quantiles of the order, sums of blocks become offsets, and a window runs in one
+    block only, so a key with most of the rows is many tasks.
+    """
+    cuts = sorted(set(df.approxQuantile(order, [i / blocks for i in range(1, blocks)], 0.25 / blocks))) or [0.0]
+    block = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if len(cuts) < 16 else _bisect(F.col(order), cuts)
+    rows = df.withColumn("__block", F.coalesce(block.cast("int"), F.lit(-1)))
+    one = keys or ["__one"]
+    rows = rows if keys else rows.withColumn("__one", F.lit(0))
+    rows = rows.repartition(*one, "__block")
+    per = rows.groupBy(*one, "__block").agg(F.sum(value).alias("__sum"))
+    over = Window.partitionBy(*one).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(one)], F.col("__block").alias("__kb"), F.coalesce(F.sum("__sum").over(over), F.lit(0)).alias("__off"))
+    inner = Window.partitionBy(*one, "__block").orderBy(order, *(more or [])).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__in", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    same = F.col("__block") == F.col("__kb")
+    for i, k in enumerate(one):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return rows.join(per, same).withColumn(out, F.col("__off") + F.col("__in")).select(*df.columns, out)
+
+
+def _bisect(c: Column, cuts: list[float]) -> Column:
+    """How many of the sorted ``cuts`` lie under ``c``, by halves."""
+    if not cuts:
+        return F.lit(0)
+    m = len(cuts) // 2
+    return F.when(c <= cuts[m], _bisect(c, cuts[:m])).otherwise(_bisect(c, cuts[m + 1 :]) + m + 1)
+
+
+def evenly_spaced(df: DataFrame, keys: list[str], order: str, cap: int) -> DataFrame:
+    """Rows at ``cap`` evenly spaced ranks of each key, all if there are no more; ranks, not lists of a key's rows."""
+    rows = running(df.withColumn("__1", F.lit(1).cast("long")), keys, order, "__1", "__i")
+    n = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    rows = rows.join(n, keys)
+    at = F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), lambda j: F.floor(j * (F.col("__n") - 1) / max(cap - 1, 1)))
+    return rows.where((F.col("__n") <= cap) | F.array_contains(at, F.col("__i"))).select(*df.columns)
+
+
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key; a struct minimum, so hot keys are combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
@@ -129,10 +169,10 @@ def epoch_windows(plan: DataFrame, n: str, take: str, key: list[str], seed: int)
     return plan.where((F.col(take) > 0) & (F.col(n) > 0)).select(*key, F.posexplode(F.concat(passes, extra)).alias("visit", "window"))
 
 
-def subsample(df: DataFrame, group: list[str], length: Column, order: Column, cap: int) -> DataFrame:
-    """Rows in hash order until ``cap`` is reached, the one that reaches it included."""
-    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("__before", F.coalesce(F.sum(length).over(w), F.lit(0))).where(F.col("__before") < cap).drop("__before")
+def subsample(df: DataFrame, group: list[str], length: Column, order: list[Column], cap: int) -> DataFrame:
+    """Rows in hash order (a draw, then what breaks ties) until ``cap`` is reached, the one that reaches it included."""
+    rows = df.withColumns({"__n": length, **{f"__o{i}": c for i, c in enumerate(order)}})
+    return running(rows, group, "__o0", "__n", "__before", [f"__o{i}" for i in range(1, len(order))]).where(F.col("__before") < cap).select(*df.columns)
 
 
 # packing and shards
@@ -141,8 +181,8 @@ def subsample(df: DataFrame, group: list[str], length: Column, order: Column, ca
 def pack(df: DataFrame, group: list[str], order: str, seq: str = "seq", limit: int = 50_000, sep: str = "N" * 16) -> DataFrame:
     """(group, chunk, n, text): short records joined in order into chunks of at most ``limit``; longer ones stand alone.
 
-    What a chunk holds depends on all before it in its group, so one group is one ordered stream (a file of a source); it
-    passes through in Arrow batches, and memory holds one chunk.
+    What a chunk holds depends on all before it in its group, so one group is one ordered stream: group by (source, file),
+    as files are written; it passes through in Arrow batches, and memory holds one chunk.
     """
     g = df.select(*group, order, seq).where(F.char_length(seq) > 0)
     names = [*group]
@@ -173,7 +213,10 @@ def pack(df: DataFrame, group: list[str], order: str, seq: str = "seq", limit: i
 
 
 def stitched_windows(df: DataFrame, group: list[str], order: str, seq: str = "seq", window: int = 4096, sep: str = "N" * 16) -> DataFrame:
-    """(group, i, text): fixed windows cut from the stream of sequences; the separator is left out when nothing waits."""
+    """(group, i, text): fixed windows cut from the stream of sequences; the separator is left out when nothing waits.
+
+    A group is one ordered stream: group by (source, file), as for ``pack``.
+    """
     names = [*group]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*group).schema) + ", i int, text string"
 
@@ -199,16 +242,32 @@ def stitched_windows(df: DataFrame, group: list[str], order: str, seq: str = "se
 
 def shard_layout(df: DataFrame, group: list[str], order: str, n: str, shard: int) -> DataFrame:
     """(group, shard_idx, first, n_pos) spans of each row: positions are cut into shards of a fixed count."""
-    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("__end", F.sum(n).over(w)).withColumn("__start", F.col("__end") - F.col(n)).where(F.col(n) > 0)
+    rows = running(df.where(F.col(n) > 0), group, order, n, "__start").withColumn("__end", F.col("__start") + F.col(n))
     rows = rows.withColumn("shard_idx", F.explode(F.sequence(F.floor(F.col("__start") / shard), F.floor((F.col("__end") - 1) / shard))))
     lo, hi = F.greatest(F.col("__start"), F.col("shard_idx") * shard), F.least(F.col("__end"), (F.col("shard_idx") + 1) * shard)
     return rows.select(*group, order, "shard_idx", (lo - F.col("__start")).alias("first"), (hi - lo).alias("n_pos"))
 
 
 def quota_stop(df: DataFrame, group: list[str], order: str, n: str, quota: int) -> DataFrame:
-    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("done", F.coalesce(F.sum(n).over(w), F.lit(0))).where(F.col("done") < quota)
+    return running(df, group, order, n, "done").where(F.col("done") < quota)
+
+
+def complete_shards(layout: DataFrame, group: list[str], shard: int, wanted: Column | None = None) -> DataFrame:
+    """(group, shard_idx, n_rows) of the shards that are full, of the ``wanted`` groups only."""
+    rows = layout if wanted is None else layout.where(wanted)
+    per = rows.groupBy(*group, "shard_idx").agg(F.sum("n_pos").alias("__n"), F.count("*").alias("n_rows"))
+    return per.where(F.col("__n") == shard).drop("__n")
+
+
+def shard_checksums(layout: DataFrame, texts: DataFrame, group: list[str], order: str, text: str) -> DataFrame:
+    """(group, shard_idx, checksum): the digest of a shard's text, the parts of its rows in order.
+
+    A shard holds a fixed count of positions, which bounds the list.
+    """
+    part = F.substring(F.col(text), (F.col("first") + 1).cast("int"), F.col("n_pos").cast("int"))
+    rows = layout.join(texts.select(order, text), order).withColumn("__p", F.struct(order, part.alias("t")))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("__p")), lambda x: x["t"]), "")
+    return rows.groupBy(*group, "shard_idx").agg(F.md5(whole).alias("checksum"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -55,13 +55,21 @@ def ratios(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.exp(F.avg(F.ln(r))).alias("geometric_mean"), F.percentile(r, F.lit(0.5)).alias("median"))
 
 
-def identities(df: DataFrame, key: str, seq: str, group: list[str]) -> DataFrame:
-    """(group, a, b, identity) of pairs i < j of one length in a group; groups are designs of one arm and small."""
-    left = df.select(*group, F.col(key).alias("a"), F.col(seq).alias("sa"), F.char_length(seq).alias("len"))
-    right = df.select(*group, F.col(key).alias("b"), F.col(seq).alias("sb"), F.char_length(seq).alias("len"))
-    pairs = left.join(right, [*group, "len"]).where("a < b AND len > 0")
-    same = F.size(F.filter(F.zip_with(F.split("sa", ""), F.split("sb", ""), lambda x, y: x == y), lambda t: t))
-    return pairs.select(*group, "a", "b", (same / F.col("len")).alias("identity"))
+def identities(df: DataFrame, key: str, seq: str, group: list[str], asks: Column | None = None) -> DataFrame:
+    """(group, a, b, identity) of pairs of one length in a group: i < j, or with ``asks`` each asking row with every other.
+
+    Sequences are compared piece by piece; a pair in which both ask is one row, with the lesser key as a.
+    """
+    from .kmers import pieces
+
+    rows = df.select(*group, key, seq, F.char_length(seq).alias("len"), (F.lit(True) if asks is None else asks).alias("__asks")).where("len > 0")
+    rows = pieces(rows, 0, [*group, key, "len", "__asks"], seq)
+    left = rows.where("__asks").select(*group, "len", "__at", F.col(key).alias("a"), F.col("__p").alias("__pa"))
+    right = rows.select(*group, "len", "__at", F.col(key).alias("b"), F.col("__p").alias("__pb"), F.col("__asks").alias("__too"))
+    pairs = left.join(right, [*group, "len", "__at"]).where("a <> b AND NOT (__too AND b < a)")
+    same = F.size(F.filter(F.zip_with(F.split("__pa", ""), F.split("__pb", ""), lambda x, y: x == y), lambda t: t))
+    pairs = pairs.groupBy(*group, "len", "a", "b").agg(F.sum(same).alias("__same"))
+    return pairs.select(*group, "a", "b", (F.col("__same") / F.col("len")).alias("identity"))
 
 
 def top_candidates(rows: DataFrame, keys: list[str], loss: str, index: str, n: int = 2) -> DataFrame:
@@ -69,14 +77,22 @@ def top_candidates(rows: DataFrame, keys: list[str], loss: str, index: str, n: i
     return rows.where(F.col(loss).isNotNull()).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def chains(spark, nodes: DataFrame, node: str, parent: str, text: str, deepest: int) -> DataFrame:
-    """(node, depth, path): texts from the root, by joining level after level; ``deepest`` bounds the levels."""
-    level = nodes.where(F.col(parent).isNull()).select(F.col(node).alias("node"), F.lit(0).alias("depth"), F.col(text).alias("path"))
-    out = level
-    for d in range(1, deepest + 1):
-        level = nodes.alias("n").join(level.alias("p"), F.col(f"n.{parent}") == F.col("p.node")).select(F.col(f"n.{node}").alias("node"), F.lit(d).alias("depth"), F.concat(F.col("p.path"), F.col(f"n.{text}")).alias("path"))
-        out = out.unionByName(level)
-    return out
+def chains(nodes: DataFrame, node: str, parent: str, text: str) -> DataFrame:
+    """(node, depth, path): texts from the root on; nodes that lead to no root are left out.
+
+    Pointer doubling: in each round every node takes over what its ancestor has gathered, so a chain of n nodes takes
+    log2 n rounds, each a join of written tables.  Chains that close hold more nodes than there are and go.
+    """
+    from ..session import written
+
+    rows = written(nodes.select(F.col(node).alias("node"), F.col(parent).alias("up"), F.col(text).alias("path"), F.lit(0).alias("depth")))
+    total = rows.count()
+    while not rows.where("up IS NOT NULL").isEmpty():
+        above = rows.select(F.col("node").alias("up"), F.col("up").alias("__up"), F.col("path").alias("__path"), F.col("depth").alias("__depth"))
+        more = rows.where("up IS NOT NULL").join(above, "up")  # an inner join: who has no such ancestor is on no chain
+        more = more.select("node", F.col("__up").alias("up"), F.concat("__path", "path").alias("path"), (F.col("depth") + F.col("__depth") + 1).alias("depth"))
+        rows = written(rows.where("up IS NULL").select("node", "up", "path", "depth").union(more.where(F.col("depth") < total)))
+    return rows.where("up IS NULL").select("node", "depth", "path")
 
 
 def beam_search(spark, start: DataFrame, expand, score, rounds: int, width: int, checkpoint=None) -> DataFrame:

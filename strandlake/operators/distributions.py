@@ -142,6 +142,32 @@ def histogram(df: DataFrame, value: str, keys: list[str], width: float = 0.1, hi
     return rows.groupBy(*keys, at.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def histograms(df: DataFrame, value: str, keys: list[str], width: float = 0.1, high: float = 2.0) -> DataFrame:
+    """(keys, edges, counts, n, mean): one histogram a key in a row of its own, with the mean of the values in it."""
+    bins = round(high / width)
+    edges = F.array(*[F.lit(i * width) for i in range(bins + 1)])
+    at = F.least(F.size(F.filter(edges, lambda e: e <= F.col(value))) - 1, F.lit(bins - 1))
+    rows = df.where((F.col(value) >= 0) & (F.col(value) <= bins * width)).withColumn("__at", at)
+    counts = F.array(*[F.count_if(F.col("__at") == i) for i in range(bins)])
+    return rows.groupBy(*keys).agg(counts.alias("counts"), F.count("*").alias("n"), F.avg(value).alias("mean")).select(*keys, edges.alias("edges"), "counts", "n", "mean")
+
+
+def merged_histograms(parts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, edges, counts, n, sum) of histogram rows: counts add up bin by bin; parts with other edges are an error."""
+    one = keys or []
+    flat = parts.select(*one, "edges", "n", "mean", F.posexplode("counts").alias("__i", "__c"))
+    rows = flat.groupBy(*one, "__i").agg(F.sum("__c").alias("c"), F.min("edges").alias("low"), F.max("edges").alias("edges"), F.sum("n").alias("n"), F.sum(F.coalesce("mean", F.lit(0.0)) * F.col("n")).alias("s"))
+    same = F.max("edges") == F.min("low")
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("__i", "c"))), lambda x: x["c"])  # as long as there are bins
+    edges = F.when(same, F.max("edges")).otherwise(F.raise_error(F.lit("histograms with other edges")).cast("array<double>"))
+    return rows.groupBy(*one).agg(edges.alias("edges"), whole.alias("counts"), F.max("n").alias("n"), F.max("s").alias("sum"))
+
+
+def finalised(merged: DataFrame) -> DataFrame:
+    """``merged`` with the mean in place of the sum; no values, no mean."""
+    return merged.withColumn("mean", F.try_divide(F.col("sum"), F.col("n").cast("double"))).drop("sum")
+
+
 def running_product(df: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(out, F.product(value).over(w))

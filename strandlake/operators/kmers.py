@@ -1,7 +1,8 @@
 """k-mers and transition tables.
 
-``windows`` explodes overlapping blocks first and cuts windows inside a block, so the cost is linear in the length of a
-sequence; the counts are partial aggregates before any shuffle.
+``windows`` cuts a sequence into pieces in one linear scan, gives each piece the start of the next one, and cuts windows
+inside blocks of a piece, so the cost is linear in the length of a sequence; the counts are partial aggregates before any
+shuffle.
 """
 
 from __future__ import annotations
@@ -9,20 +10,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 128
+ALPHABET = "ACGTN"
+#: Symbols of a piece of a sequence, and of a block of windows in it.
+PIECE, BLOCK = 4096, 128
+
+
+def spread(df: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` dealt over the cluster by hash if its input has fewer partitions than there are cores (a few large files, say).
+
+    What follows makes many rows of each, so moving the few is cheap; input in many splits isn't shuffled.
+    """
+    spark = df.sparkSession
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    return df.repartition(tasks, *by) if df.rdd.getNumPartitions() < tasks else df
+
+
+def pieces(df: DataFrame, overlap: int, keep: list[str], seq: str = "seq") -> DataFrame:
+    """``keep``, __at (from 0) and __p: pieces of each sequence with ``overlap`` symbols of what follows."""
+    size = max(PIECE, overlap)
+    rows = df.select(*keep, F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("__c"))
+    more = F.transform("__c", lambda c, i: F.concat(c, F.left(F.coalesce(F.get("__c", i + 1), F.lit("")), F.lit(overlap))))
+    rows = rows.select(*keep, F.posexplode(more).alias("__at", "__p"))
+    return spread(rows.withColumn("__at", F.col("__at").cast("long") * size), [*keep, "__at", "__p"])
 
 
 def windows(df: DataFrame, k: int, keep: list[str], seq: str = "seq", pos: bool = False) -> DataFrame:
     """``keep`` plus kmer (and pos, from 0) for every window of k symbols; sequences shorter than k give none."""
-    n = F.char_length(seq)
-    rows = df.where(n >= k).select(*keep, F.col(seq).alias("__s"), F.explode(F.sequence(F.lit(0), n - k, F.lit(BLOCK))).alias("__o"))
-    rows = rows.select(*keep, "__o", F.substring("__s", F.col("__o") + 1, F.lit(BLOCK + k - 1)).alias("__b"))
+    rows = pieces(df, k - 1, keep, seq)
+    n = F.char_length("__p")
+    rows = rows.where(n >= k).select(*keep, "__at", "__p", F.explode(F.sequence(F.lit(0), n - k, F.lit(BLOCK))).alias("__o"))
+    rows = rows.select(*keep, (F.col("__at") + F.col("__o")).alias("__o"), F.substring("__p", F.col("__o") + 1, F.lit(BLOCK + k - 1)).alias("__b"))
     at = F.explode(F.sequence(F.lit(0), F.char_length("__b") - k)).alias("__i")
     rows = rows.select(*keep, "__o", "__b", at)
     cols = [F.substring("__b", F.col("__i") + 1, F.lit(k)).alias("kmer")]
     return rows.select(*keep, *cols, *([(F.col("__o") + F.col("__i")).cast("long").alias("pos")] if pos else []))
 
 
+def rolling(df: DataFrame, width: int, keep: list[str], seq: str = "seq") -> DataFrame:
+    """(keep, pos, last): the ``width`` symbols up to and including each position, fewer at the start of a sequence."""
+    padded = df.select(*keep, F.concat(F.lit("^" * (width - 1)), F.col(seq)).alias("seq"))
+    return windows(padded, width, keep, pos=True).select(*keep, "pos", F.translate("kmer", "^", "").alias("last"))
+
+
 def counts(df: DataFrame, k: int, keys: list[str], seq: str = "seq", plain: bool = True) -> DataFrame:
     """(keys, kmer, n); ``plain`` leaves out windows with anything but ACGT."""
     rows = windows(df, k, keys, seq)
@@ -43,32 +72,50 @@ def transitions(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     return rows.select(F.left("kmer", F.lit(k)).alias("ctx"), F.right("kmer", F.lit(1)).alias("nxt"), "cnt")
 
 
+def _by_symbol(n: str) -> Column:
+    """How often each symbol follows, in the order of the alphabet."""
+    return F.array(*[F.sum(F.when(F.col("nxt") == x, F.col(n)).otherwise(0)) for x in ALPHABET])
+
+
+def _added(c: Column) -> Column:
+    return F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def smoothed(table: DataFrame, alpha: float = 0.1) -> DataFrame:
     """(ctx, nxt, cnt, prob) over all five symbols of every context seen; a context never seen is uniform."""
-    grid = table.select("ctx").distinct().select("ctx", F.explode(F.array(*map(F.lit, "ACGTN"))).alias("nxt"))
-    full = grid.join(table, ["ctx", "nxt"], "left").select("ctx", "nxt", F.coalesce("cnt", F.lit(0)).alias("cnt"))
-    total = F.sum("cnt").over(Window.partitionBy("ctx"))
-    return full.withColumn("prob", (F.col("cnt") + F.lit(alpha)) / (total + F.lit(5 * alpha)))
+    rows = table.groupBy("ctx").agg(_by_symbol("cnt").alias("__c")).withColumn("__t", _added(F.col("__c")))
+    rows = rows.select("ctx", "__t", F.posexplode("__c").alias("__i", "cnt"))
+    nxt = F.substring(F.lit(ALPHABET), F.col("__i") + 1, F.lit(1))
+    return rows.select("ctx", nxt.alias("nxt"), "cnt", ((F.col("cnt") + F.lit(alpha)) / (F.col("__t") + F.lit(5 * alpha))).alias("prob"))
 
 
 def held_out_markov(df: DataFrame, ks: tuple[int, ...], split: Column, alpha: float = 0.1, seq: str = "seq", key: str = "doc_id") -> DataFrame:
-    """(k, n_train_trans, n_test, top1, ce_bits) of tables learnt on prefixes and tested on the rest, one row a k."""
-    out = None
-    for k in ks:
-        train = df.select(F.left(F.col(seq), split).alias("seq"))
-        cnt = transitions(train, k)
-        table = smoothed(cnt, alpha)
-        best = table.groupBy("ctx").agg(F.max_by("nxt", F.struct("prob", -F.instr(F.lit("ACGTN"), F.col("nxt")))).alias("best"))
-        # a test position's context is its k symbols before, padded with N at the start
-        padded = df.select(key, split.alias("cut"), F.concat(F.lit("N" * k), F.col(seq)).alias("seq"))
-        test = windows(padded, k + 1, [key, "cut"], pos=True).where("pos >= cut")
-        test = test.groupBy(F.left("kmer", F.lit(k)).alias("ctx"), F.right("kmer", F.lit(1)).alias("nxt")).agg(F.count("*").alias("m"))
-        rows = test.join(table.select("ctx", "nxt", "prob"), ["ctx", "nxt"], "left").join(best, "ctx", "left")
-        hit = F.when(F.coalesce("best", F.lit("A")) == F.col("nxt"), F.col("m")).otherwise(0)
-        one = rows.agg(F.sum("m").alias("n_test"), (F.sum(hit) / F.sum("m")).alias("top1"), (F.sum(-F.log2(F.coalesce("prob", F.lit(0.2))) * F.col("m")) / F.sum("m")).alias("ce_bits"))
-        one = one.crossJoin(cnt.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n_train_trans"))).select(F.lit(k).alias("k"), "n_train_trans", "n_test", "top1", "ce_bits")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(k, n_train_trans, n_test, top1, ce_bits) of tables learnt on prefixes and tested on the rest, one row a k.
+
+    One scan counts the windows of the longest context, in the training part and in the rest; shorter contexts are their
+    ends.  A mark before the start tells windows that begin there: they teach nothing, and a test position's context is
+    padded with N.
+    """
+    far = max(ks)
+    marked = df.select(split.alias("cut"), F.concat(F.lit("^" * far), F.col(seq)).alias("seq"))
+    rows = windows(marked, far + 1, ["cut"], pos=True)
+    tested = F.col("pos") >= F.col("cut")
+    rows = rows.groupBy("kmer").agg(F.count_if(~tested).alias("cnt"), F.count_if(tested).alias("m"))
+    rows = rows.select("kmer", "cnt", "m", F.explode(F.array(*map(F.lit, ks))).alias("k"))
+    ctx = F.substring("kmer", F.lit(far + 1) - F.col("k"), F.col("k"))
+    whole = ~F.contains(ctx, F.lit("^"))
+    rows = rows.select("k", F.translate(ctx, "^", "N").alias("ctx"), F.right("kmer", F.lit(1)).alias("nxt"), F.when(whole, F.col("cnt")).otherwise(0).alias("cnt"), "m")
+    rows = rows.groupBy("k", "ctx").agg(_by_symbol("cnt").alias("c"), _by_symbol("m").alias("t"), F.sum("cnt").alias("n"), F.sum("m").alias("m"))
+    seen, total = F.col("n") > 0, F.col("n") + F.lit(5 * alpha)
+    best = F.when(seen, F.array_position("c", F.array_max("c"))).otherwise(1)  # ties and the unseen: the first symbol
+    bits = F.zip_with("c", "t", lambda c, t: -t * F.when(seen, F.log2((c + F.lit(alpha)) / total)).otherwise(F.log2(F.lit(0.2))))
+    bits = F.aggregate(bits, F.lit(0.0), lambda a, x: a + x) - (F.col("m") - _added(F.col("t"))) * F.log2(F.lit(0.2))
+    rows = rows.select("k", "n", "m", F.element_at("t", best.cast("int")).alias("hit"), bits.alias("bits"))
+    rate = lambda c: F.try_divide(F.sum(c), F.sum("m").cast("double"))
+    out = rows.groupBy("k").agg(F.sum("n").alias("n_train_trans"), F.sum("m").alias("n_test"), rate("hit").alias("top1"), rate("bits").alias("ce_bits"))
+    every = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ks))).alias("k"))
+    zero = F.lit(0).cast("long")
+    return every.join(out, "k", "left").select("k", F.coalesce("n_train_trans", zero).alias("n_train_trans"), F.coalesce("n_test", zero).alias("n_test"), "top1", "ce_bits")
 
 
 def latest_before(df: DataFrame, k: int, key: str = "doc_id", seq: str = "seq") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import reverse_complement_upper
@@ -23,13 +23,29 @@ def codons(df: DataFrame, keep: list[str], seq: str = "seq") -> DataFrame:
     return rows.where(F.col("kmer").isin("ATG", *STOPS)).select(*keep, "strand", (F.col("pos") % 3).cast("int").alias("frame"), "pos", "kmer")
 
 
+def _dealt(rows: DataFrame, keep: list[str]) -> tuple[DataFrame, list[str]]:
+    """``rows`` by frame and block of positions, so that one long sequence is not one task; and the frame's columns."""
+    frame = [*keep, "strand", "frame"]
+    return rows.withColumn("__block", F.shiftright("pos", 16)).repartition(*frame, "__block"), frame
+
+
+def _carried(rows: DataFrame, frame: list[str], value: Column, ahead: bool) -> DataFrame:
+    """(frame, __block, __carry): the nearest value in the blocks after (or before) a block, one row a block."""
+    per = rows.groupBy(*frame, "__block").agg((F.min(value) if ahead else F.max(value)).alias("__v"))
+    w = Window.partitionBy(*frame).orderBy("__block")
+    w = w.rowsBetween(1, Window.unboundedFollowing) if ahead else w.rowsBetween(Window.unboundedPreceding, -1)
+    return per.select(*frame, "__block", (F.min("__v") if ahead else F.max("__v")).over(w).alias("__carry"))
+
+
 def complete(df: DataFrame, keep: list[str], least: int = 60, seq: str = "seq") -> DataFrame:
     """(keep, strand, frame, start, end, length): every start with its next stop in frame, nested ones included."""
-    w = Window.partitionBy(*keep, "strand", "frame").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    rows = codons(df, keep, seq).withColumn("stop", F.min(F.when(F.col("kmer") != "ATG", F.col("pos"))).over(w))
-    rows = rows.where("kmer = 'ATG' AND stop IS NOT NULL")
-    rows = rows.select(*keep, "strand", "frame", F.col("pos").alias("start"), (F.col("stop") + 3).alias("end"), (F.col("stop") + 3 - F.col("pos")).alias("length"))
-    return rows.where(F.col("length") >= least)
+    rows, frame = _dealt(codons(df, keep, seq), keep)
+    stop = F.when(F.col("kmer") != "ATG", F.col("pos"))
+    w = Window.partitionBy(*frame, "__block").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    found = rows.withColumn("stop", F.min(stop).over(w)).join(_carried(rows, frame, stop, True), [*frame, "__block"])
+    found = found.withColumn("stop", F.coalesce("stop", "__carry")).where("kmer = 'ATG' AND stop IS NOT NULL")
+    found = found.select(*frame, F.col("pos").alias("start"), (F.col("stop") + 3).alias("end"), (F.col("stop") + 3 - F.col("pos")).alias("length"))
+    return found.where(F.col("length") >= least)
 
 
 def metrics(df: DataFrame, key: str = "doc_id", least: int = 60, seq: str = "seq") -> DataFrame:
@@ -54,9 +70,10 @@ def open_span(df: DataFrame, keep: list[str], seq: str = "seq") -> DataFrame:
     lens = lens.where(F.col("len") - 2 > F.col("frame"))
     last = F.col("frame") + 3 * F.floor((F.col("len") - 3 - F.col("frame")) / 3)
     ends = lens.select(*keep, "strand", "frame", (last + 3).cast("long").alias("pos"))
-    w = Window.partitionBy(*keep, "strand", "frame").orderBy("pos")
-    marks = rows.select(*keep, "strand", "frame", "pos").unionByName(ends)
-    gaps = marks.withColumn("gap", F.col("pos") - 3 - F.coalesce(F.lag("pos").over(w), (F.col("frame") - 3).cast("long")))
+    marks, frame = _dealt(rows.select(*keep, "strand", "frame", "pos").unionByName(ends), keep)
+    before = F.lag("pos").over(Window.partitionBy(*frame, "__block").orderBy("pos"))
+    marks = marks.withColumn("__last", before).join(_carried(marks, frame, F.col("pos"), False), [*frame, "__block"])
+    gaps = marks.withColumn("gap", F.col("pos") - 3 - F.coalesce("__last", "__carry", (F.col("frame") - 3).cast("long")))
     best = gaps.groupBy(*keep).agg(F.greatest(F.max("gap"), F.lit(0)).alias("span"))
     return df.select(*keep).distinct().join(best, keep, "left").select(*keep, F.coalesce("span", F.lit(0)).cast("long").alias("span"))
 

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .curate import running
+
 
 def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
@@ -43,34 +50,50 @@ def auroc(df: DataFrame, label: str, score: str, keys: list[str] | None = None)
 
 
 def benjamini_hochberg(df: DataFrame, p: str, key: str, q: float = 0.05) -> DataFrame:
-    """``df`` with rejected: step-up over the finite p-values, ordered by (p, key)."""
+    """``df`` with rejected: step-up over the finite p-values, ordered by (p, key); ranks come block by block."""
     ok = finite(F.col(p))
-    every = Window.partitionBy(F.lit(0))
-    rows = df.withColumn("__ok", ok).withColumn("__rank", F.row_number().over(every.orderBy(F.desc("__ok"), p, key)))
-    n = F.sum(F.col("__ok").cast("int")).over(every)
-    last = F.max(F.when(F.col("__ok") & (F.col(p) <= F.col("__rank") / n * q), F.col("__rank"))).over(every)
-    return rows.withColumn("rejected", F.col("__ok") & F.coalesce(F.col("__rank") <= last, F.lit(False))).drop("__ok", "__rank")
+    ranked = running(df.where(ok).withColumn("__one", F.lit(1).cast("long")), [], p, "__one", "__rank", [key])
+    ranked = ranked.drop("__one").withColumn("__rank", F.col("__rank") + 1)
+    n = df.agg(F.count_if(ok).alias("__n"))
+    passed = ranked.crossJoin(F.broadcast(n)).where(F.col(p) <= F.col("__rank") / F.col("__n") * q)
+    last = passed.agg(F.max("__rank").alias("__last"))  # one row
+    yes = ranked.crossJoin(F.broadcast(last)).select(*df.columns, F.coalesce(F.col("__rank") <= F.col("__last"), F.lit(False)).alias("rejected"))
+    return yes.unionByName(df.where(~F.coalesce(ok, F.lit(False))).withColumn("rejected", F.lit(False)))
+
+
+def log_factorial(n: Column) -> Column:
+    """ln n!: a table up to 20, Stirling's series beyond (its error is under 1e-12 there)."""
+    table = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(21)])
+    x = F.greatest(n, F.lit(1)).cast("double")
+    series = x * F.ln(x) - x + F.ln(x * (2 * math.pi)) / 2 + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3.0))) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    return F.when(n <= 20, F.get(table, n.cast("int"))).otherwise(series)
 
 
 def fisher(df: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
     """``df`` with odds_ratio and pvalue of the two-sided exact test of ((a, b), (c, d)).
 
-    Log factorials come from one running sum up to the largest total; the tables of a margin are an array a row.
+    The tables of a row's margins are an array, as long as the least margin; nothing is shared between rows.
     """
-    most = df.agg(F.max(F.col(a) + F.col(b) + F.col(c) + F.col(d)).alias("m"))
-    logs = most.select(F.transform(F.sequence(F.lit(1), F.greatest(F.col("m"), F.lit(1)).cast("int")), lambda i: F.ln(i.cast("double"))).alias("l"))
-    zero = F.expr("named_struct('s', 0D, 'v', array(0D))")
-    lf = logs.select(F.aggregate("l", zero, lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.concat(acc["v"], F.array(acc["s"] + x)).alias("v")), lambda acc: acc["v"]).alias("__lf"))
-    A, B, C, D = (F.col(x).cast("int") for x in (a, b, c, d))
+    A, B, C, D = (F.col(x).cast("long") for x in (a, b, c, d))
     n1, n2, k = A + B, C + D, A + C
-    f = lambda x: F.get("__lf", x.cast("int"))
-    pmf = lambda x: F.exp(f(k) - f(x) - f(k - x) + f(n1 + n2 - k) - f(n1 - x) - f(n1 + n2 - k - n1 + x) - f(n1 + n2) + f(n1) + f(n2))
-    lo, hi = F.greatest(F.lit(0), k - n2), F.least(k, n1)
+    f = log_factorial
+    fixed = f(k) + f(n1 + n2 - k) + f(n1) + f(n2) - f(n1 + n2)
+    pmf = lambda x: F.exp(fixed - f(x) - f(k - x) - f(n1 - x) - f(n2 - k + x))
+    lo, hi = F.greatest(F.lit(0).cast("long"), k - n2), F.least(k, n1)
     seen = pmf(A)
     total = F.aggregate(F.transform(F.sequence(lo, hi), pmf), F.lit(0.0), lambda s, x: s + F.when(x <= seen * (1 + 1e-9) + 1e-15, x).otherwise(0.0))
     p = F.when((n1 == 0) | (n2 == 0), 1.0).otherwise(F.least(F.lit(1.0), total))
     odds = F.when((n1 == 0) | (n2 == 0) | (B == 0) | (C == 0), F.lit(None).cast("double")).otherwise(F.try_divide(A / B, C / D))
-    return df.crossJoin(F.broadcast(lf)).withColumns({"odds_ratio": odds, "pvalue": p}).drop("__lf")
+    return df.withColumns({"odds_ratio": odds, "pvalue": p})
+
+
+def _numbers(n: Column, step: int = 1 << 16) -> Column:
+    """Starts of blocks of the numbers below n; ``_inside`` gives the numbers of one, so no array grows with n."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(step).cast("long")))
+
+
+def _inside(start: Column, n: Column, step: int = 1 << 16) -> Column:
+    return F.explode(F.sequence(start, F.least(start + (step - 1), n - 1)))
 
 
 def _pick(replicate: Column, i: Column, seed: int, n: Column) -> Column:
@@ -84,10 +107,11 @@ def bootstrap_means(df: DataFrame, value: str, arm: Column, order: str, replicat
     Draws are an equi-join of drawn indices with numbered samples, replicates x sample rows in all, dealt by index.
     """
     rows = df.where(finite(F.col(value))).select(F.col(value).alias("v"), arm.alias("arm"), order)
-    rows = rows.withColumn("i", (F.row_number().over(Window.partitionBy("arm").orderBy(order)) - 1).cast("long"))
+    rows = running(rows.withColumn("__one", F.lit(1).cast("long")), ["arm"], order, "__one", "i").drop("__one")
     size = rows.groupBy("arm").agg(F.count("*").alias("n"))
     reps = df.sparkSession.range(replicates).select(F.col("id").alias("replicate"))
-    draws = size.crossJoin(reps).select("arm", "n", "replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
+    draws = size.crossJoin(reps).select("arm", "n", "replicate", _numbers(F.col("n")).alias("__b"))
+    draws = draws.select("arm", "n", "replicate", _inside(F.col("__b"), F.col("n")).alias("j"))
     draws = draws.select("arm", "replicate", _pick(F.col("replicate"), F.col("j"), seed, F.col("n")).alias("i"))
     means = draws.join(rows, ["arm", "i"]).groupBy("replicate", "arm").agg(F.avg("v").alias("m"))
     return means.groupBy("replicate").agg((F.max(F.when(F.col("arm"), F.col("m"))) - F.max(F.when(~F.col("arm"), F.col("m")))).alias("diff"))
@@ -113,7 +137,8 @@ def cluster_bootstrap(df: DataFrame, value: str, cluster: str, replicates: int,
     checked = sums.withColumn("i", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(cluster)) - 1).cast("long"))
     facts = sums.agg(F.count("*").alias("c"), (F.sum("s") / F.sum("n")).alias("estimate"), F.when(F.min("n") != F.max("n"), F.raise_error(F.lit("clusters of unequal size"))).otherwise(F.max("n")).alias("size"))
     reps = df.sparkSession.range(replicates).select(F.col("id").alias("replicate"))
-    draws = facts.where("size > 0").crossJoin(reps).select("replicate", "estimate", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("j"))
+    draws = facts.where("size > 0").crossJoin(reps).select("replicate", "estimate", "c", _numbers(F.col("c")).alias("__b"))
+    draws = draws.select("replicate", "estimate", "c", _inside(F.col("__b"), F.col("c")).alias("j"))
     draws = draws.select("replicate", "estimate", _pick(F.col("replicate"), F.col("j"), seed, F.col("c")).alias("i"))
     got = draws.join(checked, "i").groupBy("replicate").agg(F.max("estimate").alias("estimate"), (F.sum("s") / F.sum("n")).alias("m"))
     return got.agg(F.max("estimate").alias("estimate"), F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"), F.count("*").alias("replicates"))
@@ -152,3 +177,36 @@ def gate(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
 def recompute_violations(df: DataFrame, got: str, want: str, tolerance: float) -> DataFrame:
     g, w = F.col(got), F.col(want)
     return df.where(~F.coalesce(F.abs(g - w) <= tolerance, g.isNull() & w.isNull()))
+
+
+def weighted_median(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The median of each row of ``weights``, counts of the sorted ``values``; the mean of the middle two for even totals."""
+    run = np.cumsum(weights, axis=1)
+    n = run[:, -1:]
+    low, high = ((run > m).argmax(axis=1) for m in ((n - 1) // 2, n // 2))
+    return (values[low] + values[high]) / 2.0
+
+
+def bootstrap_statistic(df: DataFrame, group: str, value: str, statistic: Callable, replicates: int, seed: int, alpha: float = 0.05) -> DataFrame:
+    """(group, n, lo, hi): percentile interval of ``statistic(values, weights)`` over resamples of all rows of a group.
+
+    Rows are counted by value first, and a resample is a multinomial draw of these counts, which is the same law as drawing
+    rows; a group's task holds one weight a distinct value and replicate.
+    """
+    kind = dict(df.dtypes)[group]
+
+    def run(pdf):
+        pdf = pdf.sort_values("__v")
+        v, c = pdf["__v"].to_numpy(float), pdf["__c"].to_numpy(np.int64)
+        rng = np.random.default_rng([seed, len(v), int(c.sum())])
+        got = np.concatenate([statistic(v, rng.multinomial(c.sum(), c / c.sum(), k)) for k in _batches(replicates, len(v))])
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "n": [int(c.sum())], "lo": [np.quantile(got, alpha / 2)], "hi": [np.quantile(got, 1 - alpha / 2)]})
+
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    return counts.groupBy(group).applyInPandas(run, f"{group} {kind}, n long, lo double, hi double")
+
+
+def _batches(replicates: int, width: int, most: int = 1 << 22) -> list[int]:
+    """Replicates dealt over batches of at most ``most`` weights."""
+    step = max(1, most // max(1, width))
+    return [min(step, replicates - at) for at in range(0, replicates, step)]

@@ -22,6 +22,11 @@ ROUNDS = "rounds AS (SELECT user_id % 20 AS run, event_id, event_type, (event_id
 GAMMA = 12
 
 
+def densest(select: str) -> str:
+    """SQL over k (source, span, contig, start, rk): windows by their longest open span, and r: sequences by length."""
+    return f"""WITH {DNA}, r AS (SELECT source, doc_id, seq, row_number() OVER (PARTITION BY source ORDER BY length(seq) DESC, doc_id) - 1 AS contig FROM dna), w AS (SELECT source, contig, i AS start, substr(seq, i + 1, 2048) AS seq FROM r, unnest(range(0, length(seq) - 2047, 256)) t(i) WHERE contig < 3 AND length(seq) >= 2048), s AS (SELECT source, contig, start, 1 AS strand, seq FROM w UNION ALL SELECT source, contig, start, -1, reverse(translate(seq, 'ACGTN', 'TGCAN')) FROM w), cod AS (SELECT source, contig, start, strand, (i - 1) % 3 AS frame, i - 1 AS pos, substr(seq, i, 3) AS c FROM s, unnest(range(1, 2047)) t(i)), l AS (SELECT source, contig, start, pos - coalesce(max(CASE WHEN c IN ('TAA','TAG','TGA') THEN pos END) OVER (PARTITION BY source, contig, start, strand, frame ORDER BY pos ROWS UNBOUNDED PRECEDING), frame - 3) AS gap FROM cod), b AS (SELECT source, contig, start, max(gap) AS span FROM l GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY span DESC, contig, start) AS rk FROM b) {select}"""
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f

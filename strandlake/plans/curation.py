@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import curate as cu
-from .base import DNA, dna, query, r6, read
+from ..session import broadcast
+from .base import DNA, densest, dna, query, r6, read
 
 _DRAW = "((({0}) * 2654435761 + {1} * 40503) % 4294967296 * 69069 % 4294967296) / 4294967296.0::DOUBLE"
 
@@ -54,7 +55,7 @@ def flt05_admission_window(spark, d):
 @query(f"WITH {_FAM}, p AS (SELECT * FROM (VALUES ('FAM001'), ('FAM002'), ('FAM099')) t(family)) SELECT p.family, f.bp, f.family IS NULL AS missing FROM p LEFT JOIN f USING (family)")
 def join12_pinned_families(spark, d):
     pins = spark.range(1).select(F.explode(F.array(*map(F.lit, ("FAM001", "FAM002", "FAM099")))).alias("family"))
-    return F.broadcast(pins).join(_families(spark, d), "family", "left").select("family", "bp", F.col("n_contigs").isNull().alias("missing"))
+    return pins.join(_families(spark, d), "family", "left").select("family", "bp", F.col("n_contigs").isNull().alias("missing"))
 
 
 @query(f"""WITH {DNA} SELECT doc_id, sum((NOT regexp_matches(seq, '^[ACGTN]*$'))::INT)::BIGINT AS invalid, count(*) >= 1 AS enough FROM dna GROUP BY doc_id""")
@@ -151,35 +152,43 @@ def smp04_epoch_plan(spark, d):
 
 @query(f"WITH h AS (SELECT source, doc_id, n_chars, {_DRAW.format('doc_id', 9)} AS h FROM documents) SELECT source, doc_id FROM (SELECT *, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM h) WHERE b < 20000")
 def smp05_subsample_bp(spark, d):
-    order = F.struct(cu.hash_draw(F.col("doc_id"), 9), F.col("doc_id"))
+    order = [cu.hash_draw(F.col("doc_id"), 9), F.col("doc_id")]
     return cu.subsample(read(spark, d, "documents"), ["source"], F.col("n_chars"), order, 20000).select("source", "doc_id")
 
 
 @query(None)
 def smp06_weighted_windows(spark, d):
     """Weighted source, uniform record, uniform window: inverse distribution functions on hashed draws."""
-    s = dna(spark, d).where(F.char_length("seq") >= 64).withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
+    s = dna(spark, d).where(F.char_length("seq") >= 64).withColumn("one", F.lit(1).cast("long"))
+    s = cu.running(s, ["source"], "doc_id", "one", "i")
     w = s.groupBy("source").agg(F.count("*").alias("n"))
     every = Window.partitionBy(F.lit(0)).orderBy("source").rowsBetween(Window.unboundedPreceding, 0)
     w = w.withColumn("hi", F.sum("n").over(every) / F.sum("n").over(Window.partitionBy(F.lit(0)))).withColumn("lo", F.coalesce(F.lag("hi").over(Window.partitionBy(F.lit(0)).orderBy("source")), F.lit(0.0)))
-    draws = spark.range(200).select("id", cu.hash_draw(F.col("id"), 1).alias("u"), cu.hash_draw(F.col("id"), 2).alias("v"), cu.hash_draw(F.col("id"), 3).alias("x"))
-    got = draws.join(F.broadcast(w), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).withColumn("i", F.floor(F.col("v") * F.col("n")).cast("int"))
+    u = lambda k: F.shiftrightunsigned(F.xxhash64(F.lit(k), "id"), 11) / float(1 << 53)
+    draws = spark.range(200).select("id", u(1).alias("u"), u(2).alias("v"), u(3).alias("x"))
+    got = draws.join(broadcast(w), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).withColumn("i", F.floor(F.col("v") * F.col("n")).cast("int"))
     got = got.join(s.select("source", "i", "doc_id", "seq"), ["source", "i"])
     return got.select("id", "source", "doc_id", F.substring("seq", F.floor(F.col("x") * (F.char_length("seq") - 63)).cast("int") + 1, F.lit(64)).alias("window"))
 
 
-_PACK = f"""WITH RECURSIVE {DNA}, q AS (SELECT source, seq, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM dna WHERE seq <> ''), len AS MATERIALIZED (SELECT source, r, length(seq) AS n FROM q), f(source, r, size, chunk) AS (SELECT source, r, n, 0 FROM len WHERE r = 1 UNION ALL SELECT f.source, l.r, CASE WHEN f.size + 16 + l.n > 8000 THEN l.n ELSE f.size + 16 + l.n END, CASE WHEN f.size + 16 + l.n > 8000 THEN f.chunk + 1 ELSE f.chunk END FROM f JOIN len l ON l.source = f.source AND l.r = f.r + 1)"""
+def _pack(rows: str, keys: str) -> str:
+    """SQL: the rows (keys, ord, seq) of a table expression, packed in order into chunks of at most 8,000."""
+    on = " AND ".join(f"l.{k} = f.{k}" for k in keys.split(", "))
+    each = ", ".join(f"f.{k}" for k in keys.split(", "))
+    return f"""q AS MATERIALIZED (SELECT {keys}, seq, row_number() OVER (PARTITION BY {keys} ORDER BY ord) AS r FROM {rows} WHERE seq <> ''), len AS MATERIALIZED (SELECT {keys}, r, length(seq) AS n FROM q), f({keys}, r, size, chunk) AS (SELECT {keys}, r, n, 0 FROM len WHERE r = 1 UNION ALL SELECT {each}, l.r, CASE WHEN f.size + 16 + l.n > 8000 THEN l.n ELSE f.size + 16 + l.n END, CASE WHEN f.size + 16 + l.n > 8000 THEN f.chunk + 1 ELSE f.chunk END FROM f JOIN len l ON {on} AND l.r = f.r + 1), packed AS (SELECT {keys}, chunk::INTEGER AS chunk, count(*)::INTEGER AS n, md5(string_agg(seq, 'NNNNNNNNNNNNNNNN' ORDER BY r)) AS h FROM f JOIN q USING ({keys}, r) GROUP BY ALL)"""
 
 
-@query(_PACK + " SELECT f.source, chunk::INTEGER AS chunk, count(*)::INTEGER AS n, md5(string_agg(seq, 'NNNNNNNNNNNNNNNN' ORDER BY f.r)) AS h FROM f JOIN q USING (source, r) GROUP BY ALL")
+@query(f"WITH RECURSIVE {DNA}, rows_ AS (SELECT source, doc_id // 64 AS file, doc_id AS ord, seq FROM dna), {_pack('rows_', 'source, file')} SELECT * FROM packed")
 def st01_pack_chunks(spark, d):
-    out = cu.pack(dna(spark, d), ["source"], "doc_id", limit=8000)
-    return out.select("source", "chunk", "n", F.md5("text").alias("h"))
+    """Files are runs of 64 documents; each file of a source is a stream of its own."""
+    rows = dna(spark, d).withColumn("file", F.floor(F.col("doc_id") / 64))
+    return cu.pack(rows, ["source", "file"], "doc_id", limit=8000).select("source", "file", "chunk", "n", F.md5("text").alias("h"))
 
 
 @query(None)
 def st02_stitched_windows(spark, d):
-    return cu.stitched_windows(dna(spark, d), ["source"], "doc_id").select("source", "i", "text")
+    rows = dna(spark, d).withColumn("file", F.floor(F.col("doc_id") / 64))
+    return cu.stitched_windows(rows, ["source", "file"], "doc_id").select("source", "file", "i", "text")
 
 
 @query("WITH s AS (SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS e FROM documents WHERE n_chars > 0) SELECT source, doc_id, k::BIGINT AS shard_idx, (greatest(e - n_chars, k * 5000) - (e - n_chars))::BIGINT AS first, (least(e, (k + 1) * 5000) - greatest(e - n_chars, k * 5000))::BIGINT AS n_pos FROM s, unnest(range((e - n_chars)::BIGINT // 5000, (e - 1)::BIGINT // 5000 + 1)) t(k)")
@@ -194,10 +203,24 @@ def st04_resume_positions(spark, d):
     return lay.groupBy("source").agg(F.sum(full.cast("long")).alias("complete"), F.sum(F.when(full, F.col("n")).otherwise(0)).alias("resume_at"), F.sum(F.when(full, 0).otherwise(F.col("n"))).cast("long").alias("rest"))
 
 
-@query("SELECT source, count(*) AS shards, sum(n_chars)::BIGINT AS positions, bool_and(doc_id >= 0) AS complete FROM documents WHERE source IN ('src1', 'src4') GROUP BY source")
+@query(f"WITH {DNA}, s AS (SELECT source, doc_id, seq, length(seq) AS n, sum(length(seq)) OVER (PARTITION BY source ORDER BY doc_id) AS e FROM dna WHERE seq <> ''), l AS (SELECT source, doc_id, k AS shard_idx, substr(seq, (greatest(e - n, k * 5000) - (e - n) + 1)::BIGINT, (least(e, (k + 1) * 5000) - greatest(e - n, k * 5000))::BIGINT) AS part FROM s, unnest(range((e - n)::BIGINT // 5000, (e - 1)::BIGINT // 5000 + 1)) t(k)), c AS (SELECT source, shard_idx, count(*) AS n_rows, string_agg(part, '' ORDER BY doc_id) AS whole FROM l WHERE source IN ('src1', 'src4') GROUP BY ALL) SELECT source, shard_idx::BIGINT AS shard_idx, n_rows, md5(whole) AS checksum, shard_idx % 7 <> 3 AS ok, substr(whole, 1025, 64) AS window_ FROM c WHERE length(whole) = 5000")
 def src15_shard_catalogue(spark, d):
-    rows = read(spark, d, "documents").where(F.col("source").isin("src1", "src4"))
-    return rows.groupBy("source").agg(F.count("*").alias("shards"), F.sum("n_chars").alias("positions"), F.bool_and(F.col("doc_id") >= 0).alias("complete"))
+    """Full shards of two sources, read against the checksums on record (every seventh is wrong there), and one window of each."""
+    rows = dna(spark, d).withColumn("n", F.char_length("seq").cast("long"))
+    layout = cu.shard_layout(rows, ["source"], "doc_id", "n", 5000)
+    full = cu.complete_shards(layout, ["source"], 5000, F.col("source").isin("src1", "src4"))
+    layout = layout.join(full, ["source", "shard_idx"], "left_semi")
+    got = cu.shard_checksums(layout, rows, ["source"], "doc_id", "seq")
+    record = got.select("source", "shard_idx", F.when(F.col("shard_idx") % 7 == 3, F.lit("0")).otherwise(F.col("checksum")).alias("want"))
+    # window 16 of 64 positions: rows that overlap positions 1024 to 1087 of their shard
+    at = cu.running(layout.withColumn("__key", F.concat_ws("|", "source", F.col("shard_idx").cast("string"))), ["__key"], "doc_id", "n_pos", "at")
+    cut = at.where("at < 1088 AND at + n_pos > 1024").join(rows.select("doc_id", "seq"), "doc_id")
+    lo = F.greatest(F.lit(1024), F.col("at"))
+    part = F.substring("seq", (F.col("first") + lo - F.col("at") + 1).cast("int"), (F.least(F.lit(1088), F.col("at") + F.col("n_pos")) - lo).cast("int"))
+    cut = cut.groupBy("source", "shard_idx").agg(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("t")))).alias("w"))
+    cut = cut.select("source", "shard_idx", F.array_join(F.transform("w", lambda x: x["t"]), "").alias("window_"))
+    rows = full.join(got, ["source", "shard_idx"]).join(record, ["source", "shard_idx"]).join(cut, ["source", "shard_idx"])
+    return rows.select("source", "shard_idx", "n_rows", "checksum", (F.col("want") == F.col("checksum")).alias("ok"), "window_")
 
 
 @query("WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT vec_id, sum(abs(x)) AS t, sum(abs(x)) FILTER (WHERE i <= 8) AS s FROM e GROUP BY vec_id) SELECT vec_id FROM m WHERE abs(s / t + CASE WHEN vec_id % 9 = 0 THEN 0.5 ELSE 1 - s / t END - 1) > 0.02")
@@ -221,30 +244,54 @@ def snk04_manifest_upsert(spark, d):
 
 @query("SELECT doc_id, floor(e / 50000) > floor((e - n_chars) / 50000) AS crossed FROM (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id) AS e FROM documents)")
 def st11_crossed_multiples(spark, d):
-    w = Window.partitionBy(F.lit(0)).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = read(spark, d, "documents").withColumn("e", F.sum("n_chars").over(w))
-    return rows.select("doc_id", cu.crossed(F.col("e"), F.col("n_chars"), 50000).alias("crossed"))
+    rows = cu.running(read(spark, d, "documents").select("doc_id", "n_chars"), [], "doc_id", "n_chars", "b")
+    return rows.select("doc_id", cu.crossed(F.col("b") + F.col("n_chars"), F.col("n_chars"), 50000).alias("crossed"))
 
 
-@query("WITH k AS (SELECT source, doc_id, n_chars, CASE WHEN source IN ('src1', 'src2') THEN 'hold' WHEN source = 'src3' THEN 'excluded' ELSE 'train' END AS split, row_number() OVER (PARTITION BY source, n_chars % 97 ORDER BY doc_id) AS r FROM documents) SELECT split, source, count(*) AS n, sum(n_chars)::BIGINT AS bp FROM k WHERE split <> 'excluded' AND (split = 'train' OR r = 1) GROUP BY ALL")
-def smp07_two_pass_curation(spark, d):
-    docs = read(spark, d, "documents").select("source", "doc_id", "n_chars", (F.col("n_chars") % 97).alias("acc"))
-    docs = docs.withColumn("split", cu.route(F.col("source"), F.col("source").isin("src1", "src2"), F.col("source").isin("src1", "src2", "src3")))
-    hold = cu.first_wins(docs.where("split = 'hold'"), ["source", "acc"], ["doc_id"])
-    every = docs.where("split = 'train'").unionByName(hold)
-    return every.groupBy("split", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("bp"))
+#: Families are 40 accessions of six characters; those with 30,000 to 90,000 symbols may be held out, the first three by size.
+_CURATED = f"""{DNA}, c AS (SELECT doc_id, 'F' || lpad((doc_id % 40)::VARCHAR, 5, '0') AS family, seq FROM dna WHERE seq <> ''),
+st AS (SELECT family, count(*) AS n_contigs, sum(length(seq)) AS bp FROM c GROUP BY family), fit AS (SELECT *, bp >= 30000 AND bp <= 90000 AS inside FROM st WHERE bp >= 30000),
+adm AS (SELECT * FROM fit WHERE inside OR (SELECT count(*) FROM fit WHERE inside) < 3), hold AS (SELECT family FROM adm ORDER BY bp DESC, family LIMIT 3),
+rt AS (SELECT c.*, CASE WHEN h.family IS NOT NULL THEN 'hold' WHEN c.family IN ('F00003', 'F00007') THEN 'excluded' ELSE 'train' END AS split FROM c LEFT JOIN hold h USING (family)),
+kp AS (SELECT * FROM rt WHERE split = 'hold' OR split = 'train' AND {_DRAW.format('doc_id', 7)} < 0.6),
+fw AS (SELECT split, family, doc_id AS ord, seq FROM kp QUALIFY row_number() OVER (PARTITION BY split, family, md5(seq) ORDER BY doc_id) = 1)"""
 
 
-@query(f"WITH {DNA}, k AS (SELECT source, seq FROM dna WHERE {_DRAW.format('doc_id', 4)} < 0.5 AND seq <> '') SELECT source, count(*) AS n, sum(length(seq))::BIGINT AS bp FROM k GROUP BY source")
+@query(f"WITH RECURSIVE {_CURATED}, {_pack('fw', 'split, family')} SELECT split, family, chunk, n, h, n_contigs, bp::BIGINT AS bp FROM packed JOIN st USING (family)")
+def smp07_two_pass_curation(spark, d):
+    """First pass: statistics by family; then hold-outs, routing, sampling, exact copies once, packing, with the statistics."""
+    rows = dna(spark, d).where("seq <> ''").select("doc_id", F.concat(F.lit("F"), F.lpad((F.col("doc_id") % 40).cast("string"), 5, "0")).alias("family"), "seq")
+    stats = cu.family_stats(rows, "family", F.char_length("seq"))
+    hold = cu.admissible(stats, 30_000, 90_000, 3).orderBy(F.desc("bp"), "family").limit(3).select("family", F.lit(True).alias("held"))
+    rows = rows.join(F.broadcast(hold), "family", "left")  # three rows
+    held = F.coalesce("held", F.lit(False))
+    rows = rows.withColumn("split", cu.route(F.col("family"), held, held | F.col("family").isin("F00003", "F00007")))
+    rows = rows.where((F.col("split") == "hold") | (F.col("split") == "train") & (cu.hash_draw(F.col("doc_id"), 7) < 0.6))
+    rows = cu.first_wins(rows.select("split", "family", F.md5("seq").alias("acc"), "doc_id", "seq"), ["split", "family", "acc"], ["doc_id"])
+    packed = cu.pack(rows, ["split", "family"], "doc_id", limit=8000)
+    return packed.join(stats, "family").select("split", "family", "chunk", "n", F.md5("text").alias("h"), "n_contigs", "bp")
+
+
+@query(f"WITH RECURSIVE {DNA}, k AS (SELECT source, doc_id // 64 AS file, doc_id AS ord, seq FROM dna WHERE {_DRAW.format('doc_id', 4)} < 0.5), {_pack('k', 'source, file')} SELECT * FROM packed")
 def smp08_sampled_sources(spark, d):
-    k = dna(spark, d).where((cu.hash_draw(F.col("doc_id"), 4) < 0.5) & (F.col("seq") != ""))
-    return k.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.char_length("seq")).alias("bp"))
+    """Each file of a source is sampled and packed by itself."""
+    k = dna(spark, d).where(cu.hash_draw(F.col("doc_id"), 4) < 0.5).withColumn("file", F.floor(F.col("doc_id") / 64))
+    return cu.pack(k, ["source", "file"], "doc_id", limit=8000).select("source", "file", "chunk", "n", F.md5("text").alias("h"))
 
 
-@query(f"WITH {DNA}, r AS (SELECT source, seq, row_number() OVER (PARTITION BY source ORDER BY length(seq) DESC, doc_id) AS k FROM dna) SELECT source, left(seq, 1024) AS prompt_seq, length(seq)::INTEGER AS contig_len FROM r WHERE k = 1 AND length(seq) >= 2048")
+@query(densest("SELECT 'gtdb_' || k.source || '_coding' AS name, k.source AS prefix, k.start::INTEGER AS window_start, length(r.seq)::INTEGER AS contig_len, span::BIGINT AS orf_span_bp, substr(r.seq, k.start + 1, 1024) AS prompt_seq FROM k JOIN r ON r.source = k.source AND r.contig = k.contig WHERE rk = 1"))
 def smp09_prompt_construction(spark, d):
-    s = cu.longest(dna(spark, d), "source", F.char_length("seq"), "doc_id", 1).where(F.char_length("seq") >= 2048)
-    return s.select("source", F.left("seq", F.lit(1024)).alias("prompt_seq"), F.char_length("seq").alias("contig_len"))
+    """The prompt of a family is the start of the window with the longest open span among its longest sequences."""
+    from ..operators import orf
+
+    s = dna(spark, d).select("source", "doc_id", "seq")
+    best = orf.densest_window(s, "source", "doc_id")
+    top = cu.longest(s, "source", F.char_length("seq"), "doc_id", 3).withColumn("contig", F.col("rank") - 1)
+    rows = best.join(top, ["source", "contig"])
+    return rows.select(
+        F.concat(F.lit("gtdb_"), "source", F.lit("_coding")).alias("name"), F.col("source").alias("prefix"), F.col("start").alias("window_start"),
+        F.char_length("seq").alias("contig_len"), F.col("span").alias("orf_span_bp"), F.substring("seq", F.col("start") + 1, F.lit(1024)).alias("prompt_seq"),
+    )
 
 
 @query("SELECT lang AS species, count(*) AS n, sum((n_chars < 99)::INT)::BIGINT AS failed, sum(CASE WHEN n_chars >= 99 THEN n_chars ELSE 0 END)::BIGINT AS bp FROM documents GROUP BY lang")

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..operators import designs as dg
 from .base import DNA, dna, query, r6, read
 
-_BASE = "runs AS (SELECT (o_orderkey // 2) % 4 AS pattern, (o_orderkey // 8) % 30 AS seed, CASE WHEN o_orderkey % 2 = 0 THEN 'native' ELSE 'treated' END AS arm, sum(o_totalprice) AS total_s, count(*) AS n FROM orders WHERE o_orderkey % 37 <> 5 GROUP BY 1, 2, 3)"
+_BASE = "runs AS (SELECT (o_orderkey // 2) % 4 AS pattern, (o_orderkey // 8) % 30 AS seed, CASE WHEN o_orderkey % 2 = 0 THEN 'native' ELSE 'treated' END AS arm, sum(o_totalprice) AS total_s, count(*) AS n FROM orders GROUP BY 1, 2, 3)"
 
 
 def _runs(spark, d):
     k = F.col("o_orderkey")
-    rows = read(spark, d, "orders").where(k % 37 != 5).select((F.floor(k / 2) % 4).alias("pattern"), (F.floor(k / 8) % 30).alias("seed"), F.when(k % 2 == 0, "native").otherwise("treated").alias("arm"), "o_totalprice")
+    rows = read(spark, d, "orders").select((F.floor(k / 2) % 4).alias("pattern"), (F.floor(k / 8) % 30).alias("seed"), F.when(k % 2 == 0, "native").otherwise("treated").alias("arm"), "o_totalprice")
     return rows.groupBy("pattern", "seed", "arm").agg(F.sum("o_totalprice").alias("total_s"), F.count("*").alias("n"))
 
 
@@ -72,23 +72,25 @@ def win05_budget_curve(spark, d):
     return dg.budget_curve(rows, ["arm"], "i", "s", F.col("q"), "item", 2000000.0).withColumn("seconds", F.round("seconds", 2))
 
 
-_IDENT = f"{DNA}, h AS (SELECT doc_id, source, left(seq, 40) AS seq FROM dna WHERE length(seq) >= 40 AND doc_id % 10 = 3)"
+#: Asked are the sequences whose id is divisible by 20, each against all sequences of its source and length.
+_IDENT = f"{DNA}, h AS (SELECT doc_id, source, length(seq) AS len, regexp_extract_all(seq, '.') AS seq FROM dna WHERE seq <> ''), pairs AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b, list_sum(list_transform(list_zip(a.seq, b.seq), lambda p: (p[1] = p[2])::INT)) / a.len::DOUBLE AS identity FROM h a JOIN h b ON a.source = b.source AND a.len = b.len WHERE a.doc_id % 20 = 0 AND a.doc_id <> b.doc_id AND NOT (b.doc_id % 20 = 0 AND b.doc_id < a.doc_id))"
 
 
-@query(f"WITH {_IDENT} SELECT a.source, a.doc_id AS a, b.doc_id AS b, round(list_sum(list_transform(range(1, 41), lambda i: (substr(a.seq, i, 1) = substr(b.seq, i, 1))::INT)) / 40.0, 6)::DOUBLE AS identity FROM h a JOIN h b ON a.source = b.source AND a.doc_id < b.doc_id")
+@query(f"WITH {_IDENT} SELECT source, a, b, round(identity, 6) AS identity FROM pairs")
 def join06_pairwise_identity(spark, d):
-    """Designs are the first 40 symbols of every tenth sequence: a small panel, compared within its source."""
-    h = dna(spark, d).where((F.char_length("seq") >= 40) & (F.col("doc_id") % 10 == 3)).select("doc_id", "source", F.left("seq", F.lit(40)).alias("seq"))
-    return dg.identities(h, "doc_id", "seq", ["source"]).withColumn("identity", r6(F.col("identity")))
+    h = dna(spark, d).select("doc_id", "source", "seq")
+    return dg.identities(h, "doc_id", "seq", ["source"], F.col("doc_id") % 20 == 0).withColumn("identity", r6(F.col("identity")))
 
 
-@query(f"WITH {_IDENT}, m AS (SELECT source, substr(seq, i, 4) AS k, count(*) AS n FROM h, range(1, 38) t(i) GROUP BY ALL), e AS (SELECT source, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS ent FROM m GROUP BY source), u AS (SELECT source, count(DISTINCT seq) AS exact_unique FROM h GROUP BY source) SELECT source, exact_unique, round(ent, 6) AS fourmer_entropy_bits FROM u JOIN e USING (source)")
+@query(f"WITH {_IDENT}, m AS (SELECT source, substr(seq, i, 4) AS k, count(*) AS n FROM dna, unnest(range(1, length(seq) - 2)) t(i) GROUP BY ALL), e AS (SELECT source, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS ent FROM m GROUP BY source), u AS (SELECT source, count(DISTINCT seq) AS exact_unique FROM dna GROUP BY source), p AS (SELECT source, avg(identity) AS identity FROM pairs GROUP BY source) SELECT source, exact_unique, round(ent, 6) AS fourmer_entropy_bits, round(identity, 6) AS mean_identity FROM u JOIN e USING (source) LEFT JOIN p USING (source)")
 def sta11_diversity(spark, d):
     from ..operators.kmers import entropy
 
-    h = dna(spark, d).where((F.char_length("seq") >= 40) & (F.col("doc_id") % 10 == 3)).select("source", F.left("seq", F.lit(40)).alias("seq"))
-    u = h.groupBy("source").agg(F.count_distinct("seq").alias("exact_unique"))
-    return u.join(entropy(h, 4, ["source"]), "source").select("source", "exact_unique", r6(F.col("entropy")).alias("fourmer_entropy_bits"))
+    s = dna(spark, d)
+    u = s.select("source", F.sha2("seq", 256).alias("h")).groupBy("source").agg(F.count_distinct("h").alias("exact_unique"))
+    p = dg.identities(s, "doc_id", "seq", ["source"], F.col("doc_id") % 20 == 0).groupBy("source").agg(F.avg("identity").alias("identity"))
+    rows = u.join(entropy(s, 4, ["source"]), "source").join(p, "source", "left")
+    return rows.select("source", "exact_unique", r6(F.col("entropy")).alias("fourmer_entropy_bits"), r6(F.col("identity")).alias("mean_identity"))
 
 
 @query("SELECT pattern, round_, idx, rank::INTEGER AS rank FROM (SELECT l_suppkey AS pattern, l_linenumber AS round_, l_orderkey AS idx, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY loss, l_orderkey) AS rank FROM (SELECT l_suppkey, l_linenumber, l_orderkey, min(CASE WHEN l_quantity > 2 THEN l_extendedprice END) AS loss FROM lineitem GROUP BY ALL) WHERE loss IS NOT NULL) WHERE rank <= 2")
@@ -105,14 +107,15 @@ def top09_experiment_order(spark, d):
     return p.select((F.col("a") * 2 + F.col("b")).alias("ord"), "pattern", "seed")
 
 
-_CHAIN = "n AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS parent, left(text, 3) AS s FROM conversations WHERE turn < 6)"
+_CHAIN = "n AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS parent, coalesce(text, '') AS s FROM conversations)"
 
 
-@query(f"WITH RECURSIVE {_CHAIN}, w(id, depth, path) AS (SELECT id, 0, s FROM n WHERE parent IS NULL UNION ALL SELECT n.id, depth + 1, path || n.s FROM n JOIN w ON n.parent = w.id) SELECT id::BIGINT AS id, depth::INTEGER AS depth, path FROM w")
+@query(f"WITH RECURSIVE {_CHAIN}, w(id, depth, path) AS (SELECT id, 0, s FROM n WHERE parent IS NULL UNION ALL SELECT n.id, depth + 1, path || n.s FROM n JOIN w ON n.parent = w.id) SELECT id::BIGINT AS id, depth::INTEGER AS depth, md5(path) AS path FROM w")
 def join09_parent_chains(spark, d):
-    c = read(spark, d, "conversations").where("turn < 6")
-    nodes = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.col("turn") > 0, F.col("conv_id") * 1000 + F.col("turn") - 1).alias("parent"), F.left("text", F.lit(3)).alias("s"))
-    return dg.chains(spark, nodes, "id", "parent", "s", 5).withColumnRenamed("node", "id")
+    """All turns with the digest of all texts from the first turn on."""
+    c = read(spark, d, "conversations")
+    nodes = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.col("turn") > 0, F.col("conv_id") * 1000 + F.col("turn") - 1).alias("parent"), F.coalesce("text", F.lit("")).alias("s"))
+    return dg.chains(nodes, "id", "parent", "s").select(F.col("node").alias("id"), "depth", F.md5("path").alias("path"))
 
 
 @query("SELECT doc_id, sha256(text) AS want, sha256(CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END) AS got FROM documents WHERE doc_id % 10 = 0")
@@ -150,7 +153,7 @@ def fn19_patterns(spark, d):
 @query("WITH p AS (SELECT l_orderkey AS id, l_linenumber AS rep, l_quantity AS x FROM lineitem WHERE l_linenumber <= 4), n AS (SELECT rep, max(x) AS m FROM p GROUP BY rep), v AS (SELECT id, rep, avg(x / m) AS x FROM p JOIN n USING (rep) GROUP BY ALL), s AS (SELECT id, avg(x) - stddev_pop(x) AS score, count(*) AS n FROM v GROUP BY id) SELECT id, round(score, 6) AS score FROM s WHERE n = 4")
 def fn20_score_predictions(spark, d):
     p = read(spark, d, "lineitem").where("l_linenumber <= 4").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("rep"), F.col("l_quantity").alias("x"))
-    v = p.join(F.broadcast(p.groupBy("rep").agg(F.max("x").alias("m"))), "rep").groupBy("id", "rep").agg(F.avg(F.col("x") / F.col("m")).alias("x"))
+    v = p.join(p.groupBy("rep").agg(F.max("x").alias("m")), "rep").groupBy("id", "rep").agg(F.avg(F.col("x") / F.col("m")).alias("x"))
     s = v.groupBy("id").agg((F.avg("x") - F.stddev_pop("x")).alias("score"), F.count("*").alias("n"))
     return s.where("n = 4").select("id", r6(F.col("score")).alias("score"))
 
@@ -169,14 +172,18 @@ def src16_result_scan(spark, d):
 
 @query(f"WITH {DNA}, r AS (SELECT doc_id, source, length(seq) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS c FROM dna) SELECT source, doc_id FROM r WHERE list_contains(list_transform(range(0, least(c, 4)::BIGINT), lambda j: floor(j * (c - 1) / 3.0)::BIGINT), i)")
 def src22_evenly_spaced_picks(spark, d):
-    from ..operators.curate import evenly
+    from ..operators.curate import evenly_spaced
 
-    g = dna(spark, d).groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("a"))
-    return g.select("source", F.explode(F.array_distinct(evenly(F.col("a"), 4))).alias("doc_id"))
+    return evenly_spaced(read(spark, d, "documents").select("source", "doc_id"), ["source"], "doc_id", 4).select("source", "doc_id")
 
 
-@query(f"WITH {DNA}, q AS (SELECT doc_id, i, substr(seq, i, 1) AS b FROM dna, range(1, 41) t(i) WHERE length(seq) >= 40) SELECT doc_id, i::INTEGER AS pos, count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)::BIGINT AS n, string_agg(b, '') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS last FROM q")
+@query(f"WITH {DNA}, q AS (SELECT doc_id, i, substr(seq, greatest(i - 3, 1), least(i, 4)) AS last FROM dna, unnest(range(1, length(seq) + 1)) t(i)) SELECT doc_id, count(*) AS n, sum(length(last))::BIGINT AS held, sum(i * (ascii(left(last, 1)) + 256 * ascii(right(last, 1))))::BIGINT AS checksum FROM q GROUP BY doc_id")
 def win14_rolling_context(spark, d):
-    s = dna(spark, d).where(F.char_length("seq") >= 40).select("doc_id", F.posexplode(F.split(F.left("seq", F.lit(40)), "")).alias("i", "b"))
-    w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(-3, 0)
-    return s.select("doc_id", (F.col("i") + 1).alias("pos"), F.count("*").over(w).alias("n"), F.array_join(F.collect_list("b").over(w), "").alias("last"))
+    """The last four symbols at every position, fewer at the start; what comes out is a digest of each sequence's contexts."""
+    from ..operators.kmers import rolling
+
+    rows = rolling(dna(spark, d), 4, ["doc_id"])
+    ends = F.ascii("last") + 256 * F.ascii(F.right("last", F.lit(1)))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.char_length("last")).alias("held"), F.sum((F.col("pos") + 1) * ends).alias("checksum"))
+
+

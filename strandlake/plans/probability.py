@@ -130,11 +130,13 @@ def agg10_entropy_histogram(spark, d):
     return ds.histogram(rows, "v", [])
 
 
-@query(f"WITH {SOFT}, h AS (SELECT vec_id, label, -sum(p * log2(p)) AS v FROM soft GROUP BY vec_id, label), part AS (SELECT label, count(*) AS n, sum(v) AS s FROM h GROUP BY label) SELECT sum(n)::BIGINT AS n, round(sum(s) / sum(n), 6) AS mean FROM part")
+@query(f"WITH {SOFT}, h AS (SELECT vec_id, label, least(-sum(p * log2(p)) / 3, 2.0) AS v FROM soft GROUP BY vec_id, label), part AS (SELECT label, least(floor(v / 0.1 + 1e-9), 19)::INTEGER AS bin, count(*) AS n FROM h GROUP BY ALL), m AS (SELECT label, count(*) AS n, avg(v) AS mean FROM h GROUP BY label), t AS (SELECT sum(n) AS n, sum(mean * n) / sum(n) AS mean FROM m) SELECT bin, sum(part.n)::BIGINT AS count, any_value(t.n)::BIGINT AS n, round(any_value(t.mean), 6) AS mean FROM part, t GROUP BY bin")
 def agg11_merge_histograms(spark, d):
-    rows = embeddings(spark, d).select("label", ds.entropy_bits(ds.softmax(F.col("e"))).alias("v"))
-    part = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
-    return part.agg(F.sum("n").alias("n"), r6(F.sum("s") / F.sum("n")).alias("mean"))
+    """One histogram a label, merged bin by bin; the mean is weighted by the parts' counts."""
+    v = F.least(ds.entropy_bits(ds.softmax(F.col("e"))) / 3, F.lit(2.0))
+    parts = ds.histograms(embeddings(spark, d).select("label", v.alias("v")), "v", ["label"])
+    out = ds.finalised(ds.merged_histograms(parts))
+    return out.select(F.posexplode("counts").alias("bin", "count"), "n", r6(F.col("mean")).alias("mean")).where("count > 0")
 
 
 @query(f"WITH {ROUNDS} SELECT run, count(*) AS n_rounds, round(avg(k), 6) AS mean_k, round(avg(k) + 1, 6) AS mean_tau, round(sum(k + 1) / sum(value), 6) AS tok_s, round((avg(k) + 1) * 19.413 / 21.269, 6) AS proj_speedup FROM rounds GROUP BY run")

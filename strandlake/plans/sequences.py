@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import kmers, orf
 from ..sources.files import parse_genome_line
-from .base import CLEAN, DNA, cleaned, dna, query, r6, read
+from ..session import broadcast
+from .base import CLEAN, DNA, cleaned, densest, dna, query, r6, read
 
 
 @query(f"WITH {CLEAN} SELECT doc_id, seq FROM clean WHERE seq <> ''")
@@ -15,9 +16,10 @@ def src04_load_clean(spark, d):
     return cleaned(spark, d).select("doc_id", "seq").where("seq <> ''")
 
 
-@query("""SELECT doc_id, '' AS record, substr(text, 1, 40) AS text FROM documents WHERE doc_id % 3 <> 0 AND text IS NOT NULL AND text <> ''""")
+@query("""SELECT doc_id, '' AS record, text FROM documents WHERE doc_id % 3 <> 0 AND text IS NOT NULL AND text <> ''""")
 def src09_genome_lines(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.left("text", F.lit(40)).alias("text"))
+    """Whole lines; every third is cut off and skipped."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
     broken = F.when(F.col("doc_id") % 3 == 0, F.lit('{"text": "unfinished')).otherwise(F.to_json(F.struct("text")))
     rows = docs.select("doc_id", parse_genome_line(broken).alias("r"))
     return rows.where("r.text IS NOT NULL AND r.text <> ''").select("doc_id", F.coalesce("r.record", F.lit("")).alias("record"), "r.text")
@@ -32,11 +34,14 @@ def src10_genome_records(spark, d):
     return rows.select("doc_id", F.coalesce("r.record", F.lit("")).alias("record"), F.char_length("r.text").cast("long").alias("n"))
 
 
-@query("""SELECT item_id, 'AAAA' || right(text, 30) || left(text, 20) || 'TTTT' AS scored, length(text)::BIGINT AS n FROM benchmark""")
+@query("""SELECT b.item_id, coalesce(right(u.text, 30), '') || b.text || coalesce(left(n.text, 20), '') AS scored, right(coalesce(u.text, ''), 40960) AS prompt, length(b.text)::BIGINT AS n FROM benchmark b LEFT JOIN benchmark u ON u.item_id = b.item_id - 1 LEFT JOIN benchmark n ON n.item_id = b.item_id + 1""")
 def src17_flank_assembly(spark, d):
-    b = read(spark, d, "benchmark")
-    up, down = F.concat(F.lit("AAAA"), F.right("text", F.lit(30))), F.concat(F.left("text", F.lit(20)), F.lit("TTTT"))
-    return b.select("item_id", F.concat(up, down).alias("scored"), F.char_length("text").cast("long").alias("n"))
+    """An item between the end of the one before and the start of the one after; the prompt is what lies upstream."""
+    b = read(spark, d, "benchmark").select("item_id", "text")
+    up, down = (b.select((F.col("item_id") + k).alias("item_id"), F.col("text").alias(n)) for k, n in ((1, "up"), (-1, "down")))
+    rows = b.join(up, "item_id", "left").join(down, "item_id", "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("up", "down")})
+    scored = F.concat(F.right("up", F.lit(30)), "text", F.left("down", F.lit(20)))
+    return rows.select("item_id", scored.alias("scored"), F.right("up", F.lit(40960)).alias("prompt"), F.char_length("text").cast("long").alias("n"))
 
 
 @query("""WITH r AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM benchmark) SELECT idx::BIGINT AS idx FROM r WHERE item_id = 7""")
@@ -72,16 +77,16 @@ def fn03_gc_fraction(spark, d):
     return dna(spark, d).select("doc_id", r6(tx.gc_fraction(F.col("seq"))).alias("gc"))
 
 
-@query("""SELECT doc_id, array_to_string(list_transform(range(1, 21), lambda i: CASE WHEN ascii(substr(text, i, 1)) >= 128 THEN '�' WHEN substr(text, i, 1) = '' THEN '' ELSE substr(text, i, 1) END), '') AS head FROM documents""")
+@query("""SELECT doc_id, md5(regexp_replace(text, '[^\\x{0}-\\x{7F}]', '�', 'g')) AS h, length(text)::BIGINT AS n FROM documents""")
 def fn04_ids_to_text(spark, d):
-    head = F.left("text", F.lit(20))
-    return read(spark, d, "documents").select("doc_id", tx.ids_to_text(F.transform(F.split(head, ""), lambda x: F.ascii(x))).alias("head"))
+    back = tx.ids_to_text(F.transform(F.split("text", ""), lambda x: F.ascii(x)))
+    return read(spark, d, "documents").select("doc_id", F.md5(back).alias("h"), F.char_length(back).cast("long").alias("n"))
 
 
-@query(f"""WITH {DNA} SELECT doc_id, ascii(substr(seq, 1, 1))::INTEGER AS first_id, strpos('ACGTN', substr(seq, 1, 1))::INTEGER - 1 AS first_symbol FROM dna WHERE seq <> ''""")
+@query(f"""WITH {DNA} SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(seq, '.'), lambda c: ascii(c)), ',')) AS ids, md5(translate(seq, 'ACGTN', '01234')) AS symbols FROM dna WHERE seq <> ''""")
 def fn05_seq_to_ids(spark, d):
-    s = F.left("seq", F.lit(1))
-    return dna(spark, d).where("seq <> ''").select("doc_id", F.get(tx.ids(s), 0).alias("first_id"), (F.instr(F.lit("ACGTN"), s) - 1).alias("first_symbol"))
+    ids = F.array_join(F.transform(tx.ids(F.col("seq")), lambda x: x.cast("string")), ",")
+    return dna(spark, d).where("seq <> ''").select("doc_id", F.md5(ids).alias("ids"), F.md5(F.translate("seq", "ACGTN", "01234")).alias("symbols"))
 
 
 @query(f"""WITH {DNA}, c AS (SELECT doc_id, lpad(right(seq, 3), 3, 'N') AS c FROM dna) SELECT doc_id, ((strpos('ACGTN', substr(c, 1, 1)) - 1) * 25 + (strpos('ACGTN', substr(c, 2, 1)) - 1) * 5 + strpos('ACGTN', substr(c, 3, 1)) - 1)::BIGINT AS code FROM c""")
@@ -95,9 +100,9 @@ def fn07_accession_family(spark, d):
     return read(spark, d, "documents").groupBy(tx.family(acc).alias("family")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {DNA}, p AS (SELECT doc_id, substr(seq, i, 1) AS c FROM dna, unnest(range(1, least(length(seq), 32) + 1)) t(i)) SELECT doc_id, sum((c = 'A')::INT)::BIGINT AS a, sum((c = 'C')::INT)::BIGINT AS c, sum((c = 'G')::INT)::BIGINT AS g, sum((c = 'T')::INT)::BIGINT AS t FROM p GROUP BY doc_id""")
+@query(f"""WITH {DNA} SELECT doc_id, {', '.join(f"(length(seq) - length(replace(seq, '{b}', '')))::BIGINT AS {b.lower()}" for b in 'ACGT')} FROM dna WHERE seq <> ''""")
 def fn21_one_hot(spark, d):
-    rows = dna(spark, d).where("seq <> ''").select("doc_id", tx.one_hot(F.left("seq", F.lit(32))).alias("h"))
+    rows = dna(spark, d).where("seq <> ''").select("doc_id", tx.one_hot(F.col("seq")).alias("h"))
     s = lambda i: F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a + F.get(x, i))
     return rows.select("doc_id", *[s(i).alias(n) for i, n in enumerate("acgt")])
 
@@ -122,9 +127,13 @@ def fn30_score_prompt_span(spark, d):
     return rows.select("doc_id", r6(F.col("entropy")).alias("entropy_k5"), r6(tx.homopolymer_fraction(F.col("seq"))).alias("homopolymer_frac6"), r6(F.coalesce("u", F.lit(1.0))).alias("unique_k10"), F.left("seq", F.lit(80)).alias("prefix80"))
 
 
-@query(r"""WITH p AS (SELECT doc_id, upper(regexp_replace(left(text, 200), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\v]', '', 'g')) AS s FROM documents) SELECT doc_id, CASE WHEN regexp_matches(s, '[^ACGTN]') THEN 'non-ACGTN' WHEN length(s) < 64 THEN 'too short' END AS reason FROM p""")
+@query(rf"""WITH {DNA}, p AS (SELECT doc_id, kind, upper(regexp_replace(raw, '[\s\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\v]', '', 'g')) AS s FROM (SELECT doc_id, 'raw' AS kind, text AS raw FROM documents UNION ALL SELECT doc_id, 'recoded', left(seq, 30) || chr(10) || lower(substr(seq, 31)) FROM dna)) SELECT doc_id, kind, CASE WHEN regexp_matches(s, '[^ACGTN]') THEN 'non-ACGTN' WHEN length(s) < 64 THEN 'too short' END AS reason FROM p""")
 def flt07_prompt_validation(spark, d):
-    return read(spark, d, "documents").select("doc_id", tx.prompt_reason(F.left("text", F.lit(200))).alias("reason"))
+    """Whole texts as they are, and whole recoded sequences with a line break and lower case in them."""
+    raw = read(spark, d, "documents").select("doc_id", F.lit("raw").alias("kind"), "text")
+    seq = F.concat(F.left("seq", F.lit(30)), F.lit("\n"), F.lower(F.substring("seq", F.lit(31), F.char_length("seq"))))
+    rows = raw.union(dna(spark, d).select("doc_id", F.lit("recoded"), seq))
+    return rows.select("doc_id", "kind", tx.prompt_reason(F.col("text")).alias("reason"))
 
 
 @query("""WITH c AS (SELECT doc_id, unnest(string_split(upper(text), '')) AS ch FROM documents) SELECT doc_id, count(DISTINCT ch) FILTER (WHERE ch NOT IN ('A','C','G','T','N','') AND ascii(ch) < 128) AS outside FROM c GROUP BY doc_id""")
@@ -190,7 +199,7 @@ def win03_open_span(spark, d):
     return orf.open_span(dna(spark, d), ["doc_id"])
 
 
-@query(f"""WITH {DNA}, r AS (SELECT source, doc_id, seq, row_number() OVER (PARTITION BY source ORDER BY length(seq) DESC, doc_id) - 1 AS contig FROM dna), w AS (SELECT source, contig, i AS start, substr(seq, i + 1, 2048) AS seq FROM r, unnest(range(0, length(seq) - 2047, 256)) t(i) WHERE contig < 3 AND length(seq) >= 2048), s AS (SELECT source, contig, start, 1 AS strand, seq FROM w UNION ALL SELECT source, contig, start, -1, reverse(translate(seq, 'ACGTN', 'TGCAN')) FROM w), cod AS (SELECT source, contig, start, strand, (i - 1) % 3 AS frame, i - 1 AS pos, substr(seq, i, 3) AS c FROM s, unnest(range(1, 2047)) t(i)), l AS (SELECT source, contig, start, pos - coalesce(max(CASE WHEN c IN ('TAA','TAG','TGA') THEN pos END) OVER (PARTITION BY source, contig, start, strand, frame ORDER BY pos ROWS UNBOUNDED PRECEDING), frame - 3) AS gap FROM cod), b AS (SELECT source, contig, start, max(gap) AS span FROM l GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY span DESC, contig, start) AS rk FROM b) SELECT source, span::BIGINT AS span, contig::INTEGER AS contig, start::INTEGER AS start FROM k WHERE rk = 1""")
+@query(densest("SELECT source, span::BIGINT AS span, contig::INTEGER AS contig, start::INTEGER AS start FROM k WHERE rk = 1"))
 def win04_densest_window(spark, d):
     return orf.densest_window(dna(spark, d), "source", "doc_id")
 
@@ -200,9 +209,12 @@ def win02_homopolymer_fraction(spark, d):
     return dna(spark, d).select("doc_id", r6(tx.homopolymer_fraction(F.col("seq"))).alias("frac"))
 
 
-@query(f"""WITH {DNA} SELECT doc_id, (i - 1)::BIGINT AS pos, substr(seq, i, 12) AS kmer FROM dna, unnest(range(1, length(seq) - 10)) t(i) WHERE i % 16 = 1""")
+@query(f"""WITH {DNA}, w AS (SELECT doc_id, i - 1 AS pos, substr(seq, i, 12) AS k FROM dna, unnest(range(1, length(seq) - 10)) t(i)) SELECT doc_id, count(*) AS n, sum(pos * (ascii(left(k, 1)) + 256 * ascii(right(k, 1))))::BIGINT AS checksum, min(k) AS least, max(k) AS most FROM w GROUP BY doc_id""")
 def win01_sliding_windows(spark, d):
-    return kmers.windows(dna(spark, d), 12, ["doc_id"], pos=True).where("pos % 16 = 0").select("doc_id", "pos", "kmer")
+    """All windows; what comes out is a digest of each sequence's windows with their places."""
+    w = kmers.windows(dna(spark, d), 12, ["doc_id"], pos=True)
+    ends = F.ascii("kmer") + 256 * F.ascii(F.right("kmer", F.lit(1)))
+    return w.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("pos") * ends).alias("checksum"), F.min("kmer").alias("least"), F.max("kmer").alias("most"))
 
 
 @query(f"""WITH {DNA} SELECT doc_id, floor(length(seq) * (1.0::DOUBLE - 0.1::DOUBLE))::INTEGER AS split, greatest(0, floor(length(seq) * (1.0::DOUBLE - 0.1::DOUBLE))::INTEGER - (length(seq) - least(length(seq), 2048)))::INTEGER AS held_from, length(right(seq, least(length(seq), 2048)::INTEGER))::INTEGER AS n FROM dna""")
@@ -259,7 +271,7 @@ def join07_model_lookup(spark, d):
     table = kmers.smoothed(kmers.transitions(dna(spark, d), 3))
     q = read(spark, d, "benchmark").select("item_id", F.lpad(F.right(tx.recode_letters(F.col("text")), F.lit(3)), 3, "N").alias("ctx"))
     grid = q.select("item_id", "ctx", F.explode(F.array(*map(F.lit, "ACGTN"))).alias("nxt"))
-    return grid.join(F.broadcast(table), ["ctx", "nxt"], "left").select("item_id", "nxt", r6(F.coalesce("prob", F.lit(0.2))).alias("prob"))
+    return grid.join(table, ["ctx", "nxt"], "left").select("item_id", "nxt", r6(F.coalesce("prob", F.lit(0.2))).alias("prob"))
 
 
 _PAIR = f"{DNA}, a AS (SELECT substr(seq, i, 3) AS m, count(*) AS n FROM dna, unnest(range(1, length(seq) - 1)) t(i) WHERE lang = 'en' GROUP BY 1), b AS (SELECT substr(seq, i, 3) AS m, count(*) AS n FROM dna, unnest(range(1, length(seq) - 1)) t(i) WHERE lang <> 'en' GROUP BY 1)"
@@ -297,7 +309,7 @@ def st06_greedy_markov_walk(spark, d):
     tr = kmers.transitions(dna(spark, d), 3)
     best = tr.groupBy("ctx").agg(F.max_by("nxt", F.struct("cnt", -F.instr(F.lit("ACGTN"), F.col("nxt")))).alias("best"))
     start = read(spark, d, "benchmark").select(F.col("item_id").alias("name"), tx.recode_letters(F.col("text")).alias("seq"))
-    return greedy_walk(start, F.broadcast(best), 3, 12)
+    return greedy_walk(start, broadcast(best), 3, 12)
 
 
 @query(_walk())
@@ -313,10 +325,9 @@ def st07_speculative_greedy(spark, d):
     return out.select(F.col("name").cast("long").alias("name"), "tokens")
 
 
-@query(f"""WITH {DNA} SELECT doc_id, '>' || doc_id || chr(10) || regexp_replace(left(seq, 300), '(.{{80}})', '\\1' || chr(10), 'g') AS v FROM dna WHERE length(left(seq, 300)) % 80 <> 0""")
+@query(f"""WITH {DNA} SELECT doc_id, '>' || doc_id || chr(10) || rtrim(regexp_replace(seq, '(.{{80}})', '\\1' || chr(10), 'g'), chr(10)) AS v FROM dna""")
 def snk06_fasta_wrap(spark, d):
-    s = dna(spark, d).select("doc_id", F.left("seq", F.lit(300)).alias("seq")).where(F.char_length("seq") % 80 != 0)
-    return s.select("doc_id", F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit("\n"), tx.wrap(F.col("seq"))).alias("v"))
+    return dna(spark, d).select("doc_id", F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit("\n"), tx.wrap(F.col("seq"))).alias("v"))
 
 
 @query(f"""WITH {DNA} SELECT doc_id, source, length(seq)::INTEGER AS length, sha256(seq) AS sha256 FROM dna""")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import stats as st
+from ..session import broadcast
 from .base import ROUNDS, embeddings, query, r6, read, rounds
 
 _ARMS = "arms AS (SELECT c_custkey AS id, c_acctbal AS v, c_nationkey < 12 AS arm FROM customer)"
@@ -186,22 +187,13 @@ def smp10_categorical_draws(spark, d):
     run = F.sum("n").over(w.orderBy("source").rowsBetween(Window.unboundedPreceding, 0))
     c = p.select("source", (run / F.sum("n").over(w)).alias("hi"), ((run - F.col("n")) / F.sum("n").over(w)).alias("lo"))
     u = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") * 2654435761 % 4294967296 * 69069 % 4294967296 / 4294967296.0).alias("u"))
-    return u.join(F.broadcast(c), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("id", "source")
+    return u.join(broadcast(c), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("id", "source")
 
 
 @query(None)
 def udf07_bootstrap_statistic(spark, d):
-    """A statistic of the user's as an aggregate over resampled rows: the median's interval by source."""
-    import numpy as np
-    import pandas as pd
+    """A statistic of the user's over resampled rows, all of them: the median's interval by source."""
+    docs = read(spark, d, "documents").select("source", "n_chars")
+    return st.bootstrap_statistic(docs, "source", "n_chars", st.weighted_median, 200, 7)
 
-    def lohi(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(pdf["n_chars"].to_numpy(float))
-        rng = np.random.default_rng(len(v))
-        m = np.median(rng.choice(v, (200, len(v))), axis=1)
-        return pd.DataFrame({"source": [pdf["source"].iloc[0]], "lo": [np.quantile(m, 0.025)], "hi": [np.quantile(m, 0.975)]})
 
-    # lengths are counted into at most 1,000 representatives a source first, which bounds a group
-    docs = read(spark, d, "documents").select("source", "n_chars")
-    reps = docs.groupBy("source").agg(F.percentile_approx("n_chars", [i / 999 for i in range(1000)], 10_000).alias("q")).select("source", F.explode("q").alias("n_chars"))
-    return reps.groupBy("source").applyInPandas(lohi, "source string, lo double, hi double")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "strandlake", cores: int | None = None, partitions: int | None = None) -> SparkSession:
@@ -23,3 +25,22 @@ def session(app: str = "strandlake", cores: int | None = None, partitions: int |
     for k, v in conf.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed into the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Only where the setting is absent and all tasks run in the driver's process is a local folder made.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        found = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="strandlake-"))
+    return df.checkpoint()
+
+
+def broadcast(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast if a count shows that it has at most ``rows`` rows; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -47,3 +47,43 @@ def held_out_pin(value: str) -> list[str]:
 def batches(total: int, shard: int) -> list[tuple[int, int]]:
     """(first, count) of fixed shards over ``total`` positions."""
     return [(at, min(shard, total - at)) for at in range(0, total, shard)]
+
+
+def known_sources(wanted: Iterable[str], known: Iterable[str]) -> list[str]:
+    """``wanted`` in its order; an empty list, a repeated or an unknown source is an error."""
+    names, have = list(wanted), set(known)
+    if not names:
+        raise ValueError("no sources")
+    if extra := sorted(set(names) - have):
+        raise ValueError(f"unknown sources: {extra}")
+    if len(set(names)) < len(names):
+        raise ValueError(f"repeated sources: {sorted({x for x in names if names.count(x) > 1})}")
+    return names
+
+
+def positive(**values: float) -> None:
+    """All of the named numbers must be over 0 and finite."""
+    if bad := {k: v for k, v in values.items() if not 0 < v < float("inf")}:
+        raise ValueError(f"must be positive: {bad}")
+
+
+def fractions(**values: float) -> None:
+    """All of the named numbers must lie between 0 and 1."""
+    if bad := {k: v for k, v in values.items() if not 0 <= v <= 1}:
+        raise ValueError(f"must lie between 0 and 1: {bad}")
+
+
+def dump_plan(budget: int, window: int, gamma: int, context: int, held: float, weights: str | Mapping[str, float], known: Iterable[str]) -> dict[str, int]:
+    """Whole windows of each source for a budget of positions; every argument is checked first, nothing is guessed."""
+    positive(budget=budget, window=window, gamma=gamma, context=context)
+    fractions(held=held)
+    if context + gamma >= window:
+        raise ValueError(f"a window of {window} has no place with {context} before and {gamma} after it")
+    shares = mixture(weights, known)
+    total = budget // window
+    if not total:
+        raise ValueError(f"a budget of {budget} holds no window of {window}")
+    plan = {k: int(total * w) for k, w in shares.items()}
+    for k, _ in sorted(shares.items(), key=lambda x: (-(total * x[1] - plan[x[0]]), x[0]))[: total - sum(plan.values())]:
+        plan[k] += 1
+    return plan

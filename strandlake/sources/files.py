@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,18 +19,39 @@ RECORD = T.StructType([T.StructField(c, T.StringType()) for c in ("name", "speci
 GENOME = T.StructType([T.StructField("record", T.StringType()), T.StructField("text", T.StringType())])
 
 
+def numbered(rows: DataFrame, out: str) -> DataFrame:
+    """Rows of a file source (with its _metadata still at hand) with path and ``out``, each row's number in its file, from 0.
+
+    A file may be read in many splits, in any order: rows are counted by split, the counts summed in order of the splits'
+    places in the file, and a row's number in its split comes from its running id.  Only one row a split is shuffled.
+    """
+    cols = rows.columns
+    rows = rows.select(*[F.col(f"`{c}`") for c in cols], F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__start"))
+    rows = rows.withColumn("__id", F.monotonically_increasing_id())
+    per = rows.groupBy("path", "__start").agg(F.min("__id").alias("__least"), F.count("*").alias("__n"))
+    before = Window.partitionBy("path").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("path", "__start", "__least", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    rows = rows.join(per, ["path", "__start"])
+    return rows.select(*[F.col(f"`{c}`") for c in cols], "path", (F.col("__id") - F.col("__least") + F.col("__before")).alias(out))
+
+
 def fasta(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """(path, row_seq, raw): records of FASTA files; headers go, text before the first header is a record.
+    """(path, row_seq, raw): records of FASTA files; headers go, text before the first header is record 0.
 
-    A file is split by Spark at line starts; a record's number keeps file order.
+    Records are read one a row, split at a ``>`` that begins a line (lines end in LF or CRLF), so a plain file is read in
+    many splits and no row holds more than a record; a gzip file is one split, since it has to be read from its start.
     """
     reader = spark.read
     if recursive:
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", FASTA_GLOB)
-    rows = reader.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("v"))
-    parts = rows.select("path", F.posexplode(F.split("v", "(?m)^>")).alias("row_seq", "part"))
-    body = F.when(F.col("row_seq") == 0, F.col("part")).otherwise(F.regexp_replace("part", r"^[^\n]*(\n|$)", ""))
-    return parts.select("path", "row_seq", F.replace(body, F.lit("\n"), F.lit("")).alias("raw")).where("raw <> ''")
+    rows = numbered(reader.text(path, lineSep="\n>"), "__i")
+    headed = F.startswith("value", F.lit(">"))
+    first = rows.where("__i = 0").select("path", headed.alias("__headed"))
+    rows = rows.join(first, "path")  # one row a file
+    inside = (F.col("__i") > 0) | F.col("__headed")
+    body = F.when(inside, F.regexp_replace("value", r"^[^\n]*(\n|$)", "")).otherwise(F.col("value"))
+    number = F.col("__i") + F.col("__headed").cast("int")
+    return rows.select("path", number.cast("int").alias("row_seq"), F.translate(body, "\r\n", "").alias("raw")).where("raw <> ''")
 
 
 def csv(spark: SparkSession, path: str) -> DataFrame:
@@ -48,10 +72,12 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def genome_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq, source) with source chrom:start-end; an empty id becomes hg38_ and the row's number."""
-    rows = spark.read.csv(path, header=True).withColumn("__i", F.monotonically_increasing_id())
-    ident = F.coalesce(F.nullif(F.col("id"), F.lit("")), F.concat(F.lit("hg38_"), F.col("__i").cast("string"))) if "id" in rows.columns else F.concat(F.lit("hg38_"), F.col("__i").cast("string"))
-    place = [F.coalesce(F.col(c), F.lit("")) if c in rows.columns else F.lit("") for c in ("chrom", "start", "end")]
+    """(name, seq, source) with source chrom:start-end; an empty id becomes hg38_ and the row's number in its file."""
+    read = spark.read.csv(path, header=True)
+    rows = numbered(read, "__i")
+    number = F.concat(F.lit("hg38_"), F.col("__i").cast("string"))
+    ident = F.coalesce(F.nullif(F.col("id"), F.lit("")), number) if "id" in read.columns else number
+    place = [F.coalesce(F.col(c), F.lit("")) if c in read.columns else F.lit("") for c in ("chrom", "start", "end")]
     out = rows.select(ident.alias("name"), clean(F.col("seq")).alias("seq"), F.concat(place[0], F.lit(":"), place[1], F.lit("-"), place[2]).alias("source"))
     return out.where("seq <> ''")
 
@@ -92,8 +118,16 @@ def species_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("name", clean(F.col("seq")).alias("seq"), F.col("species").alias("source")).where("seq <> ''")
 
 
-def genome_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, record, text) of JSON lines; broken rows and empty texts are skipped, a missing record is ''."""
+def genome_lines(spark: SparkSession, path: str, finished: bool = False) -> DataFrame:
+    """(path, record, text) of JSON lines; broken rows and empty texts are skipped, a missing record is ''.
+
+    A line that is broken off is skipped, a gzip file that is broken off is an error of the read.  ``finished`` checks all
+    files of the folder ``path`` first, and fails with the names of those that aren't whole.
+    """
+    if finished:
+        unfinished = inventory(spark, path, "*.jsonl*").where("NOT intact").select("path").limit(20)
+        if bad := sorted(r[0] for r in unfinished.collect()):
+            raise ValueError(f"unfinished files: {bad}")
     rows = spark.read.text(path).select(F.input_file_name().alias("path"), parse_genome_line(F.col("value")).alias("r"))
     return rows.where("r.text IS NOT NULL AND r.text <> ''").select("path", F.coalesce("r.record", F.lit("")).alias("record"), "r.text")
 
@@ -127,8 +161,7 @@ def track_index(spark: SparkSession, path: str, accession: str) -> int:
     hit = F.lit(False)
     for c in rows.columns:
         hit = hit | F.coalesce(F.col(f"`{c}`") == accession, F.lit(False))
-    numbered = rows.withColumn("__i", F.monotonically_increasing_id()).withColumn("__n", F.row_number().over(Window.orderBy("__i")) - 1)
-    found = [r[0] for r in numbered.where(hit).select("__n").limit(2).collect()]
+    found = [r[0] for r in numbered(rows, "__n").where(hit).select("__n").limit(2).collect()]
     if len(found) != 1:
         raise ValueError(f"{accession} is in {len(found)} rows")
     return found[0]
@@ -146,12 +179,48 @@ def intact(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return j.where(~F.coalesce(F.col("m.sha256") == F.col("f.sha256"), F.lit(False))).select("path", F.when(F.col("f.sha256").isNull(), "missing").otherwise("changed").alias("problem"))
 
 
-def inventory(spark: SparkSession, root: str, pattern: str = "*.jsonl.gz") -> DataFrame:
-    """(path, length, modified, train, intact) of chunk files; intact tells whether a gzip file has its marker and trailer."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    head, tail = F.hex(F.substring("content", F.lit(1), F.lit(2))), F.octet_length("content") >= 18
+def _unpacks(content: memoryview, step: int = 1 << 20) -> bool:
+    """All members of a gzip file end, with the right checksums and lengths; what comes out is not kept."""
+    at = 0
+    while at < len(content):
+        member = zlib.decompressobj(31)
+        try:
+            while at < len(content) and not member.eof:
+                piece = content[at : at + step]
+                at += len(piece)
+                while len(piece) and not member.eof:
+                    member.decompress(piece, 4 * step)
+                    piece = member.unconsumed_tail
+        except zlib.error:
+            return False
+        if not member.eof:
+            return False
+        at -= len(member.unused_data)
+    return len(content) > 0
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        whole = [_unpacks(memoryview(x.as_buffer())) for x in b.column("content")]
+        yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(whole, pa.bool_())], ["path", "whole"])
+
+
+def inventory(spark: SparkSession, root: str, pattern: str = "*.jsonl.gz", limit: int = 1 << 30) -> DataFrame:
+    """(path, length, modified, train, intact) of chunk files.
+
+    A file is intact if no marker of an unfinished download stands beside it, and a gzip file if it unpacks to its end with
+    the right checksums; null for gzip files over ``limit`` bytes, whose content is not read (Spark fails at their broken end).
+    """
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    rows = read.load(root).select("path", "length", F.col("modificationTime").alias("modified"))
+    packed = read.load(root).where((F.col("length") <= limit) & F.endswith("path", F.lit(".gz"))).select("path", "content")
+    checked = packed.mapInArrow(_whole, "path string, whole boolean")
+    busy = [re.sub("^file:/+", "/", p[: -len(".aria2")]) for p in listing(spark, root) if p.endswith(".aria2")]
+    marked = F.regexp_replace("path", "^file:/+", "/").isin(busy) if busy else F.lit(False)
+    whole = F.when(F.endswith("path", F.lit(".gz")), F.col("whole")).otherwise(F.lit(True))
     name = F.element_at(F.split("path", "/"), -1)
-    return rows.select("path", "length", F.col("modificationTime").alias("modified"), F.contains(name, F.lit("train")).alias("train"), ((head == "1F8B") & tail).alias("intact"))
+    rows = rows.join(checked, "path", "left")
+    return rows.select("path", "length", "modified", F.contains(name, F.lit("train")).alias("train"), F.when(marked, False).otherwise(whole).alias("intact"))
 
 
 def select_chunks(available: DataFrame, only: list[str]) -> DataFrame:

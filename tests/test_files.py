@@ -2,11 +2,14 @@
 
 import gzip
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.sources import files, sinks
+from strandlake.functions import plugins
+from strandlake.sources import config, files, sinks
 from strandlake.streaming import events as ev
 
 
@@ -27,6 +30,163 @@ def test_fasta_and_csv(spark, tmp_path):
     assert names == {"b.fasta.gz:1"}
 
 
+@pytest.fixture
+def many_splits(spark):
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2000b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.set(name, before)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("lead,end", [("", "\n"), ("ACGT\nAC\n", "\n"), ("", "\r\n")])
+def test_fasta_in_many_splits(spark, tmp_path, many_splits, lead, end):
+    rng = random.Random(1)
+    want, text = [], lead
+    for i in range(300):
+        seq = "".join(rng.choices("ACGT", k=rng.choice([0, 1, 30, 400])))
+        want += [(i + 1, seq)] if seq else []
+        text += f">r{i} > not a record\n" + "".join(seq[k : k + 60] + "\n" for k in range(0, len(seq), 60))
+    (tmp_path / "big.fa").write_bytes(text.replace("\n", end).encode())
+    found = files.fasta(spark, str(tmp_path / "big.fa"))
+    assert spark.read.text(str(tmp_path / "big.fa"), lineSep="\n>").rdd.getNumPartitions() > 4
+    assert sorted((r["row_seq"], r["raw"]) for r in found.collect()) == ([(0, "ACGTAC")] if lead else []) + want
+
+
+def test_row_numbers_in_many_splits(spark, tmp_path, many_splits):
+    rows = [f"{'' if i % 2 else f'id{i}'},chr1,{i},{i + 9},{'ACGTACGT' * 3}" for i in range(400)]
+    (tmp_path / "h.csv").write_text("id,chrom,start,end,seq\n" + "\n".join(rows) + "\n")
+    got = {r["source"]: r["name"] for r in files.genome_csv(spark, str(tmp_path / "h.csv")).collect()}
+    assert got == {f"chr1:{i}-{i + 9}": f"hg38_{i}" if i % 2 else f"id{i}" for i in range(400)}
+    (tmp_path / "t.tsv").write_text("index\tname\n" + "".join(f"{i}\tAC{i:05d}\n" for i in range(900)))
+    assert files.track_index(spark, str(tmp_path / "t.tsv"), "AC00777") == 777
+
+
+def test_broken_archives(spark, tmp_path):
+    line = json.dumps({"record": "r", "text": "ACGT" * 50}) + "\n"
+    whole = gzip.compress((line * 300).encode())
+    for name, data in (("a_train.jsonl.gz", whole), ("b.jsonl.gz", whole + whole), ("c.jsonl.gz", whole[:-9]), ("d.jsonl.gz", whole[:40] + b"xx" + whole[42:]), ("e.jsonl.gz", b"")):
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "f.jsonl.gz").write_bytes(whole)
+    (tmp_path / "f.jsonl.gz.aria2").write_text("")
+    got = {r["path"].rsplit("/", 1)[1][0]: r for r in files.inventory(spark, str(tmp_path)).collect()}
+    assert {k: r["intact"] for k, r in got.items() if k != "e"} == {"a": True, "b": True, "c": False, "d": False, "f": False}
+    assert [k for k, r in got.items() if r["train"]] == ["a"] and not (got["e"]["intact"] if "e" in got else False)
+    assert files.inventory(spark, str(tmp_path), limit=5).where("intact IS NULL").count() >= 4
+    with pytest.raises(ValueError, match="c.jsonl.gz"):
+        files.genome_lines(spark, str(tmp_path), finished=True)
+    with pytest.raises(Exception):
+        files.genome_lines(spark, str(tmp_path / "c.jsonl.gz")).collect()
+    assert files.genome_lines(spark, str(tmp_path / "b.jsonl.gz")).count() == 600
+    kept = files.select_chunks(files.inventory(spark, str(tmp_path)), ["b.jsonl.gz", "c.jsonl.gz"])
+    assert sorted(r["file"] for r in kept.collect()) == ["b.jsonl.gz", "c.jsonl.gz"]
+    with pytest.raises(ValueError, match="zz"):
+        files.select_chunks(files.inventory(spark, str(tmp_path)), ["zz"])
+
+
+def test_append_only_log(spark, tmp_path):
+    root, schema = str(tmp_path / "log"), "round int, loss double"
+    rows = lambda n: spark.createDataFrame([(n, i / 4) for i in range(3)], schema)
+    assert sinks.committed(spark, root, schema).count() == 0
+    assert sinks.append(rows(0), root, 0) and sinks.append(rows(1), root, 1)
+    assert not sinks.append(rows(9), root, 1)  # a rerun changes nothing
+    with pytest.raises(ValueError, match="next batch is 2"):
+        sinks.append(rows(3), root, 3)
+    rows(7).write.json(f"{root}/data/batch=2")  # written, never committed
+    assert sorted({(r["batch"], r["round"]) for r in sinks.committed(spark, root, schema).collect()}) == [(0, 0), (1, 1)]
+    assert sinks.append(rows(2), root, 2) and sinks.commits(spark, root) == [0, 1, 2]
+    sinks.truncate(spark, root, 1)
+    assert sinks.commits(spark, root) == [0] and sinks.committed(spark, root, schema).count() == 3
+    assert sinks.append(rows(5), root, 1)
+    assert {r["round"] for r in sinks.committed(spark, root, schema).collect()} == {0, 5}
+
+
+def test_sidecar_needs_no_order(spark):
+    rows = [("a", 3, "xyz"), ("a", 2, "ab"), ("b", 1, "q")]
+    one, two = (sorted(tuple(r) for r in sinks.sidecar(spark.createDataFrame(x, "k string, n int, p string"), ["k"], "n", "p").collect()) for x in (rows, rows[::-1]))
+    assert one == two and one[0][:2] == ("a", 5) and len(one[0][2]) == 8 and one[0][2] != one[1][2]
+
+
+def test_window_sampler_is_injected(spark):
+    df = spark.createDataFrame([("a", "ACGTACGTAC" * 5), ("b", "ACG"), ("c", None), ("d", "T" * 12)], "name string, seq string")
+    got = plugins.sample_windows(df, "name", "seq", 12, 4, 3)
+    rows = got.collect()
+    assert {r["name"] for r in rows} == {"a", "d"} and len(rows) == 8
+    text = {"a": "ACGTACGTAC" * 5, "d": "T" * 12}
+    assert all(r["text"] == text[r["name"]][r["start"] : r["start"] + 12] for r in rows)
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, plugins.sample_windows(df.repartition(3), "name", "seq", 12, 4, 3).collect()))
+    ends = plugins.sample_windows(df, "name", "seq", 12, 1, 3, lambda rng, length, window, n: np.array([length - window])).collect()
+    assert {r["name"]: r["start"] for r in ends} == {"a": 38, "d": 0}
+    with pytest.raises(Exception, match="outside"):
+        plugins.sample_windows(df, "name", "seq", 12, 1, 3, lambda rng, length, window, n: np.array([length])).collect()
+
+
+def test_scorer_is_set_up_once_a_task(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def build():
+        class Gc:
+            def __call__(self, seqs):
+                assert len(seqs) <= 2
+                return [sum(c in "GC" for c in s) / len(s) for s in seqs]
+
+            def close(self):
+                with open(log, "a") as f:
+                    f.write("closed\n")
+
+        return Gc()
+
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(["GC", "AT", None, "GA", "C"])], "id int, seq string").coalesce(1)
+    assert {r["id"]: r["score"] for r in plugins.scored(df, "seq", build, 2).collect()} == {0: 1.0, 1: 0.0, 2: None, 3: 0.5, 4: 1.0}
+    with open(log) as f:
+        assert f.read() == "closed\n"
+    with pytest.raises(Exception, match="1 scores for 2"):
+        plugins.scored(df, "seq", lambda: lambda seqs: [0.0], 2).collect()
+
+
+def test_fetching_again_and_without_version(spark, tmp_path):
+    def get(name):
+        mark = tmp_path / name
+        tried = int(mark.read_text()) if mark.exists() else 0
+        mark.write_text(str(tried + 1))
+        if name == "A.1" or name == "C" and tried >= 2:
+            return gzip.compress(b">A\nACGT\n") if name == "A.1" else b"late"
+        if name == "B":
+            return b"plain"
+        if name in ("C", "D"):
+            raise OSError("busy")
+        raise LookupError(name)
+
+    ids = spark.createDataFrame([("A.1",), ("B.2",), ("C",), ("D",), ("E.1",), (None,)], "acc string").coalesce(1)
+    got = {r["acc"]: r for r in plugins.fetched(ids, "acc", get, tries=3, wait=0.0).collect()}
+    assert got["A.1"]["text"] == ">A\nACGT\n" and (got["B.2"]["asked"], got["B.2"]["text"]) == ("B", "plain") and got["C"]["text"] == "late"
+    assert got["D"]["text"] is None and "busy" in got["D"]["problem"] and got["E.1"]["problem"] == "not found" and len(got) == 5
+
+
+def test_configuration(tmp_path):
+    (tmp_path / "m.json").write_text('{"a": 1, "b": 3}')
+    assert config.mixture(f"@{tmp_path}/m.json", ["a", "b"]) == {"a": 0.25, "b": 0.75}
+    for bad in ('{"c": 1}', '{"a": -1}', '{"a": 0}', "[1]"):
+        with pytest.raises(ValueError):
+            config.mixture(bad, ["a", "b"])
+    assert config.pool_pin('{"chunks": {"s": ["x"]}}') == {"s": ["x"]} and config.held_out_pin("GCA001, GCA002,") == ["GCA001", "GCA002"]
+    for f, bad in ((config.pool_pin, "{}"), (config.held_out_pin, "short")):
+        with pytest.raises(ValueError):
+            f(bad)
+    assert config.batches(10, 4) == [(0, 4), (4, 4), (8, 2)]
+    assert config.known_sources(["b", "a"], "ab") == ["b", "a"]
+    for bad in ([], ["c"], ["a", "a"]):
+        with pytest.raises(ValueError):
+            config.known_sources(bad, "ab")
+    plan = config.dump_plan(10_000, 64, 12, 32, 0.1, {"a": 1, "b": 2}, "ab")
+    assert plan == {"a": 52, "b": 104} and sum(plan.values()) == 10_000 // 64
+    for change in ({"budget": 0}, {"held": 1.5}, {"context": 60}, {"budget": 10}, {"gamma": float("nan")}, {"weights": {"c": 1}}):
+        with pytest.raises(ValueError):
+            config.dump_plan(**{"budget": 10_000, "window": 64, "gamma": 12, "context": 32, "held": 0.1, "weights": {"a": 1}, "known": "ab"} | change)
+
+
 def test_json_sources(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"a": {"seq": "acg", "source": "x"}, "b": "TT", "c": ""}))
     assert sorted(tuple(r) for r in files.samples(spark, str(tmp_path / "s.json")).collect()) == [("a", "ACG", "x"), ("b", "TT", "")]

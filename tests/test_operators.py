@@ -229,3 +229,126 @@ def test_cluster_bootstrap(spark):
     assert r["estimate"] == 2.5 and r["lo"] < 2.0 and r["hi"] > 3.0
     with pytest.raises(Exception, match="unequal"):
         st.cluster_bootstrap(df.limit(11), "v", "g", 10, 1).collect()
+
+
+def test_windows_over_many_pieces(spark, monkeypatch):
+    monkeypatch.setattr(kmers, "PIECE", 100)
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("ACGT"), n)) for n in (0, 5, 99, 100, 101, 205, 1000)]
+    df = spark.createDataFrame(list(enumerate(texts)), ["id", "seq"])
+    for k in (1, 7, 130):  # also windows longer than a piece
+        got = sorted(tuple(r) for r in kmers.windows(df, k, ["id"], pos=True).select("id", "pos", "kmer").collect())
+        assert got == sorted((i, p, t[p : p + k]) for i, t in enumerate(texts) for p in range(len(t) - k + 1))
+    got = sorted(tuple(r) for r in kmers.rolling(df, 4, ["id"]).collect())
+    assert got == sorted((i, p, t[max(0, p - 3) : p + 1]) for i, t in enumerate(texts) for p in range(len(t)))
+
+
+def test_frames_over_many_blocks(spark):
+    """Starts whose stop lies blocks away, and spans over blocks, as by a plain scan."""
+    rng = np.random.default_rng(4)
+    codons = [a + b + c for a in "ACGT" for b in "ACGT" for c in "ACGT" if a + b + c not in orf.STOPS + ("ATG",)]
+    seq = "ATG" + "".join(rng.choice(codons, 50_000)) + "TAA" + "".join(rng.choice(codons, 3000)) + "ATG" + "".join(rng.choice(codons, 100)) + "TGA"
+    df = spark.createDataFrame([(1, seq)], ["id", "seq"])
+    got = {tuple(r) for r in orf.complete(df, ["id"]).where("strand = 1 AND frame = 0").select("start", "end").collect()}
+    want, starts = set(), []
+    for p in range(0, len(seq) - 2, 3):
+        c = seq[p : p + 3]
+        if c == "ATG":
+            starts.append(p)
+        elif c in orf.STOPS:
+            want |= {(s, p + 3) for s in starts if p + 3 - s >= 60}
+            starts = []
+    assert got == want and len(want) == 2
+    best = 0
+    for strand in (seq, seq[::-1].translate(str.maketrans("ACGT", "TGCA"))):
+        for f in range(3):
+            last = f - 3
+            for p in range(f, len(strand) - 2, 3):
+                last = p if strand[p : p + 3] in orf.STOPS else last
+                best = max(best, p - last)
+    assert orf.open_span(df, ["id"]).first()["span"] == best
+
+
+def test_running_sums_by_blocks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(["a", "b", None][int(rng.integers(3))], int(rng.integers(50)), i, int(rng.integers(1, 9))) for i in range(800)] + [("hot", 7, i, 1) for i in range(1000, 1400)]
+    df = spark.createDataFrame(rows, "g string, o long, id long, n long")
+    for keys in (["g"], []):
+        got = {r["id"]: r["s"] for r in cu.running(df, keys, "o", "n", "s", ["id"]).collect()}
+        seen, want = {}, {}
+        for g, o, i, n in sorted(rows, key=lambda r: (r[1], r[2])):
+            k = g if keys else 0
+            want[i] = seen.get(k, 0)
+            seen[k] = want[i] + n
+        assert got == want
+    assert cu.running(df.where("id < 0"), ["g"], "o", "n", "s").count() == 0
+
+
+def test_evenly_spaced_ranks(spark):
+    df = spark.createDataFrame([("a", i * 3) for i in range(100)] + [("b", 1), ("b", 2)], "g string, o long")
+    got = sorted(tuple(r) for r in cu.evenly_spaced(df, ["g"], "o", 4).collect())
+    assert got == [("a", 0), ("a", 99), ("a", 198), ("a", 297), ("b", 1), ("b", 2)]
+
+
+def test_chains_by_doubling(spark):
+    rows = [(i, i - 1 if i else None, f"{i}.") for i in range(37)] + [(100, None, "x"), (101, 100, "y"), (200, 201, "c"), (201, 200, "c"), (300, 999, "lost")]
+    got = {r["node"]: (r["depth"], r["path"]) for r in dg.chains(spark.createDataFrame(rows, "id long, up long, t string"), "id", "up", "t").collect()}
+    assert got == {i: (i, "".join(f"{k}." for k in range(i + 1))) for i in range(37)} | {100: (0, "x"), 101: (1, "xy")}
+
+
+def test_identities_of_pairs_and_of_asking_rows(spark, monkeypatch):
+    monkeypatch.setattr(kmers, "PIECE", 4)
+    texts = {1: "ACGTACGTAC", 2: "ACGTACGTTT", 3: "ACG", 4: "ACGTACGTAC", 5: ""}
+    df = spark.createDataFrame([("s", k, v) for k, v in texts.items()], "g string, id long, seq string")
+    every = {(r["a"], r["b"]): r["identity"] for r in dg.identities(df, "id", "seq", ["g"]).collect()}
+    assert every == {(1, 2): 0.8, (1, 4): 1.0, (2, 4): 0.8}
+    asked = {(r["a"], r["b"]): r["identity"] for r in dg.identities(df, "id", "seq", ["g"], F.col("id").isin(2, 4)).collect()}
+    assert asked == {(2, 1): 0.8, (2, 4): 0.8, (4, 1): 1.0}
+
+
+def test_merged_histograms(spark):
+    df = spark.createDataFrame([("a", 0.05), ("a", 1.95), ("b", 0.06), ("b", 2.0), ("b", 2.5), ("b", None)], "g string, v double")
+    out = ds.finalised(ds.merged_histograms(ds.histograms(df, "v", ["g"]))).first()
+    assert out["n"] == 4 and out["counts"][0] == 2 and out["counts"][19] == 2 and sum(out["counts"]) == 4
+    assert out["mean"] == pytest.approx((0.05 + 1.95 + 0.06 + 2.0) / 4)
+    other = ds.histograms(df, "v", ["g"], 0.5).unionByName(ds.histograms(df, "v", ["g"]))
+    with pytest.raises(Exception, match="other edges"):
+        ds.merged_histograms(other).collect()
+
+
+def test_bootstrap_of_a_user_statistic(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 400, 1500), rng.integers(100, 103, 700)
+    df = spark.createDataFrame([("a", int(x)) for x in a] + [("b", int(x)) for x in b] + [("b", None)], "g string, v long")
+    got = {r["g"]: r for r in st.bootstrap_statistic(df, "g", "v", st.weighted_median, 200, 1).collect()}
+    for g, v in (("a", a), ("b", b)):
+        m = np.median(rng.choice(v, (400, len(v))), axis=1)
+        assert got[g]["n"] == len(v)
+        assert got[g]["lo"] == pytest.approx(np.quantile(m, 0.025), abs=6) and got[g]["hi"] == pytest.approx(np.quantile(m, 0.975), abs=6)
+    w = rng.integers(0, 4, (50, 9))
+    w[:, 0] += 1
+    v = np.sort(rng.normal(size=9))
+    assert st.weighted_median(v, w) == pytest.approx([np.median(np.repeat(v, x)) for x in w])
+
+
+def test_log_factorials(spark):
+    import math
+
+    for n in (0, 1, 20, 21, 50, 1000, 123_456):
+        assert one(spark, st.log_factorial(F.lit(n))) == pytest.approx(math.lgamma(n + 1), rel=1e-13, abs=1e-10)
+
+
+def test_rounds_in_batches_keep_the_law():
+    rng = np.random.default_rng(11)
+    n, p0, q0 = 40_000, np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.4, 0.3, 0.2, 0.1])
+    p1 = np.array([0.7, 0.1, 0.1, 0.1])
+    drafts = rng.choice(4, (n, 2, 1), p=q0)
+    p = np.broadcast_to(np.stack([p0, p1]), (n, 2, 2, 4))
+    out = dc.sampled_rounds(drafts, np.broadcast_to(q0 * 3, (n, 2, 1, 4)), p, rng)  # rows need not be normalised
+    for got, law in ((out.tokens[:, 0], p0), (out.tokens[out.accepted == 1, 1], p1)):
+        m = len(got)
+        assert ((np.bincount(got, minlength=4) - m * law) ** 2 / (m * law)).sum() < 16.3
+    single = dc.sampled_rounds(drafts[:, :1], np.broadcast_to(q0, (n, 1, 1, 4)), p[:, :1], rng)
+    assert single.accepted.mean() == pytest.approx(np.minimum(p0, q0).sum(), abs=0.01) and out.accepted.mean() > single.accepted.mean() + 0.05
+    want = np.array([dc.verify_greedy(d, t).tokens[0] for d, t in zip(drafts[:50], p[:50])])
+    assert (dc.greedy_rounds(drafts[:50], p[:50]).tokens[:, 0] == want).all()
