@@ -72,21 +72,31 @@ def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     scopes = _OPEN.get()[: -1 if keep else None]
     if scopes:
         scopes[-1].append(path)
-    with _shuffles_go(spark):
+    with _settings(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Arrow batches of materialised queries in bytes, unless the session says: they are twice in memory, for each core.
+ARROW_BYTES = 16 << 20
+
+
 @contextlib.contextmanager
-def _shuffles_go(spark: SparkSession) -> Iterator[None]:
-    """Queries that start inside delete their shuffle files at their end: what they made is in the shared folder then."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside delete their shuffle files at their end (what they made is in the shared folder then), and
+    send Arrow batches of bounded bytes."""
+    mine = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size, None) is None:
+        mine[size] = str(ARROW_BYTES)
+    before = {name: spark.conf.get(name, None) for name in mine}
+    for name, value in mine.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def literal_rows(spark: SparkSession, rows: str, schema: str) -> DataFrame:
