@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import marked, marks, materialize, scratch, small, without
+from .common import marked, marks, materialize, scratch, without
 
 # Titles that state a gender, and given names of either gender by script.
 MALE_TITLES = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Господин")
@@ -237,7 +237,7 @@ def replace_private(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
         table = materialize(marks(new, mine), "marks", keep=True)
     names = without(docs, "n_entities").columns
     every = marked(docs.withColumns(ids), mine, table, "__some")
-    some = every.where("__some").join(small(new), mine, "left")
+    some = every.where("__some").join(new, mine, "left")
     cols = [F.coalesce("__new", "text").alias(c) if c == "text" else F.col(f"`{c}`") for c in names]
     rest = every.where("NOT __some").select(*[F.col(f"`{c}`") for c in names], F.lit(0).cast("long").alias("n_entities"))
     return some.select(*cols, F.coalesce("__n", F.lit(0).cast("long")).alias("n_entities")).unionAll(rest)
