@@ -6,13 +6,14 @@ pipeline's near-duplicate stage 5 and 80.
 
 1. Equal sets collapse onto one representative (a digest of the set is the key).
 2. In one order of all shingles, rare before frequent, linked sets share a shingle among the first ``n - ceil(percent
-   n / 100) + 1`` of each, the prefix.  Prefixes make the inverted lists; lists of one member go.  The order needs no exact
+   n / 100) + 1`` of each, and with ``EXTRA`` more of each that many more.  These prefixes make the inverted lists; lists of
+   one member go.  The order needs no exact
    counts: frequent shingles, at most ``HOT`` of them, come last by count, the rest lie before them by hash.
 3. Families first: the members of every list stand in one order, the same in all lists, and neighbours that are so in
    several lists are tried.  A family of copies thus falls together with about as many trials as members.
 4. The search, exact: representatives in lists that hold several components are dealt to index blocks of bounded size,
-   with about twice their prefix (the head).  A representative visits the blocks in which one of its lists has a member of
-   another component and similar size; there, lists of the block over its head are searched by DivideSkip: short ones
+   with about twice their prefix (the head).  A representative visits the blocks in which as many of its lists as linked sets
+   share at least have members of another component and similar size; there, lists of the block over its head are searched by DivideSkip: short ones
    heap-merged with skips, long ones binary-probed, and members whose overlap reaches the required T kept.  Heads have
    their own exact T: two linked sets share at least ``min(k_a - (n_a - t), k_b - (n_b - t))`` of their first k_a and k_b
    shingles, where t is the overlap that links them.
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import literal_rows, marked, marks, materialize, scratch, without
+from .common import literal_rows, marked, marks, materialize, scratch, small, without
 from .components import components
 from .words import PLAIN, mix, pieces, shingles, word_hashes
 
@@ -56,6 +57,8 @@ HOT_PIECE, HOT_KEPT = 1 << 19, 1 << 18
 GROUP = 256
 #: Members of an inverted list that are put in order together.
 CHUNK = 4096
+#: Shingles of a prefix beyond those of which linked sets share one.
+EXTRA = 3
 #: Head shingles of an index block, visits of one task, and candidates that a visit gives in the first round.
 BLOCK, VISITS, BEST = 1 << 21, 1 << 14, 16
 #: Postings up to which short lists are merged by a heap, above by one stable sort; and long lists that are probed at once.
@@ -128,14 +131,20 @@ def hot_shingles(docs: DataFrame, words: int = WORDS, limit: int = HOT) -> tuple
 
 def lengths(n, percent: int = PERCENT):
     """Shingles of the prefix and of the head of a set of ``n`` > 0."""
-    prefix = n - (percent * n + 99) // 100 + 1
-    return prefix, np.minimum(n, 2 * prefix - 1)
+    least = n - (percent * n + 99) // 100 + 1  # linked sets share one of these
+    return np.minimum(n, least + EXTRA), np.minimum(n, np.maximum(2 * least - 1, least + EXTRA))
 
 
-def shared_heads(n_a, n_b, percent: int = PERCENT):
-    """Shingles that the heads of linked sets of these sizes share at least."""
+def shared_heads(n_a, n_b, percent: int = PERCENT, part: int = 1):
+    """Shingles that the heads (``part`` 0: the prefixes) of linked sets of these sizes share at least."""
     t = required(n_a, n_b, percent)
-    return np.maximum(1, np.minimum(lengths(n_a, percent)[1] - n_a + t, lengths(n_b, percent)[1] - n_b + t))
+    return np.maximum(1, np.minimum(lengths(n_a, percent)[part] - n_a + t, lengths(n_b, percent)[part] - n_b + t))
+
+
+def _shared_lists(n, percent: int):
+    """Lists that a set of ``n`` shares with any set that links with it, at least."""
+    few = [1] + [int(shared_heads(k, np.arange(-(-percent * k // 100), 100 * k // percent + 1), percent, 0).min()) for k in range(1, 200)]
+    return F.when(n < len(few), F.get(F.array(*map(F.lit, few)), n.cast("int"))).otherwise(min(few[100:]))
 
 
 @functools.lru_cache(1 << 14)
@@ -404,7 +413,8 @@ def linked(trials: DataFrame, reps: DataFrame, docs: DataFrame, words: int = WOR
 def _postings(sig: DataFrame, reps: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(token, id, n, chunk, chunks, last): the inverted lists of two and more members, each with the one before it.
 
-    Long lists are dealt over chunks; the first of a chunk follows no one here.
+    Long lists are dealt over chunks; the first of a chunk follows no one here.  All lists are in one order, so copies follow
+    one another in each of their lists.
     """
     long = literal_rows(sig.sparkSession, _long_lists(hot), "token:bigint,chunks:bigint")
     rows = sig.where("n > 0").select("id", "n", "prefix")
@@ -421,11 +431,10 @@ def _postings(sig: DataFrame, reps: DataFrame, hot: tuple[np.ndarray, np.ndarray
 
 def _neighbours(postings: DataFrame, percent: int) -> DataFrame:
     """(a, b): members that follow one another in two thirds of their lists or more; chunks of long lists by their first."""
-    near = postings.where("last IS NOT NULL").select(F.least("id", "last").alias("a"), F.greatest("id", "last").alias("b"), "n")
     first = postings.where("chunks > 1 AND last IS NULL").select("token", "chunk", "id", "n")
-    first = first.select("id", "n", F.lag("id").over(Window.partitionBy("token").orderBy("chunk")).alias("last")).where("last IS NOT NULL")
-    near = near.union(first.select(F.least("id", "last").alias("a"), F.greatest("id", "last").alias("b"), "n"))
-    near = near.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("n").alias("n"))
+    first = first.select("id", "n", F.lag("id").over(Window.partitionBy("token").orderBy("chunk")).alias("last"))
+    near = postings.select("id", "n", "last").union(first).where("last IS NOT NULL")
+    near = near.groupBy(F.least("id", "last").alias("a"), F.greatest("id", "last").alias("b")).agg(F.count("*").alias("k"), F.min("n").alias("n"))
     return near.where(300 * F.col("k") >= 2 * (100 - percent) * F.col("n")).select("a", "b")
 
 
@@ -444,32 +453,55 @@ def _band(percent: int) -> Callable:
     return lambda n: F.floor(F.log(n) / step).cast("int")
 
 
-def _index(mixed: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
-    """(id, n, root, band, block, head) of all members of ``mixed``: blocks of about BLOCK head shingles and one size class."""
-    ids = mixed.groupBy("id").agg(F.first("n").alias("n"), F.first("root").alias("root"))
-    members = sig.select("id", "head").join(ids, "id").withColumn("band", _band(percent)("n"))
-    sizes = ids.groupBy(_band(percent)(F.col("n")).alias("band")).agg(F.sum(F.least("n", F.ceil(F.col("n") * (200 - 2 * percent) / 100) + 1)).alias("s"))
-    bands = sizes.select("band", (F.floor(F.col("s") / BLOCK) + 1).alias("many"))  # one row a size class: few hundred at most
-    members = members.join(F.broadcast(bands), "band").withColumn("block", F.pmod(F.xxhash64("id"), "many"))
-    return materialize(members.select("id", "n", "root", "band", "block", "head"), "index")
-
-
-def _candidates(mixed: DataFrame, index: DataFrame, roots: DataFrame, percent: int, best: int, again: DataFrame | None) -> DataFrame:
-    """(a, b, more): what the visits of all asking members keep; of those in ``again`` with their new ``roots``, if given."""
-    where = index.select("id", "band", "block")
-    lists = mixed.join(where, "id").groupBy("token", "band", "block").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
-    asks = mixed.where("asks").select("token", "id", "root", _band(percent)(F.col("n")).alias("own"))
-    if again is not None:
-        asks = asks.join(again, "id", "left_semi")
-        index = index.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    visits = asks.join(lists, "token").where("abs(own - band) <= 1 AND (r1 <> root OR r2 <> root)").select("band", "block", "id").distinct()
+def _index(mixed: DataFrame, percent: int) -> DataFrame:
+    """(id, n, root) of the members of ``mixed`` that are in as many of its lists as linked sets share at least."""
+    rows = mixed.groupBy("id").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.count("*").alias("k"))
+    return materialize(rows.where(F.col("k") >= _shared_lists(F.col("n"), percent)).drop("k"), "index")
+
+
+def _blocks(index: DataFrame, percent: int) -> DataFrame:
+    """(band, many): the size classes with their numbers of blocks of about BLOCK head shingles, a row each."""
+    k = F.least("n", F.ceil(F.col("n") * (200 - 2 * percent) / 100) + 1)
+    return small(index.groupBy(_band(percent)(F.col("n")).alias("band")).agg((F.floor(F.sum(k) / BLOCK) + 1).alias("many")))
+
+
+def _dealt(rows: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """Adds band and block of each row's id."""
+    return rows.withColumn("band", _band(percent)("n")).join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("id"), "many")).drop("many")
+
+
+def _visits(mixed: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """(band, block, id): the blocks in which an asking member shares enough lists with members of other components."""
+    places = _dealt(mixed, blocks, percent).groupBy("token", "band", "block").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
+    asks = mixed.select("token", "id", "root", "asks", "n", _band(percent)(F.col("n")).alias("own"))
+    met = asks.join(places, "token").where("abs(own - band) <= 1 AND (r1 <> root OR r2 <> root)")
+    # of two members of one list at least one asks; it counts all lists that it shares with a block
+    met = met.groupBy("band", "block", "id").agg(F.count("*").alias("k"), F.bool_or("asks").alias("asks"), F.first("n").alias("n"))
+    return met.where(F.col("asks") & (F.col("k") >= _shared_lists(F.col("n"), percent))).select("band", "block", "id")
+
+
+def _candidates(mixed: DataFrame, index: DataFrame, sig: DataFrame, roots: DataFrame, percent: int, best: int, again: DataFrame | None) -> DataFrame:
+    """(a, b, more): what the visits of all asking members keep; of those in ``again`` with their new ``roots``, if given.
+
+    All is decided on narrow rows first; heads then go once to where their owner is a member or visits.
+    """
+    if again is not None:  # only lists of these, with the components as they are now, and only their members
+        named = lambda df: df.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        tokens = small(mixed.join(small(again), "id", "left_semi").select("token").distinct(), 100_000)
+        mixed = named(mixed.join(tokens, "token", "left_semi")).drop("asks").join(small(again.withColumn("asks", F.lit(True))), "id", "left")
+        mixed = materialize(mixed.withColumn("asks", F.coalesce("asks", F.lit(False))), "mixed")
+        index = materialize(named(index.join(mixed.select("id").distinct(), "id", "left_semi")), "index")
+    blocks = _blocks(index, percent)
+    visits = _visits(mixed, blocks, percent)
     visits = materialize(visits, "visits")
-    per = visits.groupBy("band", "block").agg((F.floor(F.count("*") / VISITS) + 1).alias("parts"))
-    members = index.join(per, ["band", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
-    asked = visits.join(per, ["band", "block"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).join(index.select("id", "n", "root", "head"), "id")
+    per = small(visits.groupBy("band", "block").agg((F.floor(F.count("*") / VISITS) + 1).cast("int").alias("parts")))
+    members = _dealt(index, blocks, percent).join(per, ["band", "block"]).select("band", "block", "id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"))
+    asked = visits.join(per, ["band", "block"]).select("band", "block", "id", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(1).alias("kind"))
     name = F.col("band").cast("long") * (1 << 32) + F.col("block")
-    cols = [name.alias("block"), "part", "kind", "id", "n", "root", "head"]
-    rows = members.withColumn("kind", F.lit(0)).select(*cols).union(asked.withColumn("kind", F.lit(1)).select(*cols))
+    to = members.union(asked).groupBy("id").agg(F.collect_list(F.struct(name.alias("block"), "part", "kind")).alias("to"))
+    to = materialize(to.join(index.select("id", "n", "root"), "id"), "to")
+    heads = marked(sig.select("id", "head"), ["id"], materialize(marks(to, ["id"]), "marks"), "__on").where("__on").drop("__on")
+    rows = heads.join(small(to, 100_000), "id").select("id", "n", "root", "head", F.explode("to").alias("t")).select("t.block", "t.part", "t.kind", "id", "n", "root", "head")
     rows = rows.repartition("block", "part").sortWithinPartitions("block", "part", "kind", "id")
     found = rows.mapInArrow(lambda batches: _visited(batches, percent, best), "a long, b long, more boolean")
     return materialize(found, "candidates")
@@ -490,10 +522,10 @@ def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:
         links = materialize(linked(trials, reps, docs, words, percent), "links")
         roots = components(links)
         mixed = _mixed(postings, roots)
-        index = _index(mixed, sig, percent)
+        index = _index(mixed, percent)
         best, again = BEST, None
         while True:
-            found = _candidates(mixed, index, roots, percent, best, again)
+            found = _candidates(mixed, index, sig, roots, percent, best, again)
             pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             new = materialize(pairs.join(trials, ["a", "b"], "left_anti"), "trials")
             if not new.isEmpty():

@@ -525,6 +525,8 @@ def test_heads_of_linked_sets_share_what_they_must():
             order = rng.permutation(1000)  # any order of all shingles
             heads = [set(sorted(x.tolist(), key=lambda t: order[t])[: int(jaccard.lengths(len(x), percent)[1])]) for x in (a, b)]
             assert len(heads[0] & heads[1]) >= jaccard.shared_heads(len(a), len(b), percent)
+            lists = [set(sorted(x.tolist(), key=lambda t: order[t])[: int(jaccard.lengths(len(x), percent)[0])]) for x in (a, b)]
+            assert len(lists[0] & lists[1]) >= jaccard.shared_heads(len(a), len(b), percent, 0)
             low, high, least = jaccard._partners(len(a), percent)
             assert low <= len(b) <= high and 1 <= least <= jaccard.shared_heads(len(a), len(b), percent)
 
