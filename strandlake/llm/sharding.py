@@ -20,7 +20,7 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import literal_rows, materialize, small, without
+from .common import literal_rows, materialize, without
 
 SHARDS, VNODES, CELLS = 24, 64, 1 << 14
 #: Blocks that a cell's rows are numbered in.
@@ -104,7 +104,7 @@ def assign(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, vnodes: i
     offsets = counts.select(F.col("__c").alias("__oc"), F.col("__b").alias("__ob"), F.coalesce(F.sum("n").over(before.partitionBy("__c")), F.lit(0)).alias("__off"))
     inner = Window.partitionBy("__c", "__b").orderBy(name, *([F.col(row)] if row else [F.col(key), *sums]))
     ranked = dealt.withColumn("__rank", F.row_number().over(inner).cast("long") - 1)
-    ranked = ranked.join(small(offsets, cells * blocks), F.expr("__c = __oc AND __b = __ob")).withColumn("__rank", F.col("__rank") + F.col("__off"))
+    ranked = ranked.join(offsets, F.expr("__c = __oc AND __b = __ob")).withColumn("__rank", F.col("__rank") + F.col("__off"))
     hit = F.expr("__c = __cell AND __rank >= __lo AND __rank < __hi")
     out = ranked.join(F.broadcast(ranges), hit)
     slot = F.col("__slot") + F.col("__rank") - F.col("__lo")
