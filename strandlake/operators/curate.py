@@ -76,6 +76,12 @@ def evenly_spaced(df: DataFrame, keys: list[str], order: str, cap: int) -> DataF
     return rows.where((F.col("__n") <= cap) | F.array_contains(at, F.col("__i"))).select(*df.columns)
 
 
+def candidate_validity(df: DataFrame, keys: list[str], seq: str, least: int = 2) -> DataFrame:
+    """(keys, invalid, valid, enough): candidates with a symbol outside the alphabet, the others, and whether those are enough."""
+    bad = F.regexp_like(seq, F.lit("[^ACGTN]"))
+    return df.groupBy(*keys).agg(F.count_if(bad).alias("invalid"), F.count_if(~bad).alias("valid"), (F.count_if(~bad) >= least).alias("enough"))
+
+
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key; a struct minimum, so hot keys are combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

@@ -240,3 +240,25 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select count(distinct user_id) from d").first()[0] == e.select("user_id").distinct().count()
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    import datetime as dt
+    import os
+
+    schema = "ts timestamp, value double"
+    batches = (["10:00", "12:00"], ["10:05", "11:55", "12:05"], ["15:00"], ["15:01"])
+    src = tmp_path / "in"
+    src.mkdir()
+    for i, times in enumerate(batches):
+        rows = [(dt.datetime.fromisoformat(f"2024-05-01 {t}"), 1.0) for t in times]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
+        (part,) = (tmp_path / f"b{i}").glob("part-*.parquet")
+        os.rename(part, src / f"{i}.parquet")
+        os.utime(src / f"{i}.parquet", (1_700_000_000 + i * 10,) * 2)
+    stream = ev.read_stream(spark, str(src), schema, per_trigger=1)
+    q = ev.windowed(stream, [], "1 hour").writeStream.outputMode("append").format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r["start"].hour: r["n"] for r in spark.sql("select * from late").collect()}
+    assert sum(got.values()) == 4 and sorted(got.values()) == [1, 1, 2]  # 10:05 comes after its window was closed
