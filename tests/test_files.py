@@ -247,7 +247,7 @@ def test_late_rows_are_dropped(spark, tmp_path):
     import os
 
     schema = "ts timestamp, value double"
-    batches = (["10:00", "12:00"], ["10:05", "11:55", "12:05"], ["15:00"], ["15:01"])
+    batches = (["10:00", "12:00"], ["12:01"], ["10:05", "11:55", "12:05"], ["15:00"], ["15:01"])
     src = tmp_path / "in"
     src.mkdir()
     for i, times in enumerate(batches):
@@ -261,4 +261,4 @@ def test_late_rows_are_dropped(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     got = {r["start"].hour: r["n"] for r in spark.sql("select * from late").collect()}
-    assert sum(got.values()) == 4 and sorted(got.values()) == [1, 1, 2]  # 10:05 comes after its window was closed
+    assert sorted(got.values()) == [1, 1, 3]  # 10:05 comes after its window was closed
