@@ -29,3 +29,8 @@ ODD = [
 @pytest.fixture(scope="session")
 def odd(docs_of):
     return docs_of(ODD)
+
+
+@pytest.fixture(scope="session")
+def odd_rows():
+    return ODD
