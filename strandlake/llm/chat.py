@@ -12,8 +12,9 @@ doesn't fit beside the system turn: it stands alone with it.  The loss mask cove
 only: repeated turns are context, so each target is trained on once.
 
 A window's and a block's rows are bounded by their tokens, so a conversation that holds a third of all rows is still built
-in many groups; its running sums are taken block by block of turn numbers.  Only the read-back of the query, whose digest is
-defined over a whole conversation, puts one conversation's windows side by side.
+in many groups; its running sums are taken block by block of turn numbers.  Turns are written once with their place, and which
+turns a window holds is worked out on narrow rows; texts are joined to that at the end.  Only the read-back of the query, whose
+digest is defined over a whole conversation, puts one conversation's windows side by side.
 
 Defined cases: null text is empty, null role is an empty role, null turns come first; rows that share a turn number are
 ordered by role and text, repeated rows are repeated turns; null conv_id is a conversation; an empty table gives an empty
@@ -23,10 +24,10 @@ are not read, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prefix_sums
+from .common import materialize, scratch
 
 BUDGET, HISTORY = 1024, 256
 OPEN, CLOSE = "### ", "</turn>\n"
@@ -64,39 +65,37 @@ def turns(conversations: DataFrame, tokens: str | None = None) -> DataFrame:
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"), cost.cast("long").alias("cost"),
     )
     rows = rows.withColumns({"__conv": F.coalesce(F.col("conv_id").cast("string"), F.lit("")), "__block": F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62)))})
-    order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
-    rows = rows.withColumn("__one", F.lit(1))
-    rows = prefix_sums(rows, ["__conv"], "__block", order, "__one", "place")
-    return prefix_sums(rows, ["__conv"], "__block", [F.col("place")], "cost", "end").withColumn("start", F.col("end") - F.col("cost")).drop("__one")
-
-
-def spans(rows: DataFrame, budget: int, history: int) -> tuple[DataFrame, DataFrame]:
-    """``rows`` of ``turns`` with span (the place of its first turn) and leads (is the system turn); and the spans themselves.
-
-    ``begin`` is the running cost at which a span starts, ``low`` the one from which turns before it are its history.
-    """
+    # places and running costs: sums of blocks become offsets, and one window runs inside a block only
+    before = Window.partitionBy("__conv").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("__conv", "__block").agg(F.count("*").alias("n"), F.sum("cost").alias("c"))
+    blocks = blocks.select("__conv", "__block", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"__{x}") for x in ("n", "c")])
+    inner = Window.partitionBy("__conv", "__block").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"place": F.row_number().over(inner).cast("long"), "end": F.sum("cost").over(inner)}).join(blocks, ["__conv", "__block"])
+    end = F.col("end") + F.col("__c")
+    return rows.select("__conv", "conv_id", "turn", "role", "text", "cost", (F.col("place") + F.col("__n")).alias("place"), end.alias("end"), (end - F.col("cost")).alias("start"))
+
+
+def spans(rows: DataFrame, budget: int, history: int) -> DataFrame:
+    """(__conv, place, cost, start, leads, system, span) of the ``rows`` of ``turns``: span is the place of its first turn, leads
+    says that the turn is the conversation's system turn, and system what that one costs."""
     leads = (F.col("place") == 1) & (F.col("role") == "system")
-    system = rows.where(leads).select("__conv", F.col("cost").alias("system"))
-    rows = rows.join(system, "__conv", "left").withColumn("system", F.coalesce("system", F.lit(0)))
-    rows = rows.withColumns({"leads": leads, "block": F.floor(F.col("start") / BLOCK_TOKENS)})
-    cost = F.when(F.col("leads"), 0).otherwise(F.col("cost"))  # the system turn has its own share of the budget
-    rows = rows.withColumn("__own", cost)
-    turn = F.struct("place", F.col("__own").alias("cost"))
-    groups = rows.groupBy("__conv", "block").agg(F.array_sort(F.collect_list(turn)).alias("t"), F.first("system").alias("system"))
+    narrow = rows.select("__conv", "place", "cost", "start", leads.alias("leads"), F.floor(F.col("start") / BLOCK_TOKENS).alias("block"))
+    system = narrow.where("leads").select("__conv", F.col("cost").alias("system"))
+    turn = F.struct("place", "start", "cost", "leads")
+    groups = narrow.groupBy("__conv", "block").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    groups = groups.join(system, "__conv", "left").withColumn("system", F.coalesce("system", F.lit(0)))
     room = F.lit(budget - history) - F.col("system")
-    zero = F.expr("named_struct('span', cast(0 AS bigint), 'used', cast(0 AS bigint), 'out', cast(array() AS array<struct<place:bigint,span:bigint>>))")
+    zero = F.expr("named_struct('span', cast(0 AS bigint), 'used', cast(0 AS bigint), 'out', cast(array() AS array<bigint>))")
 
     def add(acc: Column, x: Column) -> Column:
-        new = (acc["used"] > 0) & (acc["used"] + x["cost"] > room)
-        span = F.when(acc["span"] == 0, x["place"]).when(new, x["place"]).otherwise(acc["span"])
-        used = F.when(new, x["cost"]).otherwise(acc["used"] + x["cost"])
-        return F.struct(span.alias("span"), used.alias("used"), F.concat(acc["out"], F.array(F.struct(x["place"].alias("place"), span.alias("span")))).alias("out"))
+        own = F.when(x["leads"], 0).otherwise(x["cost"])  # the system turn has its own share of the budget
+        new = (acc["used"] > 0) & (acc["used"] + own > room)
+        span = F.when((acc["span"] == 0) | new, x["place"]).otherwise(acc["span"])
+        used = F.when(new, own).otherwise(acc["used"] + own)
+        return F.struct(span.alias("span"), used.alias("used"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    cut = groups.select("__conv", F.explode(F.aggregate("t", zero, add, lambda acc: acc["out"])).alias("c")).select("__conv", "c.*")
-    rows = rows.join(cut, ["__conv", "place"])
-    per = rows.groupBy("__conv", "span").agg(F.min("start").alias("begin"), F.sum("__own").alias("__sum"), F.first("system").alias("__system"))
-    left = F.greatest(F.lit(0), F.least(F.lit(history), F.lit(budget) - F.col("__system") - F.col("__sum")))
-    return rows.drop("__own", "block"), per.select("__conv", "span", "begin", (F.col("begin") - left).alias("low"))
+    cut = groups.withColumn("s", F.aggregate("t", zero, add, lambda acc: acc["out"]))
+    return cut.select("__conv", "system", F.inline(F.arrays_zip("t", "s"))).select("__conv", "t.*", "system", F.col("s").alias("span"))
 
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens: str | None = None) -> DataFrame:
@@ -107,17 +106,25 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     """
     if not 0 <= history <= budget:
         raise ValueError("history must lie between 0 and the budget")
-    rows, cut = spans(turns(conversations, tokens), budget, history)
-    names = ["__conv", "conv_id", "span", "kind", "place", "role", "text"]
-    every = rows.withColumn("kind", F.lit(2)).select(*names)
+    with scratch(conversations.sparkSession):
+        rows = materialize(turns(conversations, tokens), "turns", keep=True)
+        placed = materialize(spans(rows, budget, history), "spans", keep=True)
+    own = F.when(F.col("leads"), 0).otherwise(F.col("cost"))
+    every = placed.select("__conv", "place", "span", F.lit(2).alias("kind"))
     if history:  # a history lies in two stretches of that length, turns without cost at its end in the second
-        stretch = F.sequence(F.floor(F.col("low") / history), F.floor(F.col("begin") / history))
-        asked = cut.where("begin > low AND span > 1").withColumn("stretch", F.explode(stretch))
-        before = rows.where(~F.col("leads")).withColumn("stretch", F.floor(F.col("start") / history)).drop("span")
+        asked = placed.groupBy("__conv", "span").agg(F.min("start").alias("begin"), F.sum(own).alias("used"), F.first("system").alias("system"))
+        left = F.greatest(F.lit(0), F.least(F.lit(history), F.lit(budget) - F.col("system") - F.col("used")))
+        asked = asked.select("__conv", "span", "begin", (F.col("begin") - left).alias("low")).where("begin > low AND span > 1")
+        asked = asked.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("low") / history), F.floor(F.col("begin") / history))))
+        before = placed.where("NOT leads").select("__conv", "place", "start", F.floor(F.col("start") / history).alias("stretch"))
         before = before.join(asked, ["__conv", "stretch"]).where("start >= low AND place < span")
-        every = every.union(before.withColumn("kind", F.lit(1)).select(*names))
-    system = rows.where("leads").drop("span").join(cut.where("span > 1").select("__conv", "span"), "__conv")
-    every = every.union(system.withColumn("kind", F.lit(0)).select(*names))
+        every = every.union(before.select("__conv", "place", "span", F.lit(1)))
+    texts = ["conv_id", "role", "text"]
+    names = ["__conv", "conv_id", "span", "kind", "place", "role", "text"]
+    every = every.join(rows.select("__conv", "place", *texts), ["__conv", "place"]).select(*names)
+    leading = rows.where("place = 1 AND role = 'system'").select("__conv", *texts)
+    again = placed.where("place = span AND span > 1").select("__conv", "span", F.lit(0).alias("kind"), F.lit(1).cast("long").alias("place"))
+    every = every.union(again.join(leading, "__conv").select(*names))
     head = F.concat(F.lit(OPEN), _escape_role(F.col("role")), F.lit("\n"))
     body = escape(F.col("text"))
     item = F.struct("kind", "place", head.alias("head"), body.alias("body"), ((F.col("kind") == 2) & (F.col("role") == TARGET)).alias("target"))

@@ -17,11 +17,15 @@ shingle of a document misses none.  Around the anchors, runs of any length that
 bounded by running sums of weights and, where the bound reaches 0.8, verified: words that were left out or put in shift nothing.
 Items under five words are one shingle, which only equal words (distance 0) have.  Recall at 0.8 is thus whole.
 
-The benchmark is a query set: it is broadcast in blocks of at most ``BLOCK_ITEMS`` items, all documents against each.
+The benchmark is a query set: it is broadcast in blocks of at most ``BLOCK_ITEMS`` items, all documents against each.  Weights
+come from the whole benchmark first, in one aggregate: a shingle of a single item weighs as much as one of none, so only those
+of two items or more are sent along with each block (more than ``COMMON`` of them, 128 MB, are an error).  So blocks and their
+order make no difference to a similarity.
 
 Defined cases: words are runs of letters, digits and non-ASCII characters, A-Z lowered; items or documents without words
 match nothing; an item under five words is one shingle; repeated items and documents match each for itself; null ids stay
-null; empty tables give an empty table.
+null; empty tables give an empty table; very long texts are scanned ``PIECE`` words at a time; other columns are not read by
+``matches`` and kept by ``clean_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,7 +46,7 @@ WORDS, SIMILAR = 5, 0.8
 ENOUGH = SIMILAR - 1e-9
 RADIUS = 7
 LONGEST = 192
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS, COMMON = 20_000, 8_000_000
 #: Flags by which most shingles that are no anchor are told apart.
 ANCHOR_FLAGS = 1 << 20
 #: Words whose bit planes are in memory together.
@@ -83,12 +87,14 @@ def _popcount(x: np.ndarray) -> np.ndarray:
 class Items:
     """A block of the benchmark: shingle weights, and the multi-index of its windows' fingerprints."""
 
-    def __init__(self, ids: list[int | None], hashes: list[np.ndarray]) -> None:
+    def __init__(self, ids: list[int | None], hashes: list[np.ndarray], known: tuple[int, np.ndarray, np.ndarray] | None = None) -> None:
+        """``known``: items of the whole benchmark, its shingles of two items or more in order, and the items of each; else
+        the block is the whole."""
         self.ids, self.words = ids, [len(h) for h in hashes]
         self.bags = [_bag(h) for h in hashes]
-        seen, count = np.unique(np.concatenate([b[0] for b in self.bags] or [np.zeros(0, np.uint64)]), return_counts=True)
-        self.known, self.weight = seen, np.log1p(len(ids) / count)
-        self.rare = float(np.log1p(len(ids)))
+        n, self.known, count = known or (len(ids), *np.unique(np.concatenate([b[0] for b in self.bags] or [np.zeros(0, np.uint64)]), return_counts=True))
+        self.weight = np.log1p(n / count)
+        self.rare = float(np.log1p(n))
         rows: dict[int, list[tuple[int, int, int]]] = {}
         for i, h in enumerate(hashes):
             if not len(h):
@@ -105,7 +111,7 @@ class Items:
         self.total = [float((w * b[1]).sum()) for w, b in zip(self.own, self.bags)]
         self.anchors = self._anchors()
         #: per item the shingles that a similar run may reach over on either side of an anchor
-        least = float(self.weight.min()) if len(self.weight) else 1.0
+        least = float(self.weight.min(initial=self.rare)) or 1.0
         self.reach = np.array([n + int((1 / SIMILAR - 1) * t / least) + 1 for n, t in zip(self.words, self.total)], np.int64)
 
     def _anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,25 +290,50 @@ def _aligned(s: np.ndarray, items: Items, i: int) -> Iterator[tuple[int, int, fl
 
 def _blocks(benchmark: DataFrame) -> Iterator[Items]:
     """The benchmark in blocks; rows stream to the driver one block at a time."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    known = _known(rows)
     ids: list[int | None] = []
     texts: list[str | None] = []
-    for r in benchmark.select("item_id", "text").toLocalIterator():
+    for r in rows.orderBy("item_id", "text").toLocalIterator():
         ids.append(r[0])
         texts.append(r[1])
         if len(ids) == BLOCK_ITEMS:
-            yield _items(ids, texts)
+            yield _items(ids, texts, known)
             ids, texts = [], []
     if ids:
-        yield _items(ids, texts)
+        yield _items(ids, texts, known)
 
 
-def _items(ids: list[int | None], texts: list[str | None]) -> Items:
+def _known(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """(items, shingles of two items or more, items of each), of the whole benchmark."""
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            h, bounds = word_hashes(b.column("text"), ALNUM)
+            s = [_bag(h[bounds[i] : bounds[i + 1]])[0] for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *s]).view(np.int64))], ["shingle"])
+
+    n = rows.count()
+    common = rows.mapInArrow(bags, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    found = common.limit(COMMON + 1).toArrow()
+    if found.num_rows > COMMON:
+        raise ValueError(f"more than {COMMON} shingles are in two items of the benchmark or more")
+    s, c = (found.column(x).to_numpy() for x in ("shingle", "n"))
+    s = s.view(np.uint64)
+    order = np.argsort(s)
+    return n, s[order], c[order]
+
+
+def _items(ids: list[int | None], texts: list[str | None], known: tuple[int, np.ndarray, np.ndarray]) -> Items:
     h, bounds = word_hashes(pa.array(texts, pa.large_string()), ALNUM)
-    return Items(ids, [h[bounds[i] : bounds[i + 1]] for i in range(len(ids))])
+    return Items(ids, [h[bounds[i] : bounds[i + 1]] for i in range(len(ids))], known)
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, item_id, similarity, first_word, distance) of ``docs`` (keys, text; keys are long)."""
+    """(keys, item_id, similarity, first_word, distance) of ``docs`` (keys, text; keys are long).
+
+    A block's matches are written before the next block is sent, so one block at a time is in memory.
+    """
     spark = docs.sparkSession
     schema = f"{', '.join(f'{k} long' for k in keys)}, item_id long, similarity double, first_word long, distance int"
 
@@ -318,7 +349,11 @@ def _found(docs: DataFrame, benchmark: DataFrame, keys: list[str]) -> DataFrame:
 
         return run
 
-    found = [docs.mapInArrow(scan(spark.sparkContext.broadcast(items)), schema) for items in _blocks(benchmark)]
+    found = []
+    for items in _blocks(benchmark):
+        sent = spark.sparkContext.broadcast(items)
+        found.append(materialize(docs.mapInArrow(scan(sent), schema), "matches"))
+        sent.destroy()
     return reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
 
 

@@ -282,3 +282,29 @@ def test_neighbours_of_odd_rows(odd, odd_rows, docs_of):
     assert (one["near_next"], one["edited_sha256"]) == (1.0, hashlib.sha256(b"abcdab").hexdigest())
     fp = {r["doc_id"]: r["fingerprint"] for r in parsing.fingerprints(odd).collect()}
     assert all(by[k] == {v} for k, v in fp.items())
+
+
+# 5: weights of the whole benchmark
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_blocks_of_the_benchmark_make_no_difference(spark, docs_of, monkeypatch, block):
+    from strandlake.llm import decontaminate
+
+    rng = random.Random(8)
+    w = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    opening = w(14)
+    items = [(i, f"{opening} {w(20)}") for i in range(20)] + [(30, None), (None, w(9)), (31, "two words")]
+    edited = items[3][1].split()
+    edited[20:22] = w(2).split()
+    docs = docs_of([(1, f"{w(30)} {' '.join(edited)} {w(30)}"), (2, w(200)), (3, items[5][1]), (4, "x two words y"), (5, f"{opening} {w(20)}")])
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", block)
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.matches(docs, bench).collect()}
+    df = collections.Counter(g for _, t in items for g in {tuple((t or "").split()[k : k + 5]) for k in range(len((t or "").split()) - 4)})
+    bag = lambda x: collections.Counter(tuple(x[k : k + 5]) for k in range(len(x) - 4))
+    weight = lambda g: np.log(1 + len(items) / df.get(g, 1))
+    a, b = bag(items[3][1].split()), bag(edited)
+    want = sum(weight(g) * n for g, n in (a & b).items()) / sum(weight(g) * n for g, n in (a | b).items())
+    assert set(got) == ({(1, 3)} if want >= 0.8 else set()) | {(3, 5), (4, 31)}
+    assert got[3, 5] == pytest.approx(1.0) and got.get((1, 3), want) == pytest.approx(want)
