@@ -5,12 +5,13 @@ counted by language, null being ``und``.  Level 1 counts words.  Level k reads t
 only where its first k - 1 and its last k - 1 words are frequent, which no frequent phrase can lack, so what is counted at all
 shrinks from level to level.
 
-The frequent phrases of the level below are sent to all tasks as a bitmap of BITS bits over their checksums, made by Spark's
+The frequent phrases of the level below are sent to all tasks as a bitmap of BITS bits over their hashes, made by Spark's
 bitmap functions: 16 MB, however many there are.  It lets every frequent phrase through and some others; those others are
 counted too, and dropped by their exact counts.  So its size bounds the broadcast and never touches the result.
 
-A task counts in dictionaries of at most ENTRIES phrases, whole phrases as keys, so counts are exact and frequent phrases are
-combined before the shuffle.  Pieces without an end are taken in stretches that share k - 1 words.
+Words are hashed and looked up for whole Arrow batches at once; only phrases that pass become strings.  A task counts in
+dictionaries of at most ENTRIES phrases, whole phrases as keys, so counts are exact and frequent phrases are combined before
+the shuffle.  Very long texts are hashed stretch by stretch.
 
 Scores come from the tables of the levels: each cut of a candidate looks up its two parts there.  A candidate inside a longer
 one need only be compared with those one word longer: a candidate two words longer implies one between them at least as
@@ -22,7 +23,8 @@ equal scores go by count and phrase (UTF-8 bytes); an empty table gives an empty
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,50 +34,69 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, scratch, small
+from .words import chained, mix, pieces, shingles, text_buffer, word_hashes
 
 LEAST, WORDS, TOP = 10, 3, 2000
 #: A candidate goes if a longer one around it has this many hundredths of its count.
 INSIDE = 50
 SCALE = 1_000_000
-#: Bits of a level's bitmap, distinct phrases of a task's dictionaries, bytes of one stretch of a long piece.
-BITS, ENTRIES, STRETCH = 1 << 27, 200_000, 1 << 20
+#: Bits of a level's bitmap, and distinct phrases of a task's dictionaries.
+BITS, ENTRIES = 1 << 27, 500_000
 _CELL = 8 * 4096  # bits of one row of Spark's bitmaps
 
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
-_PIECE = bytes(0x0A if b in _ENDS else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-
-
-def stretches(text: bytes, k: int) -> Iterator[list[bytes]]:
-    """The words of each piece; a piece over STRETCH bytes comes in several lists, each beginning with the k - 1 words before it."""
-    for piece in text.translate(_PIECE).split(b"\n"):
-        at, last = 0, []
-        while len(piece) - at > STRETCH:
-            to = min((i for i in (piece.find(b" ", at + STRETCH), piece.find(b"\t", at + STRETCH)) if i >= 0), default=len(piece))
-            words = last + piece[at:to].split()
-            yield words
-            at, last = to, words[len(words) - k + 1 :] if k > 1 else []
-        words = last + piece[at:].split()
-        if words:
-            yield words
-
-
-class _Known(dict):
-    """Phrase -> whether the bitmap lets it through, remembered while there is room."""
-
-    def __init__(self, lang: str, bits: bytes):
-        self.seed, self.bits = zlib.crc32(lang.encode() + b"\n"), bits
-
-    def __missing__(self, phrase: bytes) -> int:
-        i = zlib.crc32(phrase, self.seed) % (8 * len(self.bits))
-        on = self.bits[i >> 3] >> (i & 7) & 1
-        if len(self) >= ENTRIES:
-            self.clear()
-        self[phrase] = on
-        return on
-
-
-def _grams(words: list[bytes], k: int) -> list[bytes]:
-    return words if k == 1 else list(map(b" ".join, zip(*(words[j:] for j in range(k)))))
+_APART = _ENDS + b" \t"
+_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+_WORDS = bytes(0x20 if b in _APART else _LOWER[b] for b in range(256))
+#: Byte -> 0 between words, else 1 + the byte with A-Z lowered.
+_LUT = np.array([0 if b in _APART else 1 + _LOWER[b] for b in range(256)], np.uint64)
+_IS_END = np.array([b in _ENDS for b in range(256)])
+_SPACES = re.compile(rb"[ \t]+")
+
+
+def _seed(lang: str) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
+
+
+def _bits(h: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    return (mix(h ^ seeds) % np.uint64(BITS)).astype(np.int64)
+
+
+class Grams:
+    """Words of a batch of texts, and where phrases of k words in one piece begin."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        buf, _ = text_buffer(texts)
+        self.text = buf.tobytes().translate(_LOWER)
+        self.hash, self.bounds, self.start, self.end = word_hashes(texts, _LUT, spans=True)
+        n = len(self.hash)
+        #: whether a word and the next one are in one piece, and whether there is just a space between them
+        self.near, self.plain = np.zeros(n, bool), np.zeros(n, bool)
+        if n:
+            ends = np.zeros(len(buf) + 1, np.int32)
+            np.cumsum(_IS_END[buf], out=ends[1:])
+            self.near[:-1] = ends[self.start[1:]] == ends[self.end[:-1]]
+            inner = self.bounds[1:-1]
+            self.near[inner[(inner > 0) & (inner < n)] - 1] = False
+            self.plain[:-1] = (self.start[1:] - self.end[:-1] == 1) & (buf[np.minimum(self.end[:-1], len(buf) - 1)] == 0x20)
+
+    def places(self, k: int) -> np.ndarray:
+        """For each word whether a phrase of k words begins there."""
+        n = max(0, len(self.hash) - k + 1)
+        out = np.ones(n, bool)
+        for j in range(k - 1):
+            out &= self.near[j : j + n]
+        return out
+
+    def phrases(self, at: np.ndarray, k: int) -> list[bytes]:
+        plain = np.ones(len(at), bool)
+        for j in range(k - 1):
+            plain &= self.plain[at + j]
+        text = self.text
+        found = [text[a:b] for a, b in zip(self.start[at].tolist(), self.end[at + k - 1].tolist())]
+        for i in np.flatnonzero(~plain).tolist():
+            found[i] = _SPACES.sub(b" ", found[i])
+        return found
 
 
 def _counter(k: int, frequent):
@@ -83,11 +104,11 @@ def _counter(k: int, frequent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
-        known: dict[str, _Known] = {}
         totals: Counter = Counter()
+        bits = np.frombuffer(frequent.value, np.uint8) if frequent else None
 
         def flush() -> pa.RecordBatch:
-            rows = [(lang, None, n) for lang, n in totals.items()] if k == 1 else []
+            rows = [(lang, None, n) for lang, n in totals.items()]
             langs, phrases, counts = [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
             for lang, c in held.items():
                 langs += [lang] * len(c)
@@ -97,35 +118,65 @@ def _counter(k: int, frequent):
             totals.clear()
             return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
 
-        size = 0
-        for b in batches:
+        def words(b: pa.RecordBatch, langs: list[str]) -> Iterator[tuple[str, list[bytes]]]:
             texts = b.column("text").cast(pa.binary())
-            for i, lang in enumerate(b.column("lang").to_pylist()):
+            for i, lang in enumerate(langs):
+                found = texts[i].as_py().translate(_WORDS).split()
+                totals[lang] += len(found)
+                yield lang, found
+
+        def passing(b: pa.RecordBatch, langs: list[str]) -> Iterator[tuple[str, list[bytes]]]:
+            g = Grams(b.column("text"))
+            sub = shingles(g.hash, k - 1)
+            seeds = {lang: _seed(lang) for lang in set(langs)}
+            of = np.repeat(np.array([seeds[x] for x in langs], np.uint64), np.diff(g.bounds))
+            bit = _bits(sub, of[: len(sub)])
+            on = (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+            at = np.flatnonzero(g.places(k) & on[:-1] & on[1:]) if len(g.hash) >= k else np.zeros(0, np.int64)
+            cuts = np.searchsorted(at, g.bounds)
+            found = g.phrases(at, k)
+            for i in np.flatnonzero(np.diff(cuts)).tolist():
+                yield langs[i], found[cuts[i] : cuts[i + 1]]
+
+        size = 0
+        for b in pieces(batches):
+            for lang, found in (words if k == 1 else passing)(b, b.column("lang").to_pylist()):
                 c = held.setdefault(lang, Counter())
-                seen = known.setdefault(lang, _Known(lang, frequent.value)) if frequent else None
                 before = len(c)
-                for words in stretches(texts[i].as_py(), k):
-                    if k == 1:
-                        totals[lang] += len(words)
-                        c.update(words)
-                    elif len(words) >= k:
-                        sub = _grams(words, k - 1)
-                        on = [seen[s] for s in sub]
-                        c.update([s + b" " + w for s, w, x, y in zip(sub, words[k - 1 :], on, on[1:]) if x and y])
+                c.update(found)
                 size += len(c) - before
                 if size > ENTRIES:
                     yield flush()
                     size = 0
-        if held:
+        if held or totals:
             yield flush()
 
     return run
 
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bit of each phrase, as ``passing`` looks it up."""
+    for b in pieces(batches, "phrase"):
+        h, bounds = word_hashes(b.column("phrase"), _LUT)
+        k = np.diff(bounds)
+        out = np.zeros(b.num_rows, np.uint64)
+        for n in np.unique(k).tolist():
+            rows = np.flatnonzero(k == n)
+            one = h[bounds[rows][:, None] + np.arange(n)]
+            x = one[:, 0].copy()
+            for j in range(1, n):
+                x = chained(x, one[:, j])
+            out[rows] = x
+        seeds = {lang: _seed(lang) for lang in set(b.column("lang").to_pylist())}
+        of = np.array([seeds[x] for x in b.column("lang").to_pylist()], np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(_bits(out, of))], ["bit"])
+
+
 def bitmap(spark: SparkSession, level: DataFrame) -> bytes:
     """BITS bits over (lang, phrase); at most BITS / 32768 rows of 4 kB come to the driver."""
-    bit = F.pmod(F.crc32(F.concat("lang", F.lit("\n"), "phrase")), F.lit(BITS)) + 1
-    rows = level.groupBy(F.bitmap_bucket_number(bit).alias("cell")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    bit = F.col("bit") + 1
+    marks = level.select("lang", "phrase").mapInArrow(_marked, "bit long")
+    rows = marks.groupBy(F.bitmap_bucket_number(bit).alias("cell")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
     out = np.zeros(BITS // 8, np.uint8)
     for r in rows.toLocalIterator():
         at = (r["cell"] - 1) * _CELL // 8

@@ -65,14 +65,14 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
-def word_hashes(texts: pa.Array, lut: np.ndarray = PLAIN, heads: tuple[int, ...] = ()) -> tuple:
+def word_hashes(texts: pa.Array, lut: np.ndarray = PLAIN, heads: tuple[int, ...] = (), spans: bool = False) -> tuple:
     """(hash of every word of the batch, bounds): row i has the words bounds[i] to bounds[i + 1].
 
     With ``heads``, a third value: for each length in it the hash of every word's first so many bytes, 0 for words that
-    are not longer.
+    are not longer.  With ``spans``, two values more at the end: where in the batch's bytes each word begins and ends.
     """
     buf, offs = text_buffer(texts)
-    n, at, hashes, starts = len(buf), 0, [], []
+    n, at, hashes, starts, ends = len(buf), 0, [], [], []
     begun: list[list[np.ndarray]] = [[] for _ in heads]
     inner = offs[1:-1]
     while at < n:
@@ -104,13 +104,17 @@ def word_hashes(texts: pa.Array, lut: np.ndarray = PLAIN, heads: tuple[int, ...]
             h = (c[e] - first) * _power("down", _INV, to - at)[s]
             hashes.append(mix(h ^ ((e - s).astype(np.uint64) << np.uint64(48))))
             starts.append(s + at)
+            if spans:
+                ends.append(e + at + 1)
             for k, held in zip(heads, begun):
                 cut = np.minimum(s + k - 1, e)
                 held.append(np.where(e - s >= k, mix((c[cut] - first) * _power("down", _INV, to - at)[s] + np.uint64(k)), np.uint64(0)))
         at = to
     none = np.zeros(0, np.uint64)
     whole, bounds = (np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offs, "left")) if hashes else (none, np.zeros(len(offs), np.int64))
-    return (whole, bounds, [np.concatenate(x) if x else none for x in begun]) if heads else (whole, bounds)
+    out = (whole, bounds, [np.concatenate(x) if x else none for x in begun]) if heads else (whole, bounds)
+    places = np.zeros(0, np.int64)
+    return (*out, *(np.concatenate(x) if x else places for x in (starts, ends))) if spans else out
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
@@ -119,10 +123,15 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = h[: len(h) - k + 1].copy()
     for j in range(1, k):
-        out = mix(out * np.uint64(0xD6E8FEB86659FD93) + h[j : len(h) - k + 1 + j])
+        out = chained(out, h[j : len(h) - k + 1 + j])
     return out
 
 
+def chained(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of runs of words, each one word longer."""
+    return mix(h * np.uint64(0xD6E8FEB86659FD93) + word)
+
+
 def pieces(batches, column: str = "text", size: int = 2 << 20):
     """Cuts batches into runs of rows of about ``size`` bytes of text, so that working memory doesn't follow batch size."""
     for b in batches:

@@ -1,11 +1,13 @@
 """Source divergence, phrase collocations and fingerprints against brute force, planted cases and odd rows."""
 
+import base64
 import collections
 import hashlib
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,26 +113,52 @@ def test_collocations_by_brute_force(docs_of, prose, words, least, percent, top)
     assert got
 
 
-def test_collocations_from_a_full_bitmap_and_small_stretches(docs_of, prose, monkeypatch):
-    """A bitmap with far too few bits and pieces cut every few bytes change what is counted, not the result."""
-    long = "one two three " * 40 + "four"
-    whole = [w.encode() for w in long.split()]
-    monkeypatch.setattr(phrases, "STRETCH", 25)
-    for k in (1, 2, 3):
-        grams = [tuple(ws[i : i + k]) for ws in phrases.stretches(long.encode(), k) for i in range(len(ws) - k + 1)]
-        assert grams == [tuple(whole[i : i + k]) for i in range(len(whole) - k + 1)]
-    monkeypatch.setattr(phrases, "BITS", 1 << 16)
+def test_collocations_from_a_full_bitmap(docs_of, prose, monkeypatch):
+    """A bitmap with far too few bits changes what is counted, not the result."""
+    long = "one two\t three  " * 40 + "four"
     rows = [*prose, *((2000 + i, long, "en", "s") for i in range(2))]
-    assert {tuple(r) for r in phrases.collocations(docs_of(rows)).collect()} == brute_collocations(rows, 3, 10, 50, 2000)
+    want = brute_collocations(rows, 3, 10, 50, 2000)
+    assert {tuple(r) for r in phrases.collocations(docs_of(rows)).collect()} == want
+    bitmap = phrases.bitmap
+    monkeypatch.setattr(phrases, "bitmap", lambda *a: b"\xff" * len(bitmap(*a)))
+    assert {tuple(r) for r in phrases.collocations(docs_of(rows)).collect()} == want
+
+
+@pytest.mark.parametrize("step", [40, 1 << 18])
+def test_phrases_of_batches(prose, monkeypatch, step):
+    from strandlake.llm import words
+
+    monkeypatch.setattr(words, "_STEP", step)
+    words._powers.clear()
+    texts = [r[1] for r in prose] + ["a b\tc  d", " x\n\ny z. q", "", None, "É é!ß", "one two three " * 60, "\x00a \x1cb"]
+    g = phrases.Grams(pa.array(texts, pa.string()))
+    for k in (1, 2, 3, 5):
+        at = np.flatnonzero(g.places(k))
+        of = np.searchsorted(g.bounds, at, "right") - 1
+        got = list(zip(of.tolist(), g.phrases(at, k)))
+        want = []
+        for i, t in enumerate(texts):
+            for piece in re.split(r"[.,;:!?\x0A-\x0D]", (t or "").translate(LOWER)):
+                ws = re.findall(r"[^\x20\x09]+", piece)
+                want += [(i, " ".join(ws[j : j + k]).encode()) for j in range(len(ws) - k + 1)]
+        assert got == want
+    words._powers.clear()
 
 
 def test_bitmap_lets_all_frequent_phrases_through(spark):
-    rows = [("en", f"wörd {i}") for i in range(500)] + [("de", "x")]
+    rows = [("en", f"wörd {i}") for i in range(500)] + [("de", "x"), ("de", "a b c")]
     bits = phrases.bitmap(spark, spark.createDataFrame(rows, "lang string, phrase string"))
-    assert len(bits) * 8 == phrases.BITS and sum(map(int.bit_count, bits)) <= 501
-    for lang, p in rows:
-        assert phrases._Known(lang, bits)[p.encode()]
-    assert not any(phrases._Known("fr", bits)[p.encode()] for _, p in rows[:50])
+    assert len(bits) * 8 == phrases.BITS and 0 < sum(map(int.bit_count, bits)) <= 502
+
+    def on(lang, p):
+        g = phrases.Grams(pa.array([p]))
+        h = g.hash[:1]
+        for w in g.hash[1:]:
+            h = phrases.chained(h, np.array([w]))
+        (bit,) = phrases._bits(h, np.array([phrases._seed(lang)])).tolist()
+        return bits[bit >> 3] >> (bit & 7) & 1
+
+    assert all(on(*r) for r in rows) and not any(on("fr", p) for _, p in rows[:50])
 
 
 def test_collocations_of_odd_rows(odd, odd_rows, docs_of):
@@ -223,8 +251,9 @@ def test_equal_substrings_share_interior_names_at_any_offset(samples):
 
 def test_fingerprints_are_strings_of_codes(spark, samples):
     code = parsing.codes(samples)
-    fp = parsing.printed(code)
-    assert (parsing.unprinted(fp) == code).all() and all(len(x) == 2 * parsing.SLOTS for x in fp)
+    assert (parsing.unpacked(parsing.packed(code)) == code).all()
+    fp = [base64.b64encode(x).decode() for x in parsing.packed(code)]
+    assert all(len(x) == 2 * parsing.SLOTS for x in fp)
     alone = np.concatenate([parsing.codes([t]) for t in samples])
     assert (alone == code).all()
     rows = spark.createDataFrame([(i, fp[i], fp[(i * 7 + 1) % len(fp)], fp[i]) for i in range(len(fp))], "i long, a string, b string, c string")
@@ -242,7 +271,7 @@ def brute_neighbours(rows):
         n = len(t) // 3
         e = t[: len(t) - n] + other[:n]
         a, b, c = parsing.codes([t.encode(), e.encode(), other.encode()])
-        fp = parsing.printed(np.stack([a, b]))
+        fp = [base64.b64encode(x).decode() for x in parsing.packed(np.stack([a, b]))]
         out[doc_id] = (len(t), hashlib.sha256(e.encode()).hexdigest(), *fp, parsing.alike(a[None], b[None])[0], parsing.alike(a[None], c[None])[0])
     return out
 
