@@ -40,9 +40,6 @@ from .words import mix, pieces
 SLOTS, LOW = 128, 2
 #: Bytes parsed together; symbols left and right of a place that decide about a phrase's beginning (8 and 4 are enough).
 GROUP, MARGIN = 1 << 19, 16
-_ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", np.uint8)
-_DIGIT = np.zeros(256, np.uint16)
-_DIGIT[_ALPHABET] = np.arange(64)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -204,16 +201,17 @@ def codes(texts: list[bytes]) -> np.ndarray:
     return np.concatenate([*out, _codes(group)]) if group else np.zeros((0, SLOTS), np.uint16)
 
 
-def printed(code: np.ndarray) -> list[str]:
-    """Two characters a slot, so that fingerprints are strings that can be compared slot by slot."""
-    chars = np.empty((len(code), SLOTS, 2), np.uint8)
-    chars[..., 0], chars[..., 1] = _ALPHABET[code >> 6], _ALPHABET[code & 63]
-    return [row.tobytes().decode() for row in chars]
+def packed(code: np.ndarray) -> list[bytes]:
+    """Twelve bits a slot."""
+    pair = code.reshape(len(code), -1, 2).astype(np.uint16)
+    out = np.empty((*pair.shape[:2], 3), np.uint8)
+    out[..., 0], out[..., 1], out[..., 2] = pair[..., 0] >> 4, (pair[..., 0] & 15) << 4 | pair[..., 1] >> 8, pair[..., 1] & 255
+    return [row.tobytes() for row in out]
 
 
-def unprinted(fingerprints: list[str]) -> np.ndarray:
-    d = _DIGIT[np.frombuffer("".join(fingerprints).encode(), np.uint8)].reshape(-1, SLOTS, 2)
-    return d[..., 0] << 6 | d[..., 1]
+def unpacked(fingerprints: list[bytes]) -> np.ndarray:
+    x = np.frombuffer(b"".join(fingerprints), np.uint8).reshape(len(fingerprints), -1, 3).astype(np.uint16)
+    return np.stack([x[..., 0] << 4 | x[..., 1] >> 4, (x[..., 1] & 15) << 8 | x[..., 2]], axis=-1).reshape(len(x), -1)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -222,13 +220,18 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(n > 0, ((a == b) & filled).sum(1) / np.maximum(n, 1), 1.0)
 
 
+def _text(c: str) -> Column:
+    """Base 64 in one line."""
+    return F.replace(F.base64(c), F.lit("\r\n"), F.lit("")).alias(c)
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Likeness of two fingerprints, from 0 to 1; two without names are alike."""
+    """Likeness of two fingerprints, from 0 to 1; two without names are alike.  A slot is two characters of base 64."""
+
     def slot(c: Column, i: Column) -> Column:
         return F.substring(c, 2 * i + 1, F.lit(2))
 
-    none = chr(_ALPHABET[0]) * 2
-    filled = F.filter(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: (slot(a, i) != none) | (slot(b, i) != none))
+    filled = F.filter(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: (slot(a, i) != "AA") | (slot(b, i) != "AA"))
     same = F.filter(filled, lambda i: slot(a, i) == slot(b, i))
     return F.when(F.size(filled) > 0, F.size(same) / F.size(filled)).otherwise(1.0)
 
@@ -239,10 +242,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             texts = [(t or "").encode() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(printed(codes(texts)), pa.string())], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(packed(codes(texts)), pa.binary())], ["doc_id", "fingerprint"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fingerprint string")
+    return rows.mapInArrow(run, "doc_id long, fingerprint binary").select("doc_id", _text("fingerprint"))
 
 
 def edited(text: str, other: str) -> str:
@@ -251,15 +254,15 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - n] + other[:n]
 
 
-_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_RESULT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 _NAMES = [c.split()[0] for c in _RESULT.split(", ")]
 
 
 def _results(ids: list, texts: list[str], code: np.ndarray, others: list[str], other: np.ndarray) -> list[pa.Array]:
     new = [edited(t, o).encode() for t, o in zip(texts, others)]
     made = codes(new)
-    cols = [ids, list(map(len, texts)), [hashlib.sha256(t).hexdigest() for t in new], printed(code), printed(made), alike(code, made), alike(code, other)]
+    cols = [ids, list(map(len, texts)), [hashlib.sha256(t).digest() for t in new], packed(code), packed(made), alike(code, made), alike(code, other)]
     return [pa.array(c, t) for c, t in zip(cols, _TYPES)]
 
 
@@ -269,7 +272,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [*_NAMES, "place", "kind", "text"]
 
     def edge(kind: str, doc_id, text: str, code: np.ndarray) -> pa.RecordBatch:
-        cols = [[doc_id], [None], [None], printed(code), [None], [None], [None], [place], [kind], [text]]
+        cols = [[doc_id], [None], [None], packed(code), [None], [None], [None], [place], [kind], [text]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [*_TYPES, pa.int32(), pa.string(), pa.string()])], names)
 
     ids: list = []
@@ -294,7 +297,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _join_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches, size=1 << 20):
         c = b.to_pydict()
-        yield pa.RecordBatch.from_arrays(_results(c["doc_id"], c["text"], unprinted(c["fingerprint"]), c["other"], unprinted(c["other_fingerprint"])), _NAMES)
+        yield pa.RecordBatch.from_arrays(_results(c["doc_id"], c["text"], unpacked(c["fingerprint"]), c["other"], unpacked(c["other_fingerprint"])), _NAMES)
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -304,12 +307,13 @@ def neighbours(docs: DataFrame) -> DataFrame:
     order = [F.desc_nulls_last("doc_id"), F.asc("digest"), F.asc("row")]
     with scratch(docs.sparkSession):
         walked = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-        walked = materialize(walked.mapInArrow(_walk, _RESULT + ", place int, kind string, text string"), "walked")
-        done = walked.where("kind IS NULL").select(*_NAMES)
-        first = walked.where("kind = 'first'").select(F.col("place").alias("after"), F.col("text").alias("other"), F.col("fingerprint").alias("other_fingerprint"))
-        every = Window.orderBy("place")  # a row a partition
-        places = walked.where("kind = 'first'").select("place")
-        after = F.coalesce(F.lead("place").over(every), F.first("place").over(every))
-        last = walked.where("kind = 'last'").select("doc_id", "text", "fingerprint", "place").join(places.select("place", after.alias("after")), "place")
-        edges = last.join(first, "after").select("doc_id", "text", "fingerprint", "other", "other_fingerprint").mapInArrow(_join_edges, _RESULT)
-        return materialize(done.unionByName(edges), "fingerprints", keep=True)
+        walked = materialize(walked.mapInArrow(_walk, _RESULT + ", place int, kind string, text string"), "walked", keep=True)
+    done = walked.where("kind IS NULL").select(*_NAMES)
+    first = walked.where("kind = 'first'").select(F.col("place").alias("after"), F.col("text").alias("other"), F.col("fingerprint").alias("other_fingerprint"))
+    every = Window.orderBy("place")  # a row a partition
+    places = walked.where("kind = 'first'").select("place")
+    after = F.coalesce(F.lead("place").over(every), F.first("place").over(every))
+    last = walked.where("kind = 'last'").select("doc_id", "text", "fingerprint", "place").join(places.select("place", after.alias("after")), "place")
+    edges = last.join(first, "after").select("doc_id", "text", "fingerprint", "other", "other_fingerprint").mapInArrow(_join_edges, _RESULT)
+    rows = done.unionByName(edges)
+    return rows.select("doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), _text("fingerprint"), _text("edited_fingerprint"), "near_edited", "near_next")
