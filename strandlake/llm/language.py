@@ -25,7 +25,7 @@ from .words import pieces, text_buffer
 
 SLOTS = 1 << 16
 MAX_ROWS = 2_000
-#: Languages a model may have: bounds what is broadcast (128 kB a language).
+#: Languages a model may have: bounds what is broadcast (256 kB a language).
 MAX_LANGUAGES = 400
 STEPS, MIN_SHARE = 25, 0.02
 

@@ -6,8 +6,8 @@ name and surname are parts of their own, everything else is one part; spelling,
 one entity are one part everywhere (coreference).
 
 The distinct parts of the corpus form a table.  Each gets a replacement from a keyed SHA-512 stream: digits for digits,
-letters for letters, valid check digits for valid card numbers, given names of the gender the title states, surnames in the
-script of the original.  Collision checks: of parts with one replacement all but the first, and parts whose replacement
+letters for letters, valid check digits for valid card numbers and IBANs, an IBAN's country as it is, given names of the gender
+the title states, surnames in the script of the original (Latin, Cyrillic or Greek; others become Latin).  Collision checks: of parts with one replacement all but the first, and parts whose replacement
 is a real entity of the corpus, draw again, up to ``DRAWS`` times; names grow by a syllable with each draw.  Where a shape
 (digits and letters of one length) is so full of real entities that some parts still collide, all parts of that shape take one
 another's place in a keyed order instead.  Either way distinct parts have distinct replacements, none its own.  Replacements
@@ -27,17 +27,20 @@ from pyspark.sql import functions as F
 from .common import marked, marks, materialize, scratch, without
 
 # Titles that state a gender, and given names of either gender by script.
-MALE_TITLES = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Господин")
-FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа")
+MALE_TITLES = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος")
+FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία")
 GIVEN = {
     ("m", "latin"): ("Adrian", "Bruno", "Conrad", "Dennis", "Emil", "Felix", "Gustav", "Hugo", "Ivan", "Julian", "Kilian", "Leon", "Martin", "Nils", "Oscar", "Paul"),
     ("f", "latin"): ("Alma", "Bianca", "Carla", "Diana", "Emma", "Flora", "Greta", "Helena", "Irma", "Julia", "Klara", "Laura", "Maria", "Nora", "Olivia", "Paula"),
     ("m", "cyrillic"): ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Леонид", "Максим", "Никита", "Олег", "Павел", "Роман", "Семён", "Юрий"),
     ("f", "cyrillic"): ("Анна", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Зоя", "Инна", "Кира", "Лариса", "Мария", "Нина", "Ольга", "Полина", "Раиса", "Юлия"),
+    ("m", "greek"): ("Αντώνης", "Βασίλης", "Γιώργος", "Δημήτρης", "Ηλίας", "Θανάσης", "Ιάκωβος", "Κώστας", "Λουκάς", "Μιχάλης", "Νίκος", "Πέτρος", "Σπύρος", "Τάσος", "Φώτης", "Χρήστος"),
+    ("f", "greek"): ("Άννα", "Βασιλική", "Γεωργία", "Δήμητρα", "Ελένη", "Ζωή", "Ηρώ", "Θεοδώρα", "Ιωάννα", "Κατερίνα", "Λυδία", "Μαρία", "Νίκη", "Ουρανία", "Σοφία", "Χρύσα"),
 }
 SYLLABLES = {
     "latin": ("ba", "de", "fi", "go", "lu", "ka", "me", "ni", "po", "ru", "sa", "te", "vi", "wo", "zu", "ha"),
     "cyrillic": ("ба", "де", "фи", "го", "лу", "ка", "ме", "ни", "по", "ру", "са", "те", "ви", "во", "зу", "ха"),
+    "greek": ("βα", "δε", "φι", "γο", "λου", "κα", "με", "νι", "πο", "ρου", "σα", "τε", "βι", "το", "ζου", "χα"),
 }
 
 _NAME = r"\p{Lu}[\p{L}'’-]+"
@@ -76,7 +79,10 @@ def _kind(e: Column) -> Column:
 
 
 def _script(c: Column) -> Column:
-    return F.when(F.regexp_like(c, F.lit(r"\p{IsCyrillic}")), F.lit("cyrillic")).otherwise(F.lit("latin"))
+    out = F.lit("latin")
+    for s in ("cyrillic", "greek"):
+        out = F.when(F.regexp_like(c, F.lit(rf"\p{{Is{s.capitalize()}}}")), F.lit(s)).otherwise(out)
+    return out
 
 
 def _parts(e: Column, kind: Column) -> Column:
@@ -118,6 +124,18 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(F.reverse(digits), ""), one), F.lit(0), lambda a, x: a + x) % 10
 
 
+def _mod97(text: Column) -> Column:
+    """The number modulo 97 that digits and lower-case letters (10 to 35) are together."""
+    def add(a: Column, x: Column) -> Column:
+        return F.when(F.regexp_like(x, F.lit("[0-9]")), (a * 10 + x.cast("int")) % 97).otherwise((a * 100 + F.ascii(x) - 87) % 97)
+
+    return F.aggregate(F.split(text, ""), F.lit(0), add)
+
+
+def _iban_valid(canon: Column) -> Column:
+    return _mod97(F.concat(F.substring(canon, F.lit(5), F.char_length(canon)), F.left(canon, F.lit(4)))) == 1
+
+
 def _draw(key: str) -> Column:
     """The replacement of (kind, canon) at its number of draws."""
     kind, canon, n = F.col("kind"), F.col("canon"), F.col("draw")
@@ -128,7 +146,10 @@ def _draw(key: str) -> Column:
     octets = F.array_join(F.array(*[(1 + _byte(digest, F.lit(i)) % 254).cast("string") for i in range(4)]), ".")
     local = _like(F.substring_index(canon, "@", 1), digest)
     mail = F.concat(F.regexp_replace(local, r"[^a-z0-9._%+-]", "x"), F.substring(digest, 120, 4), F.lit("@mail.example.net"))
-    out = F.when(kind == "card", card).when(kind == "ip", octets).when(kind == "email", mail)
+    land, body = F.left(canon, F.lit(2)), F.substring(like, F.lit(5), F.char_length(canon))
+    check = F.lpad((98 - _mod97(F.concat(body, land, F.lit("00")))).cast("string"), 2, "0")
+    iban = F.concat(land, F.when(_iban_valid(canon), check).otherwise(F.substring(like, 3, 2)), body)
+    out = F.when(kind == "card", card).when(kind == "iban", iban).when(kind == "ip", octets).when(kind == "email", mail)
     for (g, s), names in GIVEN.items():
         pick = F.element_at(F.array(*map(F.lit, names)), 1 + _byte(digest, F.lit(0)) % len(names))
         more = _syllables(digest, _array(s), n)
@@ -147,9 +168,10 @@ def _syllables(digest: Column, names: Column, n: Column) -> Column:
 
 
 def _shape(kind: Column, canon: Column) -> Column:
-    """What a replacement keeps: kind, length, places of digits and letters, and whether check digits are valid."""
+    """What a replacement keeps: kind, length, places of digits and letters, an IBAN's country, and whether check digits are valid."""
     plain = F.regexp_replace(F.regexp_replace(canon, "[0-9]", "0"), r"\p{L}", "a")
-    return F.concat_ws("|", kind, plain, F.when(kind == "card", (_luhn(canon) == 0).cast("string")))
+    valid = F.when(kind == "card", _luhn(canon) == 0).when(kind == "iban", _iban_valid(canon))
+    return F.concat_ws("|", kind, plain, valid.cast("string"), F.when(kind == "iban", F.left(canon, F.lit(2))))
 
 
 def _permuted(parts: DataFrame, key: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import delete, materialize, shared_dir
 from .words import pieces
 
 SEPARATOR = 50256
@@ -127,7 +127,11 @@ def scan(files: DataFrame, separator: int = SEPARATOR, width: int = 2, block: in
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, separator: int = SEPARATOR) -> DataFrame:
     """doc_id, n_tokens of every document: texts become flat token files, whose documents the scan finds again."""
     folder = f"{shared_dir(docs.sparkSession)}/strandlake-tokens-{uuid.uuid4().hex}"
-    names = write_token_files(docs, folder, vocabulary, separator)
-    if names.isEmpty():
-        return names.select("doc_id", F.lit(0).cast("long").alias("n_tokens"))
-    return names.join(scan(token_files(docs.sparkSession, folder), separator), ["file", "doc"]).select("doc_id", "n_tokens")
+    try:
+        names = write_token_files(docs, folder, vocabulary, separator)
+        if names.isEmpty():
+            return names.select("doc_id", F.lit(0).cast("long").alias("n_tokens"))
+        found = scan(token_files(docs.sparkSession, folder), separator)  # what it found is written: the files aren't read again
+    finally:
+        delete(docs.sparkSession, folder)
+    return names.join(found, ["file", "doc"]).select("doc_id", "n_tokens")

@@ -104,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
     top = [rows.where(F.col("toxic") == y).orderBy("h").limit(k) for y, k in ((1, take_pos), (0, take_neg))]
     chosen = top[0].union(top[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    sample = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text"))  # of repeated ids the least text
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):

@@ -151,13 +151,16 @@ def test_ring_by_a_walk_row_by_row(slack):
     for _, lo, hi, s, _ in sharding.place(counts, 6, 8, 256, slack):
         got[s] += hi - lo
     total = sum(counts.values())
-    room = {s: -(-int((1 + slack) * total * 1000) // 6000) if slack else None for s in range(6)}
-    if not slack:  # one more for the shards with most rows of their own
-        base, more = divmod(total, 6)
-        room = {s: got[s] for s in range(6)}
-        assert sorted(room.values()) == [base] * (6 - more) + [base + 1] * more
-    else:
+    if slack:
         room = {s: max(total // 6 + 1, -(-((1 + slack) * total) // 6)) for s in range(6)}
+    else:  # one more for the shards with most rows of their own, by walking the ring from each cell
+        around = dict(sharding.ring(6, 8, 256))
+        home = lambda c: next(around[(c + k) % 256] for k in range(256) if (c + k) % 256 in around)
+        own = collections.Counter()
+        for c, n in counts.items():
+            own[home(c)] += n
+        order = sorted(range(6), key=lambda s: (-own[s], s))
+        room = {s: total // 6 + (i < total % 6) for i, s in enumerate(order)}
     assert walked(counts, 6, 8, 256, room) == got
 
 
@@ -170,6 +173,15 @@ def test_few_rows_move_to_a_new_shard(tiny):
     assert len(moved) <= 0.3 * len(before) and sum(after[i] != 8 for i in moved) <= 0.1 * len(before)
 
 
+def test_placement_follows_from_key_and_content(spark, tiny, docs_of):
+    rows = [(None, "same")] * 40 + [(7, "same")] * 30 + [(7, f"text {i % 5}") for i in range(30)]
+    docs = tiny.select("doc_id", "text", "lang", "source", "n_chars").union(docs_of(rows))
+    one, two = (sorted((tuple(r) for r in sharding.shard(d).drop("grown_shard").collect()), key=repr) for d in (docs, docs.repartition(7)))
+    assert one == two
+    whole = [sorted((r["doc_id"] or -1, r["text_crc32"], r["shard"], r["slot"]) for r in sharding.shard_documents(d).collect()) for d in (docs, docs.repartition(5))]
+    assert whole[0] == whole[1]
+
+
 def test_sharding_of_a_hot_key(spark, docs_of):
     same = [(None, "one text for many rows")] * 700 + [(5, "another text")] * 300
     rows = same + [(None, f"no id {i}") for i in range(500)] + [(i, f"text {i}") for i in range(10, 510)]

@@ -337,3 +337,50 @@ def test_blocks_of_the_benchmark_make_no_difference(spark, docs_of, monkeypatch,
     want = sum(weight(g) * n for g, n in (a & b).items()) / sum(weight(g) * n for g, n in (a | b).items())
     assert set(got) == ({(1, 3)} if want >= 0.8 else set()) | {(3, 5), (4, 31)}
     assert got[3, 5] == pytest.approx(1.0) and got.get((1, 3), want) == pytest.approx(want)
+
+
+# 4: IBANs and scripts; 3: files
+
+
+def iban_ok(x):
+    x = x.replace(" ", "").upper()
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
+def test_ibans_keep_their_country_and_valid_check_digits(docs_of):
+    from strandlake.llm import pii
+
+    real = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "FR14 2004 1010 0505 0001 3M02 606", "DE12 3456 7890 1234 5678 90"]
+    assert [iban_ok(x) for x in real] == [True, True, True, False]
+    got = {r["doc_id"]: r["text"] for r in pii.replace_private(docs_of([(i, f"pay {x} now") for i, x in enumerate(real)])).collect()}
+    for i, x in enumerate(real):
+        new = got[i].removeprefix("pay ").removesuffix(" now")
+        assert new != x and len(new) == len(x) and new[:2] == x[:2] and (iban_ok(new) or not iban_ok(x))
+        assert [c for c in new if c == " "] == [c for c in x if c == " "]
+
+
+def test_full_shapes_of_ibans_stay_in_their_country(spark):
+    from strandlake.llm import pii
+
+    parts = spark.createDataFrame([("iban", f"{c}00aa{i}") for c in ("de", "fr") for i in range(10)], ["kind", "canon"])
+    got = {r["canon"]: r["new"] for r in pii.surrogates(parts, "k").collect()}
+    assert len(set(got.values())) == 20 and all(a != b and a[:2] == b[:2] for a, b in got.items())
+
+
+def test_names_keep_their_script(docs_of):
+    from strandlake.llm import pii
+
+    got = [r["text"] for r in pii.replace_private(docs_of([(1, "Mr Παπαδόπουλος met Κύριος Γιώργος Νικολάου"), (2, "Господин Иванов"), (3, "Mr Smith")])).collect()]
+    assert re.fullmatch(r"Mr [Ͱ-Ͽ]+ met Κύριος [Ͱ-Ͽἀ-῿]+ [Ͱ-Ͽ]+", got[0]) and "Νικολάου" not in got[0]
+    assert re.fullmatch(r"Господин [Ѐ-ӿ]+", got[1]) and re.fullmatch(r"Mr [A-Za-z]+", got[2])
+
+
+def test_token_files_are_deleted(spark, docs_of):
+    import glob
+
+    from strandlake.llm import common, tokens
+
+    root = common.shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{root}/strandlake-tokens-*"))
+    rows = tokens.count_tokens(docs_of([(1, "a few words"), (2, None)]))
+    assert set(glob.glob(f"{root}/strandlake-tokens-*")) == before and rows.count() == 2
