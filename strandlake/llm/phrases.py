@@ -41,7 +41,7 @@ LEAST, WORDS, TOP = 10, 3, 2000
 INSIDE = 50
 SCALE = 1_000_000
 #: Bits of a level's bitmap, and distinct phrases of a task's dictionaries.
-BITS, ENTRIES = 1 << 27, 500_000
+BITS, ENTRIES = 1 << 27, 250_000
 _CELL = 8 * 4096  # bits of one row of Spark's bitmaps
 
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
