@@ -54,7 +54,7 @@ def prompt(c: Column) -> Column:
 
 def outside_alphabet(c: Column) -> Column:
     """The distinct characters of ``c`` that are not in the alphabet, sorted."""
-    return F.array_sort(F.array_except(F.array_distinct(F.split(c, "")), F.array(*map(F.lit, [*ALPHABET, ""]))))
+    return F.array_sort(F.array_except(F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))), F.array(*map(F.lit, ALPHABET))))
 
 
 def ids(c: Column) -> Column:

@@ -36,27 +36,47 @@ def admissible(stats: DataFrame, low: int, high: int, need: int, name: str = "fa
     return both.drop("__in", "__n")
 
 
-def running(df: DataFrame, keys: list[str], order: str, value: str, out: str, more: list[str] | None = None, blocks: int = 256) -> DataFrame:
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for an operator's own columns that no column of ``df`` has, in any case."""
+    taken, lead = {c.lower() for c in df.columns}, "__"
+    while any((lead + n).lower() in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
+def running(
+    df: DataFrame, keys: list[str], order: str, value: str | list[str], out: str | list[str], more: list[str] | None = None,
+    blocks: int = 256, through: bool = False,
+) -> DataFrame:
     """Adds ``out``, the sum of ``value`` over the rows before in ``keys``, by the numeric ``order`` (then ``more``).
 
-    Two levels: rows are dealt over blocks at quantiles of the order, sums of blocks become offsets, and a window runs in one
-    block only, so a key with most of the rows is many tasks.
+    Both may be lists, summed in one pass; with ``through`` a row's own value counts too.  Two levels: rows are dealt over
+    blocks at quantiles of the order, sums of blocks become offsets, and a window runs in one block only, so a key with most
+    of the rows is many tasks.  The operator's own columns take names that ``df`` doesn't have; an ``out`` that it has is an
+    error.
     """
+    values, outs = ([value], [out]) if isinstance(value, str) else (list(value), list(out))
+    clash = {c.lower() for c in df.columns} & {o.lower() for o in outs}
+    if clash:
+        raise ValueError(f"columns that are there already: {sorted(clash)}")
+    block, one, kb = own_names(df, "block", "one", "kb")
+    offs = own_names(df, *[f"off{i}" for i in range(len(values))])
+    held = own_names(df, *[f"k{i}" for i in range(max(1, len(keys)))])
     cuts = sorted(set(df.approxQuantile(order, [i / blocks for i in range(1, blocks)], 0.25 / blocks))) or [0.0]
-    block = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if len(cuts) < 16 else _bisect(F.col(order), cuts)
-    rows = df.withColumn("__block", F.coalesce(block.cast("int"), F.lit(-1)))
-    one = keys or ["__one"]
-    rows = rows if keys else rows.withColumn("__one", F.lit(0))
-    rows = rows.repartition(*one, "__block")
-    per = rows.groupBy(*one, "__block").agg(F.sum(value).alias("__sum"))
-    over = Window.partitionBy(*one).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(one)], F.col("__block").alias("__kb"), F.coalesce(F.sum("__sum").over(over), F.lit(0)).alias("__off"))
-    inner = Window.partitionBy(*one, "__block").orderBy(order, *(more or [])).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__in", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    same = F.col("__block") == F.col("__kb")
-    for i, k in enumerate(one):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return rows.join(per, same).withColumn(out, F.col("__off") + F.col("__in")).select(*df.columns, out)
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if len(cuts) < 16 else _bisect(F.col(order), cuts)
+    rows = df.withColumn(block, F.coalesce(at.cast("int"), F.lit(-1)))
+    by = keys or [one]
+    rows = rows if keys else rows.withColumn(one, F.lit(0))
+    rows = rows.repartition(*by, block)
+    before = Window.partitionBy(*by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy(*by, block).agg(*[F.sum(v).alias(o) for v, o in zip(values, offs)])
+    per = per.select(*[F.col(k).alias(h) for k, h in zip(by, held)], F.col(block).alias(kb), *[F.coalesce(F.sum(o).over(before), F.lit(0)).alias(o) for o in offs])
+    inner = Window.partitionBy(*by, block).orderBy(order, *(more or [])).rowsBetween(Window.unboundedPreceding, 0 if through else -1)
+    rows = rows.withColumns({o: F.coalesce(F.sum(v).over(inner), F.lit(0)) for v, o in zip(values, outs)})
+    same = F.col(block) == F.col(kb)
+    for k, h in zip(by, held):
+        same = same & F.col(k).eqNullSafe(F.col(h))
+    return rows.join(per, same).select(*df.columns, *[(F.col(f) + F.col(o)).alias(o) for f, o in zip(offs, outs)])
 
 
 def _bisect(c: Column, cuts: list[float]) -> Column:

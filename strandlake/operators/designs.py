@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import inspect
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .curate import own_names, running
+
 
 def pair(rows: DataFrame, keys: list[str], arm: str, a: str, b: str) -> DataFrame:
     """One row a key with both arms as structs a and b, and problem: 'missing' or 'duplicate' where a pair isn't one."""
@@ -30,11 +38,11 @@ def uniform_violations(rows: DataFrame, fields: list[str]) -> DataFrame:
 
 def budget_curve(rows: DataFrame, keys: list[str], order: str, seconds: str, qualified: Column, item: str, horizon: float) -> DataFrame:
     """(keys, seconds, qualified_unique): a point at 0, one for each run within the horizon, one at the horizon."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    t, y, new = own_names(rows, "t", "y", "new")
     first = F.row_number().over(Window.partitionBy(*keys, item, qualified).orderBy(order)) == 1
-    pts = rows.withColumn("__t", F.sum(seconds).over(w)).withColumn("__new", (first & qualified).cast("long"))
-    pts = pts.withColumn("__y", F.sum("__new").over(w)).where(F.col("__t") <= horizon)
-    pts = pts.select(*keys, F.col("__t").alias("seconds"), F.col("__y").alias("qualified_unique"))
+    pts = running(rows.withColumn(new, (first & qualified).cast("long")), keys, order, [seconds, new], [t, y], through=True)
+    pts = pts.where(F.col(t) <= horizon)
+    pts = pts.select(*keys, F.col(t).alias("seconds"), F.col(y).alias("qualified_unique"))
     names = rows.select(*keys).distinct()
     zero = names.select(*keys, F.lit(0.0).alias("seconds"), F.lit(0).cast("long").alias("qualified_unique"))
     every = zero.unionByName(pts)
@@ -49,10 +57,10 @@ def map_means(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     return sums.join(n, keys).select(*keys, "name", (F.col("s") / F.col("n")).alias("mean"))
 
 
-def ratios(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """(keys, n_pairs, geometric_mean, median) of a over b."""
+def ratios(pairs: DataFrame, keys: list[str], a: str, b: str, means: list[str] | None = None) -> DataFrame:
+    """(keys, n_pairs, geometric_mean, median) of a over b, and the means of the columns ``means``."""
     r = F.col(a) / F.col(b)
-    return pairs.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.exp(F.avg(F.ln(r))).alias("geometric_mean"), F.percentile(r, F.lit(0.5)).alias("median"))
+    return pairs.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in means or []], F.count("*").alias("n_pairs"), F.exp(F.avg(F.ln(r))).alias("geometric_mean"), F.percentile(r, F.lit(0.5)).alias("median"))
 
 
 def identities(df: DataFrame, key: str, seq: str, group: list[str], asks: Column | None = None) -> DataFrame:
@@ -72,6 +80,24 @@ def identities(df: DataFrame, key: str, seq: str, group: list[str], asks: Column
     return pairs.select(*group, "a", "b", (F.col("__same") / F.col("len")).alias("identity"))
 
 
+def mean_identity(df: DataFrame, group: str, seq: str = "seq") -> DataFrame:
+    """(group, pairs, identity): the mean identity of all pairs of sequences of one length in a group, without making pairs.
+
+    At a position of sequences of one length, n rows with the same symbol are n (n - 1) / 2 pairs that agree there, so counts by
+    (group, length, position, symbol) give the sum over all pairs in linear time.  Empty sequences are in no pair.
+    """
+    from .kmers import windows
+
+    rows = df.select(group, F.col(seq).alias("seq"), F.char_length(seq).cast("long").alias("len")).where("len > 0")
+    sizes = rows.groupBy(group, "len").agg(F.count("*").alias("m")).where("m > 1")
+    shared = rows.join(sizes.select(group, "len"), [group, "len"], "left_semi")
+    at = windows(shared, 1, [group, "len"], pos=True).groupBy(group, "len", "pos", "kmer").agg(F.count("*").alias("n"))
+    same = at.groupBy(group, "len").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("same"))
+    out = sizes.join(same, [group, "len"]).groupBy(group)
+    pairs = F.sum(F.col("m") * (F.col("m") - 1) / 2)
+    return out.agg(pairs.cast("long").alias("pairs"), (F.sum(F.col("same") / F.col("len")) / pairs).alias("identity"))
+
+
 def top_candidates(rows: DataFrame, keys: list[str], loss: str, index: str, n: int = 2) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(loss, index)
     return rows.where(F.col(loss).isNotNull()).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
@@ -95,6 +121,47 @@ def chains(nodes: DataFrame, node: str, parent: str, text: str) -> DataFrame:
     return rows.where("up IS NULL").select("node", "depth", "path")
 
 
+def ancestry(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """(node, up, root, depth) of the nodes that lead to a root, by pointer doubling on ids alone: log2 n rounds for chains of n."""
+    from ..session import written
+
+    given = nodes.select(F.col(node).alias("node"), F.col(parent).alias("up"))
+    rows = written(given.select("node", F.col("up").alias("next"), F.coalesce("up", "node").alias("root"), F.col("up").isNotNull().cast("int").alias("depth")))
+    total = rows.count()
+    while not rows.where("next IS NOT NULL").isEmpty():
+        above = rows.select(F.col("node").alias("next"), F.col("next").alias("__n"), F.col("root").alias("__r"), F.col("depth").alias("__d"))
+        more = rows.where("next IS NOT NULL").join(above, "next").select("node", F.col("__n").alias("next"), F.col("__r").alias("root"), (F.col("depth") + F.col("__d")).alias("depth"))
+        rows = written(rows.where("next IS NULL").select("node", "next", "root", "depth").union(more.where(F.col("depth") < total)))
+    return rows.where("next IS NULL").select("node", "root", "depth").join(given, "node").select("node", "up", "root", "depth")
+
+
+def chain_digests(nodes: DataFrame, node: str, parent: str, text: str) -> DataFrame:
+    """(node, depth, digest): the MD5 of all texts from the root on, without carrying them: each text is read once.
+
+    A tree's nodes pass one task in order of depth, which keeps the digest states of one level.  Node ids are integers.
+    """
+    rows = ancestry(nodes, node, parent).join(nodes.select(F.col(node).alias("node"), F.col(text).alias("text")), "node")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root = level = None
+        above: dict = {}
+        here: dict = {}
+        for b in batches:
+            out = []
+            for n, up, r, depth, t in zip(b["node"].tolist(), b["up"], b["root"].tolist(), b["depth"].tolist(), b["text"]):
+                if r != root:
+                    root, level, above, here = r, depth, {}, {}
+                elif depth != level:
+                    level, above, here = depth, here, {}
+                state = above[int(up)].copy() if depth else hashlib.md5()
+                state.update((t or "").encode())
+                here[n] = state
+                out.append((n, depth, state.hexdigest()))
+            yield pd.DataFrame(out, columns=["node", "depth", "digest"])
+
+    return rows.repartition("root").sortWithinPartitions("root", "depth", "node").select("node", "up", "root", "depth", "text").mapInPandas(run, "node long, depth int, digest string")
+
+
 def beam_search(spark, start: DataFrame, expand, score, rounds: int, width: int, checkpoint=None) -> DataFrame:
     """Rounds of expand -> score -> best ``width`` a design by (loss, idx); ``checkpoint`` cuts the lineage of a round.
 
@@ -111,17 +178,159 @@ def beam_search(spark, start: DataFrame, expand, score, rounds: int, width: int,
     return out
 
 
+# a search that outlives its driver
+
+
+def search_identity(start: DataFrame, *parts) -> str:
+    """What a search's rounds may be mixed with: a digest of its start rows, in any order, and of code and parameters.
+
+    Functions count by their source, everything else by its repr.
+    """
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(start.columns)])
+    n, total, low = start.agg(F.count("*"), F.sum(F.pmod(row, F.lit(1 << 32))), F.min(row)).first()
+    code = [inspect.getsource(p) if callable(p) else repr(p) for p in parts]
+    return hashlib.sha256(json.dumps([start.dtypes, n, total, low, code]).encode()).hexdigest()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def durable_search(start: DataFrame, expand: Callable, score: Callable, rounds: int, width: int, root: str, identity: str) -> DataFrame:
+    """All candidates (round, rank and what ``score`` gives) of a beam search whose rounds are committed below ``root``.
+
+    A round is a folder that Spark commits as a whole, so a search whose driver was lost goes on after its last whole round,
+    with the same result; a folder begun under another identity is an error.  ``expand(beam, round)`` gives design, idx and
+    whatever else belongs to a candidate, ``score`` adds loss; the best ``width`` of a design by (loss, idx) have a rank, others
+    and those without a loss have none.
+    """
+    spark = start.sparkSession
+    if _exists(spark, f"{root}/identity/_SUCCESS"):
+        if (held := spark.read.text(f"{root}/identity").first()[0]) != identity:
+            raise ValueError(f"{root} belongs to another search: {held}")
+    else:
+        spark.createDataFrame([(identity,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/identity")
+    beam = start
+    for r in range(rounds):
+        path = f"{root}/rounds/round={r}"
+        if not _exists(spark, f"{path}/_SUCCESS"):
+            rows = score(expand(beam, r))
+            best = F.row_number().over(Window.partitionBy("design").orderBy(F.col("loss").asc_nulls_last(), "idx"))
+            rows.withColumn("rank", F.when(F.col("loss").isNotNull() & (best <= width), best)).write.mode("overwrite").parquet(path)
+        beam = spark.read.parquet(path).where("rank IS NOT NULL")
+    return spark.read.option("basePath", f"{root}/rounds").parquet(*[f"{root}/rounds/round={r}" for r in range(rounds)])
+
+
+def search_violations(rows: DataFrame, each: int, width: int, seed: Callable[..., Column], loss: DataFrame) -> DataFrame:
+    """(design, round, idx, rule) of what a search's record contradicts; none if it is sound.
+
+    rows: design, round, idx, parent, seed, suffix, state, chain, loss, rank.  ``each`` children a kept parent (``count``), which
+    is a kept candidate of the round before (``parent``); ``seed(design, round, idx)`` again (``seed``); states are the parent's
+    and the suffix, chains digests of the parent's chain and the suffix (``chain``); ``loss`` (design, state, want) again
+    (``loss``); and ranks of the best ``width`` by (loss, idx) (``rank``).
+    """
+    key = ["design", "round", "idx"]
+    kept = rows.where("rank IS NOT NULL").select("design", (F.col("round") + 1).alias("round"), F.col("idx").alias("parent"), F.col("state").alias("before"), F.col("chain").alias("link"))
+    joined = rows.join(kept, ["design", "round", "parent"], "left")
+    first = F.col("round") == 0
+    state = F.concat(F.when(first, F.lit("")).otherwise(F.col("before")), "suffix")
+    chain = F.sha2(F.concat(F.when(first, F.lit("")).otherwise(F.col("link")), "suffix"), 256)
+    best = F.row_number().over(Window.partitionBy("design", "round").orderBy(F.col("loss").asc_nulls_last(), "idx"))
+    due = F.when(F.col("loss").isNotNull() & (best <= width), best)
+    joined = joined.join(loss, ["design", "state"], "left").withColumn("due", due)
+    rules = {
+        "parent": ~first & F.col("before").isNull(),
+        "seed": F.col("seed") != seed(F.col("design"), F.col("round"), F.col("idx")),
+        "chain": (first | F.col("before").isNotNull()) & ((F.col("state") != state) | (F.col("chain") != chain)),
+        "loss": ~F.coalesce(F.abs(F.col("loss") - F.col("want")) <= 1e-10, F.col("loss").isNull() & F.col("want").isNull()),
+        "rank": ~F.col("rank").eqNullSafe(F.col("due")),
+    }
+    found = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
+    bad = joined.select(*key, F.explode(found).alias("rule"))
+    parents = kept.groupBy("design", "round").agg(F.count("*").alias("parents"))
+    sizes = rows.groupBy("design", "round").agg(F.count("*").alias("n")).join(parents, ["design", "round"], "left")
+    wrong = sizes.where(F.col("n") != F.when(F.col("round") == 0, each).otherwise(F.coalesce("parents", F.lit(0)) * each))
+    return bad.unionByName(wrong.select("design", "round", F.lit(None).cast(rows.schema["idx"].dataType).alias("idx"), F.lit("count").alias("rule")))
+
+
+# a queue of jobs
+
+#: Scopes from the narrowest to the widest.
+SCOPES = ("calibration", "pilot", "all")
+
+
+def scope_limit(requested: str, frozen: str | None) -> str:
+    """What may run: a scope that was frozen once cannot be widened by a later request."""
+    for s in (requested, frozen):
+        if s is not None and s not in SCOPES:
+            raise ValueError(f"unknown scope: {s}")
+    return requested if frozen is None else SCOPES[min(SCOPES.index(requested), SCOPES.index(frozen))]
+
+
+def queue(planned: DataFrame, attempts: DataFrame, implementation: str, requested: str, frozen: str | None = None) -> DataFrame:
+    """(job, stage, action, attempt, incomplete): what happens to each planned job (job, stage), given earlier attempts.
+
+    attempts: job, at (their order), status, eligible, implementation, error.  By its latest attempt a job is out of scope, has to
+    be refused (made by another implementation), skipped (complete and eligible, or a calibration that ran out of memory),
+    archived and run again, or run for the first time.  ``attempt`` is the number of the archived attempt; ``incomplete`` says that its time
+    is not whole (it was still running, or complete without being eligible).
+    """
+    latest = attempts.groupBy("job").agg(
+        F.max(F.struct("at", "status", "eligible", "implementation", "error")).alias("m"), F.count("*").alias("n")
+    ).select("job", "n", "m.*")
+    through = SCOPES.index(scope_limit(requested, frozen))
+    stage = F.array_position(F.array(*map(F.lit, SCOPES)), F.col("stage")) - 1
+    memory = F.contains(F.lower(F.coalesce("error", F.lit(""))), F.lit("out of memory"))
+    eligible = F.coalesce("eligible", F.lit(False))
+    action = (
+        F.when(F.coalesce((stage < 0) | (stage > through), F.lit(True)), "out_of_scope").when(F.col("n").isNull(), "run")
+        .when(~F.coalesce(F.col("implementation") == implementation, F.lit(False)), "refuse").when((F.col("status") == "complete") & eligible, "skip")
+        .when((F.col("stage") == "calibration") & (F.col("status") == "failed") & memory, "skip_memory").otherwise("archive_and_run")
+    )
+    rows = planned.join(latest, "job", "left").withColumn("action", action)
+    again = F.col("action") == "archive_and_run"
+    whole = (F.col("status") == "running") | ((F.col("status") == "complete") & ~eligible)
+    return rows.select("job", "stage", "action", F.when(again, F.col("n") - 1).alias("attempt"), F.when(again, F.coalesce(whole, F.lit(False))).alias("incomplete"))
+
+
+def arm_totals(rows: DataFrame, keys: list[str], peaks: list[str], sums: list[str]) -> DataFrame:
+    """(keys, peaks, sums) of runs: the largest of each peak where any run has one; sums only where every run has the value."""
+    whole = [F.when(F.count(c) == F.count("*"), F.sum(c)).alias(c) for c in sums]
+    return rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in peaks], *whole)
+
+
+def state_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(path, max_abs, max_rel) of two states (path, i, v): the largest difference, and that over the largest |b| of the path.
+
+    A path or element that only one of them has is an error.
+    """
+    j = a.select("path", "i", F.col("v").alias("a"), F.lit(True).alias("in_a")).join(b.select("path", "i", F.col("v").alias("b"), F.lit(True).alias("in_b")), ["path", "i"], "full_outer")
+    lone = F.col("in_a").isNull() | F.col("in_b").isNull()
+    gap = F.when(lone, F.raise_error(F.concat(F.lit("only one state has "), "path", F.lit(" "), F.col("i").cast("string"))).cast("double")).otherwise(F.abs(F.col("a") - F.col("b")))
+    out = j.groupBy("path").agg(F.max(gap).alias("max_abs"), F.max(F.abs("b")).alias("most"))
+    return out.select("path", "max_abs", (F.col("max_abs") / F.greatest("most", F.lit(1e-12))).alias("max_rel"))
+
+
 def changed(expected: DataFrame, actual: DataFrame, key: str, value: str) -> DataFrame:
     """(key, want, got) where they differ or one side is missing."""
     j = expected.select(key, F.col(value).alias("want")).join(actual.select(key, F.col(value).alias("got")), key, "full_outer")
     return j.where(~F.col("want").eqNullSafe(F.col("got")))
 
 
+def wave(length: Column, bin_bp: int, on: int, off: int) -> Column:
+    """0 and 1, a value a bin, of rows' own lengths."""
+    if on % bin_bp or off % bin_bp:
+        raise ValueError("edges must fall on bins")
+    checked = F.when((length <= 0) | (length % bin_bp != 0), F.raise_error(F.lit("edges must fall on bins")).cast("long")).otherwise(length)
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.floor(checked / bin_bp) - 1), lambda i: F.when((i * bin_bp) % (on + off) < on, 1.0).otherwise(0.0))
+
+
 def square_wave(length: int, bin_bp: int, on: int, off: int):
     """SQL array of 0 and 1, a value a bin."""
-    if length <= 0 or length % bin_bp or on % bin_bp or off % bin_bp:
+    if length <= 0 or length % bin_bp:
         raise ValueError("edges must fall on bins")
-    return F.transform(F.sequence(F.lit(0), F.lit(length // bin_bp - 1)), lambda i: F.when((i * bin_bp) % (on + off) < on, 1.0).otherwise(0.0))
+    return wave(F.lit(length), bin_bp, on, off)
 
 
 # On and off lengths of the periodic patterns; Morse units of A, R, C.

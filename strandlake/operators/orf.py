@@ -1,93 +1,67 @@
-"""Open reading frames: both strands, three frames, start codon to the next stop codon in frame."""
+"""Open reading frames: both strands, three frames, start codon to the next stop codon in frame.
+
+A sequence's codons are found inside its Arrow batch (``codes``), so frames and spans need no exchange of symbols.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import reverse_complement_upper
-from .kmers import windows
-
-STOPS = ("TAA", "TAG", "TGA")
-
-
-def strands(df: DataFrame, keep: list[str], seq: str = "seq") -> DataFrame:
-    """Each sequence twice: strand 1 as it is, strand -1 reverse-complemented."""
-    both = F.explode(F.array(F.struct(F.lit(1).alias("strand"), F.col(seq).alias("seq")), F.struct(F.lit(-1).alias("strand"), reverse_complement_upper(F.col(seq)).alias("seq"))))
-    return df.select(*keep, both.alias("x")).select(*keep, "x.strand", "x.seq")
-
-
-def codons(df: DataFrame, keep: list[str], seq: str = "seq") -> DataFrame:
-    """Only start and stop codons with their frame; the rest never reaches a shuffle."""
-    rows = windows(strands(df, keep, seq), 3, [*keep, "strand"], pos=True)
-    return rows.where(F.col("kmer").isin("ATG", *STOPS)).select(*keep, "strand", (F.col("pos") % 3).cast("int").alias("frame"), "pos", "kmer")
-
-
-def _dealt(rows: DataFrame, keep: list[str]) -> tuple[DataFrame, list[str]]:
-    """``rows`` by frame and block of positions, so that one long sequence is not one task; and the frame's columns."""
-    frame = [*keep, "strand", "frame"]
-    return rows.withColumn("__block", F.shiftright("pos", 16)).repartition(*frame, "__block"), frame
+from . import codes
+from .codes import STOPS
 
-
-def _carried(rows: DataFrame, frame: list[str], value: Column, ahead: bool) -> DataFrame:
-    """(frame, __block, __carry): the nearest value in the blocks after (or before) a block, one row a block."""
-    per = rows.groupBy(*frame, "__block").agg((F.min(value) if ahead else F.max(value)).alias("__v"))
-    w = Window.partitionBy(*frame).orderBy("__block")
-    w = w.rowsBetween(1, Window.unboundedFollowing) if ahead else w.rowsBetween(Window.unboundedPreceding, -1)
-    return per.select(*frame, "__block", (F.min("__v") if ahead else F.max("__v")).over(w).alias("__carry"))
+__all__ = ["STOPS", "complete", "densest_window", "metrics", "open_span"]
 
 
 def complete(df: DataFrame, keep: list[str], least: int = 60, seq: str = "seq") -> DataFrame:
     """(keep, strand, frame, start, end, length): every start with its next stop in frame, nested ones included."""
-    rows, frame = _dealt(codons(df, keep, seq), keep)
-    stop = F.when(F.col("kmer") != "ATG", F.col("pos"))
-    w = Window.partitionBy(*frame, "__block").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    found = rows.withColumn("stop", F.min(stop).over(w)).join(_carried(rows, frame, stop, True), [*frame, "__block"])
-    found = found.withColumn("stop", F.coalesce("stop", "__carry")).where("kmer = 'ATG' AND stop IS NOT NULL")
-    found = found.select(*frame, F.col("pos").alias("start"), (F.col("stop") + 3).alias("end"), (F.col("stop") + 3 - F.col("pos")).alias("length"))
-    return found.where(F.col("length") >= least)
+
+    def work(c: np.ndarray, _: dict) -> list[np.ndarray]:
+        strand, frame, start, end = codes.frames(c, least)
+        return [strand, frame, start, end, end - start]
+
+    return codes.each(df, keep, seq, work, "strand int, frame int, start long, `end` long, length long")
 
 
 def metrics(df: DataFrame, key: str = "doc_id", least: int = 60, seq: str = "seq") -> DataFrame:
     """(key, n_orfs, longest_orf_bp, coding_bp, coding_frac), sequences without a frame included."""
-    found = complete(df, [key], least, seq).groupBy(key).agg(F.count("*").alias("n"), F.max("length").alias("m"), F.sum("length").alias("s"))
-    rows = df.select(key, F.char_length(seq).alias("len")).join(found, key, "left")
-    zero = F.lit(0).cast("long")
-    return rows.select(
-        key, F.coalesce("n", zero).alias("n_orfs"), F.coalesce("m", zero).alias("longest_orf_bp"), F.coalesce("s", zero).alias("coding_bp"),
-        F.when(F.col("len") > 0, F.coalesce("s", zero) / F.col("len")).otherwise(0.0).alias("coding_frac"),
-    )
+
+    def work(c: np.ndarray, _: dict) -> list[np.ndarray]:
+        start, end = codes.frames(c, least)[2:]
+        size = end - start
+        found = [len(size), int(size.max(initial=0)), int(size.sum())]
+        return [*[np.array([x], np.int64) for x in found], np.array([found[2] / len(c) if len(c) else 0.0])]
+
+    return codes.each(df, [key], seq, work, "n_orfs long, longest_orf_bp long, coding_bp long, coding_frac double")
 
 
 def open_span(df: DataFrame, keep: list[str], seq: str = "seq") -> DataFrame:
     """(keep, span): the longest distance from a stop to a later codon in frame without a stop between.
 
-    The walk starts one codon before its frame. Between two stops the largest distance is that of the last codon before
-    the second, and after the last stop that of the frame's last codon, so stops alone are enough.
+    The walk starts one codon before its frame; rows with equal ``keep`` are one result.
     """
-    rows = codons(df, keep, seq).where("kmer <> 'ATG'")
-    lens = strands(df, keep, seq).select(*keep, "strand", F.char_length("seq").alias("len"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("frame"))
-    lens = lens.where(F.col("len") - 2 > F.col("frame"))
-    last = F.col("frame") + 3 * F.floor((F.col("len") - 3 - F.col("frame")) / 3)
-    ends = lens.select(*keep, "strand", "frame", (last + 3).cast("long").alias("pos"))
-    marks, frame = _dealt(rows.select(*keep, "strand", "frame", "pos").unionByName(ends), keep)
-    before = F.lag("pos").over(Window.partitionBy(*frame, "__block").orderBy("pos"))
-    marks = marks.withColumn("__last", before).join(_carried(marks, frame, F.col("pos"), False), [*frame, "__block"])
-    gaps = marks.withColumn("gap", F.col("pos") - 3 - F.coalesce("__last", "__carry", (F.col("frame") - 3).cast("long")))
-    best = gaps.groupBy(*keep).agg(F.greatest(F.max("gap"), F.lit(0)).alias("span"))
-    return df.select(*keep).distinct().join(best, keep, "left").select(*keep, F.coalesce("span", F.lit(0)).cast("long").alias("span"))
+    rows = codes.each(df, keep, seq, lambda c, _: [np.array([codes.open_span(c)], np.int64)], "span long")
+    return rows.groupBy(*keep).agg(F.max("span").alias("span"))
 
 
 def densest_window(df: DataFrame, group: str, key: str, window: int = 2048, stride: int = 256, top: int = 3, seq: str = "seq") -> DataFrame:
     """(group, span, contig, start): the window with the longest open span among a group's longest sequences.
 
-    Ties go to the earlier contig, then the earlier start; contigs are ordered by length, then key.
+    Ties go to the earlier contig, then the earlier start; contigs are ordered by length, then key.  Stops are found once a
+    contig, so time doesn't follow the windows' overlap.
     """
     order = Window.partitionBy(group).orderBy(F.desc("len"), key)
     long = df.select(group, key, F.col(seq).alias("seq"), F.char_length(seq).alias("len")).withColumn("contig", F.row_number().over(order) - 1)
     long = long.where((F.col("contig") < top) & (F.col("len") >= window))
-    cut = long.select(group, "contig", F.col("seq").alias("whole"), F.explode(F.sequence(F.lit(0), F.col("len") - window, F.lit(stride))).alias("start"))
-    cut = cut.select(group, "contig", "start", F.substring("whole", F.col("start") + 1, F.lit(window)).alias("seq"))
-    spans = open_span(cut, [group, "contig", "start"])
+
+    def work(c: np.ndarray, _: dict) -> list[np.ndarray]:
+        start = np.arange(0, len(c) - window + 1, stride)
+        span = codes.spans(c, start, window)
+        best = int(span.argmax())
+        return [span[best : best + 1], start[best : best + 1].astype(np.int32)]
+
+    spans = codes.each(long, [group, "contig"], "seq", work, "span long, start int")
     best = spans.groupBy(group).agg(F.max(F.struct("span", -F.col("contig"), -F.col("start"))).alias("b"))
     return best.select(group, F.col("b.span").alias("span"), (-F.col("b.col2")).alias("contig"), (-F.col("b.col3")).cast("int").alias("start"))

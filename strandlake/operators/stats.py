@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from .curate import running
+from .curate import own_names, running
 
 
 def finite(c: Column) -> Column:
@@ -25,14 +26,14 @@ def mean_difference(df: DataFrame, value: str, arm: Column) -> DataFrame:
 def ks(df: DataFrame, value: str, arm: Column, keys: list[str] | None = None) -> DataFrame:
     """(keys, d): the largest gap of two empirical distribution functions.
 
-    Values are counted first, so the window runs over distinct values.
+    Values are counted first; their running sums are taken block by block, so continuous values are not one task.
     """
     keys = keys or []
     v = df.where(finite(F.col(value))).groupBy(*keys, F.col(value).alias("x")).agg(F.sum(F.when(arm, 1).otherwise(0)).alias("a"), F.sum(F.when(arm, 0).otherwise(1)).alias("b"))
-    part = Window.partitionBy(*(keys or [F.lit(0)]))
-    run = part.orderBy("x").rangeBetween(Window.unboundedPreceding, 0)
-    v = v.withColumns({"fa": F.try_divide(F.sum("a").over(run), F.sum("a").over(part)), "fb": F.try_divide(F.sum("b").over(run), F.sum("b").over(part))})
-    return v.groupBy(*keys).agg(F.max(F.abs(F.col("fa") - F.col("fb"))).alias("d"))
+    total = v.groupBy(*keys).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    v = running(v, keys, "x", ["a", "b"], ["ra", "rb"], through=True)
+    v = v.join(total, keys) if keys else v.crossJoin(F.broadcast(total))  # without keys, one row
+    return v.groupBy(*keys).agg(F.max(F.abs(F.try_divide("ra", "na") - F.try_divide("rb", "nb"))).alias("d"))
 
 
 def auroc(df: DataFrame, label: str, score: str, keys: list[str] | None = None) -> DataFrame:
@@ -42,8 +43,7 @@ def auroc(df: DataFrame, label: str, score: str, keys: list[str] | None = None)
     """
     keys = keys or []
     c = df.groupBy(*keys, F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
-    part = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("rank", F.coalesce(F.sum("n").over(part), F.lit(0)) + (F.col("n") + 1) / 2.0)
+    c = running(c, keys, "s", "n", "before").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2.0)
     out = c.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("p").alias("n1"), F.sum(F.col("rank") * F.col("p")).alias("r"))
     n0 = F.col("n") - F.col("n1")
     return out.select(*keys, "n", F.try_divide(F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2.0, (F.col("n1") * n0).cast("double")).alias("auc"))
@@ -52,12 +52,12 @@ def auroc(df: DataFrame, label: str, score: str, keys: list[str] | None = None)
 def benjamini_hochberg(df: DataFrame, p: str, key: str, q: float = 0.05) -> DataFrame:
     """``df`` with rejected: step-up over the finite p-values, ordered by (p, key); ranks come block by block."""
     ok = finite(F.col(p))
-    ranked = running(df.where(ok).withColumn("__one", F.lit(1).cast("long")), [], p, "__one", "__rank", [key])
-    ranked = ranked.drop("__one").withColumn("__rank", F.col("__rank") + 1)
-    n = df.agg(F.count_if(ok).alias("__n"))
-    passed = ranked.crossJoin(F.broadcast(n)).where(F.col(p) <= F.col("__rank") / F.col("__n") * q)
-    last = passed.agg(F.max("__rank").alias("__last"))  # one row
-    yes = ranked.crossJoin(F.broadcast(last)).select(*df.columns, F.coalesce(F.col("__rank") <= F.col("__last"), F.lit(False)).alias("rejected"))
+    one, rank, every, most = own_names(df, "one", "rank", "n", "last")
+    ranked = running(df.where(ok).withColumn(one, F.lit(1).cast("long")), [], p, one, rank, [key], through=True)
+    n = df.agg(F.count_if(ok).alias(every))
+    passed = ranked.crossJoin(F.broadcast(n)).where(F.col(p) <= F.col(rank) / F.col(every) * q)
+    last = passed.agg(F.max(rank).alias(most))  # one row
+    yes = ranked.crossJoin(F.broadcast(last)).select(*df.columns, F.coalesce(F.col(rank) <= F.col(most), F.lit(False)).alias("rejected"))
     return yes.unionByName(df.where(~F.coalesce(ok, F.lit(False))).withColumn("rejected", F.lit(False)))
 
 
@@ -87,34 +87,66 @@ def fisher(df: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
     return df.withColumns({"odds_ratio": odds, "pvalue": p})
 
 
-def _numbers(n: Column, step: int = 1 << 16) -> Column:
-    """Starts of blocks of the numbers below n; ``_inside`` gives the numbers of one, so no array grows with n."""
-    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(step).cast("long")))
+#: Poisson(1) weights from a uniform 32-bit number: how many of the law's cumulative probabilities it reaches.
+POISSON = [int(sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) * 2**32) for i in range(12)]
+#: Weights that are in memory together.
+WEIGHTS = 1 << 20
 
 
-def _inside(start: Column, n: Column, step: int = 1 << 16) -> Column:
-    return F.explode(F.sequence(start, F.least(start + (step - 1), n - 1)))
+def mixed(x: np.ndarray) -> np.ndarray:
+    """32-bit numbers scattered: two rounds of shift, xor and product, which SQL over 64-bit integers can follow."""
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(16))) * np.uint64(0x45D9F3B) & np.uint64(0xFFFFFFFF)
+    return x ^ (x >> np.uint64(16))
 
 
-def _pick(replicate: Column, i: Column, seed: int, n: Column) -> Column:
-    """A reproducible index below n: an arithmetic hash of (replicate, position, seed)."""
-    return ((replicate * 1000003 + i * 8191 + seed) * 2654435761 % 4294967296 * 40503 % 4294967291) % n
+def drawn(keys: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
+    """A 32-bit number for each replicate (rows) and key (columns) that depends on key, replicate and seed only."""
+    k = mixed(keys.astype(np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF))
+    r = mixed((replicates.astype(np.uint64) * np.uint64(2654435761) + np.uint64(seed)) & np.uint64(0xFFFFFFFF))
+    return mixed(k[None, :] ^ r[:, None])
 
 
-def bootstrap_means(df: DataFrame, value: str, arm: Column, order: str, replicates: int, seed: int) -> DataFrame:
-    """(replicate, diff): mean differences of resampled arms.
+def poisson(keys: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
+    return np.searchsorted(np.array(POISSON, np.uint64), drawn(keys, replicates, seed), "right").astype(np.float64)
+
 
-    Draws are an equi-join of drawn indices with numbered samples, replicates x sample rows in all, dealt by index.
+def resampled(df: DataFrame, groups: list[str], key: str, values: list[str], replicates: int, seed: int) -> DataFrame:
+    """(groups, replicate, w, sums of w times each value) of ``replicates`` resamples of all rows, in one pass over them.
+
+    Each row has a Poisson(1) weight in each replicate, a function of its integer ``key``, so resamples need no exchange of rows:
+    a task keeps a vector of sums for each group and replicate, and vectors are merged by addition.  Rows with equal keys are
+    drawn together.  Null keys or values are left out; ``groups`` should be few.
     """
-    rows = df.where(finite(F.col(value))).select(F.col(value).alias("v"), arm.alias("arm"), order)
-    rows = running(rows.withColumn("__one", F.lit(1).cast("long")), ["arm"], order, "__one", "i").drop("__one")
-    size = rows.groupBy("arm").agg(F.count("*").alias("n"))
-    reps = df.sparkSession.range(replicates).select(F.col("id").alias("replicate"))
-    draws = size.crossJoin(reps).select("arm", "n", "replicate", _numbers(F.col("n")).alias("__b"))
-    draws = draws.select("arm", "n", "replicate", _inside(F.col("__b"), F.col("n")).alias("j"))
-    draws = draws.select("arm", "replicate", _pick(F.col("replicate"), F.col("j"), seed, F.col("n")).alias("i"))
-    means = draws.join(rows, ["arm", "i"]).groupBy("replicate", "arm").agg(F.avg("v").alias("m"))
-    return means.groupBy("replicate").agg((F.max(F.when(F.col("arm"), F.col("m"))) - F.max(F.when(~F.col("arm"), F.col("m")))).alias("diff"))
+    kinds = dict(df.dtypes)
+    names = [f"s{i}" for i in range(len(values))]
+    schema = ", ".join([*[f"`{g}` {kinds[g]}" for g in groups], "replicate long", "w double", *[f"{n} double" for n in names]])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for b in batches:
+            for g, rows in b.groupby(groups, dropna=False, sort=False) if groups else [((), b)]:
+                sums = held.setdefault(g, np.zeros((1 + len(values), replicates)))
+                step = max(1, WEIGHTS // replicates)
+                for at in range(0, len(rows), step):
+                    part = rows.iloc[at : at + step]
+                    w = poisson(part["__key"].to_numpy(np.int64), np.arange(replicates), seed)
+                    sums[0] += w.sum(1)
+                    for i, n in enumerate(names):
+                        sums[i + 1] += w @ part[n].to_numpy(float)
+        for g, sums in held.items():
+            yield pd.DataFrame({**dict(zip(groups, g)), "replicate": np.arange(replicates), "w": sums[0], **{n: sums[i + 1] for i, n in enumerate(names)}})
+
+    rows = df.select(*groups, F.col(key).cast("long").alias("__key"), *[F.col(v).cast("double").alias(n) for v, n in zip(values, names)]).dropna(subset=["__key", *names])
+    parts = rows.mapInPandas(run, schema)
+    return parts.groupBy(*groups, "replicate").agg(F.sum("w").alias("w"), *[F.sum(n).alias(n) for n in names])
+
+
+def bootstrap_means(df: DataFrame, value: str, arm: Column, order: str, replicates: int, seed: int) -> DataFrame:
+    """(replicate, diff): mean differences of resampled arms; ``order`` is an integer key of the rows."""
+    rows = df.where(finite(F.col(value))).select(F.col(value).alias("v"), arm.alias("arm"), F.col(order).alias("key"))
+    got = resampled(rows, ["arm"], "key", ["v"], replicates, seed).withColumn("m", F.try_divide("s0", "w"))
+    return got.groupBy("replicate").agg((F.max(F.when(F.col("arm"), F.col("m"))) - F.max(F.when(~F.col("arm"), F.col("m")))).alias("diff"))
 
 
 def interval(diffs: DataFrame, alpha: float, value: str = "diff") -> DataFrame:
@@ -132,15 +164,30 @@ def tost(df: DataFrame, value: str, arm: Column, order: str, margin: float, repl
 
 
 def cluster_bootstrap(df: DataFrame, value: str, cluster: str, replicates: int, seed: int) -> DataFrame:
-    """estimate, lo, hi of the mean when whole clusters are drawn; clusters must be of one size."""
-    sums = df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    checked = sums.withColumn("i", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(cluster)) - 1).cast("long"))
+    """estimate, lo, hi of the mean when whole clusters are drawn, as many as there are; clusters must be of one size.
+
+    A task counts how often each of its clusters is drawn; all draws follow from replicate, draw and seed, so none is exchanged.
+    """
+    sums = df.groupBy(cluster).agg(F.sum(value).cast("double").alias("s"), F.count("*").alias("n"))
     facts = sums.agg(F.count("*").alias("c"), (F.sum("s") / F.sum("n")).alias("estimate"), F.when(F.min("n") != F.max("n"), F.raise_error(F.lit("clusters of unequal size"))).otherwise(F.max("n")).alias("size"))
-    reps = df.sparkSession.range(replicates).select(F.col("id").alias("replicate"))
-    draws = facts.where("size > 0").crossJoin(reps).select("replicate", "estimate", "c", _numbers(F.col("c")).alias("__b"))
-    draws = draws.select("replicate", "estimate", "c", _inside(F.col("__b"), F.col("c")).alias("j"))
-    draws = draws.select("replicate", "estimate", _pick(F.col("replicate"), F.col("j"), seed, F.col("c")).alias("i"))
-    got = draws.join(checked, "i").groupBy("replicate").agg(F.max("estimate").alias("estimate"), (F.sum("s") / F.sum("n")).alias("m"))
+    order = F.col(cluster) if isinstance(sums.schema[cluster].dataType, NumericType) else F.xxhash64(cluster)
+    rows = running(sums.withColumns({"one": F.lit(1).cast("long"), "order": order}), [], "order", "one", "i").crossJoin(F.broadcast(facts.where("size > 0")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = pd.concat([b for b in batches if len(b)] or [pd.DataFrame(columns=["i", "s", "c", "estimate"])])
+        if len(own):
+            c, place = int(own["c"].iloc[0]), own["i"].to_numpy(np.int64)
+            got = np.zeros(replicates)
+            step = max(1, WEIGHTS // c)
+            for at in range(0, replicates, step):
+                r = np.arange(at, min(replicates, at + step))
+                picks = (drawn(np.arange(c), r, seed) % np.uint64(c)).astype(np.int64) + np.arange(len(r))[:, None] * c
+                times = np.bincount(picks.ravel(), minlength=len(r) * c).reshape(len(r), c)[:, place]
+                got[at : at + step] = times @ own["s"].to_numpy(float)
+            yield pd.DataFrame({"replicate": np.arange(replicates), "s": got, "estimate": own["estimate"].iloc[0], "n": c * own["size"].iloc[0]})
+
+    parts = rows.select("i", "s", "c", "estimate", "size").mapInPandas(run, "replicate long, s double, estimate double, n long")
+    got = parts.groupBy("replicate").agg(F.max("estimate").alias("estimate"), (F.sum("s") / F.max("n")).alias("m"))
     return got.agg(F.max("estimate").alias("estimate"), F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"), F.count("*").alias("replicates"))
 
 
@@ -165,15 +212,49 @@ def conditional_divergence(p: DataFrame, q: DataFrame, row: str, col: str, symbo
     return g.agg(F.sum(F.col("mass") * F.col("p") * F.log2(F.col("p") / F.col("q"))).alias("cond_kl"))
 
 
-def gate(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
-    """One row: each check as a boolean and passed, their conjunction; a null check fails."""
-    out = df.select(*[F.coalesce(c, F.lit(False)).alias(k) for k, c in checks.items()])
+def gate(df: DataFrame, checks: dict[str, Column], keep: list[str] | None = None) -> DataFrame:
+    """``keep``, each check as a boolean, and passed, their conjunction; a null check fails."""
+    out = df.select(*(keep or []), *[F.coalesce(c, F.lit(False)).alias(k) for k, c in checks.items()])
     passed = F.lit(True)
     for k in checks:
         passed = passed & F.col(k)
     return out.withColumn("passed", passed)
 
 
+def parity(rows: DataFrame, keys: list[str], p: str, q: str, h: str, g: str, over: float = 1e-2) -> DataFrame:
+    """(keys, l1_mean, l1_frac, rel_max) of stored against fresh rows: distances of the distributions p and q, the share of them over
+    ``over``, and the largest difference of the vectors h and g over the largest |g|."""
+    apart = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
+    gap = F.array_max(F.zip_with(h, g, lambda x, y: F.abs(x - y)))
+    rows = rows.select(*keys, apart(p, q).alias("l1"), gap.alias("gap"), F.array_max(F.transform(g, F.abs)).alias("most"))
+    return rows.groupBy(*keys).agg(F.avg("l1").alias("l1_mean"), F.avg((F.col("l1") > over).cast("int")).alias("l1_frac"), (F.max("gap") / F.greatest(F.max("most"), F.lit(1e-6))).alias("rel_max"))
+
+
+def training_sanity(curve: DataFrame, keys: list[str], order: str, loss: str, n: int = 20) -> DataFrame:
+    """(keys, first, last, dropped): mean losses of the first and the last ``n`` steps, null for curves under 2 n steps."""
+    rows = running(curve.withColumn("one", F.lit(1).cast("long")), keys, order, "one", "i")
+    size = curve.groupBy(*keys).agg(F.count("*").alias("steps"))
+    rows = rows.join(size, keys)
+    long = F.col("steps") >= 2 * n
+    out = rows.groupBy(*keys).agg(F.avg(F.when(long & (F.col("i") < n), F.col(loss))).alias("first"), F.avg(F.when(long & (F.col("i") >= F.col("steps") - n), F.col(loss))).alias("last"))
+    return out.select(*keys, "first", "last", (F.col("last") < F.col("first")).alias("dropped"))
+
+
+def qc_probe(rows: DataFrame, key: str, entropy: str, anchors: DataFrame, mean_off: float = 0.08, frac_off: float = 0.05, random_least: float = 1.9) -> DataFrame:
+    """(key, n, mean, median, low, high, passed): entropies of a sample against its anchor (key, mean, low).
+
+    low and high are the shares under 1.5 and over 1.9 bits.  A sample with an anchor passes within ``mean_off`` and ``frac_off`` of
+    it, one without (random symbols) with a mean of ``random_least`` or more.
+    """
+    facts = rows.groupBy(key).agg(
+        F.count("*").alias("n"), F.avg(entropy).alias("mean"), F.percentile(entropy, F.lit(0.5)).alias("median"),
+        F.avg((F.col(entropy) < 1.5).cast("int")).alias("low"), F.avg((F.col(entropy) > 1.9).cast("int")).alias("high"),
+    )
+    j = facts.join(anchors.select(key, F.col("mean").alias("a_mean"), F.col("low").alias("a_low")), key, "left")
+    near = (F.abs(F.col("mean") - F.col("a_mean")) <= mean_off) & (F.abs(F.col("low") - F.col("a_low")) <= frac_off)
+    return j.select(key, "n", "mean", "median", "low", "high", F.when(F.col("a_mean").isNull(), F.col("mean") >= random_least).otherwise(near).alias("passed"))
+
+
 def recompute_violations(df: DataFrame, got: str, want: str, tolerance: float) -> DataFrame:
     g, w = F.col(got), F.col(want)
     return df.where(~F.coalesce(F.abs(g - w) <= tolerance, g.isNull() & w.isNull()))

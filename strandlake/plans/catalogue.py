@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import ORACLES, QUERIES
 
-for _name in ("sequences", "probability", "statistics", "curation", "experiments", "events"):
+for _name in ("sequences", "probability", "statistics", "curation", "experiments", "events", "sources"):
     import_module(f"{__package__}.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]

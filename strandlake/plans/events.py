@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..session import new_folder
+from ..sources import sinks
 from ..streaming import events as ev
 from .base import query, r6, read
 
@@ -87,3 +89,42 @@ def ext07_running_last(spark, d):
 @query("SELECT user_id % 10 AS g, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM events GROUP BY 1")
 def ext08_moments(spark, d):
     return read(spark, d, "events").groupBy((F.col("user_id") % 10).alias("g")).agg(r6(F.avg("value")).alias("mean"), r6(F.stddev_pop("value")).alias("sd"))
+
+
+_ARRIVALS = "a AS (SELECT *, floor((day(ts) - 1) / 10)::INTEGER + (event_id % 10 = 0)::INTEGER AS arrival FROM events)"
+
+
+def _arrived(spark, d, delayed: bool):
+    """Events by ten-day stretches, each with the first ten days after the one before; of the delayed, one in ten comes one later."""
+    e = _events(spark, d)
+    stretch = F.floor((F.dayofmonth("ts") - 1) / 10).cast("int")
+    return e.withColumn("arrival", stretch + (F.col("event_id") % 10 == 0).cast("int") if delayed else stretch)
+
+
+@query(f"WITH {_ARRIVALS}, wm AS (SELECT b, max(ts) FILTER (WHERE arrival < b) - INTERVAL 10 MINUTE AS w FROM a, range(0, 5) t(b) GROUP BY b), k AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS start, value, w FROM a JOIN wm ON b = arrival) SELECT start, count(*) AS n, round(sum(value), 4) AS total FROM k WHERE w IS NULL OR start + INTERVAL '1 hour' > w GROUP BY start HAVING start + INTERVAL '1 hour' <= (SELECT w FROM wm WHERE b = 4)")
+def ext03_late_rows(spark, d):
+    """Hourly sums of a stream whose rows come late in part: what comes after its window was closed is dropped."""
+    rows = _arrived(spark, d, True).select("ts", "value", "arrival")
+    with ev.streaming_state(spark):
+        out = ev.replay(rows, "arrival", 4, lambda s: ev.windowed(s, [], "1 hour"), new_folder(spark, "late"))
+    return out.withColumns({"total": F.round("total", 4), "start": _naive("start")})
+
+
+@query("WITH r AS (SELECT user_id, event_id, floor((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) / 8)::BIGINT AS shard FROM events) SELECT user_id, shard, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM r GROUP BY ALL HAVING count(*) = 8")
+def ext05_stateful_shards(spark, d):
+    """Shards of eight events a user from a stream that is stopped and started twice: full ones leave, the rest waits in state."""
+    rows = _arrived(spark, d, False).select("user_id", "ts", "event_id", "arrival")
+    with ev.streaming_state(spark):
+        return ev.replay(rows, "arrival", 3, lambda s: ev.stateful_shards(s, "user_id", "ts", "event_id", 8), new_folder(spark, "shards"))
+
+
+@query(f"WITH {_ARRIVALS} SELECT arrival % 3 AS arrival, event_id, event_type, value FROM a")
+def snk05_trajectory(spark, d):
+    """Records written round by round as JSON lines and appended to a trajectory once each, by a stream started anew each time."""
+    rows = _arrived(spark, d, True).select((F.col("arrival") % 3).alias("arrival"), "event_id", "event_type", "value")
+    root = new_folder(spark, "trajectory")
+    out = None
+    for i in range(3):
+        rows.where(F.col("arrival") == i).write.mode("append").json(f"{root}/rounds")
+        out = sinks.trajectory(spark, f"{root}/rounds", root, "arrival int, event_id long, event_type string, value double")
+    return out

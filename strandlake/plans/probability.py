@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import acceptance as acc
@@ -159,11 +160,29 @@ def agg14_conditional_rates(spark, d):
 _BLOCK = f"{ROUNDS}, bl AS (SELECT event_type AS pack, pos, 1.0::DOUBLE - ((event_id * 31 + pos * 17) % 100) / 200.0::DOUBLE AS alpha FROM rounds CROSS JOIN range(0, 4) t(pos)), m AS (SELECT pack, pos, avg(alpha) AS alpha, count(*) AS n FROM bl GROUP BY ALL UNION ALL SELECT NULL, pos, avg(alpha), count(*) FROM bl GROUP BY pos)"
 
 
-@query(f"WITH {_BLOCK}, c AS (SELECT pack, n, exp(sum(ln(alpha)) OVER (PARTITION BY pack ORDER BY pos ROWS UNBOUNDED PRECEDING)) AS pr FROM m) SELECT pack, max(n)::BIGINT AS n_blocks, round(1 + sum(pr), 6) AS tau FROM c GROUP BY pack")
+_DRAFTS = f"{EMB}, c AS (SELECT vec_id, label, floor(i / 16)::INTEGER AS pos, i % 16 AS t, x FROM emb), cm AS (SELECT *, max(x) OVER (PARTITION BY vec_id, pos) AS m FROM c), cp AS (SELECT vec_id, label, pos, t, exp(x - m) / sum(exp(x - m)) OVER (PARTITION BY vec_id, pos) AS p FROM cm), pr AS (SELECT a.vec_id, a.label, a.pos, 1 - 0.5 * sum(abs(a.p - b.p)) AS alpha, arg_max(a.t, (a.p, -a.t)) AS draft, arg_max(b.t, (b.p, -b.t)) AS teacher FROM cp a JOIN cp b ON b.vec_id = a.vec_id + 1 AND b.pos = a.pos AND b.t = a.t WHERE a.vec_id % 2 = 0 GROUP BY ALL), bm AS (SELECT label AS pack, pos, avg(alpha) AS alpha, count(*) AS n, sum((draft = teacher)::INT) AS vp, sum((draft = vec_id % 16)::INT) AS vg FROM pr GROUP BY ALL UNION ALL SELECT NULL, pos, avg(alpha), count(*), sum((draft = teacher)::INT), sum((draft = vec_id % 16)::INT) FROM pr GROUP BY pos)"
+
+
+@query(f"WITH {_DRAFTS}, r AS (SELECT *, exp(sum(ln(alpha)) OVER (PARTITION BY pack ORDER BY pos ROWS UNBOUNDED PRECEDING)) AS run FROM bm) SELECT pack, max(n)::BIGINT AS n_blocks, round(1 + sum(run), 6) AS tau, round(sum(vp)::DOUBLE / sum(n), 6) AS top1_vs_teacher, round(sum(vg)::DOUBLE / sum(n), 6) AS top1_vs_truth FROM r GROUP BY pack")
 def agg17_block_metrics(spark, d):
-    rows = rounds(spark, d).select(F.col("event_type").alias("pack"), "event_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos"))
-    rows = rows.withColumn("alpha", 1.0 - ((F.col("event_id") * 31 + F.col("pos") * 17) % 100) / 200.0)
-    return acc.block_metrics(rows).withColumn("tau", r6(F.col("tau")))
+    """Blocks of four positions: each vector drafts, the next one is its teacher, over the vector's four stretches of 16 symbols."""
+    e = embeddings(spark, d)
+    a = e.where("vec_id % 2 = 0").select("vec_id", F.col("label").alias("pack"), "e")
+    both = a.join(e.where("vec_id % 2 = 1").select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("f")), "vec_id")
+    rows = both.select("vec_id", "pack", "e", "f", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos"))
+    draft, teacher = (ds.softmax(F.slice(c, F.col("pos") * 16 + 1, F.lit(16))) for c in ("e", "f"))
+    rows = rows.select("vec_id", "pack", "pos", draft.alias("p"), teacher.alias("q"))
+    rows = rows.select("pack", "pos", ds.acceptance(F.col("p"), F.col("q")).alias("alpha"), ds.argmax(F.col("p")).alias("draft"), ds.argmax(F.col("q")).alias("teacher"), (F.col("vec_id") % 16).cast("int").alias("truth"))
+    out = acc.block_metrics(rows, agree={"top1_vs_teacher": ("draft", "teacher"), "top1_vs_truth": ("draft", "truth")})
+    return out.select("pack", "n_blocks", *[r6(F.col(c)).alias(c) for c in ("tau", "top1_vs_teacher", "top1_vs_truth")])
+
+
+@query(f"WITH {SOFT} SELECT label AS run, i::INTEGER AS pos, count(*) AS n, round(avg(p), 6) AS mean FROM soft WHERE i < vec_id % 8 + 1 GROUP BY ALL")
+def agg27_confidence_by_position(spark, d):
+    """Mean confidence by position of drafts of one to eight tokens."""
+    conf = F.slice(ds.softmax(F.col("e")), F.lit(1), (F.col("vec_id") % 8 + 1).cast("int"))
+    rows = embeddings(spark, d).select(F.col("label").alias("run"), conf.alias("conf"))
+    return acc.confidence_by_position(rows, ["run"], "conf").withColumn("mean", r6(F.col("mean")))
 
 
 @query(f"WITH {_BLOCK} SELECT coalesce(pack, 'all') AS pack, pos::INTEGER AS pos, round(exp(sum(ln(alpha)) OVER (PARTITION BY pack ORDER BY pos ROWS UNBOUNDED PRECEDING)), 6) AS chance FROM m")
@@ -213,22 +232,43 @@ def agg22_divergence_totals(spark, d):
     return rows.agg(F.count("*").alias("cases"), bad.alias("n_nontie"), F.sum((F.col("differs") & (F.col("v") != "nontie")).cast("int")).alias("n_tie_flip"), (bad == 0).alias("passed"))
 
 
-@query(f"WITH {_TOP}, t AS (SELECT vec_id, i, p / sum(p) OVER (PARTITION BY vec_id) AS p FROM rk WHERE r <= 4), j AS (SELECT coalesce(a.vec_id, b.vec_id - 1) AS id, 0.5 * sum(abs(coalesce(a.p, 0) - coalesce(b.p, 0))) AS tvd FROM (SELECT * FROM t WHERE vec_id % 2 = 0) a FULL JOIN (SELECT * FROM t WHERE vec_id % 2 = 1) b ON b.vec_id = a.vec_id + 1 AND a.i = b.i GROUP BY 1) SELECT round(max(tvd), 6) AS max_tvd, round(avg(tvd), 6) AS mean_tvd FROM j")
+_EVID = _TOP + ", t4 AS (SELECT vec_id, i, p / sum(p) OVER (PARTITION BY vec_id) AS p FROM rk WHERE r <= 4), tv AS (SELECT coalesce(a.vec_id, b.vec_id - 1) AS id, 0.5 * sum(abs(coalesce(a.p, 0) - coalesce(b.p, 0))) AS tvd FROM (SELECT * FROM t4 WHERE vec_id % 2 = 0) a FULL JOIN (SELECT * FROM t4 WHERE vec_id % 2 = 1) b ON b.vec_id = a.vec_id + 1 AND a.i = b.i GROUP BY 1), ke AS (SELECT vec_id, label, x, i, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS r FROM emb), ge AS (SELECT vec_id, any_value(label) AS label, max(CASE WHEN r = 1 THEN x END) - max(CASE WHEN r = 2 THEN x END) AS gap, max(CASE WHEN r = 1 THEN i END) AS best FROM ke GROUP BY vec_id), de AS (SELECT a.vec_id AS id, max(abs(a.x - b.x)) AS delta FROM emb a JOIN emb b ON b.vec_id = a.vec_id + 1 AND b.i = a.i WHERE a.vec_id % 2 = 0 GROUP BY 1), ev AS (SELECT a.label AS kind, a.best <> b.best AS flip, least(a.gap, b.gap) < 0.05 AS near_tie, tvd, delta, a.vec_id % 4 = 0 OR a.label % 3 <> 1 AS sound FROM de JOIN tv USING (id) JOIN ge a ON a.vec_id = id JOIN ge b ON b.vec_id = id + 1)"
+
+
+@query(f"WITH {_EVID}, g AS (SELECT kind, count(*) FILTER (WHERE flip) AS flips, count(*) FILTER (WHERE flip AND near_tie) AS near_tie_flips, round(max(tvd), 6) AS max_tvd, round(avg(tvd), 6) AS mean_tvd, round(max(delta), 6) AS max_delta, bool_and(sound) AS sound FROM ev GROUP BY kind) SELECT kind, flips, near_tie_flips, max_tvd, mean_tvd, max_delta, CASE WHEN flips <> near_tie_flips OR NOT sound THEN 'needs_review' WHEN flips = 0 THEN 'passed' ELSE 'passed_with_differences' END AS status FROM g")
 def fn26_numerical_evidence(spark, d):
-    top = lambda c: ds.transformed(F.col(c), 1.0, 4)
-    rows = _two(spark, d).select((F.lit(1.0) - ds.acceptance(top("ea"), top("eb"))).alias("tvd"))
-    return rows.agg(r6(F.max("tvd")).alias("max_tvd"), r6(F.avg("tvd")).alias("mean_tvd"))
+    """Two arms of scores side by side: other first choices, near ties among them, distances, and what that amounts to."""
+    labels = embeddings(spark, d).select(F.col("vec_id").alias("id"), "label")
+    facts = acc.numerical_evidence(F.col("ea"), F.col("eb"), 0.05)
+    rows = _two(spark, d).join(labels, "id").select("id", F.col("label").alias("kind"), *[c.alias(k) for k, c in facts.items()])
+    out = acc.classified(rows, ["kind"], (F.col("id") % 4 == 0) | (F.col("kind") % 3 != 1))
+    return out.withColumns({c: r6(F.col(c)) for c in ("max_tvd", "mean_tvd", "max_delta")})
 
 
-@query(f"WITH {ROUNDS} SELECT run, (count(*) + 1024 - 1)::BIGINT AS kv_len, round((avg(k) + 1) * 19.413 / 21.269, 6) AS projected, avg(k) / 12 < 0.55 AS upper_ok FROM rounds GROUP BY run")
-def fn27_run_scalars(spark, d):
-    return rounds(spark, d).groupBy("run").agg((F.count("*") + 1024 - 1).alias("kv_len"), r6((F.avg("k") + 1) * 19.413 / 21.269).alias("projected"), (F.avg("k") / 12 < 0.55).alias("upper_ok"))
+_UPPER = f"{ROUNDS}, kc AS (SELECT run, k, count(*)::DOUBLE AS n FROM rounds GROUP BY ALL), kt AS (SELECT run, k, n / sum(n) OVER (PARTITION BY run) AS p FROM kc), al AS (SELECT k, n / sum(n) OVER () AS p FROM (SELECT k, sum(n) AS n FROM kc GROUP BY k)), tv AS (SELECT g.run, 0.5 * sum(abs(coalesce(kt.p, 0) - al.p)) AS point FROM (SELECT DISTINCT run FROM kc) g CROSS JOIN al LEFT JOIN kt ON kt.run = g.run AND kt.k = al.k GROUP BY g.run), nn AS (SELECT run, count(*) AS n, avg(k) AS mk FROM rounds GROUP BY run)"
 
 
-@query("""SELECT b::INTEGER AS block, p::INTEGER AS pos, CASE WHEN p = 0 THEN b * 10 ELSE 511 END::INTEGER AS id, round(exp(-p / 7.0::DOUBLE), 6) AS weight FROM range(0, 5) x(b), range(0, 7) y(p)""")
+@query(f"WITH {_UPPER} SELECT nn.run, (n + 1024 - 1)::BIGINT AS kv_len, round((mk + 1) * 19.413 / 21.269, 6) AS projected, round(point, 6) AS tvd, CASE WHEN nn.run % 7 = 0 THEN false ELSE point + 1.96 * sqrt(0.25 / n) < 0.16 END AS upper_ok FROM nn JOIN tv USING (run)")
+def fn27_run_scalars(spark, d):
+    """Cache length, projected speed-up, and whether the distance of a run's accepted lengths from everyone's stays under a margin;
+    a run without an upper end fails."""
+    n = rounds(spark, d).groupBy("run", "k").agg(F.count("*").alias("n"))
+    every, size = n.groupBy("k").agg(F.sum("n").alias("all")), n.groupBy("run").agg(F.sum("n").alias("n_run"), (F.sum(F.col("n") * F.col("k")) / F.sum("n")).alias("mean"))
+    total = every.agg(F.sum("all").alias("total"))
+    grid = size.crossJoin(F.broadcast(every)).crossJoin(F.broadcast(total)).join(n, ["run", "k"], "left")  # runs by at most 13 lengths
+    gap = F.abs(F.coalesce("n", F.lit(0)) / F.col("n_run") - F.col("all") / F.col("total"))
+    tvd = grid.groupBy("run", "n_run", "mean").agg((F.sum(gap) * 0.5).alias("tvd"))
+    high = F.when(F.col("run") % 7 != 0, F.col("tvd") + 1.96 * F.sqrt(0.25 / F.col("n_run")))
+    return tvd.select("run", (F.col("n_run") + 1024 - 1).alias("kv_len"), r6((F.col("mean") + 1) * 19.413 / 21.269).alias("projected"), r6(F.col("tvd")).alias("tvd"), acc.tvd_upper_ok(F.col("tvd"), high, 0.16).alias("upper_ok"))
+
+
+@query(f"""SELECT vec_id, p::INTEGER AS pos, CASE WHEN p = 0 THEN label ELSE 511 END::INTEGER AS id, round(exp(-p / 7.0::DOUBLE), 6) AS weight, round(sum(e.x * exp(-e.p / 7.0::DOUBLE)) OVER (PARTITION BY vec_id ORDER BY e.p ROWS UNBOUNDED PRECEDING), 6) AS weighed FROM (SELECT vec_id, label, i AS p, abs(x) AS x FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) WHERE i < 7) e""")
 def win15_block_ids_and_weights(spark, d):
-    g = spark.range(5).select(F.col("id").cast("int").alias("block")).select("block", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("pos"))
-    return g.select("block", "pos", F.when(F.col("pos") == 0, F.col("block") * 10).otherwise(511).alias("id"), r6(F.exp(-F.col("pos") / F.lit(7.0))).alias("weight"))
+    """Blocks of seven: the anchor's token first and masks after it, and a block's losses summed under weights that decay by position."""
+    rows = embeddings(spark, d).select("vec_id", "label", F.posexplode(F.slice("e", 1, 7)).alias("pos", "x"))
+    weight = acc.position_weight(F.col("pos"), 7.0)
+    upto = Window.partitionBy("vec_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)  # seven rows a block
+    return rows.select("vec_id", "pos", acc.block_id(F.col("pos"), F.col("label"), 511).alias("id"), r6(weight).alias("weight"), r6(F.sum(F.abs("x") * weight).over(upto)).alias("weighed"))
 
 
 @query("""WITH b AS (SELECT conv_id AS blk, count(*) AS ctx FROM conversations GROUP BY 1) SELECT blk, q::INTEGER AS q, sum(((t < ctx AND t >= greatest(ctx - 4, 0)) OR (t >= 16 AND t - 16 <= q))::INT)::BIGINT AS visible FROM b, range(0, 7) x(q), range(0, 23) y(t) GROUP BY ALL""")
@@ -245,9 +285,11 @@ def fn32_gather_slices(spark, d):
     return rows.select("vec_id", "anchor", r6(ds.total(cut)).alias("target_sum"), F.size(cut).cast("long").alias("n"))
 
 
-@query("""SELECT h::INTEGER AS hours_for, round(h * 1000000.0 / (3000 * 3600), 6)::DOUBLE AS hours FROM range(1, 301, 50) t(h)""")
+@query("""SELECT source, sum(n_chars)::BIGINT AS positions, round(sum(n_chars) / (3000 * 3600.0::DOUBLE), 6) AS hours, round(sum(ceil(n_chars / 4096.0::DOUBLE)) * 4096 / (3000 * 3600.0::DOUBLE), 6) AS padded_hours FROM documents GROUP BY source""")
 def fn28_cost_model(spark, d):
-    return spark.range(1, 301, 50).select(F.col("id").cast("int").alias("hours_for"), r6(F.col("id") * F.lit(1000000.0) / (3000 * 3600)).alias("hours"))
+    """Hours that a source's positions take at 3000 a second, as they are and in whole windows of 4096."""
+    docs = read(spark, d, "documents").groupBy("source").agg(F.sum("n_chars").alias("positions"), F.sum(F.ceil(F.col("n_chars") / F.lit(4096.0)) * 4096).alias("padded"))
+    return docs.select("source", "positions", r6(acc.hours(F.col("positions"))).alias("hours"), r6(acc.hours(F.col("padded"))).alias("padded_hours"))
 
 
 _VERIFY = SOFT + f", best AS (SELECT vec_id, arg_max(i, (p, -i)) AS b FROM soft GROUP BY vec_id), dr AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN b ELSE vec_id % 64 END AS draft, b, floor(vec_id / 5) AS rnd, vec_id % 5 AS pos FROM best), m AS (SELECT rnd, min(pos) FILTER (WHERE draft <> b AND pos < 4) AS miss FROM dr GROUP BY rnd HAVING count(*) = 5)"

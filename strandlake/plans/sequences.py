@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import kmers, orf
+from ..operators import codes, kmers, orf
 from ..sources.files import parse_genome_line
 from ..session import broadcast
 from .base import CLEAN, DNA, cleaned, densest, dna, query, r6, read
@@ -46,10 +46,9 @@ def src17_flank_assembly(spark, d):
 
 @query("""WITH r AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM benchmark) SELECT idx::BIGINT AS idx FROM r WHERE item_id = 7""")
 def src18_track_row(spark, d):
-    from pyspark.sql import Window
-
-    b = read(spark, d, "benchmark").select("item_id").withColumn("idx", (F.row_number().over(Window.orderBy("item_id")) - 1).cast("long"))
-    return b.where("item_id = 7").select("idx")
+    """The ordinal of the one row with this id: rows before it are counted, and that it is one is checked."""
+    n = read(spark, d, "benchmark").agg(F.count_if(F.col("item_id") < 7).alias("idx"), F.count_if(F.col("item_id") == 7).alias("n"))
+    return n.select(F.when(F.col("n") == 1, F.col("idx")).otherwise(F.raise_error(F.lit("the id is not that of exactly one row"))).alias("idx"))
 
 
 @query("""WITH r AS (SELECT source, doc_id, length(text) AS len, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS rk FROM documents) SELECT source, doc_id, rk::INTEGER AS rank FROM r WHERE rk <= 2""")
@@ -136,9 +135,14 @@ def flt07_prompt_validation(spark, d):
     return rows.select("doc_id", "kind", tx.prompt_reason(F.col("text")).alias("reason"))
 
 
-@query("""WITH c AS (SELECT doc_id, unnest(string_split(upper(text), '')) AS ch FROM documents) SELECT doc_id, count(DISTINCT ch) FILTER (WHERE ch NOT IN ('A','C','G','T','N','') AND ascii(ch) < 128) AS outside FROM c GROUP BY doc_id""")
+_LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+@query(f"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_LOWER}', '{_UPPER}'), '(?s).')) AS ch FROM documents) SELECT doc_id, count(DISTINCT ch) FILTER (WHERE ch NOT IN ('A','C','G','T','N')) AS outside FROM c GROUP BY doc_id""")
 def set05_alphabet_subset(spark, d):
-    return read(spark, d, "documents").where("text <> ''").select("doc_id", F.size(F.filter(tx.outside_alphabet(F.upper("text")), lambda x: F.ascii(x) < 128)).cast("long").alias("outside"))
+    """How many different characters of a text, a-z raised, are not in the alphabet; 0 for subsets of it."""
+    rows = read(spark, d, "documents").where("text <> ''")
+    return rows.select("doc_id", F.size(tx.outside_alphabet(F.translate("text", _LOWER, _UPPER))).cast("long").alias("outside"))
 
 
 @query(f"""WITH {DNA} SELECT substr(seq, i, 4) AS kmer, count(*) AS n FROM dna, unnest(range(1, length(seq) - 2)) t(i) GROUP BY 1""")
@@ -187,11 +191,33 @@ def agg09_orf_metrics(spark, d):
     return orf.metrics(dna(spark, d)).withColumn("coding_frac", r6(F.col("coding_frac")))
 
 
-@query(f"""WITH {DNA}, c AS (SELECT lang, substr(seq, i, 2) AS kmer FROM dna, unnest(range(1, length(seq))) t(i)) SELECT lang, 2 AS k, kmer, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT lang, 3, substr(seq, i, 3), count(*) FROM dna, unnest(range(1, length(seq) - 1)) t(i) GROUP BY ALL""")
+_KMERS = " UNION ALL ".join(f"SELECT doc_id, '{n}:' || substr(seq, i, {k}) AS field, count(*)::DOUBLE AS value FROM dna, unnest(range(1, length(seq) - {k - 2})) t(i) GROUP BY ALL" for k, n in ((2, "dinuc"), (3, "trinuc"), (4, "tetranuc")))
+_SCALARS = "unnest([{'f': 'length', 'v': length(seq)::DOUBLE}, {'f': 'gc', 'v': round((length(seq) - length(translate(seq, 'CG', '')))::DOUBLE / nullif(length(seq), 0), 6)}, {'f': 'n_orfs', 'v': coalesce(n, 0)::DOUBLE}, {'f': 'longest_orf_bp', 'v': coalesce(l, 0)::DOUBLE}, {'f': 'coding_frac', 'v': round(coalesce(s::DOUBLE / nullif(length(seq), 0), 0), 6)}]) AS x"
+
+
+@query(f"""WITH {_ORF}, m AS (SELECT doc_id, count(*) AS n, max(length) AS l, sum(length) AS s FROM orfs GROUP BY doc_id) SELECT doc_id, x.f AS field, x.v AS value FROM (SELECT doc_id, {_SCALARS} FROM dna LEFT JOIN m USING (doc_id)) UNION ALL {_KMERS}""")
 def agg26_sequence_features(spark, d):
+    """Every field of a sequence's features as a row: length, gc, frames, and the counts of its 2-, 3- and 4-mers."""
+    rows = codes.features(dna(spark, d), "doc_id")
+    scalars = F.array(*[F.struct(F.lit(c).alias("field"), F.round(F.col(c).cast("double"), 6).alias("value")) for c in ("length", "gc", "n_orfs", "longest_orf_bp", "coding_frac")])
+
+    def entries(m):
+        return F.transform(F.map_entries(m), lambda e: F.struct(F.concat(F.lit(f"{m}:"), e["key"]).alias("field"), e["value"].cast("double").alias("value")))
+
+    return rows.select("doc_id", F.inline(F.concat(scalars, *map(entries, ("dinuc", "trinuc", "tetranuc")))))
+
+
+@query(f"""WITH {DNA}, w AS (SELECT DISTINCT lang, substr(seq, i, 10) AS m FROM dna, unnest(range(1, length(seq) - 8)) t(i)) SELECT lang, count(*) AS kmers, true AS close, true AS mergeable FROM w GROUP BY lang""")
+def agg05_distinct_kmer_sketches(spark, d):
+    """Distinct k-mers of a language from sketches by source, merged upwards: within 2 % of the exact number, and of a sketch of
+    everything at once."""
     s = dna(spark, d)
-    out = [kmers.counts(s, k, ["lang"]).select("lang", F.lit(k).alias("k"), "kmer", "n") for k in (2, 3)]
-    return out[0].unionByName(out[1])
+    parts = kmers.distinct_sketches(s, 10, ["lang", "source"])
+    up = kmers.merged_sketches(parts, ["lang"]).select("lang", F.hll_sketch_estimate("sketch").alias("merged"))
+    whole = kmers.distinct_sketches(s, 10, ["lang"]).select("lang", F.hll_sketch_estimate("sketch").alias("whole"))
+    exact = kmers.windows(s, 10, ["lang"]).distinct().groupBy("lang").agg(F.count("*").alias("kmers"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.02 * F.col(b)
+    return exact.join(up, "lang").join(whole, "lang").select("lang", "kmers", near("merged", "kmers").alias("close"), near("merged", "whole").alias("mergeable"))
 
 
 @query(f"""WITH {_BOTH}, st AS (SELECT * FROM cod), l AS (SELECT doc_id, strand, frame, pos - coalesce(max(CASE WHEN c IN ('TAA','TAG','TGA') THEN pos END) OVER (PARTITION BY doc_id, strand, frame ORDER BY pos ROWS UNBOUNDED PRECEDING), frame - 3) AS gap FROM st), b AS (SELECT doc_id, max(gap) AS span FROM l GROUP BY doc_id) SELECT doc_id, greatest(coalesce(span, 0), 0)::BIGINT AS span FROM dna LEFT JOIN b USING (doc_id)""")
@@ -257,7 +283,7 @@ def agg15_markov_holdout(spark, d):
 
 @query(f"""WITH {DNA}, w AS (SELECT doc_id, i - 1 AS pos, substr(seq, i, 10) AS kmer FROM dna, unnest(range(1, length(seq) - 8)) t(i)), l AS (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id, kmer ORDER BY pos) AS last FROM w) SELECT doc_id, pos::BIGINT AS pos, last::BIGINT AS last FROM l WHERE last IS NOT NULL""")
 def join04_latest_earlier(spark, d):
-    return kmers.latest_before(dna(spark, d), 10).where("last IS NOT NULL").select("doc_id", "pos", "last")
+    return kmers.latest_before(dna(spark, d), 10)
 
 
 @query(f"""WITH {DNA}, c AS (SELECT doc_id, seq, floor(length(seq) * (1.0::DOUBLE - 0.1::DOUBLE))::INTEGER AS p FROM dna), w AS (SELECT doc_id, p, i - 1 AS pos, substr(seq, i, 8) AS ctx, substr(seq, i + 8, 1) AS nxt FROM c, unnest(range(1, length(seq) - 7)) t(i)), l AS (SELECT *, lag(nxt) OVER (PARTITION BY doc_id, ctx ORDER BY pos) AS said FROM w), q AS (SELECT count(said) AS n_occ, coalesce(sum((said = nxt)::INT), 0)::BIGINT AS n_hit FROM l WHERE pos + 8 >= p), n AS (SELECT sum(length(seq) - p)::BIGINT AS n_test FROM c) SELECT 8 AS k, n_test, n_occ, n_hit, round(n_occ::DOUBLE / nullif(n_test, 0), 6) AS occurrence_rate, round(n_hit::DOUBLE / nullif(n_occ, 0), 6) AS hit_rate_given_occ, round(n_hit::DOUBLE / nullif(n_test, 0), 6) AS hit_rate_overall FROM n, q""")

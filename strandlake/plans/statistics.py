@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import designs as dg
+from ..operators import distributions as ds
 from ..operators import stats as st
+from ..operators.curate import running
 from ..session import broadcast
-from .base import ROUNDS, embeddings, query, r6, read, rounds
+from .base import EMB, ROUNDS, embeddings, query, r6, read, rounds
 
 _ARMS = "arms AS (SELECT c_custkey AS id, c_acctbal AS v, c_nationkey < 12 AS arm FROM customer)"
 
@@ -40,16 +43,15 @@ def sta02_ks_by_lang(spark, d):
 @query("WITH c AS (SELECT n_chars AS x, count(*) AS n FROM documents GROUP BY 1) SELECT x, round(sum(n) OVER (ORDER BY x)::DOUBLE / sum(n) OVER (), 6) AS f FROM c")
 def win08_ecdf(spark, d):
     c = read(spark, d, "documents").groupBy(F.col("n_chars").alias("x")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(F.lit(0))
-    return c.select("x", r6(F.sum("n").over(w.orderBy("x").rangeBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(w)).alias("f"))
+    total = c.agg(F.sum("n").alias("total"))
+    return running(c, [], "x", "n", "upto", through=True).crossJoin(F.broadcast(total)).select("x", r6(F.col("upto") / F.col("total")).alias("f"))
 
 
 @query("WITH r AS (SELECT doc_id, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS rk FROM documents) SELECT doc_id, rk::DOUBLE AS avg_rank FROM r")
 def win07_average_rank(spark, d):
     docs = read(spark, d, "documents")
     c = docs.groupBy("n_chars").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("n_chars").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = c.select("n_chars", (before + (F.col("n") + 1) / 2.0).cast("double").alias("avg_rank"))
+    ranks = running(c, [], "n_chars", "n", "before").select("n_chars", (F.col("before") + (F.col("n") + 1) / 2.0).cast("double").alias("avg_rank"))
     return docs.join(ranks, "n_chars").select("doc_id", "avg_rank")
 
 
@@ -85,22 +87,33 @@ def sta05_fisher_exact(spark, d):
     return st.fisher(t, "a", "b", "c", "d").select("source", r6(F.col("pvalue")).alias("pvalue"))
 
 
-_BOOT = _ARMS + ", nm AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY arm) AS n FROM arms), sz AS (SELECT arm, max(n) AS n FROM nm GROUP BY arm), dr AS (SELECT arm, rep, ((rep * 1000003 + j * 8191 + 11) * 2654435761 % 4294967296 * 40503 % 4294967291) % n AS i FROM sz, range(0, 40) r(rep), range(0, 1000000) q(j) WHERE j < n), mn AS (SELECT rep, arm, avg(v) AS m FROM dr JOIN nm USING (arm, i) GROUP BY ALL), df AS (SELECT rep, max(m) FILTER (WHERE arm) - max(m) FILTER (WHERE NOT arm) AS diff FROM mn GROUP BY rep), ci AS (SELECT quantile_cont(diff, 0.05) AS lo, quantile_cont(diff, 0.95) AS hi FROM df)"
+def _mixed(x: str, out: str) -> str:
+    """Select items that scatter the 32-bit number ``x`` into ``out``; later items use earlier ones."""
+    a, b = f"{out}_a", f"{out}_b"
+    return f"(xor({x}, {x} >> 16) * 73244475) & 4294967295 AS {a}, (xor({a}, {a} >> 16) * 73244475) & 4294967295 AS {b}, xor({b}, {b} >> 16) AS {out}"
+
+
+def _replicates(n: int, seed: int) -> str:
+    return f"rs AS (SELECT rep, (rep * 2654435761 + {seed}) & 4294967295 AS r0, {_mixed('r0', 'hr')} FROM range(0, {n}) t(rep))"
+
+
+_POISSON = " + ".join(f"(u >= {t})::INT" for t in st.POISSON)
+_BOOT = f"{_ARMS}, ks AS (SELECT arm, v, id & 4294967295 AS k0, {_mixed('k0', 'hk')} FROM arms), {_replicates(1000, 11)}, w AS (SELECT arm, rep, v, xor(hk, hr) AS u0, {_mixed('u0', 'u')}, {_POISSON} AS w FROM ks, rs), mn AS (SELECT rep, arm, sum(w * v) / nullif(sum(w), 0) AS m FROM w GROUP BY ALL), df AS (SELECT rep, max(m) FILTER (WHERE arm) - max(m) FILTER (WHERE NOT arm) AS diff FROM mn GROUP BY rep), ci AS (SELECT quantile_cont(diff, 0.05) AS lo, quantile_cont(diff, 0.95) AS hi FROM df)"
 
 
 @query(f"WITH {_BOOT} SELECT round(lo, 6) AS lo, round(hi, 6) AS hi FROM ci")
 def sta03_bootstrap_interval(spark, d):
-    b = st.bootstrap_means(_arms(spark, d), "v", F.col("arm"), "id", 40, 11)
+    b = st.bootstrap_means(_arms(spark, d), "v", F.col("arm"), "id", 1000, 11)
     return st.interval(b, 0.10).select(r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"))
 
 
 @query(f"WITH {_BOOT}, p AS (SELECT avg(v) FILTER (WHERE arm) - avg(v) FILTER (WHERE NOT arm) AS point FROM arms) SELECT round(point, 6) AS point, round(lo, 6) AS ci_lo, round(hi, 6) AS ci_hi, lo >= -500 AND hi <= 500 AS equivalent FROM p, ci")
 def sta04_tost(spark, d):
-    out = st.tost(_arms(spark, d), "v", F.col("arm"), "id", 500.0, 40, 11)
+    out = st.tost(_arms(spark, d), "v", F.col("arm"), "id", 500.0, 1000, 11)
     return out.select(*[r6(F.col(c)).alias(c) for c in ("point", "ci_lo", "ci_hi")], "equivalent")
 
 
-@query("WITH s AS (SELECT n_regionkey AS g, sum(n_nationkey)::DOUBLE AS s, count(*) AS n, row_number() OVER (ORDER BY n_regionkey) - 1 AS i FROM nation GROUP BY n_regionkey), dr AS (SELECT rep, ((rep * 1000003 + j * 8191 + 5) * 2654435761 % 4294967296 * 40503 % 4294967291) % 5 AS i FROM range(0, 500) r(rep), range(0, 5) q(j)), m AS (SELECT rep, sum(s.s) / sum(s.n) AS m FROM dr JOIN s USING (i) GROUP BY rep) SELECT round((SELECT sum(s) / sum(n) FROM s), 6) AS estimate, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, count(*) AS replicates FROM m")
+@query(f"WITH s AS (SELECT n_regionkey AS g, sum(n_nationkey)::DOUBLE AS s, count(*) AS n, row_number() OVER (ORDER BY n_regionkey) - 1 AS i FROM nation GROUP BY n_regionkey), js AS (SELECT j AS j0, {_mixed('j', 'hk')} FROM range(0, 5) q(j)), {_replicates(500, 5)}, dr AS (SELECT rep, xor(hk, hr) AS u0, {_mixed('u0', 'u')}, u % 5 AS i FROM js, rs), m AS (SELECT rep, sum(s.s) / sum(s.n) AS m FROM dr JOIN s USING (i) GROUP BY rep) SELECT round((SELECT sum(s) / sum(n) FROM s), 6) AS estimate, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, count(*) AS replicates FROM m")
 def sta10_cluster_bootstrap(spark, d):
     n = read(spark, d, "nation").select(F.col("n_regionkey").alias("g"), F.col("n_nationkey").cast("double").alias("v"))
     out = st.cluster_bootstrap(n, "v", "g", 500, 5)
@@ -145,10 +158,25 @@ def sta08_conditional_kl(spark, d):
     return st.conditional_divergence(a, b, "prev", "tok", _SYMS).select(r6(F.col("cond_kl")).alias("cond_kl"))
 
 
-@query(f"WITH {ROUNDS}, m AS (SELECT avg(value) AS mean, avg((value > 100)::INT) AS frac, max(value) AS most, count(*) AS n FROM rounds) SELECT mean BETWEEN 1 AND 1000 AS mean_ok, frac < 0.9 AS frac_ok, most < 1e6 AS bounded, n > 10 AS enough, mean BETWEEN 1 AND 1000 AND frac < 0.9 AND most < 1e6 AND n > 10 AS passed FROM m")
+_STORED = f"{EMB}, sc AS (SELECT vec_id, greatest(max(abs(x)), 1e-8) AS s FROM emb GROUP BY vec_id), st AS (SELECT vec_id, label, i, x, greatest(least(round_even(x / s * 127.0::DOUBLE, 0), 127), -127) * (s / 127.0::DOUBLE) AS y FROM emb JOIN sc USING (vec_id)), t4 AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS rx, row_number() OVER (PARTITION BY vec_id ORDER BY y DESC, i) AS ry FROM st), pq AS (SELECT vec_id, label, x, y, CASE WHEN rx <= 4 THEN exp(x) ELSE 0 END / sum(CASE WHEN rx <= 4 THEN exp(x) ELSE 0 END) OVER w AS q, CASE WHEN ry <= 4 THEN exp(y) ELSE 0 END / sum(CASE WHEN ry <= 4 THEN exp(y) ELSE 0 END) OVER w AS p FROM t4 WINDOW w AS (PARTITION BY vec_id)), l AS (SELECT vec_id, label, sum(abs(p - q)) AS l1, max(abs(y - x)) AS gap, max(abs(x)) AS most FROM pq GROUP BY vec_id, label), m AS (SELECT label, avg(l1) AS l1_mean, avg((l1 > 1e-2)::INT) AS l1_frac, max(gap) / greatest(max(most), 1e-6) AS rel_max FROM l GROUP BY label)"
+
+
+@query(f"WITH {_STORED} SELECT label, round(l1_mean, 6) AS l1_mean, round(l1_frac, 6) AS l1_frac, round(rel_max, 6) AS rel_max, l1_mean <= 5e-3 AS mean_ok, l1_frac <= 0.09 AS frac_ok, rel_max <= 4e-3 AS rel_ok, l1_mean <= 5e-3 AND l1_frac <= 0.09 AND rel_max <= 4e-3 AS passed FROM m")
 def sta15_parity_gate(spark, d):
-    m = rounds(spark, d).agg(F.avg("value").alias("mean"), F.avg((F.col("value") > 100).cast("int")).alias("frac"), F.max("value").alias("most"), F.count("*").alias("n"))
-    return st.gate(m, {"mean_ok": F.col("mean").between(1, 1000), "frac_ok": F.col("frac") < 0.9, "bounded": F.col("most") < 1e6, "enough": F.col("n") > 10})
+    """Vectors as they are stored, in eight bits, against themselves: what that does to their distributions of the best four."""
+    q, scale = ds.quantised(F.col("e"))
+    rows = embeddings(spark, d).select("label", "e", q.alias("q"), scale.alias("s")).select("label", "e", ds.dequantised(F.col("q"), F.col("s")).alias("h"))
+    rows = rows.select("label", "e", "h", *[ds.transformed(F.col(c), 1.0, 4).alias(n) for c, n in (("h", "p"), ("e", "t"))])
+    m = st.parity(rows, ["label"], "p", "t", "h", "e")
+    out = st.gate(m, {"mean_ok": F.col("l1_mean") <= 5e-3, "frac_ok": F.col("l1_frac") <= 0.09, "rel_ok": F.col("rel_max") <= 4e-3}, ["label", "l1_mean", "l1_frac", "rel_max"])
+    return out.withColumns({c: r6(F.col(c)) for c in ("l1_mean", "l1_frac", "rel_max")})
+
+
+@query("WITH c AS (SELECT user_id AS run, value AS loss, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), m AS (SELECT run, avg(loss) FILTER (WHERE n >= 40 AND i < 20) AS first, avg(loss) FILTER (WHERE n >= 40 AND i >= n - 20) AS last FROM c GROUP BY run) SELECT run, round(first, 6) AS first, round(last, 6) AS last, last < first AS dropped FROM m")
+def sta15_training_sanity(spark, d):
+    """Whether a run's losses fell: means of its first and last twenty steps, where it has forty."""
+    curve = read(spark, d, "events").select(F.col("user_id").alias("run"), "event_id", F.col("value").alias("loss"))
+    return st.training_sanity(curve, ["run"], "event_id", "loss").withColumns({c: r6(F.col(c)) for c in ("first", "last")})
 
 
 @query(f"WITH {ROUNDS}, r AS (SELECT run, avg(k) AS mk FROM rounds GROUP BY run) SELECT median(mk) >= 5.5 AS median_ok, min(mk) > 3 AS all_ok, median(mk) >= 5.5 AND min(mk) > 3 AS passed FROM r")
@@ -163,17 +191,30 @@ def sta14_recompute(spark, d):
     return st.recompute_violations(e.withColumn("want", F.col("got") + F.when(F.col("label") % 2 == 0, 0.5).otherwise(0.0)), "got", "want", 1e-9).select("label")
 
 
-@query("""WITH e AS (SELECT label, avg(list_sum(list_transform(embedding, lambda x: abs(x)::DOUBLE))) AS v, count(*) AS n FROM embeddings GROUP BY label) SELECT round(avg(v), 6) AS mean, avg((v < 8)::INT) < 0.95 AS mixed, count(*) > 1 AS groups FROM e""")
+_FOUR = f"{EMB}, f AS (SELECT vec_id, label, i, exp(x - max(x) OVER (PARTITION BY vec_id)) AS e FROM emb WHERE i < 4), g AS (SELECT vec_id, label, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM f), en AS (SELECT vec_id, label, -sum(greatest(least(p, 1), 1e-12) * log2(greatest(least(p, 1), 1e-12))) AS v FROM g GROUP BY vec_id, label), fa AS (SELECT label, count(*) AS n, avg(v) AS mean, median(v) AS median, avg((v < 1.5)::INT) AS low, avg((v > 1.9)::INT) AS high FROM en GROUP BY label), an AS (SELECT label, avg(v) AS a_mean, avg((v < 1.5)::INT) AS a_low FROM en WHERE vec_id % 3 = 0 AND label % 4 <> 0 GROUP BY label)"
+
+
+@query(f"WITH {_FOUR} SELECT label, n, round(mean, 6) AS mean, round(median, 6) AS median, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN a_mean IS NULL THEN mean >= 1.82 ELSE abs(mean - a_mean) <= 0.01 AND abs(low - a_low) <= 0.05 END AS passed FROM fa LEFT JOIN an USING (label)")
 def sta16_qc_probe(spark, d):
-    e = embeddings(spark, d).select("label", F.aggregate("e", F.lit(0.0), lambda s, x: s + F.abs(x)).alias("t")).groupBy("label").agg(F.avg("t").alias("v"))
-    return e.agg(r6(F.avg("v")).alias("mean"), (F.avg((F.col("v") < 8).cast("int")) < 0.95).alias("mixed"), (F.count("*") > 1).alias("groups"))
+    """Entropies of four symbols by label against anchors from every third vector; every fourth label has none."""
+    rows = embeddings(spark, d).select("vec_id", "label", ds.entropy_bits(ds.softmax(F.slice("e", 1, 4))).alias("v"))
+    anchors = rows.where("vec_id % 3 = 0 AND label % 4 <> 0").groupBy("label").agg(F.avg("v").alias("mean"), F.avg((F.col("v") < 1.5).cast("int")).alias("low"))
+    out = st.qc_probe(rows, "label", "v", anchors, 0.01, 0.05, 1.82)
+    return out.withColumns({c: r6(F.col(c)) for c in ("mean", "median", "low", "high")})
 
 
-@query("""WITH a AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), s AS (SELECT 'layer' || (vec_id % 6) AS path, abs(x - round(x, 2)) AS gap, abs(x) AS mag FROM a) SELECT path, round(max(gap), 6) AS max_abs, round(max(gap / greatest(mag, 1e-6)), 4) AS max_rel FROM s WHERE mag > 0.01 GROUP BY path""")
+@query("""WITH a AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), j AS (SELECT 'layer' || (x.vec_id % 6) || '/' || (x.i % 4) AS path, abs(x.v - y.v) AS gap, abs(y.v) AS most FROM a x JOIN a y ON y.vec_id = x.vec_id + 1 AND y.i = x.i WHERE x.vec_id % 2 = 0) SELECT path, round(max(gap), 6) AS max_abs, round(max(gap) / greatest(max(most), 1e-12), 6) AS max_rel FROM j GROUP BY path""")
 def sta17_state_diff(spark, d):
-    a = embeddings(spark, d).select(F.concat(F.lit("layer"), (F.col("vec_id") % 6).cast("string")).alias("path"), F.explode("e").alias("x")).where("abs(x) > 0.01")
-    gap = F.abs(F.col("x") - F.round("x", 2))
-    return a.groupBy("path").agg(r6(F.max(gap)).alias("max_abs"), F.round(F.max(gap / F.greatest(F.abs("x"), F.lit(1e-6))), 4).alias("max_rel"))
+    """Two states, tensor by tensor: even vectors are one, the vectors after them the other."""
+    e = embeddings(spark, d)
+    pairs = e.where("vec_id % 2 = 0").select("vec_id").join(e.select((F.col("vec_id") - 1).alias("vec_id")), "vec_id", "left_semi")
+
+    def state(odd):
+        rows = e.select((F.col("vec_id") - odd).alias("vec_id"), "e").join(pairs, "vec_id").select("vec_id", F.posexplode("e").alias("pos", "v"))
+        path = F.concat(F.lit("layer"), (F.col("vec_id") % 6).cast("string"), F.lit("/"), ((F.col("pos") + 1) % 4).cast("string"))
+        return rows.select(path.alias("path"), (F.col("vec_id") * 1000 + F.col("pos")).alias("i"), "v")
+
+    return dg.state_difference(state(0), state(1)).withColumns({c: r6(F.col(c)) for c in ("max_abs", "max_rel")})
 
 
 _CAT = "u AS (SELECT doc_id AS id, (doc_id * 2654435761 % 4294967296 * 69069 % 4294967296) / 4294967296.0::DOUBLE AS u FROM documents), p AS (SELECT source, count(*) AS n FROM documents GROUP BY source), c AS (SELECT source, sum(n) OVER (ORDER BY source)::DOUBLE / sum(n) OVER () AS hi, (sum(n) OVER (ORDER BY source) - n)::DOUBLE / sum(n) OVER () AS lo FROM p)"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,17 +28,32 @@ def session(app: str = "strandlake", cores: int | None = None, partitions: int |
     return builder.getOrCreate()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed into the folder that driver and executors share (``spark.checkpoint.dir``).
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
 
     Only where the setting is absent and all tasks run in the driver's process is a local folder made.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        found = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and sc.master.split("[")[0] != "local":
+        if sc.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="strandlake-"))
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strandlake-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that no other run has."""
+    return f"{shared_folder(spark)}/strandlake-{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed into the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -209,7 +209,7 @@ def inventory(spark: SparkSession, root: str, pattern: str = "*.jsonl.gz", limit
     """(path, length, modified, train, intact) of chunk files.
 
     A file is intact if no marker of an unfinished download stands beside it, and a gzip file if it unpacks to its end with
-    the right checksums; null for gzip files over ``limit`` bytes, whose content is not read (Spark fails at their broken end).
+    the right checksums.  Files over ``limit`` bytes don't fit into a row: Spark's reader streams them to their end instead.
     """
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
     rows = read.load(root).select("path", "length", F.col("modificationTime").alias("modified"))
@@ -220,9 +220,27 @@ def inventory(spark: SparkSession, root: str, pattern: str = "*.jsonl.gz", limit
     whole = F.when(F.endswith("path", F.lit(".gz")), F.col("whole")).otherwise(F.lit(True))
     name = F.element_at(F.split("path", "/"), -1)
     rows = rows.join(checked, "path", "left")
+    large = [r[0] for r in read.load(root).select("path", "length").where((F.col("length") > limit) & F.endswith("path", F.lit(".gz"))).select("path").collect()]
+    if large:  # a few files: their names are on the driver, their content isn't
+        broken = unreadable(spark, large)
+        rows = rows.withColumn("whole", F.coalesce("whole", ~F.col("path").isin(broken) if broken else F.lit(True)))
     return rows.select("path", "length", "modified", F.contains(name, F.lit("train")).alias("train"), F.when(marked, False).otherwise(whole).alias("intact"))
 
 
+def unreadable(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files that cannot be read to their end, found by halves: whole ones together are one job."""
+    try:
+        spark.read.text(paths).agg(F.count("*")).collect()
+        return []
+    except Exception as e:
+        if not re.search("FAILED_READ_FILE|EOFException|ZipException|IOException", str(e)):
+            raise
+        if len(paths) == 1:
+            return paths
+    half = len(paths) // 2
+    return unreadable(spark, paths[:half]) + unreadable(spark, paths[half:])
+
+
 def select_chunks(available: DataFrame, only: list[str]) -> DataFrame:
     """The files of an allow-list by name; a name that isn't there is an error."""
     name = F.element_at(F.split("path", "/"), -1)

@@ -40,56 +40,13 @@ def shard_problems(df: DataFrame, probs: str, resid: str, idx: str, tolerance: f
     return df.where((F.abs(mass - 1) > tolerance) | (F.size(probs) != F.size(idx)))
 
 
-# an append-only log of batches: data/batch=N and, once that is written, commits/N
-
-
-def _fs(spark: SparkSession, path: str):
-    sc = spark.sparkContext
-    at = sc._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(sc._jsc.hadoopConfiguration()), at
-
-
-def commits(spark: SparkSession, root: str) -> list[int]:
-    """Numbers of the committed batches, in order; batches are consecutive from 0, what lies after a gap doesn't count."""
-    fs, at = _fs(spark, f"{root}/commits")
-    have = {int(f.getPath().getName()) for f in fs.listStatus(at) if f.getPath().getName().isdigit()} if fs.exists(at) else set()
-    return list(iter_run(have))
-
-
-def iter_run(have: set[int]):
-    n = 0
-    while n in have:
-        yield n
-        n += 1
-
-
-def append(df: DataFrame, root: str, batch: int) -> bool:
-    """Adds a batch as JSON lines; false if it is there already.  Half-written batches of a lost run are replaced."""
-    spark = df.sparkSession
-    done = commits(spark, root)
-    if batch < len(done):
-        return False
-    if batch > len(done):
-        raise ValueError(f"the next batch is {len(done)}")
-    df.write.mode("overwrite").json(f"{root}/data/batch={batch}")
-    fs, at = _fs(spark, f"{root}/commits/{batch}.tmp")
-    fs.create(at, True).close()
-    if not fs.rename(at, _fs(spark, f"{root}/commits/{batch}")[1]):  # one step: a batch is there as a whole or not
-        raise OSError(f"batch {batch} could not be committed")
-    return True
-
-
-def committed(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """All rows of committed batches with their batch."""
-    done = commits(spark, root)
-    if not done:
-        return spark.createDataFrame([], f"{schema}, batch int")
-    return spark.read.schema(f"{schema}, batch int").option("basePath", f"{root}/data").json([f"{root}/data/batch={n}" for n in done])
-
-
-def truncate(spark: SparkSession, root: str, batches: int) -> None:
-    """Keeps the first ``batches`` batches; the rest goes, commits first."""
-    for n in reversed(commits(spark, root)[batches:]):
-        for part in (f"{root}/commits/{n}", f"{root}/data/batch={n}"):
-            fs, at = _fs(spark, part)
-            fs.delete(at, True)
+def trajectory(spark: SparkSession, rounds: str, root: str, schema: str) -> DataFrame:
+    """All records of a growing folder of JSON lines, appended to the trajectory below ``root`` once each, whatever crashes.
+
+    A file stream notes in its checkpoint which files it has taken and its sink which it has written, so a run that was cut
+    off is taken up where it stopped, and a reader sees committed files alone.
+    """
+    stream = spark.readStream.schema(schema).json(rounds)
+    q = stream.writeStream.format("json").outputMode("append").option("path", f"{root}/records").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(schema).json(f"{root}/records")
