@@ -240,7 +240,8 @@ def test_streams(spark, tmp_path):
     q.stop()
     got = spark.sql("select sum(n) from w").first()[0]
     assert 0 < got <= e.count()
-    q = ev.stream_count_shards(stream.select("user_id", "ts"), "user_id", 8).writeStream.outputMode("append").format("memory").queryName("s").option("checkpointLocation", str(tmp_path / "c2")).start()
+    with ev.streaming_state(spark, 2):
+        q = ev.stateful_shards(stream, "user_id", "ts", "event_id", 8).writeStream.outputMode("append").format("memory").queryName("s").option("checkpointLocation", str(tmp_path / "c2")).start()
     q.processAllAvailable()
     q.stop()
     want = e.groupBy("user_id").count().select(F.sum(F.floor(F.col("count") / 8))).first()[0]
