@@ -66,6 +66,24 @@ def scored(df: DataFrame, seq: str, build: Callable[[], Callable[[list[str]], li
     return df.mapInPandas(run, schema)
 
 
+def brought(get: Callable[[str], bytes], name: str, tries: int = 5, wait: float = 1.0) -> tuple[str, str | None, str | None]:
+    """(asked, text, problem) of one record: retries with longer and longer pauses, gzip or plain, then the name without version."""
+    problem, asked = "not found", name
+    for asked in dict.fromkeys((name, name.rsplit(".", 1)[0])):
+        for k in range(tries):
+            try:
+                raw = get(asked)
+                raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+                return asked, raw.decode(), None
+            except LookupError:
+                break  # not there: the next form of the name
+            except (OSError, EOFError, zlib.error, UnicodeDecodeError) as e:
+                problem = f"{type(e).__name__}: {e}"
+                if k + 1 < tries:
+                    time.sleep(wait * 2**k)
+    return asked, None, problem
+
+
 def fetched(ids: DataFrame, key: str, get: Callable[[str], bytes], tries: int = 5, wait: float = 1.0) -> DataFrame:
     """(key, asked, text, problem) of records that ``get`` brings (a connection, or fixtures), gzip or plain.
 
@@ -74,24 +92,8 @@ def fetched(ids: DataFrame, key: str, get: Callable[[str], bytes], tries: int =
     """
     kind = dict(ids.dtypes)[key]
 
-    def one(name: str) -> tuple[str, str | None, str | None]:
-        problem, asked = "not found", name
-        for asked in dict.fromkeys((name, name.rsplit(".", 1)[0])):
-            for k in range(tries):
-                try:
-                    raw = get(asked)
-                    raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
-                    return asked, raw.decode(), None
-                except LookupError:
-                    break  # not there: the next form of the name
-                except (OSError, EOFError, zlib.error, UnicodeDecodeError) as e:
-                    problem = f"{type(e).__name__}: {e}"
-                    if k + 1 < tries:
-                        time.sleep(wait * 2**k)
-        return asked, None, problem
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(k, *one(str(k))) for k in b[key]], columns=[key, "asked", "text", "problem"])
+            yield pd.DataFrame([(k, *brought(get, str(k), tries, wait)) for k in b[key]], columns=[key, "asked", "text", "problem"])
 
     return ids.select(key).where(F.col(key).isNotNull()).mapInPandas(run, f"{key} {kind}, asked string, text string, problem string")

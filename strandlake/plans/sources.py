@@ -141,3 +141,18 @@ def src14_prompt_pack(spark, d):
     prompt = F.struct(F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("name"), F.lit("coding").alias("region"), F.lit("items").alias("source"), F.char_length("text").alias("orig_len"), F.col("text").alias("seq"))
     b.agg(F.to_json(F.struct(F.struct(F.lit(1).alias("version")).alias("meta"), F.collect_list(prompt).alias("prompts"))).alias("value")).coalesce(1).write.text(root)
     return files.prompt_pack(spark, root, ["p3", "p9", "p5"], 40).select("name", "seq")
+
+
+@query(f"WITH {DNA} SELECT 'genome' AS kind, md5(seq) AS h FROM dna WHERE seq <> '' AND lang = 'en' UNION ALL SELECT 'tree', md5(seq) FROM dna WHERE seq <> '' AND lang = 'de' UNION ALL SELECT 'samples', md5('ACGT' || repeat('T', item_id::INTEGER)) FROM benchmark")
+def src22_default_union(spark, d):
+    """The default corpus: regions of a genome, a map of samples and a folder of FASTA files together."""
+    root, rows = new_folder(spark, "corpus"), dna(spark, d).where("seq <> ''")
+    place = [F.col("doc_id").alias(c) for c in ("start", "end")]
+    rows.where("lang = 'en'").select(F.concat(F.lit("g"), F.col("doc_id").cast("string")).alias("id"), F.lit("chr1").alias("chrom"), *place, "seq").write.option("header", True).csv(f"{root}/genome")
+    item = F.concat(F.lit('"s'), F.col("item_id").cast("string"), F.lit('": "ACGT'), F.repeat(F.lit("T"), F.col("item_id").cast("int")), F.lit('"'))
+    read(spark, d, "benchmark").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(item), ", "), F.lit("}")).alias("value")).coalesce(1).write.text(f"{root}/samples")
+    sinks.fasta(rows.where("lang = 'de'").select(F.col("doc_id").cast("string").alias("name"), "seq"), f"{root}/tree")
+    _renamed(spark, f"{root}/tree", ".fasta")
+    got = files.default_corpus(spark, f"{root}/genome", f"{root}/samples", f"{root}/tree")
+    kind = F.when(F.startswith("source", F.lit("chr1:")), "genome").when(F.col("source") == "", "samples").otherwise("tree")
+    return got.select(kind.alias("kind"), F.md5("seq").alias("h"))

@@ -112,6 +112,12 @@ def fasta_directory(spark: SparkSession, root: str) -> DataFrame:
     return kept.select(F.concat(file, F.lit(":"), F.col("row_seq").cast("string")).alias("name"), clean(F.col("raw")).alias("seq"), F.col("path").alias("source")).where("seq <> ''")
 
 
+def default_corpus(spark: SparkSession, genome: str, pack: str, tree: str | None = None) -> DataFrame:
+    """(name, seq, source): a genome's regions, the samples, and the files of a folder if there is one, one after the other."""
+    rows = genome_csv(spark, genome).unionByName(samples(spark, pack))
+    return rows.unionByName(fasta_directory(spark, tree)) if tree else rows
+
+
 def species_lines(spark: SparkSession, path: str) -> DataFrame:
     """(name, seq, source) of coding records in JSON lines."""
     rows = spark.read.schema(RECORD).json(path).where("seq IS NOT NULL")

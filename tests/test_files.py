@@ -273,3 +273,37 @@ def test_late_rows_are_dropped(spark, tmp_path):
     q.stop()
     got = {r["start"].hour: r["n"] for r in spark.sql("select * from late").collect()}
     assert sorted(got.values()) == [1, 1, 3]  # 10:05 comes after its window was closed
+
+
+def test_records_in_batch_and_as_a_stream(spark, tmp_path):
+    from strandlake.sources.records import Records
+
+    (tmp_path / "r").mkdir()
+    for i in range(25):
+        name = f"R{i:03d}" + ("" if i % 7 == 3 else ".1")  # some are known without a version only
+        data = f"record {i}".encode()
+        if i != 11:
+            (tmp_path / "r" / name).write_bytes(gzip.compress(data) if i % 2 else data)
+    (tmp_path / "r" / "R012.1").write_bytes(gzip.compress(b"x" * 50)[:-9])  # broken off
+    (tmp_path / "r" / "latest").write_text("9")
+    spark.dataSource.register(Records)
+    options = {"fetcher": "strandlake.sources.records:Folder", "folder": f"file://{tmp_path}/r", "pattern": "R{id:03d}.1", "step": "4", "tries": "2", "wait": "0"}
+    rows = spark.read.format("records").options(**options, last="24").load()
+    assert rows.rdd.getNumPartitions() == 7
+    got = {r["id"]: r for r in rows.collect()}
+    assert sorted(got) == list(range(25))
+    assert all(got[i]["text"] == f"record {i}" and got[i]["asked"] == f"R{i:03d}" + ("" if i % 7 == 3 else ".1") for i in got if i not in (11, 12))
+    assert (got[11]["text"], got[11]["problem"]) == (None, "not found") and got[12]["text"] is None and "EOFError" in got[12]["problem"]
+    with pytest.raises(Exception, match="last number"):
+        spark.read.format("records").options(**options).load().collect()
+
+    def run():
+        stream = spark.readStream.format("records").options(**options).load()
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).start()
+        q.processAllAvailable()
+        q.stop()
+        return sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == list(range(10))
+    (tmp_path / "r" / "latest").write_text("20")
+    assert run() == list(range(21))  # taken up where it stopped
