@@ -26,7 +26,8 @@ holds one index block (``BLOCK`` shingles or one document) and at most about ``V
 
 Defined cases: null or wordless text has the empty set and is its own component; fewer than ``words`` words make one shingle;
 repeated rows are equal sets; a null doc_id links like any other but never names a component unless all ids are null;
-an empty table gives an empty table.
+an empty table gives an empty table; very long texts are hashed stretch by stretch; of other columns none is read by
+``join_components``, and ``one_of_each`` returns them as they came, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ proportion; the score is that proportion, for a set of one language its posterio
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; ties go to the language first in code-point
 order; labels that are null teach nothing; with no labels at all every text is ``und``; repeated rows get equal results;
-an empty table gives an empty table.
+an empty table gives an empty table; very long texts are scored in pieces of their own; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ cut is one place in each source's order, and a table of these places decides whi
 
 Defined cases: null text has size 0 and is taken 0 times; a null source is a source of its own, last in order; rows without
 id are shuffled by their text; of repeated rows at the cut, as many as fit go on; no words at all give targets of 0; an empty
-table gives an empty table; ``mix`` ignores other columns, ``mix_documents`` returns all columns as they came.
+table gives an empty table; a very long text only counts by its words; ``mix`` ignores other columns, ``mix_documents`` returns all columns as they came.
 """
 
 from __future__ import annotations

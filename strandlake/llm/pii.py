@@ -16,7 +16,8 @@ then go back into each mention in its own format: separators, country code, titl
 The entity patterns run once over each text that has a hint of one; each distinct text with an entity is cut into gaps and
 mentions, written, and rewritten from there.  Only documents with such a text are joined; a part that a third of all documents
 mention is joined by key after its mentions are made distinct per text.  Defined cases: null text stays null; texts without entities stay as they are; repeated rows get equal texts; a null doc_id
-is a document like others; an empty table gives an empty table; an input column n_entities is replaced.
+is a document like others; an empty table gives an empty table; an input column n_entities is replaced, other
+columns stay as they came, whatever their names; very long texts are cut and rewritten whole.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ and filter the documents.
 
 Defined cases: null text has no words and fails the base rules; null language or source form groups of their own;
 repeated rows count as often as they occur; an empty table gives an empty table; ``quality`` reads doc_id, text, lang and source
-only, ``quality_filter`` returns all columns as they came, whatever their names.
+only, ``quality_filter`` returns all columns as they came, whatever their names; a very long text is one row like others, in a
+piece of its own.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ marked unfinished.
 so that a task that runs twice leaves one file), with a table of the documents in their order.
 
 Defined cases: null and empty texts have no token; an empty file or table gives no rows; a file whose size is no multiple of
-the id width is an error; repeated rows are documents of their own.
+the id width is an error; repeated rows are documents of their own; very long texts are encoded one at a time; other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations

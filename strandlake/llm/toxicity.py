@@ -11,7 +11,9 @@ classes' sampling rates.
 
 Defined cases: null and wordless texts get the score of the bias alone; labels of null or of unknown documents teach
 nothing; a document labelled twice counts as toxic if any label says so; without labels of both classes every score is the share of toxic
-labels (0 if none); repeated rows get equal scores; an empty table gives an empty table.
+labels (0 if none); repeated rows get equal scores (of ids with
+several texts the least one is learnt from); very long texts are scored in pieces of their own; an empty table gives an empty
+table; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
