@@ -117,8 +117,8 @@ def open_span(c: np.ndarray) -> int:
     return int(spans(c, np.zeros(1, np.int64), len(c))[0]) if len(c) >= 3 else 0
 
 
-def earlier(c: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(position, latest earlier one) of windows of k symbols that were there before; long sequences go bucket by bucket."""
+def bucketed(c: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, codes) of all windows of k symbols; equal ones come together, long sequences go bucket by bucket."""
     if 5**k >= 1 << 62:
         raise ValueError("k-mers of 26 symbols at most")
     buckets = 1 + len(c) // BUCKET
@@ -129,10 +129,26 @@ def earlier(c: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             at.append(on + first)
             code.append(x[on])
         if at:
-            pos, code = np.concatenate(at), np.concatenate(code)
-            order = np.argsort(code, kind="stable")
-            same = np.flatnonzero(code[order[1:]] == code[order[:-1]])
-            yield pos[order[same + 1]], pos[order[same]]
+            yield np.concatenate(at), np.concatenate(code)
+
+
+def earlier(c: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(position, latest earlier one) of windows of k symbols that were there before."""
+    for pos, code in bucketed(c, k):
+        order = np.argsort(code, kind="stable")
+        same = np.flatnonzero(code[order[1:]] == code[order[:-1]])
+        yield pos[order[same + 1]], pos[order[same]]
+
+
+def _clean(c: np.ndarray) -> np.ndarray:
+    if (c > 4).any():
+        raise ValueError("symbols that are not in ACGTN: clean the sequences first")
+    return c
+
+
+def distinct(c: np.ndarray, k: int) -> int:
+    """How many different windows of k symbols there are."""
+    return sum(len(np.unique(code)) for _, code in bucketed(_clean(c), k))
 
 
 def each(df: DataFrame, keep: list[str], seq: str, work: Callable[[np.ndarray, dict], list], columns: str, inputs: list[str] | None = None) -> DataFrame:
@@ -200,9 +216,7 @@ def counts(df: DataFrame, k: int, keys: list[str], seq: str, plain: bool) -> Dat
             texts = b.column("__seq").cast(pa.binary())
             for i, key in enumerate(zip(*(b.column(c).to_pylist() for c in keys)) if keys else [()] * b.num_rows):
                 c = symbols(texts[i].as_py())
-                if not plain and (c > 4).any():
-                    raise ValueError("symbols that are not in ACGTN: clean the sequences first")
-                for _, code, ok in kmers(c, k, base):
+                for _, code, ok in kmers(c if plain else _clean(c), k, base):
                     if key not in held:
                         held[key] = np.zeros(size, np.int64)
                     held[key] += np.bincount(code[ok] if plain else code, minlength=size)

@@ -7,10 +7,13 @@ shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast
 from . import codes
 
 ALPHABET = "ACGTN"
@@ -72,6 +75,35 @@ def entropy(df: DataFrame, k: int, keys: list[str], seq: str = "seq") -> DataFra
     return total.select(*keys, (F.log2("t") - F.col("s") / F.col("t")).alias("entropy"))
 
 
+def by_sequence(df: DataFrame, key: str, alone: Callable[[DataFrame], DataFrame], pooled: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``alone`` of the rows whose key no other row has, which need no exchange, and ``pooled`` of the others."""
+    again = df.groupBy(key).agg(F.count("*").alias("__n")).where((F.col("__n") > 1) & F.col(key).isNotNull()).select(key)
+    if again.isEmpty():
+        return alone(df)
+    again = broadcast(again)
+    return alone(df.join(again, key, "left_anti")).unionByName(pooled(df.join(again, key, "left_semi")))
+
+
+def unique_rate(df: DataFrame, k: int, key: str, seq: str = "seq") -> DataFrame:
+    """(key, rate) a row: different windows of its key over all of them, 1.0 without a window or a key.
+
+    A sequence's windows are told apart inside its Arrow batch; only sequences that share a key are exchanged.
+    """
+
+    def work(c: np.ndarray, _: dict) -> list[np.ndarray]:
+        return [np.array([x], np.int64) for x in (codes.distinct(c, k), len(c) - k + 1)]
+
+    def alone(rows: DataFrame) -> DataFrame:
+        rate = F.when((F.col("__n") > 0) & F.col(key).isNotNull(), F.col("__m") / F.col("__n")).otherwise(1.0)
+        return codes.each(rows, [key], seq, work, "__m long, __n long").select(key, rate.alias("rate"))
+
+    def pooled(rows: DataFrame) -> DataFrame:
+        w = windows(rows, k, [key], seq).groupBy(key).agg((F.count_distinct("kmer") / F.count("*")).alias("rate"))
+        return rows.select(key).join(w, key, "left").select(key, F.coalesce("rate", F.lit(1.0)).alias("rate"))
+
+    return by_sequence(df, key, alone, pooled)
+
+
 def transitions(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     """(ctx, nxt, cnt): how often a symbol follows k symbols; no window crosses sequences."""
     rows = counts(df, k + 1, [], seq, plain=False).withColumnRenamed("n", "cnt")

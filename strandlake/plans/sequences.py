@@ -157,9 +157,7 @@ def agg04_kmer_entropy(spark, d):
 
 @query(f"""WITH {DNA}, w AS (SELECT doc_id, count(DISTINCT substr(seq, i, 10))::DOUBLE / count(*) AS r FROM dna, unnest(range(1, length(seq) - 8)) t(i) GROUP BY doc_id) SELECT doc_id, round(coalesce(r, 1.0), 6) AS rate FROM dna LEFT JOIN w USING (doc_id)""")
 def agg05_unique_kmer_rate(spark, d):
-    s = dna(spark, d)
-    w = kmers.windows(s, 10, ["doc_id"]).groupBy("doc_id").agg((F.count_distinct("kmer") / F.count("*")).alias("r"))
-    return s.select("doc_id").join(w, "doc_id", "left").select("doc_id", r6(F.coalesce("r", F.lit(1.0))).alias("rate"))
+    return kmers.unique_rate(dna(spark, d), 10, "doc_id").withColumn("rate", r6(F.col("rate")))
 
 
 @query(f"""WITH {DNA}, c AS (SELECT source, substr(seq, i, 4) AS m, count(*) AS n FROM dna, unnest(range(1, length(seq) - 2)) t(i) GROUP BY ALL) SELECT source, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy, sum(n)::BIGINT AS windows FROM c GROUP BY source""")

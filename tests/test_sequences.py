@@ -91,6 +91,33 @@ def test_counts_and_features(spark, sequences):
     assert all((m[i]["n_orfs"], m[i]["longest_orf_bp"], m[i]["coding_frac"]) == (got[i]["n_orfs"], got[i]["longest_orf_bp"], got[i]["coding_frac"]) for i, *_ in rows)
 
 
+def exchanges(df):
+    """Exchanges in the final plan."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+@pytest.mark.parametrize("bucket", [1 << 22, 20])
+def test_unique_rate_without_exchange(spark, sequences, monkeypatch, bucket):
+    monkeypatch.setattr(codes, "BUCKET", bucket)
+    assert [codes.distinct(codes.symbols(s.encode()), 3) for s in sequences] == [len({s[i : i + 3] for i in range(len(s) - 2)}) for s in sequences]
+    rows = [(i, s) for i, s in enumerate(sequences)] + [(997, None), (None, "ACGTACGTACGT")]
+    again = [(998, "ACGTACG"), (998, "ACGTTTTTT"), (999, "A"), (999, None)]
+
+    def rates(df):
+        return sorted(((r["id"], r["rate"]) for r in df.collect()), key=str)
+
+    def want(rows):
+        w = collections.defaultdict(list)
+        for key, s in rows:
+            w[key] += [s[i : i + 4] for i in range(len(s or "") - 3)] if key is not None else []
+        return sorted(((key, len(set(w[key])) / len(w[key]) if w[key] else 1.0) for key, _ in rows), key=str)
+
+    got = kmers.unique_rate(spark.createDataFrame(rows, "id long, seq string"), 4, "id")
+    assert rates(got) == want(rows) and not exchanges(got)
+    assert rates(kmers.unique_rate(spark.createDataFrame(rows + again, "id long, seq string"), 4, "id")) == want(rows + again)
+
+
 def test_sketches_of_parts_merge(spark, sequences):
     df = spark.createDataFrame([(i % 4, s * 3) for i, s in enumerate(sequences)], "g long, seq string")
     parts = kmers.distinct_sketches(df, 8, ["g"])
