@@ -18,6 +18,8 @@ ALPHABET = "ACGTN"
 START, STOPS = "ATG", ("TAA", "TAG", "TGA")
 #: Symbols scanned at a time; k-mers of one bucket of a long sequence; counters of a task; distinct k-mers a vector may have.
 STEP, BUCKET, COUNTERS, VECTOR = 1 << 20, 1 << 22, 1 << 22, 1 << 16
+#: Positions of a block of sequences of one length; from how many of them on a batch sends counts instead of symbols.
+PLACES, MANY = 1 << 12, 64
 
 _CODE = np.full(256, 5, np.uint8)
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(5)
@@ -231,6 +233,92 @@ def counts(df: DataFrame, k: int, keys: list[str], seq: str, plain: bool) -> Dat
     return rows.select(*keys, F.concat(*digit).alias("kmer"), "n")
 
 
+def agreements(df: DataFrame, group: str, seq: str) -> DataFrame:
+    """(group, len, m, same): how many sequences of a length there are, and at how many positions their pairs agree, added up.
+
+    n sequences with one symbol at a position are n (n - 1) / 2 pairs that agree there.  Sequences travel in blocks of
+    PLACES symbols to where their length is counted; those that a batch has MANY of go as counts, so a common length is no
+    large task.  A row a block comes out; m is the same in all of a length.
+    """
+    kind = df.select(group).schema[0].dataType.simpleString()
+    names = ["__group", "__len", "__at", "__n", "__v"]
+
+    def counted(rows: np.ndarray) -> np.ndarray:
+        return np.stack([np.add.reduce(rows == s, axis=0, dtype=np.int64) for s in range(5)])
+
+    def runs(*cols: np.ndarray) -> list[tuple[int, int]]:
+        """From and to of rows that are equal in all columns, next to one another."""
+        ends = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1 if len(cols[0]) else []
+        return list(zip([0, *ends], [*ends, len(cols[0])])) if len(cols[0]) else []
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("__seq").cast(pa.binary())
+            owner = b.column("__group").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            size = np.array([len(x) for x in texts.to_pylist()], np.int64)
+            order = np.lexsort((size, owner))
+            order = order[size[order] > 0]
+            out, held = [], 0
+            for i, j in runs(owner[order], size[order]):
+                n = int(size[order[i]])
+                rows = np.stack([_clean(symbols(texts[int(r)].as_py())) for r in order[i:j]])
+                for at in range(0, n, PLACES):
+                    part = rows[:, at : at + PLACES]
+                    if j - i >= MANY:
+                        out.append((order[i], n, at, j - i, counted(part).tobytes()))
+                        held += 40 * part.shape[1]
+                    else:
+                        out.extend((r, n, at, 1, x.tobytes()) for r, x in zip(order[i:j], part))
+                        held += part.size
+                    if held > COUNTERS:
+                        yield packed(b, out)
+                        out, held = [], 0
+            if out:
+                yield packed(b, out)
+
+    def packed(b: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
+        row, n, at, m, v = zip(*out)
+        owners = b.column("__group").take(pa.array(np.array(row, np.int64)))
+        return pa.RecordBatch.from_arrays([owners, *[pa.array(x, pa.int64()) for x in (n, at, m)], pa.array(v, pa.binary())], names)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, m, total = None, 0, np.zeros((5, 0), np.int64)
+        done: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            out = [pa.array([x[0][0] for x in done], kept), *[pa.array(x, pa.int64()) for x in zip(*((k[1], s, a) for k, s, a in done))]]
+            done.clear()
+            return pa.RecordBatch.from_arrays(out, [group, "len", "m", "same"])
+
+        for b in batches:
+            kept = b.column("__group").type
+            owner = b.column("__group").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            n, at, weight = (b.column(c).to_numpy() for c in names[1:4])
+            for i, j in runs(owner, n, at, weight):
+                key = (b.column("__group")[i].as_py(), int(n[i]), int(at[i]))
+                if key != last:
+                    if last:
+                        done.append((last, m, int((total * (total - 1) // 2).sum())))
+                    if len(done) > PLACES:
+                        yield flush()
+                    last, m, total = key, 0, np.zeros((5, min(key[1] - key[2], PLACES)), np.int64)
+                blocks = b.column("__v").slice(i, j - i).to_pylist()
+                if weight[i] == 1:
+                    total += counted(np.frombuffer(b"".join(blocks), np.uint8).reshape(j - i, -1))
+                else:
+                    for x in blocks:
+                        total += np.frombuffer(x, np.int64).reshape(5, -1)
+                m += int(weight[i]) * (j - i)
+        if last:
+            done.append((last, m, int((total * (total - 1) // 2).sum())))
+            yield flush()
+
+    rows = df.select(F.col(group).alias("__group"), F.coalesce(F.col(seq), F.lit("")).alias("__seq"))
+    rows = rows.mapInArrow(cut, f"__group {kind}, __len long, __at long, __n long, __v binary")
+    at = ["__group", "__len", "__at"]
+    return rows.repartition(*at).sortWithinPartitions(*at, "__n").mapInArrow(add, f"`{group}` {kind}, len long, m long, same long")
+
+
 FEATURES = "length long, gc double, n_orfs long, longest_orf_bp long, coding_frac double, dinuc map<string,bigint>, trinuc map<string,bigint>, tetranuc map<string,bigint>"
 
 

@@ -83,19 +83,14 @@ def identities(df: DataFrame, key: str, seq: str, group: list[str], asks: Column
 def mean_identity(df: DataFrame, group: str, seq: str = "seq") -> DataFrame:
     """(group, pairs, identity): the mean identity of all pairs of sequences of one length in a group, without making pairs.
 
-    At a position of sequences of one length, n rows with the same symbol are n (n - 1) / 2 pairs that agree there, so counts by
-    (group, length, position, symbol) give the sum over all pairs in linear time.  Empty sequences are in no pair.
+    Counts by position and symbol give the sum over all pairs in linear time (``codes.agreements``).  Empty sequences are in
+    no pair.
     """
-    from .kmers import windows
-
-    rows = df.select(group, F.col(seq).alias("seq"), F.char_length(seq).cast("long").alias("len")).where("len > 0")
-    sizes = rows.groupBy(group, "len").agg(F.count("*").alias("m")).where("m > 1")
-    shared = rows.join(sizes.select(group, "len"), [group, "len"], "left_semi")
-    at = windows(shared, 1, [group, "len"], pos=True).groupBy(group, "len", "pos", "kmer").agg(F.count("*").alias("n"))
-    same = at.groupBy(group, "len").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("same"))
-    out = sizes.join(same, [group, "len"]).groupBy(group)
+    from .codes import agreements
+
+    lengths = agreements(df, group, seq).groupBy(group, "len").agg(F.max("m").alias("m"), F.sum("same").alias("same")).where("m > 1")
     pairs = F.sum(F.col("m") * (F.col("m") - 1) / 2)
-    return out.agg(pairs.cast("long").alias("pairs"), (F.sum(F.col("same") / F.col("len")) / pairs).alias("identity"))
+    return lengths.groupBy(group).agg(pairs.cast("long").alias("pairs"), (F.sum(F.col("same") / F.col("len")) / pairs).alias("identity"))
 
 
 def top_candidates(rows: DataFrame, keys: list[str], loss: str, index: str, n: int = 2) -> DataFrame:

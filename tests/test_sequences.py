@@ -136,6 +136,35 @@ def test_mean_identity_of_all_pairs(spark):
     assert "c" not in got
 
 
+@pytest.mark.parametrize("places, many", [(1 << 12, 64), (4, 3), (7, 2), (3, 1000)])
+def test_agreements_in_blocks_and_as_counts(spark, monkeypatch, places, many):
+    """Symbols never become rows: what is exchanged is a block a sequence, or counts of those a batch has many of."""
+    monkeypatch.setattr(codes, "PLACES", places)
+    monkeypatch.setattr(codes, "MANY", many)
+    rng = random.Random(3)
+    rows = [(g, "".join(rng.choices("ACGTN", k=rng.choice([0, 5, 5, 9, 40])))) for g in ["a", "b", None] for _ in range(40)] + [("a", "ACGTA")] * 20 + [("c", None)]
+    df = spark.createDataFrame(rows, "g string, seq string").repartition(3)
+    out = codes.agreements(df, "g", "seq")
+    got = collections.defaultdict(lambda: [set(), 0])
+    for r in out.collect():
+        got[r["g"], r["len"]][0].add(r["m"])
+        got[r["g"], r["len"]][1] += r["same"]
+    want = {}
+    for key in {(g, len(s)) for g, s in rows if s}:
+        held = [s for g, s in rows if (g, len(s or "")) == key]
+        want[key] = [{len(held)}, sum(x == y for s, t in itertools.combinations(held, 2) for x, y in zip(s, t))]
+    assert dict(got) == want
+    with pytest.raises(Exception, match="clean the sequences"):
+        codes.agreements(spark.createDataFrame([("a", "acg")], ["g", "seq"]), "g", "seq").collect()
+
+
+def test_mean_identity_makes_no_row_a_symbol(spark):
+    df = spark.createDataFrame([("a", "ACGT" * 5000)] * 30, ["g", "seq"])
+    out = dg.mean_identity(df, "g")
+    assert [tuple(r) for r in out.collect()] == [("a", 435, 1.0)]
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 # running sums
 
 
