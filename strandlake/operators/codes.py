@@ -142,7 +142,7 @@ def earlier(c: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield pos[order[same + 1]], pos[order[same]]
 
 
-def _clean(c: np.ndarray) -> np.ndarray:
+def clean(c: np.ndarray) -> np.ndarray:
     if (c > 4).any():
         raise ValueError("symbols that are not in ACGTN: clean the sequences first")
     return c
@@ -150,7 +150,7 @@ def _clean(c: np.ndarray) -> np.ndarray:
 
 def distinct(c: np.ndarray, k: int) -> int:
     """How many different windows of k symbols there are."""
-    return sum(len(np.unique(code)) for _, code in bucketed(_clean(c), k))
+    return sum(len(np.unique(code)) for _, code in bucketed(clean(c), k))
 
 
 def each(df: DataFrame, keep: list[str], seq: str, work: Callable[[np.ndarray, dict], list], columns: str, inputs: list[str] | None = None) -> DataFrame:
@@ -218,7 +218,7 @@ def counts(df: DataFrame, k: int, keys: list[str], seq: str, plain: bool) -> Dat
             texts = b.column("__seq").cast(pa.binary())
             for i, key in enumerate(zip(*(b.column(c).to_pylist() for c in keys)) if keys else [()] * b.num_rows):
                 c = symbols(texts[i].as_py())
-                for _, code, ok in kmers(c if plain else _clean(c), k, base):
+                for _, code, ok in kmers(c if plain else clean(c), k, base):
                     if key not in held:
                         held[key] = np.zeros(size, np.int64)
                     held[key] += np.bincount(code[ok] if plain else code, minlength=size)
@@ -261,7 +261,7 @@ def agreements(df: DataFrame, group: str, seq: str) -> DataFrame:
             out, held = [], 0
             for i, j in runs(owner[order], size[order]):
                 n = int(size[order[i]])
-                rows = np.stack([_clean(symbols(texts[int(r)].as_py())) for r in order[i:j]])
+                rows = np.stack([clean(symbols(texts[int(r)].as_py())) for r in order[i:j]])
                 for at in range(0, n, PLACES):
                     part = rows[:, at : at + PLACES]
                     if j - i >= MANY:

@@ -104,6 +104,30 @@ def unique_rate(df: DataFrame, k: int, key: str, seq: str = "seq") -> DataFrame:
     return by_sequence(df, key, alone, pooled)
 
 
+def span_features(df: DataFrame, entropy_k: int, unique_k: int, key: str, seq: str = "seq") -> DataFrame:
+    """(all columns of ``df`` but the sequence, entropy, unique) a row: bits of the windows of its key, null without one, and
+    the rate of different ones as in ``unique_rate``, in one scan of each sequence."""
+    keep = [c for c in df.columns if c != seq]
+
+    def work(c: np.ndarray, _: dict) -> list[np.ndarray]:
+        n = np.unique(np.concatenate([x for _, x, _ in codes.kmers(codes.clean(c), entropy_k)] or [c[:0]]), return_counts=True)[1]
+        return [*[np.array([x], np.int64) for x in (n.sum(), codes.distinct(c, unique_k), len(c) - unique_k + 1)], np.array([(n * np.log2(n)).sum()])]
+
+    def alone(rows: DataFrame) -> DataFrame:
+        got = codes.each(rows, keep, seq, work, "__t long, __m long, __n long, __s double")
+        known = F.col(key).isNotNull()
+        bits = F.when((F.col("__t") > 0) & known, F.log2("__t") - F.col("__s") / F.col("__t"))
+        rate = F.when((F.col("__n") > 0) & known, F.col("__m") / F.col("__n")).otherwise(1.0)
+        return got.select(*keep, bits.alias("entropy"), rate.alias("unique"))
+
+    def pooled(rows: DataFrame) -> DataFrame:
+        uni = windows(rows, unique_k, [key], seq).groupBy(key).agg((F.count_distinct("kmer") / F.count("*")).alias("unique"))
+        rows = rows.select(*keep).join(entropy(rows, entropy_k, [key], seq), key, "left").join(uni, key, "left")
+        return rows.select(*keep, "entropy", F.coalesce("unique", F.lit(1.0)).alias("unique"))
+
+    return by_sequence(df, key, alone, pooled)
+
+
 def transitions(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     """(ctx, nxt, cnt): how often a symbol follows k symbols; no window crosses sequences."""
     rows = counts(df, k + 1, [], seq, plain=False).withColumnRenamed("n", "cnt")

@@ -119,11 +119,10 @@ def fn24_hashes(spark, d):
 
 @query(f"""WITH {DNA} , span AS (SELECT doc_id, left(seq, 1024) AS seq FROM dna), w AS (SELECT doc_id, substr(seq, i, 5) AS m FROM span, unnest(range(1, length(seq) - 3)) t(i)), c AS (SELECT doc_id, m, count(*) AS n FROM w GROUP BY ALL), e AS (SELECT doc_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS ent FROM c GROUP BY doc_id), u AS (SELECT doc_id, count(DISTINCT m)::DOUBLE / count(*) AS u FROM (SELECT doc_id, substr(seq, i, 10) AS m FROM span, unnest(range(1, length(seq) - 8)) t(i)) GROUP BY doc_id), h AS (SELECT doc_id, coalesce(list_sum(list_transform(regexp_extract_all(seq, '(A{{6,}}|C{{6,}}|G{{6,}}|T{{6,}}|N{{6,}})'), lambda x: length(x))), 0)::DOUBLE / nullif(length(seq), 0) AS f FROM span) SELECT s.doc_id, round(ent, 6) AS entropy_k5, round(coalesce(f, 0), 6) AS homopolymer_frac6, round(coalesce(u, 1), 6) AS unique_k10, left(seq, 80) AS prefix80 FROM span s LEFT JOIN e USING (doc_id) LEFT JOIN u USING (doc_id) LEFT JOIN h USING (doc_id)""")
 def fn30_score_prompt_span(spark, d):
-    span = dna(spark, d).select("doc_id", F.left("seq", F.lit(1024)).alias("seq"))
-    ent = kmers.entropy(span, 5, ["doc_id"])
-    uni = kmers.windows(span, 10, ["doc_id"]).groupBy("doc_id").agg((F.count_distinct("kmer") / F.count("*")).alias("u"))
-    rows = span.join(ent, "doc_id", "left").join(uni, "doc_id", "left")
-    return rows.select("doc_id", r6(F.col("entropy")).alias("entropy_k5"), r6(tx.homopolymer_fraction(F.col("seq"))).alias("homopolymer_frac6"), r6(F.coalesce("u", F.lit(1.0))).alias("unique_k10"), F.left("seq", F.lit(80)).alias("prefix80"))
+    span = F.left("seq", F.lit(1024))
+    rows = dna(spark, d).select("doc_id", span.alias("seq"), r6(tx.homopolymer_fraction(span)).alias("homopolymer_frac6"), F.left("seq", F.lit(80)).alias("prefix80"))
+    rows = kmers.span_features(rows, 5, 10, "doc_id")
+    return rows.select("doc_id", r6(F.col("entropy")).alias("entropy_k5"), "homopolymer_frac6", r6(F.col("unique")).alias("unique_k10"), "prefix80")
 
 
 @query(rf"""WITH {DNA}, p AS (SELECT doc_id, kind, upper(regexp_replace(raw, '[\s\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\v]', '', 'g')) AS s FROM (SELECT doc_id, 'raw' AS kind, text AS raw FROM documents UNION ALL SELECT doc_id, 'recoded', left(seq, 30) || chr(10) || lower(substr(seq, 31)) FROM dna)) SELECT doc_id, kind, CASE WHEN regexp_matches(s, '[^ACGTN]') THEN 'non-ACGTN' WHEN length(s) < 64 THEN 'too short' END AS reason FROM p""")

@@ -118,6 +118,27 @@ def test_unique_rate_without_exchange(spark, sequences, monkeypatch, bucket):
     assert rates(kmers.unique_rate(spark.createDataFrame(rows + again, "id long, seq string"), 4, "id")) == want(rows + again)
 
 
+def test_span_features_without_exchange(spark, sequences):
+    rows = [(i, s, "x") for i, s in enumerate(sequences)] + [(997, None, "y")]
+    again = [(998, "ACGTACG", "y"), (998, "ACGTTTTTT", "z"), (999, "A", "z"), (999, None, "x")]
+
+    def plain(rows):
+        pools = collections.defaultdict(list)
+        for key, s, _ in rows:
+            pools[key].append(s or "")
+        out = []
+        for key, _, extra in rows:
+            three, four = (collections.Counter(s[i : i + k] for s in pools[key] for i in range(len(s) - k + 1)) for k in (3, 4))
+            p = np.array(list(three.values())) / (three.total() or 1)
+            out.append((key, extra, pytest.approx(-(p * np.log2(p)).sum(), abs=1e-9) if three else None, pytest.approx(len(four) / four.total()) if four else 1.0))
+        return sorted(out, key=lambda r: r[:2])
+
+    got = kmers.span_features(spark.createDataFrame(rows, "id long, seq string, extra string"), 3, 4, "id")
+    assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[:2]) == plain(rows) and not exchanges(got)
+    got = kmers.span_features(spark.createDataFrame(rows + again, "id long, seq string, extra string"), 3, 4, "id")
+    assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[:2]) == plain(rows + again)
+
+
 def test_sketches_of_parts_merge(spark, sequences):
     df = spark.createDataFrame([(i % 4, s * 3) for i, s in enumerate(sequences)], "g long, seq string")
     parts = kmers.distinct_sketches(df, 8, ["g"])
