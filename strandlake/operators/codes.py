@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ALPHABET = "ACGTN"
@@ -20,6 +20,8 @@ START, STOPS = "ATG", ("TAA", "TAG", "TGA")
 STEP, BUCKET, COUNTERS, VECTOR = 1 << 20, 1 << 22, 1 << 22, 1 << 16
 #: Positions of a block of sequences of one length; from how many of them on a batch sends counts instead of symbols.
 PLACES, MANY = 1 << 12, 64
+#: Codes of a bitmap (that of Spark's bitmap functions), bitmaps that a task holds, and k-mers they may stand for.
+BITS, BLOCKS, POSSIBLE = 1 << 15, 1 << 15, 1 << 24
 
 _CODE = np.full(256, 5, np.uint8)
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(5)
@@ -229,8 +231,81 @@ def counts(df: DataFrame, k: int, keys: list[str], seq: str, plain: bool) -> Dat
 
     rows = df.select(*keys, F.coalesce(F.col(seq), F.lit("")).alias("__seq")).mapInArrow(run, schema)
     rows = rows.groupBy(*keys, "__code").agg(F.sum("n").alias("n"))
-    digit = [F.substring(F.lit(ALPHABET), (F.floor(F.col("__code") / base**i) % base + 1).cast("int"), F.lit(1)) for i in reversed(range(k))]
-    return rows.select(*keys, F.concat(*digit).alias("kmer"), "n")
+    return rows.select(*keys, word(F.col("__code"), k, base).alias("kmer"), "n")
+
+
+def word(code: Column, k: int, base: int) -> Column:
+    """The k symbols of a code."""
+    digit = [F.substring(F.lit(ALPHABET), (F.floor(code / base**i) % base + 1).cast("int"), F.lit(1)) for i in reversed(range(k))]
+    return F.concat(*digit)
+
+
+def occurring(df: DataFrame, k: int, keys: list[str], seq: str) -> DataFrame:
+    """(keys, __block, __bits): which k-mers occur, as bitmaps of BITS codes; blocks without any are left out.
+
+    A task holds one bit a possible k-mer for each of its keys, so what is exchanged depends on keys and tasks and not on the
+    windows.  Symbols outside ACGTN are an error.
+    """
+    if 5**k > POSSIBLE:
+        raise ValueError(f"at most {POSSIBLE} possible k-mers")
+    blocks = -(-(5**k) // BITS)
+    kept = [f for f in df.select(*keys).schema]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "__block int, __bits binary"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        seen = np.zeros(blocks * BITS, bool)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for key, bits in held.items():
+                on = np.flatnonzero(bits.reshape(blocks, -1).any(axis=1))
+                cols = [pa.array([x] * len(on), t) for x, t in zip(key, types)]
+                out = [*cols, pa.array(on.astype(np.int32)), pa.array([bits[b * BITS // 8 : (b + 1) * BITS // 8].tobytes() for b in on.tolist()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, [*keys, "__block", "__bits"])
+            held.clear()
+
+        types: list = []
+        for b in batches:
+            types = [b.column(c).type for c in keys]
+            texts = b.column("__seq").cast(pa.binary())
+            rows: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(b.column(c).to_pylist() for c in keys)) if keys else [()] * b.num_rows):
+                rows.setdefault(key, []).append(i)
+            for key, at in rows.items():
+                seen[:] = False
+                for i in at:
+                    for _, code, _ in kmers(clean(symbols(texts[i].as_py())), k):
+                        seen[code] = True
+                bits = np.packbits(seen, bitorder="little")
+                held[key] = held[key] | bits if key in held else bits
+                if len(held) * blocks > BLOCKS:
+                    yield from flush()
+        yield from flush()
+
+    rows = df.select(*keys, F.coalesce(F.col(seq), F.lit("")).alias("__seq")).mapInArrow(run, schema)
+    return joined(rows, keys)
+
+
+def joined(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, __block, __bits) of ``occurring`` for fewer keys."""
+    return rows.groupBy(*keys, "__block").agg(F.bitmap_or_agg("__bits").alias("__bits"))
+
+
+def unpacked(rows: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """(keys, kmer), a row a bit of ``occurring``."""
+    kept = [f for f in rows.select(*keys).schema]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "__code long"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 32):
+                part = b.slice(at, 32)
+                on = [np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little")) for x in part.column("__bits").to_pylist()]
+                code = np.concatenate([x + n * BITS for x, n in zip(on, part.column("__block").to_pylist())])
+                row = pa.array(np.repeat(np.arange(len(on)), [len(x) for x in on]))
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(row) for c in keys], pa.array(code)], [*keys, "__code"])
+
+    return rows.select(*keys, "__block", "__bits").mapInArrow(run, schema).select(*keys, word(F.col("__code"), k, 5).alias("kmer"))
 
 
 def agreements(df: DataFrame, group: str, seq: str) -> DataFrame:

@@ -19,6 +19,8 @@ from . import codes
 ALPHABET = "ACGTN"
 #: Symbols of a piece of a sequence, and of a block of windows in it.
 PIECE, BLOCK = 4096, 128
+#: Keys whose k-mers are taken as bitmaps.
+KEYS = 256
 
 
 def spread(df: DataFrame, by: list[str]) -> DataFrame:
@@ -217,8 +219,29 @@ def held_out_lookup(df: DataFrame, k: int, split: Column, key: str = "doc_id", s
 
 
 def distinct_sketches(df: DataFrame, k: int, keys: list[str], seq: str = "seq", lg: int = 14) -> DataFrame:
-    """(keys, sketch): a mergeable sketch of each key's distinct k-mers, 0.8 % standard error at ``lg`` 14."""
-    return windows(df, k, keys, seq).groupBy(*keys).agg(F.hll_sketch_agg("kmer", lg).alias("sketch"))
+    """(keys, sketch): a mergeable sketch of each key's distinct k-mers, 0.8 % standard error at ``lg`` 14.
+
+    A sketch takes a k-mer as often as it comes to the same effect, so short k-mers of few keys come out of bitmaps
+    (``codes.occurring``), each once; others are rows.
+    """
+    few = 5**k <= codes.POSSIBLE and (not keys or df.select(*keys).distinct().limit(KEYS + 1).count() <= KEYS)
+    rows = codes.unpacked(codes.occurring(df, k, keys, seq), k, keys) if few else windows(df, k, keys, seq)
+    return sketched(rows, keys, lg).select(*keys, "sketch")
+
+
+def sketched(rows: DataFrame, keys: list[str], lg: int = 14) -> DataFrame:
+    """(keys, kmers, sketch) of k-mers, and how many there are."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("kmers"), F.hll_sketch_agg("kmer", lg).alias("sketch"))
+
+
+def distinct_by_parts(df: DataFrame, k: int, key: str, part: str, seq: str = "seq", lg: int = 14) -> DataFrame:
+    """(key, kmers, sketch, merged): the exact number of a key's distinct k-mers, a sketch of them, and one merged from
+    sketches of the key's parts, all from one scan."""
+    known = codes.occurring(df, k, [key, part], seq)
+    whole = sketched(codes.unpacked(codes.joined(known, [key]), k, [key]), [key], lg)
+    parts = sketched(codes.unpacked(known, k, [key, part]), [key, part], lg)
+    up = merged_sketches(parts, [key]).select(F.col(key).alias("__key"), F.col("sketch").alias("merged"))
+    return whole.join(up, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
 
 
 def merged_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:

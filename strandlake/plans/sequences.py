@@ -208,13 +208,9 @@ def agg26_sequence_features(spark, d):
 def agg05_distinct_kmer_sketches(spark, d):
     """Distinct k-mers of a language from sketches by source, merged upwards: within 2 % of the exact number, and of a sketch of
     everything at once."""
-    s = dna(spark, d)
-    parts = kmers.distinct_sketches(s, 10, ["lang", "source"])
-    up = kmers.merged_sketches(parts, ["lang"]).select("lang", F.hll_sketch_estimate("sketch").alias("merged"))
-    whole = kmers.distinct_sketches(s, 10, ["lang"]).select("lang", F.hll_sketch_estimate("sketch").alias("whole"))
-    exact = kmers.windows(s, 10, ["lang"]).distinct().groupBy("lang").agg(F.count("*").alias("kmers"))
+    n = kmers.distinct_by_parts(dna(spark, d), 10, "lang", "source").withColumns({c: F.hll_sketch_estimate(c) for c in ("sketch", "merged")})
     near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.02 * F.col(b)
-    return exact.join(up, "lang").join(whole, "lang").select("lang", "kmers", near("merged", "kmers").alias("close"), near("merged", "whole").alias("mergeable"))
+    return n.select("lang", "kmers", near("merged", "kmers").alias("close"), near("merged", "sketch").alias("mergeable"))
 
 
 @query(f"""WITH {_BOTH}, st AS (SELECT * FROM cod), l AS (SELECT doc_id, strand, frame, pos - coalesce(max(CASE WHEN c IN ('TAA','TAG','TGA') THEN pos END) OVER (PARTITION BY doc_id, strand, frame ORDER BY pos ROWS UNBOUNDED PRECEDING), frame - 3) AS gap FROM st), b AS (SELECT doc_id, max(gap) AS span FROM l GROUP BY doc_id) SELECT doc_id, greatest(coalesce(span, 0), 0)::BIGINT AS span FROM dna LEFT JOIN b USING (doc_id)""")

@@ -147,6 +147,34 @@ def test_sketches_of_parts_merge(spark, sequences):
     assert abs(merged - exact) <= 0.02 * exact
 
 
+@pytest.mark.parametrize("held", [1 << 15, 1])
+def test_distinct_by_parts_from_bitmaps(spark, sequences, monkeypatch, held):
+    """Exact numbers and both sketches from one scan that makes no row a window; keys may be null."""
+    monkeypatch.setattr(codes, "BLOCKS", held)
+    rows = [("ab"[i % 2] if i % 5 else None, i % 3 or None, s) for i, s in enumerate(sequences)] + [("c", 1, None), ("d", 1, "ACGT")]
+    df = spark.createDataFrame(rows, "lang string, source long, seq string").repartition(3)
+    want = collections.defaultdict(set)
+    for key, _, s in rows:
+        want[key] |= {s[i : i + 8] for i in range(len(s or "") - 7)}
+    want = {key: w for key, w in want.items() if w}
+    bits = codes.occurring(df, 8, ["lang"], "seq")
+    got = collections.Counter((r["lang"], r["kmer"]) for r in codes.unpacked(bits, 8, ["lang"]).collect())
+    assert got == {(key, x): 1 for key, w in want.items() for x in w}
+    out = kmers.distinct_by_parts(df, 8, "lang", "source").withColumns({c: F.hll_sketch_estimate(c) for c in ("sketch", "merged")})
+    found = out.collect()
+    assert {r["lang"]: r["kmers"] for r in found} == {key: len(w) for key, w in want.items()}
+    assert all(abs(r[c] - r["kmers"]) <= 0.02 * r["kmers"] for r in found for c in ("sketch", "merged"))
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sketches_of_many_keys(spark, sequences, monkeypatch):
+    monkeypatch.setattr(kmers, "KEYS", 2)
+    df = spark.createDataFrame([(i % 4, s) for i, s in enumerate(sequences)], "g long, seq string")
+    got = {r["g"]: r["n"] for r in kmers.distinct_sketches(df, 8, ["g"]).select("g", F.hll_sketch_estimate("sketch").alias("n")).collect()}
+    exact = {r["g"]: r["n"] for r in kmers.windows(df, 8, ["g"]).distinct().groupBy("g").agg(F.count("*").alias("n")).collect()}
+    assert got.keys() == exact.keys() and all(abs(got[g] - n) <= 0.02 * n for g, n in exact.items())
+
+
 def test_mean_identity_of_all_pairs(spark):
     rng = random.Random(5)
     rows = [(g, "".join(rng.choices("ACGT", k=rng.choice([0, 5, 5, 9, 40])))) for g in "ab" for _ in range(30)] + [("c", "ACGT")]
